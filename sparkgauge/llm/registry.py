@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import chat, linededup, mixing, quality, urlfilter, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1,
     "op2_quality": quality.op2,
+    "op5_urlfilter": urlfilter.op5,
+    "op8_chat": chat.op8,
+    "op9_linededup": linededup.op9,
+    "op10_warc": warc.op10,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op2_quality": quality.OP2_SQL,
+    "op5_urlfilter": urlfilter.OP5_SQL,
+    "op8_chat": chat.OP8_SQL,
+    "op10_warc": warc.OP10_SQL,
 }
