@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, linededup, mixing, quality, urlfilter, warc
+from . import chat, decontam, linededup, mixing, neardup, quality, urlfilter, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1,
     "op2_quality": quality.op2,
     "op5_urlfilter": urlfilter.op5,
+    "op6_decontam": decontam.op6,
+    "op7_neardup": neardup.op7,
     "op8_chat": chat.op8,
     "op9_linededup": linededup.op9,
     "op10_warc": warc.op10,
