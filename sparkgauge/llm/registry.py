@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, linededup, mixing, neardup, quality, urlfilter, warc
+from . import chat, decontam, extraction, linededup, mixing, neardup, quality, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1,
     "op2_quality": quality.op2,
+    "op3_toxicity": toxicity.op3,
+    "op4_extraction": extraction.op4,
     "op5_urlfilter": urlfilter.op5,
     "op6_decontam": decontam.op6,
     "op7_neardup": neardup.op7,
