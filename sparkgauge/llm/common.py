@@ -22,6 +22,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def whole(df: DataFrame) -> Column:
+    """All columns in one struct, where their names clash with none of an operator's."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share; it goes when the application ends.
 
@@ -54,3 +59,29 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: log2 of the bits of a bitmap at most: 8 MB, as a table of 2**20 rows.
+BITMAP_BITS = 26
+
+
+def bitmap(hashes: DataFrame, column: str) -> DataFrame:
+    """A table (word, bits) of the bits that the 64-bit ``hashes`` set, of a size bounded by ``BITMAP_BITS``.
+
+    Where hashes are more than it can tell apart, ``maybe`` lets more rows through; what follows it must be exact.
+    """
+    n = max(1, hashes.count())
+    bits = max(10, min(BITMAP_BITS, (16 * n).bit_length()))
+    at = F.col(column).bitwiseAND(F.lit(2**bits - 1))
+    one = F.expr(f"shiftleft(1L, CAST({column} & 63 AS INT))")
+    return written(hashes.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(one).alias("bits")).withColumn("mask", F.lit(2**bits - 1)))
+
+
+def maybe(df: DataFrame, column: str, bits: DataFrame) -> DataFrame:
+    """``df`` with a boolean ``maybe``: false only where ``column`` is none of the bitmap's hashes. Map-side."""
+    first = bits.select("mask").first()
+    mask = first[0] if first else 0
+    at = F.col(column).bitwiseAND(F.lit(mask))
+    out = df.join(F.broadcast(bits.select("word", "bits")), F.shiftright(at, 6) == F.col("word"), "left")
+    found = F.expr(f"(shiftright(bits, CAST({column} & 63 AS INT)) & 1) = 1")
+    return out.withColumn("maybe", F.coalesce(found, F.lit(False))).drop("word", "bits")

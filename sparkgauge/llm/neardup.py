@@ -3,17 +3,18 @@
 1. A pass over the texts makes, for each document, its set of word shingles, 128 minima, the 32 hashes of their bands of
    four, and a signature of the low two bits of each minimum, packed into four longs. Documents with equal sets form one
    class, and from here on only classes count.
-2. Band candidates: classes that share a band meet in a bucket. First each is held against the bucket's smallest class
-   alone. A pair whose similarity, estimated from bit counts and corrected for chance collisions of low bits, is clearly
-   too small goes; all others are confirmed on their full sets.
-3. Components of the confirmed links. Buckets of three or more that hold several components are opened: pairs across
-   components are estimated in the join and confirmed in the same way, so that no link between components is lost.
+2. Band candidates: classes that share a band meet in a bucket. Each is held against the bucket's smallest class by the
+   similarity estimated from bit counts, corrected for chance collisions of low bits; those clearly unlike it are held
+   against all others of the bucket in the condition of a join. What may be alike is one family.
+3. Families are confirmed on full sets, made again from the texts of candidates alone. A family is dealt into blocks of a
+   bounded number of items, and every pair of blocks is one group, whose sets are all compared, exactly, by products of
+   incidence matrices. A group gives a spanning forest of its links, not its pairs.
 4. Components of all links.
 
 A link of similarity 0.8 is missed by all bands with probability (1 - 0.8**4)**32 < 1e-7, by the estimate < 1e-5.
 
 Buckets are aggregated before they are joined, and joins on a bucket, class or document can be split by Spark, so a hot
-group costs a row per member and band, not one per pair. Full sets are made again from the texts of candidates alone.
+group costs a row per member and band. Bitmaps of bounded size keep documents that nothing happens to out of shuffles.
 
 Defined cases: null and empty texts have no shingles, link with nothing and stay; fewer words than a shingle are one
 shingle; null doc_ids come last in a group; equal rows belong to one group; an empty table gives an empty result.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import bitmap, maybe, table, whole, written
 from .components import components
 from .hashing import hashed_texts, mixed, shingles
 
@@ -38,6 +39,10 @@ HASHES, ROWS, BITS = 128, 4, 2
 THRESHOLD = 80
 #: Pairs estimated below this share go unconfirmed: 0.8 less about five standard errors.
 LEAST_ESTIMATE = 0.6
+#: Estimated share from which a class joins the family of its bucket's smallest class.
+FAMILY = 0.45
+#: Items of the sets of a block: two blocks are held in memory together.
+BLOCK_ITEMS = 1 << 20
 _LAST = 2**63 - 1
 _RANDOM = np.random.Generator(np.random.PCG64(90_417))
 _A = _RANDOM.integers(1, 2**64 - 1, HASHES, dtype=np.uint64) | np.uint64(1)
@@ -83,20 +88,81 @@ def _signatures(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.Record
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The sets of wanted classes, with the groups of pairs of blocks that each is compared in."""
     last: tuple = ()
     for batch in batches:
         wanted, keys = batch.column("cid").to_pylist(), batch.column("k").to_pylist()
-        ids, values_of = [], []
-        for key, cid, words in zip(keys, wanted, hashed_texts(batch.column("text")), strict=True):
+        for i, (key, cid, words) in enumerate(zip(keys, wanted, hashed_texts(batch.column("text")), strict=True)):
             values = np.unique(shingles(words, k))
-            if (key, cid) != last and hashlib.md5(values.tobytes()).digest() == cid:  # rows of one key come together
+            if (key, cid) == last or hashlib.md5(values.tobytes()).digest() != cid:  # rows of one key come together
+                continue
+            last = (key, cid)
+            family, blocks = batch.column("family")[i].as_py(), batch.column("blocks")[i].as_py()
+            own = int.from_bytes(cid[:6], "big") % blocks
+            pairs = [(min(own, j), max(own, j)) for j in range(blocks)]
+            n = len(pairs)
+            offsets = np.arange(n + 1, dtype=np.int32) * len(values)
+            items = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.tile(values.view(np.int64), n)))
+            columns = [pa.array([family] * n, pa.binary()), pa.array([x for x, _ in pairs], pa.int32()), pa.array([y for _, y in pairs], pa.int32()), pa.array([cid] * n, pa.binary()), items]
+            yield pa.RecordBatch.from_arrays(columns, ["family", "i", "j", "cid", "items"])
+
+
+def linked(ids: list[bytes], sets: list[np.ndarray], percent: int) -> list[tuple[bytes, bytes]]:
+    """A spanning forest of the links between sets, all of whose pairs are compared exactly."""
+    m = len(ids)
+    size = np.array([len(x) for x in sets])
+    if m == 2:
+        common = np.array([[0, np.intersect1d(sets[0], sets[1], assume_unique=True).size]] * 2)
+    else:
+        _, place, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(m), size)
+        shared = often[place] > 1
+        place, owner = np.unique(place[shared], return_inverse=True)[1], owner[shared]
+        common = np.zeros((m, m), dtype=np.float32)
+        for at in range(0, int(place.max(initial=-1)) + 1, _STEP):
+            here = (place >= at) & (place < at + _STEP)
+            x = np.zeros((m, _STEP), dtype=np.float32)
+            x[owner[here], place[here] - at] = 1
+            common += x @ x.T
+    near = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+    root = list(range(m))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+        a, b = find(int(i)), find(int(j))
+        if a != b:
+            root[b] = a
+            out.append((ids[i], ids[j]))
+    return out
+
+
+def _links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of each group; the rows of a group come together."""
+
+    def done() -> pa.RecordBatch:
+        out = linked(ids, sets, percent) if len(ids) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([u for u, _ in out], pa.binary()), pa.array([v for _, v in out], pa.binary())], ["u", "v"])
+
+    group, ids, sets = None, [], []
+    for batch in batches:
+        offsets, items = batch.column("items").offsets.to_numpy(), batch.column("items").values.to_numpy()
+        keys = zip(batch.column("family").to_pylist(), batch.column("i").to_pylist(), batch.column("j").to_pylist(), strict=True)
+        for at, (key, cid) in enumerate(zip(keys, batch.column("cid").to_pylist(), strict=True)):
+            if key != group:
+                if len(ids) > 1:
+                    yield done()
+                group, ids, sets = key, [], []
+            if not ids or cid != ids[-1]:
                 ids.append(cid)
-                values_of.append(values.view(np.int64))
-                last = (key, cid)
-        if ids:
-            offsets = np.zeros(len(ids) + 1, dtype=np.int32)
-            np.cumsum([len(v) for v in values_of], out=offsets[1:])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values_of)))], ["cid", "items"])
+                sets.append(items[offsets[at] : offsets[at + 1]].copy())
+    if len(ids) > 1:
+        yield done()
 
 
 def _agree(a: str, b: str) -> Column:
@@ -109,28 +175,47 @@ def _agree(a: str, b: str) -> Column:
     return total
 
 
-def _likely(a: str, b: str, percent: int) -> Column:
-    """Estimate corrected for collisions of low bits, and sizes that allow the similarity."""
+def _estimated(a: str, b: str, share: float) -> Column:
+    """Whether the similarity, estimated with a correction for collisions of low bits, is ``share`` or more."""
     chance = 1 / 2**BITS
-    slots = HASHES * (chance + (1 - chance) * (percent / 100 - (THRESHOLD / 100 - LEAST_ESTIMATE)))
-    sizes = 100 * F.least(F.col(f"{a}.n"), F.col(f"{b}.n")) >= percent * F.greatest(F.col(f"{a}.n"), F.col(f"{b}.n"))
-    return (_agree(a, b) >= slots) & sizes
+    return _agree(a, b) >= HASHES * (chance + (1 - chance) * share)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("k"), F.xxhash64("text").alias("kt"), "text")
 
 
-def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose full sets are similar enough."""
-    pairs = written(pairs)
-    ids = pairs.select(F.col("u").alias("cid")).unionByName(pairs.select(F.col("v").alias("cid"))).distinct()
-    need = written(classes.join(ids, "cid").select("cid", "k"))
-    sets = _keyed(docs).select("k", "text").join(need, "k").mapInArrow(partial(_sets, k=k), "cid binary, items array<long>")
-    sets = written(sets)
-    a, b = sets.select(F.col("cid").alias("u"), F.col("items").alias("a")), sets.select(F.col("cid").alias("v"), F.col("items").alias("b"))
-    both = pairs.join(a, "u").join(b, "v").select("u", "v", F.size(F.array_intersect("a", "b")).alias("common"), (F.size("a") + F.size("b")).alias("total"))
-    return written(both.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("u", "v"))
+def _families(members: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """(cid, family) of the classes that candidates connect: every pair in a bucket that may be similar enough ends in
+    one family. ``members`` has key, cid and low, the smallest cid of the bucket."""
+    others = members.where("cid != low")
+    stars = others.select(F.col("cid").alias("u"), F.col("low").alias("v")).distinct()
+    stars = stars.join(bits.alias("a"), F.col("u") == F.col("a.cid")).join(bits.alias("b"), F.col("v") == F.col("b.cid"))
+    stars = written(stars.select("u", "v", _estimated("a", "b", FAMILY).alias("near")))
+    edges = stars.where("near").select("u", "v")
+    # those unlike their bucket's smallest class meet all the others of it
+    far = others.join(stars.where("NOT near"), (F.col("cid") == F.col("u")) & (F.col("low") == F.col("v"))).select("key", "cid")
+    crowded = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 2").select("key")
+    far = written(far.join(crowded, "key").join(bits, "cid"))
+    if not far.isEmpty():
+        rest = others.join(far.select("key").distinct(), "key").join(bits, "cid")
+        least = percent / 100 - (THRESHOLD / 100 - LEAST_ESTIMATE)
+        sizes = 100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")
+        more = far.alias("a").join(rest.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.cid") != F.col("b.cid")) & sizes & _estimated("a", "b", least))
+        edges = edges.unionByName(more.select(F.greatest("a.cid", "b.cid").alias("u"), F.least("a.cid", "b.cid").alias("v")).distinct())
+    named = components(edges)
+    return written(named.unionByName(named.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("cid"), F.col("root").alias("family")))
+
+
+def _confirmed(docs: DataFrame, classes: DataFrame, families: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) within families, confirmed on full sets: a spanning forest of them for each pair of blocks."""
+    need = classes.select("cid", "k", "n").join(families, "cid")
+    blocks = need.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_ITEMS).cast("int").alias("blocks"))
+    need = written(need.join(blocks, "family").select("k", "cid", "family", "blocks", F.xxhash64("k").alias("h")))
+    texts = maybe(_keyed(docs).select("k", "text", F.xxhash64("k").alias("h")), "h", bitmap(need, "h")).where("maybe").select("k", "text")
+    sets = texts.join(need.drop("h"), "k").mapInArrow(partial(_sets, k=k), "family binary, i int, j int, cid binary, items array<long>")
+    groups = sets.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "cid")
+    return written(groups.mapInArrow(partial(_links, percent=percent), "u binary, v binary"))
 
 
 def grouped(docs: DataFrame, k: int = 5, percent: int = THRESHOLD) -> DataFrame:
@@ -143,21 +228,8 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = THRESHOLD) -> DataFrame:
     buckets = written(members.groupBy("key").agg(F.min("cid").alias("low"), F.count("*").alias("size")).where("size > 1"))
     members = written(members.join(buckets, "key"))
     bits = classes.select("cid", "n", "s0", "s1", "s2", "s3")
-    stars = members.where("cid != low").select(F.col("cid").alias("u"), F.col("low").alias("v")).distinct()
-    stars = stars.join(bits.alias("a"), F.col("u") == F.col("a.cid")).join(bits.alias("b"), F.col("v") == F.col("b.cid")).where(_likely("a", "b", percent)).select("u", "v")
-    links = _confirmed(docs, classes, stars, k, percent)
-    comps = components(links)
-
-    opened = members.where("size > 2").select("key", "cid", "low").join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    opened = written(opened)
-    several = opened.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
-    opened = opened.join(several, "key").join(bits, "cid")
-    opened = written(opened)
-    across = opened.alias("a").join(opened.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & (F.col("a.cid") != F.col("a.low")) & (F.col("b.cid") != F.col("b.low")) & _likely("a", "b", percent))
-    across = written(across.select(F.greatest("a.cid", "b.cid").alias("u"), F.least("a.cid", "b.cid").alias("v")).distinct())
-    if not across.isEmpty():
-        links = links.unionByName(_confirmed(docs, classes, across, k, percent))
-        comps = components(links)
+    families = _families(members, bits, percent)
+    comps = components(_confirmed(docs, classes, families, k, percent))
 
     full = comps.unionByName(comps.select(F.col("root").alias("node"), "root").distinct())
     full = full.join(classes.select(F.col("cid").alias("node"), "k"), "node")
@@ -169,18 +241,19 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = THRESHOLD) -> DataFrame:
 
 def keep(docs: DataFrame, k: int = 5, percent: int = THRESHOLD) -> DataFrame:
     """One document of each group, that with the smallest doc_id; columns as in the input."""
-    stay = grouped(docs, k, percent).where("k = root")
+    found = written(grouped(docs, k, percent))
+    stay = found.where("k = root")
     # of rows that share the doc_id which stays, that with the smallest hash of its text; texts without words all stay
     alike = stay.where("gid IS NOT NULL").groupBy("gid", "k").agg(F.min("kt").alias("kt")).select("k", "kt", F.lit(True).alias("words"))
-    stay = written(alike.unionByName(stay.where("gid IS NULL").select("k", "kt", F.lit(False).alias("words"))).distinct())
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("d")).withColumn("k", F.coalesce(F.col("d.doc_id").cast("long"), F.lit(_LAST))).withColumn("kt", F.xxhash64("d.text"))
-    kept = rows.join(stay, ["k", "kt"])
-    again = written(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("k"), F.xxhash64("text").alias("kt")).groupBy("k", "kt").count().where("count > 1").select("k", "kt"))
-    if again.isEmpty():
-        return kept.select("d.*")
-    kept = kept.join(again.withColumn("again", F.lit(True)), ["k", "kt"], "left")
-    several = F.col("words") & F.col("again").isNotNull()
-    return kept.where(~several).unionByName(kept.where(several).dropDuplicates(["k", "kt"])).select("d.*")
+    stay = alike.unionByName(stay.where("gid IS NULL").select("k", "kt", F.lit(False).alias("words"))).distinct()
+    found = written(found.groupBy("k", "kt").agg(F.count("*").alias("rows")).join(stay, ["k", "kt"], "left"))
+    # only documents that go, or of which there are several rows, are shuffled
+    touched = written(found.where("words IS NULL OR (words AND rows > 1)"))
+    rows = docs.select(whole(docs).alias("d")).withColumn("k", F.coalesce(F.col("d.doc_id").cast("long"), F.lit(_LAST))).withColumn("kt", F.xxhash64("d.text"))
+    rows = maybe(rows, "kt", bitmap(touched, "kt"))
+    checked = rows.where("maybe").join(touched.select("k", "kt", F.coalesce("words", F.lit(False)).alias("again"), F.lit(True).alias("hit")), ["k", "kt"], "left")
+    several = checked.where("again").dropDuplicates(["k", "kt"])
+    return rows.where("NOT maybe").select("d.*").unionByName(checked.where("hit IS NULL").select("d.*")).unionByName(several.select("d.*"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
