@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, small, written
+from .common import WORD, small, whole, written
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -63,7 +63,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, epochs: i
     )
     level = (F.col("total") - epochs * F.col("below")) / F.col("open_weight")
     per = per.withColumn("clamped", level * F.col("weight") >= epochs * F.col("source_size"))
-    per = per.withColumn("free_level", F.min(F.when(~F.col("clamped"), level)).over(all_rows))
+    per = per.withColumn("free_level", F.max(F.when(~F.col("clamped"), level)).over(all_rows))
     cap = (epochs * F.col("source_size")).cast("double")
     return per.select(
         "source", "source_size", "weight",
@@ -107,7 +107,7 @@ def _plan(sizes: DataFrame, weights, budget: float, epochs: int) -> DataFrame:
 
 
 def _apply(docs: DataFrame, full: DataFrame, seed: int) -> DataFrame:
-    inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("d"))
+    inner = docs.select(whole(docs).alias("d"))
     inner = inner.withColumn("mix_size", size_of(F.col("d.text"))).withColumn("mix_h", hash_of(F.col("d.doc_id"), seed))
     out = inner.join(full.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")), "left")
     at_cut = F.floor(F.col("p.cut_left") * F.col("mix_size") / F.col("p.cut_size")).cast("long")
@@ -118,7 +118,10 @@ def _apply(docs: DataFrame, full: DataFrame, seed: int) -> DataFrame:
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """The mixed corpus itself: a row per copy with ``copy`` from 1; the copy taken in part ends after its words."""
+    """The mixed corpus itself: a row per copy with ``copy`` from 1; the copy taken in part ends after its words.
+
+    Where the input has a column of that name, it is called ``mix_copy``.
+    """
     whole = F.when(F.col("mix_size") > 0, F.col("mix_whole")).otherwise(0).cast("int")
     copies = F.when(whole > 0, F.sequence(F.lit(1), whole)).otherwise(F.array().cast("array<int>"))
     copies = F.when(F.col("mix_extra") > 0, F.concat(copies, F.array(whole + 1))).otherwise(copies)
@@ -126,7 +129,7 @@ def emit(mixed: DataFrame) -> DataFrame:
     cut = (F.col("mix_copy") > F.col("mix_whole")) & (F.col("mix_extra") < F.col("mix_size"))
     head = F.array_join(F.slice(F.regexp_extract_all(F.col("d.text"), F.lit(WORD), 0), 1, F.col("mix_extra").cast("int")), " ")
     fields = [n for n in mixed.schema["d"].dataType.names if n != "text"]
-    return rows.select(*[F.col(f"d.`{n}`") for n in fields], F.when(cut, head).otherwise(F.col("d.text")).alias("text"), F.col("mix_copy").alias("copy"))
+    return rows.select(*[F.col(f"d.`{n}`").alias(n) for n in fields], F.when(cut, head).otherwise(F.col("d.text")).alias("text"), F.col("mix_copy").alias("mix_copy" if "copy" in fields else "copy"))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
@@ -151,7 +154,7 @@ mix_filled AS (
   FROM mix_weighed),
 mix_leveled AS (SELECT *, (total - 2 * below) / open_weight AS level FROM mix_filled),
 mix_clamped AS (SELECT *, level * weight >= 2 * source_size AS clamped FROM mix_leveled),
-mix_free AS (SELECT *, min(CASE WHEN NOT clamped THEN level END) OVER () AS free_level FROM mix_clamped),
+mix_free AS (SELECT *, max(CASE WHEN NOT clamped THEN level END) OVER () AS free_level FROM mix_clamped),
 mix_target AS (
   SELECT source, source_size, CASE WHEN clamped THEN 2.0::DOUBLE * source_size ELSE least(2.0::DOUBLE * source_size, free_level * weight) END AS target FROM mix_free),
 mix_plan AS (
