@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table
+from .common import table, whole
 from .hashing import ALNUM, hashed_texts, shingles
 
 SHARE = 0.5
@@ -166,13 +167,16 @@ def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
 def _clean(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
     index = index.value
     for batch in batches:
-        yield batch.filter(pa.array([not index.leaks(words) for words in hashed_texts(batch.column("text"), ALNUM, lower=True)], pa.bool_()))
+        clean = pa.array([not index.leaks(words) for words in hashed_texts(batch.column("text"), ALNUM, lower=True)], pa.bool_())
+        yield batch.select(["d"]).filter(clean)
 
 
 def keep(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that leak nothing, with the columns of the input."""
     for index in indexes(items):
-        docs = docs.mapInArrow(partial(_clean, index=docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
+        rows = docs.select(whole(docs).alias("d"), F.col("text"))
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        docs = rows.mapInArrow(partial(_clean, index=shared), T.StructType([T.StructField("d", docs.schema)])).select("d.*")
     return docs
 
 

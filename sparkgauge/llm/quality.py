@@ -17,7 +17,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAPS, let, table
+from .common import GAPS, let, table, whole
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -98,7 +98,7 @@ def verdict(m: Column, rules=RULES) -> tuple[Column, Column]:
 
 def judged(docs: DataFrame, rules=RULES) -> DataFrame:
     """A struct ``d`` of the input's columns, a struct ``m`` of counts, base_failed and kept."""
-    out = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("d"), measures(docs["text"]).alias("m"))
+    out = docs.select(whole(docs).alias("d"), measures(docs["text"]).alias("m"))
     base, kept = verdict(F.col("m"), rules)
     return out.select("d", "m", base.alias("base_failed"), kept.alias("kept"))
 

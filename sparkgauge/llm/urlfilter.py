@@ -20,7 +20,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, table, written
+from .common import small, table, whole, written
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 PREFIX_HEX = 8
@@ -66,7 +66,7 @@ def judged_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 def filtered(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` in a struct ``d`` with host, path, rule and verdict."""
-    rows = pages.select(F.struct(*[pages[c] for c in pages.columns]).alias("d")).withColumn("u", F.coalesce(F.col("d")[url], F.lit("")))
+    rows = pages.select(whole(pages).alias("d")).withColumn("u", F.coalesce(F.col("d")[url], F.lit("")))
     found = judged_urls(rows.select("u").distinct(), rules).alias("f")
     out = rows.alias("r").join(found, F.col("r.u") == F.col("f.u"), "left")
     return out.select("r.d", host_of(F.col("r.u")).alias("host"), path_of(F.col("r.u")).alias("path"), F.col("f.rule").alias("rule"), F.coalesce(F.col("f.verdict"), F.lit(default)).alias("verdict"))
