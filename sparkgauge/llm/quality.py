@@ -45,7 +45,8 @@ RULES = (
     Rule("symbols_per_word", "n_symbols", "n_words", 0.0, 0.1),
     Rule("shouts_per_word", "n_shouts", "n_words", 0.0, 0.3),
     Rule("stop_words_per_word", "n_stop_words", "n_words", 0.04, 1.0, 50),
-    Rule("repeated_lines_per_line", "n_dup_lines", "n_lines", 0.0, 0.3),
+    Rule("repeated_lines_per_line", "n_dup_lines", "n_lines", 0.0, 0.5),
+    Rule("doubled_words_per_word", "n_doubled", "n_words", 0.0, 0.2),
 )
 
 
@@ -81,6 +82,7 @@ def measures(text: Column) -> Column:
             F.size(ls).cast("long").alias("n_lines"),
             F.size(F.filter(w, lambda x: x.isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
             F.size(F.filter(w, lambda x: x.contains("!"))).cast("long").alias("n_shouts"),
+            F.size(F.filter(w, lambda x, i: (i > 0) & (x == F.get(w, i - 1)))).cast("long").alias("n_doubled"),
         )
 
     return let(words, lambda w: let(lines, lambda ls: counts(w, ls)))
@@ -133,7 +135,8 @@ q_counts AS (
     (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
     COALESCE(list_sum(list_transform(range(1, len(p) + 1), lambda k: least(5, COALESCE(p[k+1] - p[k], 5)))), 0)::BIGINT AS n_repeat_words,
     len(ls)::BIGINT AS n_lines, len(list_filter(w, lambda x: x IN ({_STOP})))::BIGINT AS n_stop_words,
-    len(list_filter(w, lambda x: contains(x, '!')))::BIGINT AS n_shouts FROM q_twice),
+    len(list_filter(w, lambda x: contains(x, '!')))::BIGINT AS n_shouts,
+    len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i-1]))::BIGINT AS n_doubled FROM q_twice),
 q_base AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM q_counts),
 q_judged AS (SELECT *, NOT base_failed
     """ + "\n    ".join(
