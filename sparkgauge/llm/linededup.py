@@ -6,9 +6,10 @@ several lines, and single long lines, of ``MIN_WORDS`` words or more are counted
 two documents or more, its first occurrence (by doc_id, then place) stays and all others are removed, after their bytes
 have been compared.
 
-All is native. Hashes are counted as narrow rows; texts are gathered only for chunks whose hash repeats, grouped by hash
-and bytes with a partial aggregate before the shuffle, so that a hot passage collapses; the texts of documents are
-shuffled twice, by document.
+All is native. Hashes are counted as narrow rows. A bitmap of bounded size of the hashes that repeat lets the bytes of
+their chunks through, which are grouped by hash and bytes with a partial aggregate before the shuffle, so that a hot
+passage collapses; hashes that several texts share are told apart by the texts. A second bitmap lets the documents
+through that lose chunks: the texts of those alone are shuffled.
 
 Defined cases: null and empty texts have no chunks and stay as they are; null doc_ids come last; rows equal in doc_id and
 text count as one document and stay equal; a document of which nothing is left gets an empty text; other columns, whatever
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GAPS, let, table, written
+from .common import GAPS, bitmap, let, maybe, table, whole, written
 
 LONG_WORDS = 20
 MIN_WORDS = 15
@@ -64,34 +65,44 @@ def _counts(c: Column) -> Column:
     return (c["words"] >= MIN_WORDS) & ((F.size(c["lines"]) > 1) | (c["words"] >= LONG_WORDS))
 
 
+def body_hash(body: Column) -> Column:
+    return F.xxhash64(body)
+
+
 def deduped(docs: DataFrame) -> DataFrame:
     """``docs`` in a struct ``d``, with the text that is left (``text``), ``n_chunks`` and ``n_removed``."""
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("d"))
+    rows = docs.select(whole(docs).alias("d"))
     rows = rows.withColumn("k", F.coalesce(F.col("d.doc_id").cast("long"), F.lit(_LAST))).withColumn("kt", F.xxhash64("d.text"))
     cut = rows.select("k", "kt", F.posexplode(chunks(F.col("d.text"))).alias("place", "c")).where(_counts(F.col("c")))
     body = F.array_join(F.col("c.lines"), "\n")
-    seen = written(cut.select("k", "kt", "place", F.xxhash64(body).alias("h")))
+    cut = cut.select("k", "kt", "place", body_hash(body).alias("h"), body.alias("body"))
+    seen = written(cut.select("k", "kt", "place", "h"))
     who = F.struct("k", "kt")
-    often = written(seen.groupBy("h").agg(F.min(who).alias("a"), F.max(who).alias("b")).where("a != b").select("h"))
-    marked = written(seen.join(often, "h").groupBy("k", "kt").agg(F.collect_set(F.struct("place", "h")).alias("at")))
-
-    # byte comparison: hashes that repeat, grouped by their bytes
-    found = rows.select("k", "kt", F.col("d.text").alias("text")).join(marked, ["k", "kt"])
-    bodies = let(chunks(F.col("text")), lambda cs: F.transform("at", lambda x: F.struct(x["place"].alias("place"), x["h"].alias("h"), F.array_join(F.get(cs, x["place"])["lines"], "\n").alias("body"))))
-    found = found.select("k", "kt", bodies.alias("bodies")).select("k", "kt", F.explode("bodies").alias("x")).select("k", "kt", "x.place", "x.h", "x.body")
-    found = written(found.distinct())
-    first = F.min(F.struct("k", "kt", "place"))
-    groups = found.groupBy("h", "body").agg(first.alias("first"), F.max(who).alias("last")).where("first.k != last.k OR first.kt != last.kt").select("h", "body", "first")
-    gone = found.join(groups, ["h", "body"]).where("k != first.k OR kt != first.kt OR place != first.place")
+    often = seen.groupBy("h").agg(F.min(who).alias("a"), F.max(who).alias("b")).where("a != b").select("h")
+
+    # byte comparison: chunks whose hash repeats, grouped by their bytes
+    alike = maybe(cut, "h", bitmap(written(often), "h")).where("maybe").groupBy("h", "body")
+    alike = alike.agg(F.min(F.struct("k", "kt", "place")).alias("first"), F.max(who).alias("last"))
+    alike = written(alike.select("h", F.md5("body").alias("bytes"), "first", (F.struct("first.k", "first.kt") != F.col("last")).alias("repeats")))
+    texts = alike.groupBy("h").agg(F.count("*").alias("texts"), F.first("first").alias("first"), F.max("repeats").alias("repeats"))
+    texts = written(texts.where("repeats"))
+    other = "(k != first.k OR kt != first.kt OR place != first.place)"
+    gone = seen.join(texts.where("texts = 1"), "h").where(other).select("k", "kt", "place")
+    mixed = texts.where("texts > 1")
+    if not mixed.isEmpty():  # one hash, several texts
+        apart = cut.join(mixed.select("h"), "h", "left_semi").withColumn("bytes", F.md5("body"))
+        gone = gone.unionByName(apart.join(alike.where("repeats"), ["h", "bytes"]).where(other).select("k", "kt", "place"))
     gone = written(gone.groupBy("k", "kt").agg(F.collect_set("place").alias("gone")))
 
-    out = rows.join(gone, ["k", "kt"], "left")
+    touched = maybe(rows, "kt", bitmap(gone, "kt"))
+    untouched = touched.where("NOT maybe").select("d", F.col("d.text").alias("text"), F.lit(0).cast("long").alias("n_removed"))
+    out = touched.where("maybe").join(gone, ["k", "kt"], "left")
 
     def rest(cs: Column) -> Column:
         return F.array_join(F.flatten(F.filter(F.transform(cs, lambda c, i: F.struct(c["lines"].alias("lines"), i.alias("i"))), lambda x: ~F.array_contains("gone", x["i"]))["lines"]), "\n")
 
     text = F.when(F.col("gone").isNull(), F.col("d.text")).otherwise(let(chunks(F.col("d.text")), rest))
-    return out.select("d", text.alias("text"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return untouched.unionByName(out.select("d", text.alias("text"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")))
 
 
 def keep(docs: DataFrame) -> DataFrame:
