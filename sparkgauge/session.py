@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
 
 def session(app: str = "sparkgauge", **conf: str) -> SparkSession:
     """The active session, or one with adaptive execution, Arrow and UTC; a master and sizes come from the cluster."""
@@ -18,3 +24,20 @@ def session(app: str = "sparkgauge", **conf: str) -> SparkSession:
     for k, v in (base | conf).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """The package to the executors' Python workers, once per application, wherever the driver found it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="sparkgauge-"), "sparkgauge.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(top):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    file = os.path.join(folder, n)
+                    z.write(file, os.path.relpath(file, os.path.dirname(top)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
