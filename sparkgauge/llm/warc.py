@@ -3,7 +3,7 @@
 Writing makes three records per page: a request, a response (or a revisit, if an equal payload has a response already)
 and a metadata record; request and metadata name the capture in WARC-Concurrent-To. They are native expressions: the
 three records of a page are one row of Spark's text writer, whose line end is the last of the empty lines that close a
-record, so that part files are WARC files, which a retried task writes anew as they were.
+record, so that part files are WARC files, compressed whole, which a retried task writes anew as they were.
 
 Reading parses files by Content-Length, whatever the payload holds, one file in memory at a time; ``write_archives``
 bounds a file by rows, so that it holds about ``FILE_BYTES``. Assembly joins the records of a capture by a grouped
@@ -18,6 +18,7 @@ other columns aren't archived.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -95,7 +96,7 @@ def write_archives(pages: DataFrame, out: str, min_bytes: int = MIN_BYTES) -> No
     meta = _record("metadata", [("WARC-Record-ID", record_id(F.col("page_id"), F.col("digest"), "metadata")), *date, ("WARC-Concurrent-To", main), ("Content-Type", F.lit("application/warc-fields"))], facts)
     text = F.concat(asked, capture, meta)
     lines = rows.select(text.alias("v")).select(F.substring("v", F.lit(1), F.length("v") - 2).alias("value"))
-    lines.write.option("lineSep", _END).option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 1500)))).text(out)
+    lines.write.option("lineSep", _END).option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 1500)))).option("compression", "gzip").text(out)
 
 
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -120,7 +121,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
             out = []
-            for head, block in parsed(content.as_py()):
+            data = content.as_py()
+            for head, block in parsed(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                 kind = head["warc-type"]
                 row = {"id": head["warc-record-id"], "kind": kind, "concurrent_to": head.get("warc-concurrent-to"), "uri": head.get("warc-target-uri"), "refers_to": None, "page_id": None, "payload_bytes": None, "payload_digest": None, "block_ok": None}
                 if kind in ("response", "revisit"):
