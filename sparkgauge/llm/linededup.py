@@ -1,31 +1,32 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by content-defined runs of lines.
 
-A text's lines are hashed; a rolling hash over the last two line hashes, and the borders of long lines, choose where a
-chunk ends. Borders depend on the lines around them alone, so a passage is cut alike wherever it stands. Chunks of
-several lines, and single long lines, of ``MIN_WORDS`` words or more are counted over all documents. Where one occurs in
-two documents or more, its first occurrence (by doc_id, then place) stays and all others are removed, after their bytes
-have been compared.
+A run counts that holds ``MIN_WORDS`` words or more and is several lines or one of ``LONG_WORDS`` words. Of every line with
+words the shortest such run that starts with it, and the shortest that ends with it, are hashed and counted over all
+documents. Their borders depend on their own lines alone, so a passage gives the same runs wherever it stands, and those
+inside it cover all its lines with words: what counts and repeats is found whole, to its edges, however short its lines
+are. Where a run occurs in two documents or more, its first occurrence (by doc_id, then place) stays and all others are
+removed, after their bytes have been compared. An occurrence that overlaps the first loses what is behind the first.
 
 All is native. Hashes are counted as narrow rows. A bitmap of bounded size of the hashes that repeat lets the bytes of
-their chunks through, which are grouped by hash and bytes with a partial aggregate before the shuffle, so that a hot
+their runs through, which are grouped by hash and bytes with a partial aggregate before the shuffle, so that a hot
 passage collapses; hashes that several texts share are told apart by the texts. A second bitmap lets the documents
-through that lose chunks: the texts of those alone are shuffled.
+through that lose lines: the texts of those alone are shuffled.
 
-Defined cases: null and empty texts have no chunks and stay as they are; null doc_ids come last; rows equal in doc_id and
-text count as one document and stay equal; a document of which nothing is left gets an empty text; other columns, whatever
+Defined cases: null and empty texts have no runs and stay as they are; lines without words between lost lines go
+with them, others stay; null doc_ids come last; rows equal in doc_id and
+text count as one document and stay equal; a document of which no word is left gets an empty text; other columns, whatever
 their names, stay in the struct ``d``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GAPS, bitmap, let, maybe, table, whole, written
+from .common import GAPS, WORD, bitmap, let, maybe, table, whole, written
 
 LONG_WORDS = 20
 MIN_WORDS = 15
-DIVISOR = 2
 _LAST = 2**63 - 1
 
 
@@ -34,35 +35,48 @@ def _words(line: Column) -> Column:
 
 
 def chunks(text: Column) -> Column:
-    """Array of chunks: lines (array), words, long."""
+    """Array of what runs are made of, the single lines: lines (array), words."""
+    return F.when(F.length(text) > 0, F.transform(F.split(text, "\n", -1), lambda x: F.struct(F.array(x).alias("lines"), _words(x).alias("words"))))
 
-    def cut(lines: Column) -> Column:
-        facts = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), _words(x).alias("n")))
-        return let(facts, lambda f: spans(lines, f))
 
-    def spans(lines: Column, f: Column) -> Column:
-        def ends(i: Column) -> Column:  # a chunk ends with line i
-            rolled = F.xxhash64(F.shiftleft(F.get(f, i - 1)["h"], 1).bitwiseXOR(F.get(f, i)["h"]))
-            by_hash = (i > 0) & (F.pmod(rolled, F.lit(DIVISOR)) == 0)
-            return by_hash | (F.get(f, i)["n"] >= LONG_WORDS) | (F.coalesce(F.get(f, i + 1)["n"], F.lit(0)) >= LONG_WORDS)
+def _reach(words: Column, worded: Column, first: Column) -> Column:
+    """The last line of the shortest run that counts from line ``first`` on, through the next lines with words."""
 
-        starts = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | F.coalesce(ends(i - 1), F.lit(False)))
+    def longer(run: Column, line: Column) -> Column:
+        enough = (run["n"] >= MIN_WORDS) & (run["at"] != first)
+        return F.when(enough, run).otherwise(F.struct((run["n"] + F.get(words, line)).alias("n"), line.alias("at")))
 
-        def built(s: Column) -> Column:
-            def one(at: Column, k: Column) -> Column:
-                n = F.coalesce(F.get(s, k + 1), F.size(lines)) - at
-                words = F.aggregate(F.slice(f, at + 1, n), F.lit(0), lambda a, x: a + x["n"])
-                return F.struct(F.slice(lines, at + 1, n).alias("lines"), words.alias("words"))
+    run = F.aggregate(worded, F.struct(F.lit(0).alias("n"), first.alias("at")), longer)
+    return let(run, lambda r: F.when((r["n"] >= MIN_WORDS) & (r["at"] != first), r["at"]))
 
-            return F.transform(s, one)
 
-        return let(starts, built)
+def runs(text: Column) -> Column:
+    """Array of the shortest runs that count: place, size, body."""
 
-    return F.when(F.length(text) > 0, let(F.split(text, "\n", -1), cut))
+    def spans(words: Column) -> Column:
+        return let(F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) > 0), lambda at: ends(words, at))
 
+    def ends(words: Column, at: Column) -> Column:
+        def found(line: Column, beside: Column, worded: Column) -> Column:
+            n = F.get(words, line)
+            alone = (n >= MIN_WORDS) & (F.get(words, beside) == 0)  # beside a line without words
+            return F.when(n >= LONG_WORDS, line).when(alone, beside).otherwise(_reach(words, worded, line))
 
-def _counts(c: Column) -> Column:
-    return (c["words"] >= MIN_WORDS) & ((F.size(c["lines"]) > 1) | (c["words"] >= LONG_WORDS))
+        def packed(first: Column, last: Column) -> Column:
+            return F.shiftleft(first.cast("long"), 32) + (last - first + 1)
+
+        # every line of these has a word, so MIN_WORDS of them are enough
+        down = F.transform(at, lambda x, i: packed(x, found(x, x + 1, F.slice(at, i + 1, MIN_WORDS))))
+        up = F.transform(at, lambda x, i: packed(found(x, x - 1, F.reverse(F.slice(at, F.greatest(i - (MIN_WORDS - 1), F.lit(0)) + 1, F.least(i + 1, F.lit(MIN_WORDS))))), x))
+        return F.filter(F.array_distinct(F.concat(down, up)), lambda x: x.isNotNull())
+
+    def bodies(cs: Column) -> Column:
+        return let(F.flatten(cs["lines"]), lambda lines: F.transform(spans(cs["words"]), lambda x: one(lines, F.shiftright(x, 32).cast("int"), x.bitwiseAND(F.lit(2**32 - 1)).cast("int"))))
+
+    def one(lines: Column, place: Column, size: Column) -> Column:
+        return F.struct(place.alias("place"), size.alias("size"), F.array_join(F.slice(lines, place + 1, size), "\n").alias("body"))
+
+    return let(chunks(text), bodies)
 
 
 def body_hash(body: Column) -> Column:
@@ -70,39 +84,48 @@ def body_hash(body: Column) -> Column:
 
 
 def deduped(docs: DataFrame) -> DataFrame:
-    """``docs`` in a struct ``d``, with the text that is left (``text``), ``n_chunks`` and ``n_removed``."""
+    """``docs`` in a struct ``d``, with the text that is left (``text``) and the number of lines that are gone (``n_removed``)."""
     rows = docs.select(whole(docs).alias("d"))
     rows = rows.withColumn("k", F.coalesce(F.col("d.doc_id").cast("long"), F.lit(_LAST))).withColumn("kt", F.xxhash64("d.text"))
-    cut = rows.select("k", "kt", F.posexplode(chunks(F.col("d.text"))).alias("place", "c")).where(_counts(F.col("c")))
-    body = F.array_join(F.col("c.lines"), "\n")
-    cut = cut.select("k", "kt", "place", body_hash(body).alias("h"), body.alias("body"))
-    seen = written(cut.select("k", "kt", "place", "h"))
+    cut = rows.where(F.length("d.text") > 0).select("k", "kt", F.inline(runs(F.col("d.text"))))
+    cut = cut.select("k", "kt", "place", "size", body_hash(F.col("body")).alias("h"), "body")
+    seen = written(cut.select("k", "kt", "place", "size", "h"))
     who = F.struct("k", "kt")
     often = seen.groupBy("h").agg(F.min(who).alias("a"), F.max(who).alias("b")).where("a != b").select("h")
 
-    # byte comparison: chunks whose hash repeats, grouped by their bytes
+    # byte comparison: runs whose hash repeats, grouped by their bytes
     alike = maybe(cut, "h", bitmap(written(often), "h")).where("maybe").groupBy("h", "body")
     alike = alike.agg(F.min(F.struct("k", "kt", "place")).alias("first"), F.max(who).alias("last"))
     alike = written(alike.select("h", F.md5("body").alias("bytes"), "first", (F.struct("first.k", "first.kt") != F.col("last")).alias("repeats")))
     texts = alike.groupBy("h").agg(F.count("*").alias("texts"), F.first("first").alias("first"), F.max("repeats").alias("repeats"))
     texts = written(texts.where("repeats"))
-    other = "(k != first.k OR kt != first.kt OR place != first.place)"
-    gone = seen.join(texts.where("texts = 1"), "h").where(other).select("k", "kt", "place")
+    behind = F.when((F.col("k") == F.col("first.k")) & (F.col("kt") == F.col("first.kt")), F.col("first.place") + F.col("size")).otherwise(0)
+    lost = ["k", "kt", F.greatest("place", behind).alias("at"), (F.col("place") + F.col("size")).alias("to")]
+    gone = seen.join(texts.where("texts = 1"), "h").select(*lost)
     mixed = texts.where("texts > 1")
     if not mixed.isEmpty():  # one hash, several texts
         apart = cut.join(mixed.select("h"), "h", "left_semi").withColumn("bytes", F.md5("body"))
-        gone = gone.unionByName(apart.join(alike.where("repeats"), ["h", "bytes"]).where(other).select("k", "kt", "place"))
-    gone = written(gone.groupBy("k", "kt").agg(F.collect_set("place").alias("gone")))
+        gone = gone.unionByName(apart.join(alike.where("repeats"), ["h", "bytes"]).select(*lost))
+
+    # what is left of a document lies between the lost runs: before each one that starts behind all earlier ones, and at the end
+    earlier = Window.partitionBy("k", "kt").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    gone = gone.where("at < to").withColumn("free", F.coalesce(F.max("to").over(earlier), F.lit(0)))
+    between = F.when(F.col("at") > F.col("free"), F.struct("free", (F.col("at") - F.col("free")).alias("size")))
+    gone = written(gone.groupBy("k", "kt").agg(F.sort_array(F.collect_list(between)).alias("left"), F.max("to").alias("to")))
 
     touched = maybe(rows, "kt", bitmap(gone, "kt"))
     untouched = touched.where("NOT maybe").select("d", F.col("d.text").alias("text"), F.lit(0).cast("long").alias("n_removed"))
     out = touched.where("maybe").join(gone, ["k", "kt"], "left")
 
-    def rest(cs: Column) -> Column:
-        return F.array_join(F.flatten(F.filter(F.transform(cs, lambda c, i: F.struct(c["lines"].alias("lines"), i.alias("i"))), lambda x: ~F.array_contains("gone", x["i"]))["lines"]), "\n")
+    def rest(lines: Column) -> Column:
+        pieces = F.transform("left", lambda x: F.struct(x["free"].alias("free"), F.slice(lines, x["free"] + 1, x["size"]).alias("lines")))
+        inner = F.flatten(F.filter(pieces, lambda x: (x["free"] == 0) | F.array_join(x["lines"], "\n").rlike(WORD))["lines"])
+        kept = F.concat(inner, F.slice(lines, F.col("to") + 1, F.size(lines) - F.col("to")))
+        return let(kept, lambda x: let(F.array_join(x, "\n"), lambda t: F.when(t.rlike(WORD), F.struct(t.alias("text"), (F.size(lines) - F.size(x)).alias("n"))).otherwise(F.struct(F.lit("").alias("text"), F.size(lines).alias("n")))))
 
-    text = F.when(F.col("gone").isNull(), F.col("d.text")).otherwise(let(chunks(F.col("d.text")), rest))
-    return untouched.unionByName(out.select("d", text.alias("text"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")))
+    left = out.select("d", F.when(F.col("to").isNotNull(), let(F.split("d.text", "\n", -1), rest)).alias("rest"))
+    text = F.when(F.col("rest").isNull(), F.col("d.text")).otherwise(F.col("rest.text"))
+    return untouched.unionByName(left.select("d", text.alias("text"), F.coalesce("rest.n", F.lit(0)).cast("long").alias("n_removed")))
 
 
 def keep(docs: DataFrame) -> DataFrame:

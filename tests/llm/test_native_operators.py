@@ -1,4 +1,5 @@
 import collections
+import itertools
 import random
 import re
 
@@ -171,6 +172,55 @@ def test_chunks_cover_all_lines(spark):
     assert all(r.again == (r.text if r.text else None) for r in df.collect())
 
 
+def lines_left(rows):
+    """Brute force over all runs of lines that count and start and end with a word (or are one line with a gap)."""
+    words = lambda xs: sum(len(x.split()) for x in xs)
+    texts = [(i, t.split("\n")) for i, t in rows]
+    where = collections.defaultdict(list)
+    for i, ls in texts:
+        for a in range(len(ls)):
+            for b in range(a + 1, len(ls) + 1):
+                n, full = words(ls[a:b]), [x for x in ls[a:b] if x.split()]
+                edges = ls[a].split() and ls[b - 1].split() or b - a == 2 and full
+                if edges and n >= 15 and (b - a > 1 or n >= 20):
+                    where["\n".join(ls[a:b])].append((i, a, b))
+    gone = collections.defaultdict(set)
+    for found in where.values():
+        if len({i for i, _, _ in found}) > 1:
+            first = min(found)
+            for i, a, b in found:
+                gone[i].update(range(max(a, first[2]) if i == first[0] else a, b))
+    out = {}
+    for i, ls in texts:
+        lost = sorted(gone[i])
+        for a, b in itertools.pairwise(lost):  # lines without words between lost lines go with them
+            if not words(ls[a + 1 : b]):
+                gone[i].update(range(a, b))
+        left = "\n".join(x for k, x in enumerate(ls) if k not in gone[i])
+        out[i] = (left, len(gone[i])) if left.split() or not lost else ("", len(ls))
+    return out
+
+
+def test_passages_of_short_lines_go_whole(spark):
+    """Passages of 3- to 18-word lines, against brute force; lines of few letters repeat and overlap within a text too."""
+    rng = random.Random(12)
+    passages = [lines(900 + w, n, w) for w, n in ((3, 20), (5, 9), (6, 10), (9, 2), (12, 3), (16, 2), (18, 3), (4, 3))]
+    passages += [lines(950, 4, 3) + "\n\n" + lines(951, 5, 6), lines(952, 1, 16) + "\n", lines(953, 1, 16)]
+    rows = []
+    for i in range(60):
+        own = [lines(1000 + 10 * i + j, rng.randint(1, 3), rng.randint(1, 19)) for j in range(4)]
+        rows.append((i, "\n".join(x for j in range(4) for x in (own[j], rng.choice(passages)))))
+    for i in range(60, 90):
+        rows.append((i, "\n".join(rng.choice(["", "a " * 8, "b " * 5, "c " * 16, "d " * 21]) for _ in range(rng.randint(1, 14)))))
+    got = {r.doc_id: (r.text, r.n_removed) for r in linededup.deduped(docs_of(spark, [(i, t, "", "", 0) for i, t in rows])).select("d.doc_id", "text", "n_removed").collect()}
+    want = lines_left(rows)
+    assert {i: (got[i], want[i]) for i in range(60) if got[i] != want[i]} == {}
+    worded = lambda t: [x for x in t[0].split("\n") if x.split()]  # noqa: E731  # lines without words beside an overlap may stay or go
+    assert {i: (got[i], want[i]) for i in range(60, 90) if worded(got[i]) != worded(want[i])} == {}
+    for p in passages[:7]:
+        assert sum(t.count(p) for t, _ in got.values()) == 1
+
+
 def test_line_dedup_keeps_columns_and_equal_rows(spark):
     body = lines(9, 2, 40)
     docs = docs_of(spark, [(1, body, "", "", 0), (1, body, "", "", 0), (2, body, "", "", 0), (3, lines(8, 2, 30), "", "", 0)]).selectExpr(*CLASH)
