@@ -5,7 +5,8 @@
 2. Restoring: a word's characters open a lattice. Letters stand for themselves, look-alikes for letters, repeated letters
    for one or two, separators for nothing; runs of single characters are joined first. A Viterbi beam finds the cheapest
    paths under channel costs and the language model; among the best, known words of the training sample are preferred.
-   A plain word's lattice has one path, which is the word.
+   A word of single letters has a lattice of one path, which is the word. A run of single characters is cut into all
+   known words that it spells. No length ends the decoding.
 3. Scoring: a logistic model over the presence of words, fitted on at most ``TRAIN_ROWS`` labelled rows whose
    crc32(doc_id as text) mod 5 is not 0, in order of a seeded hash. Its features are the ``FEATURES`` words whose share
    among toxic rows differs most from that among others.
@@ -41,6 +42,8 @@ BEAM = 24
 BEST = 6
 KNOWN_BONUS = 6.0
 CACHE = 300_000
+#: Characters of a run of single ones that may spell one known word.
+PIECE = 40
 #: Gap, a-z, other letters.
 CLASSES = 28
 _CLASS = np.zeros(256, dtype=np.int32)
@@ -55,7 +58,8 @@ LOOKALIKES = {
 _EDGE = ".,;:?\"'()[]{}<>#%&|~^_-–—…«»!*=/\\`"
 _SEPARATORS = set(".,-_'~^:;/\\=`\"")
 _LIKE, _WILD, _SKIP, _ODD = 0.7, 1.6, 0.7, 3.0
-_RUN = re.compile(r"(.)\1\1")
+_RUN = re.compile(r"(.)\1")
+_LONG_RUN = re.compile(r"([^\W\d_])\1{3,}")
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -130,37 +134,62 @@ class Restorer:
 
     def decode(self, word: str) -> str:
         """The best path through the lattice of ``word``."""
-        beams: list[list[tuple[float, str]]] = [[] for _ in range(len(word) + 1)]
-        beams[0] = [(0.0, "")]
+        # a text is a node (text before, character, the last two classes), made once, so that long words take linear time
+        root = (None, "", 0, 0)
+        made: dict[tuple[int, str], tuple] = {}
+        beams: list[list[tuple[float, int, tuple]] | None] = [[] for _ in range(len(word) + 1)]
+        beams[0].append((0.0, 0, root))
+        count = 0
         for i in range(len(word)):
-            if not beams[i]:
+            arrived, beams[i] = beams[i], None
+            if not arrived:
                 continue
-            best: dict[str, float] = {}
-            for cost, text in beams[i]:
-                if cost < best.get(text, math.inf):
-                    best[text] = cost
-            ranked = sorted((c, t) for t, c in best.items())[:BEAM]
             arcs = self._arcs(word, i)
-            for cost, text in ranked:
-                a, b = (self._class(text[-2]) if len(text) > 1 else 0), (self._class(text[-1]) if text else 0)
+            for cost, _, node in self._ranked(arrived):
                 for j, put, own in arcs:
-                    x, y, total = a, b, cost + own
+                    total, to = cost + own, node
                     for c in put:
-                        z = self._class(c)
-                        total += self.costs[x][y][z]
-                        x, y = y, z
-                    beams[j].append((total, text + put))
+                        parent = to
+                        to = made.get((id(parent), c))
+                        if to is None or to[0] is not parent:
+                            to = made[id(parent), c] = (parent, c, parent[3], self._class(c))
+                        total += self.costs[parent[2]][parent[3]][to[3]]
+                    count += 1
+                    beams[j].append((total, count, to))
+            if len(made) > 1 << 16:  # equal texts are merged anew
+                made.clear()
         ends = {}
-        for cost, text in beams[-1]:
-            a, b = (self._class(text[-2]) if len(text) > 1 else 0), (self._class(text[-1]) if text else 0)
-            total = cost + self.costs[a][b][0]
-            if text and total < ends.get(text, math.inf):
-                ends[text] = total
-        ranked = sorted((c, t) for t, c in ends.items())[: BEAM]
+        for cost, _, node in beams[-1]:
+            total = cost + self.costs[node[2]][node[3]][0]
+            if node is not root and total < ends.get(id(node), (math.inf,))[0]:
+                ends[id(node)] = (total, node)
+        ranked = sorted((c, self._spelled(node)) for c, node in ends.values())[:BEAM]
         if not ranked:
             return word
         return min((c - KNOWN_BONUS * (t in self.known), t) for c, t in ranked)[1]
 
+    @staticmethod
+    def _ranked(arrived: list[tuple[float, int, tuple]]) -> list[tuple[float, int, tuple]]:
+        """The cheapest ``BEAM`` texts."""
+        if len(arrived) == 1:
+            return arrived
+        seen, out = set(), []
+        for entry in sorted(arrived):
+            if id(entry[2]) not in seen:
+                seen.add(id(entry[2]))
+                out.append(entry)
+                if len(out) == BEAM:
+                    break
+        return out
+
+    @staticmethod
+    def _spelled(node: tuple) -> str:
+        out = []
+        while node is not None:
+            out.append(node[1])
+            node = node[0]
+        return "".join(reversed(out))
+
     def word(self, token: str) -> str:
         """``token`` (lower-case) restored; the empty string if nothing of it is a word."""
         out = self.cache.get(token)
@@ -181,21 +210,33 @@ class Restorer:
             return ""
         if core.isalpha() and not _RUN.search(core):
             return core
-        if len(core) > 40 or not any(c.isalpha() for c in core):
-            return core
+        if not any(c.isalpha() for c in core):  # a number, unless it spells a known word
+            return found if self.known and (found := self.decode(core)) in self.known else core
         best = self.decode(core)
         for wider in {token.lstrip(_EDGE), token.rstrip(_EDGE)} - {core}:  # a look-alike at an edge
             if len(wider) == len(core) + 1 and (found := self.decode(wider)) in self.known and best not in self.known:
                 best = found
         return best
 
-    def _in_run(self, run: str) -> str:
-        """The longest known word that a run of single characters spells, else the run restored."""
-        for size in range(len(run), 2, -1):
-            for at in range(len(run) - size + 1):
-                if (found := self.word(run[at : at + size])) in self.known and len(found) > 2:
-                    return found
-        return self.word(run)
+    def _in_run(self, run: str) -> set[str]:
+        """All words of a run of single characters: the known words by the cheapest cut, and what stands between, restored."""
+        run = _LONG_RUN.sub(r"\1\1\1", run)  # longer repeats of a letter have the same arcs
+        best: list[tuple[int, int, str | None]] = [(0, 0, None)]  # cost, start and word of the last piece
+        for end in range(1, len(run) + 1):
+            choice = (best[-1][0] + 2, end - 1, None)
+            for at in range(max(0, end - PIECE), end - 2):
+                if best[at][0] + 1 < choice[0] and (found := self.word(run[at:end])) in self.known and len(found) > 2:
+                    choice = (best[at][0] + 1, at, found)
+            best.append(choice)
+        out, end = set(), len(run)
+        until = end
+        while end > 0:
+            _, at, found = best[end]
+            if found is not None:
+                out |= {found, self.word(run[end:until])}
+                until = at
+            end = at
+        return out | {self.word(run[:until])}
 
     def words(self, text: str | None) -> set[str]:
         """The distinct restored words of a whole text."""
@@ -208,8 +249,7 @@ class Restorer:
                 end = k
                 while end + 1 < len(single) and single[end + 1] == single[end] + 1:
                     end += 1
-                joined = "".join(tokens[i : single[end] + 1])
-                out.update(self._in_run(joined[at : at + 40]) for at in range(0, len(joined), 20))
+                out |= self._in_run("".join(tokens[i : single[end] + 1]))
         out.discard("")
         return out
 

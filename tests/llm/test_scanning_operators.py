@@ -41,6 +41,17 @@ def test_restoring():
     assert "moron" in r.words("you are a m o r o n ok") and r.words(None) == set() and r.words("a b") == {"a", "b"}
 
 
+def test_restoring_without_shortcuts():
+    """Doubled letters, long cores, digits alone and spaced runs of several words reach the lattice."""
+    r = toxicity.Restorer(np.full((28, 28, 28), 3.0), frozenset(["idiot", "stupid", "loser", "worthless", "stupidworthlessidiot", "ass", "letter"]))
+    for token, want in (("idiiot", "idiot"), ("stuupid", "stupid"), ("looser", "loser"), ("l" + "o" * 60 + "ser", "loser"), ("s.t.u.p.i.d.w.o.r.t.h.l.e.s.s.i.d.i.o.t.s"[:-2], "stupidworthlessidiot"), ("4$5", "ass"), ("2019", "2019"), ("letter", "letter")):
+        assert r.word(token) == want
+    r = toxicity.Restorer(np.array(r.costs), r.known - {"stupidworthlessidiot"})
+    assert r.words("s t u p i d w o r t h l e s s i d i o t") == {"stupid", "worthless", "idiot", *"stupidworthlessidiot"}
+    assert {"idiot", "loser"} <= r.words("x q " + "z y " * 60 + "i d 1 0 t " + "l " + "o " * 50 + "s e r")
+    assert len(r.word("ab1" * 20_000)) >= 40_000
+
+
 def test_viterbi_beam_finds_the_cheapest_path():
     """Against all paths of short lattices, with a beam as wide as the lattice."""
     rng = np.random.default_rng(4)
