@@ -28,8 +28,6 @@ from .common import small, table, written
 
 CALLS = "array<struct<id:string,name:string,arguments:variant>>"
 SCHEMAS = "tool string, field string, type string, required boolean"
-#: Deepest chain of references that is followed; deeper calls are reported as unordered.
-MAX_DEPTH = 64
 
 
 def schema_table(spark: SparkSession, rows=()) -> DataFrame:
@@ -115,13 +113,29 @@ def _depths(calls: DataFrame) -> DataFrame:
         return done
     edges = written(waiting.select("conv_id", "call_id", F.size("refs").alias("n"), F.explode("refs").alias("ref")))
     done = written(done)
-    for depth in range(1, MAX_DEPTH + 1):
-        ready = edges.join(done.select("conv_id", F.col("call_id").alias("ref")), ["conv_id", "ref"]).groupBy("conv_id", "call_id").agg(F.count("*").alias("have"), F.max("n").alias("n")).where("have = n")
-        new = written(ready.select("conv_id", "call_id", F.lit(depth).alias("depth")).join(done, ["conv_id", "call_id"], "left_anti"))
+
+    # chains of calls with one reference: each call's pointer doubles its way a round, up to what has none or several
+    jump = written(edges.where("n = 1").select("conv_id", "call_id", "ref", F.lit(1).cast("long").alias("way")))
+    longest = jump.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(longest.bit_length()):  # whoever still moves after that is in or behind a cycle
+        ahead = jump.select("conv_id", F.col("call_id").alias("ref"), F.col("ref").alias("next"), F.col("way").alias("more"))
+        jump = written(jump.join(ahead, ["conv_id", "ref"], "left").select("conv_id", "call_id", F.coalesce("next", "ref").alias("ref"), (F.col("way") + F.coalesce("more", F.lit(0))).alias("way"), F.col("next").isNotNull().alias("moved")))
+        if jump.where("moved").isEmpty():
+            break
+        jump = jump.drop("moved")
+
+    # calls with several references, level by level until none becomes ready
+    ends = jump.select("conv_id", F.col("call_id").alias("ref"), F.col("ref").alias("end"), "way")
+    several = written(edges.where("n > 1").join(ends, ["conv_id", "ref"], "left").select("conv_id", "call_id", "n", F.coalesce("end", "ref").alias("ref"), (F.coalesce("way", F.lit(0)) + 1).alias("way")))
+    while not several.isEmpty():
+        ready = several.join(done.select("conv_id", F.col("call_id").alias("ref"), "depth"), ["conv_id", "ref"]).groupBy("conv_id", "call_id")
+        ready = ready.agg(F.count("*").alias("have"), F.max("n").alias("n"), F.max(F.col("depth") + F.col("way")).cast("int").alias("depth")).where("have = n")
+        new = written(ready.select("conv_id", "call_id", "depth").join(done, ["conv_id", "call_id"], "left_anti"))
         if new.isEmpty():
             break
         done = written(done.unionByName(new))
-    return done
+    chained = jump.join(done.select("conv_id", F.col("call_id").alias("ref"), "depth"), ["conv_id", "ref"])
+    return written(done.unionByName(chained.select("conv_id", "call_id", (F.col("depth") + F.col("way")).cast("int").alias("depth"))))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

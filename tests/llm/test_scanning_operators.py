@@ -223,6 +223,17 @@ def test_tool_calls(spark):
     assert chat.formatted(messages.limit(0)).count() == 0
 
 
+def test_deep_chains_of_calls(spark):
+    """A chain of 300 calls, calls with several references to it and each other, and a cycle."""
+    call = lambda i, refs: '{"tool_calls": [{"id": "%s", "name": "f", "arguments": %s}]}' % (i, "{" + ", ".join(f'"{k}": {{"$ref": "{r}"}}' for k, r in enumerate(refs)) + "}")  # noqa: E731, UP031
+    refs = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(300)}
+    refs |= {"m": ["c299", "c7"], "n": ["m"], "o": ["n", "c3"], "p": ["q"], "q": ["p"], "r": ["q", "c1"], "s": ["none"], "t": ["q"]}
+    rows = [(1, k, "assistant", call(i, r)) for k, (i, r) in enumerate(refs.items())] + [(1, 900, "tool", '{"tool_call_id": "c299", "content": 1}')]
+    got = {r.call_id: (r.depth, r.status) for r in chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("role = 'assistant'").collect()}
+    assert all(got[f"c{i}"][0] == i for i in range(300)) and got["c299"] == (299, "linked")
+    assert [got[x][0] for x in "mno"] == [300, 301, 302] and {got[x] for x in "pqrst"} == {(-1, "unordered")}
+
+
 # WARC
 
 
