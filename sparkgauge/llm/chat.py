@@ -12,10 +12,12 @@ plain. An argument may refer to the result of another call of its conversation b
   sorted by (conv_id, order_turn, order_kind, turn, depth) are in topological order.
 * Validation: a table of schemas (tool, field, type, required) gives each tool's fields. ``errors`` lists what is missing,
   unknown or of another type; a tool without a schema has no errors but ``unknown tool``.
-* JSON: keys sorted by code point, no white space, nulls left out.
+* JSON: keys sorted by code point, no white space, nulls left out. Other fields of a call or result stay in its JSON. What a
+  message holds beside its calls, as ``content``, makes one more row, of status ``message``. Fields ``role`` and ``turn`` of
+  a text give way to the columns.
 
 All is native. Only messages that hold JSON are joined, so plain ones never shuffle, and no conversation is gathered: the
-result has a row per message or call, which any number of tasks can hold. Defined cases: null texts count as plain and
+result has a row per message, call or both, which any number of tasks can hold. Defined cases: null texts count as plain and
 leave ``content`` out; JSON that doesn't parse is plain text; null ids link with nothing; repeated rows stay repeated.
 """
 
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import small, table, written
 
+OBJECT = "map<string,variant>"
 CALLS = "array<struct<id:string,name:string,arguments:variant>>"
 SCHEMAS = "tool string, field string, type string, required boolean"
 
@@ -52,6 +55,18 @@ def _fits(found: Column, asked: Column) -> Column:
     return (found == asked) | ((asked == "number") & (found == "integer"))
 
 
+def _others(fields: Column, *known: str) -> Column:
+    """The sorted keys of an object that are none of ``known``; an empty array if it isn't one."""
+    return F.coalesce(F.array_sort(F.array_except(F.map_keys(fields), F.array(*map(F.lit, known)))), F.array().cast("array<string>"))
+
+
+def _whole_json(fields: Column, keys: Column) -> Column:
+    """Canonical JSON of the fields named ``keys`` with the columns role and turn."""
+    own = F.filter(F.array(F.when(F.col("role").isNotNull(), F.lit("role")), F.when(F.col("turn").isNotNull(), F.lit("turn"))), lambda k: k.isNotNull())
+    value = lambda k: F.when(k == "role", F.col("role").cast("variant")).when(k == "turn", F.col("turn").cast("variant")).otherwise(F.element_at(fields, k))
+    return F.to_json(F.map_from_entries(F.transform(F.array_sort(F.concat(keys, own)), lambda k: F.struct(k, value(k)))))
+
+
 def formatted(messages: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     """A row per plain message, call and result: conv_id, turn, role, call_id, status, depth, order_turn, order_kind, errors, json."""
     spark = messages.sparkSession
@@ -67,10 +82,17 @@ def formatted(messages: DataFrame, schemas: DataFrame | None = None) -> DataFram
     plain = m.where(~looks).unionByName(v.where(~(has_calls | is_answer)).select(*m.columns))
     plain = plain.select("conv_id", "turn", "role", *none, plain_json.alias("json"))
 
-    calls = v.where(has_calls).select("conv_id", "turn", "role", F.posexplode("calls").alias("n", "c"))
-    calls = calls.select("conv_id", "turn", "role", "n", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.to_json("c.arguments").alias("args"))
+    fields = F.try_variant_get("v", "$", OBJECT)
+    beside = _others(fields, "tool_calls", "role", "turn")
+    rest = v.where(has_calls & (F.size(beside) > 0)).select("conv_id", "turn", "role", *none, _whole_json(fields, beside).alias("json")).withColumn("status", F.lit("message"))
+
+    whole_calls = F.try_variant_get("v", "$.tool_calls", "array<variant>")
+    calls = v.where(has_calls).select("conv_id", "turn", "role", F.posexplode(F.arrays_zip("calls", whole_calls.alias("whole"))).alias("n", "c"))
+    calls = calls.select("conv_id", "turn", "role", "n", F.col("c.calls.id").alias("call_id"), F.col("c.calls.name").alias("name"), F.to_json("c.calls.arguments").alias("args"), F.col("c.whole").alias("whole"))
+    more = F.size(_others(F.try_variant_get("whole", "$", OBJECT), "id", "name", "arguments")) > 0
+    calls = calls.withColumn("whole", F.when(more, F.to_json("whole")))
     calls = written(calls)
-    answers = written(v.where(~has_calls & is_answer).select("conv_id", "turn", "role", F.col("answers").alias("call_id"), F.to_json(F.try_variant_get("v", "$.content", "variant")).alias("content")))
+    answers = written(v.where(~has_calls & is_answer).select("conv_id", "turn", "role", F.col("answers").alias("call_id"), F.to_json(F.try_variant_get("v", "$.content", "variant")).alias("content"), F.when(F.size(_others(fields, "content", "tool_call_id", "role", "turn")) > 0, _whole_json(fields, _others(fields, "role", "turn"))).alias("whole")))
 
     keys = ["conv_id", "call_id"]
     first_call = calls.groupBy(*keys).agg(F.min(F.struct("turn", "n")).alias("call_at"))
@@ -87,6 +109,7 @@ def formatted(messages: DataFrame, schemas: DataFrame | None = None) -> DataFram
     wrong = F.transform(F.filter(F.array_intersect(got, F.map_keys("types")), lambda x: ~_fits(_kind(F.element_at(arguments, x)), F.element_at("types", x))), lambda x: F.concat(F.lit("type "), x))
     errors = F.when(F.col("tool").isNull(), F.array(F.lit("unknown tool"))).otherwise(F.array_sort(F.concat(missing, unknown, wrong)))
     call_json = F.to_json(F.struct("role", F.array(F.struct(F.parse_json("args").alias("arguments"), F.col("call_id").alias("id"), "name")).alias("tool_calls"), "turn"))
+    call_json = F.when(F.col("whole").isNull(), call_json).otherwise(F.to_json(F.struct("role", F.array(F.parse_json("whole")).alias("tool_calls"), "turn")))
     call_rows = linked.select(
         "conv_id", "turn", "role", "call_id", F.when(F.col("depth").isNull() & (status != "duplicate"), "unordered").otherwise(status).alias("status"), F.coalesce("depth", F.lit(-1)).alias("depth"),
         F.col("turn").alias("order_turn"), F.lit(0).alias("order_kind"), errors.alias("errors"), call_json.alias("json"),
@@ -96,11 +119,12 @@ def formatted(messages: DataFrame, schemas: DataFrame | None = None) -> DataFram
         F.when(F.col("call_at").isNull(), "orphan").when(F.col("turn") != F.col("answer_at"), "duplicate").when(F.col("turn") < F.col("call_at.turn"), "early").otherwise("linked")
     )
     reply_json = F.to_json(F.struct(F.parse_json("content").alias("content"), "role", F.col("call_id").alias("tool_call_id"), "turn"))
+    reply_json = F.coalesce("whole", reply_json)
     reply_rows = replies.select(
         "conv_id", "turn", "role", "call_id", reply_status.alias("status"), F.coalesce("depth", F.lit(-1)).alias("depth"),
         F.coalesce("call_at.turn", "turn").alias("order_turn"), F.lit(1).alias("order_kind"), F.array().cast("array<string>").alias("errors"), reply_json.alias("json"),
     )
-    return plain.unionByName(call_rows).unionByName(reply_rows)
+    return plain.unionByName(rest).unionByName(call_rows).unionByName(reply_rows)
 
 
 def _depths(calls: DataFrame) -> DataFrame:

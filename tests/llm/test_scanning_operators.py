@@ -223,6 +223,20 @@ def test_tool_calls(spark):
     assert chat.formatted(messages.limit(0)).count() == 0
 
 
+def test_fields_beside_calls_stay(spark):
+    rows = [
+        (1, 0, "assistant", '{"tool_calls": [{"id": "a", "name": "f", "arguments": {}, "type": "function"}], "content": "Let me look", "b": {"z": 1, "a": null}, "role": "x"}'),
+        (1, 1, "tool", '{"tool_call_id": "a", "name": "f", "content": [1]}'), (1, 2, "assistant", '{"role": "assistant", "tool_calls": [{"id": "b", "name": "f", "arguments": {}}]}'),
+    ]
+    out = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r.turn, r.call_id or "", r.status, r.json) for r in out) == [
+        (0, "", "message", '{"b":{"a":null,"z":1},"content":"Let me look","role":"assistant","turn":0}'),
+        (0, "a", "linked", '{"role":"assistant","tool_calls":[{"arguments":{},"id":"a","name":"f","type":"function"}],"turn":0}'),
+        (1, "a", "linked", '{"content":[1],"name":"f","role":"tool","tool_call_id":"a","turn":1}'),
+        (2, "b", "open", '{"role":"assistant","tool_calls":[{"arguments":{},"id":"b","name":"f"}],"turn":2}'),
+    ]
+
+
 def test_deep_chains_of_calls(spark):
     """A chain of 300 calls, calls with several references to it and each other, and a cycle."""
     call = lambda i, refs: '{"tool_calls": [{"id": "%s", "name": "f", "arguments": %s}]}' % (i, "{" + ", ".join(f'"{k}": {{"$ref": "{r}"}}' for k, r in enumerate(refs)) + "}")  # noqa: E731, UP031
