@@ -35,9 +35,9 @@ BLOCKS = frozenset(
     "tbody td tfoot th thead title tr ul video audio canvas iframe object button textarea label".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template svg math textarea title noscript iframe select".split())
+RAW = frozenset("script style template svg textarea title iframe select".split())
 #: What never is part of the text of a page.
-HIDDEN = frozenset("head script style template svg math title noscript iframe select textarea button object canvas audio video".split())
+HIDDEN = frozenset("head script style template svg title iframe select textarea button".split())
 #: Start tags that close an open element: tag -> elements.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"),
@@ -55,7 +55,8 @@ NAME_WEIGHTS = (
 )
 _ROLES = {"navigation": -6.0, "banner": -5.0, "contentinfo": -6.0, "complementary": -6.0, "search": -6.0, "form": -6.0, "dialog": -6.0, "alert": -4.0, "main": 2.5, "article": 3.0}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: A name and, after an equals sign, its value, as browsers part them.
+_ATTRIBUTE = re.compile(r"""([^\s/=>][^\s/=>]*)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>]+))?""")
 _SPACES = re.compile(r"\s+")
 
 
@@ -73,8 +74,12 @@ def _own_weight(tag: str, attributes: str) -> float:
     weight = TAG_WEIGHTS.get(tag, 0.0)
     if attributes:
         names = []
+        seen = set()
         for name, value in _ATTRIBUTE.findall(attributes):
             value, name = value.strip("\"'").lower(), name.lower()
+            if name in seen:  # the first counts
+                continue
+            seen.add(name)
             if name == "role":
                 weight += _ROLES.get(value, 0.0)
             elif name == "hidden" or name == "aria-hidden" and value == "true":

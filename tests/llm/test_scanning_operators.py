@@ -123,6 +123,23 @@ def test_extract(page, text):
     assert extraction.extract(page) == text
 
 
+@pytest.mark.parametrize("attributes", ['style="overflow:hidden"', 'title="the hidden gem"', 'data-hidden="false"', 'aria-hidden="false"', "class='x' data-a='aria-hidden=true'", 'title="a > hidden"'])
+def test_only_a_hidden_attribute_hides(attributes):
+    page = f"<div {attributes}><article><p>The text of the page is here.</p></article></div>"
+    assert extraction.extract(page) == "The text of the page is here."
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "HIDDEN=''", "class=a hidden=until-found", "aria-hidden='true'", "aria-hidden = true", "id=x/ hidden"])
+def test_hidden_attributes_hide(attributes):
+    assert extraction.extract(f"<article><p>The text is here.</p><p {attributes}>This one is not shown.</p></article>") == "The text is here."
+
+
+@pytest.mark.parametrize("tag", ["object", "noscript", "canvas", "audio", "video"])
+def test_fallback_text_is_left_to_the_cut(tag):
+    page = f"<article><p>The text of the page is here.</p><{tag}><p>And this is what it shows instead.</p></{tag}><p>Where <math><mi>x</mi></math> is small.</p></article>"
+    assert extraction.extract(page) == "The text of the page is here. And this is what it shows instead. Where x is small."
+
+
 def test_minimum_cut_against_all_labellings():
     rng = random.Random(7)
     for _ in range(150):
