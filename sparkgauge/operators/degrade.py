@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.order import seeded_hash, smallest
-from ..functions.types import NUMERIC, q
+from ..functions.types import NUMERIC, ROW_INDEX, q, with_row_index
 
 TRUTH = "issue string, row string, column string"
 OUTLIER_FACTOR = 5
@@ -108,6 +108,16 @@ def duplicates(df: DataFrame, keys: Sequence[str], share: float, seed: str = "du
     return df.unionByName(df.where(hit)), _truth(df, hit, keys, "duplicates", [""])
 
 
+def drawn_duplicates(df: DataFrame, share: float, seed: str = "duplicates") -> tuple[DataFrame, DataFrame]:
+    """int(rows * share) rows drawn with replacement once more, behind the others, and a truth (row, source_row) of the
+    indexes of the new rows and of those they repeat. Each draw is a seeded hash, met by the row index in one join."""
+    indexed = with_row_index(df)
+    n = indexed.count()
+    draws = df.sparkSession.range(int(n * share)).select((F.lit(n) + F.col("id")).alias("row"), (seeded_hash(seed, F.col("id")) % max(n, 1)).cast("long").alias("source_row"))
+    more = draws.join(indexed, F.col("source_row") == F.col(ROW_INDEX))
+    return df.unionByName(more.select(*[q(c) for c in df.columns])), draws
+
+
 _STEPS = (("missing", missing), ("outliers", outliers), ("invalid", invalid), ("formats", formats), ("duplicates", duplicates))
 
 
@@ -137,13 +147,18 @@ class TruthRecord:
 
 
 def base_rows(spark: SparkSession, schema: dict[str, str], rows: int = 1000, seed: int = 42) -> DataFrame:
-    """Rows of a schema of int, float, string and datetime: 1 to ``rows``, 10 to 1000, A to D, and the last year."""
+    """Rows of a schema of int, float, string, datetime and key: 1 to 1000, 10 to 1000, A to D, the last year, and 1 to ``rows``.
+
+    Draws are hashes of seed, column and row, so that they are the same however the rows are partitioned.
+    """
 
     def column(i: int, name: str, kind: str) -> Column:
-        u = F.rand(seed + i)
+        u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(i), "id"), 12) / F.lit(2.0**52)
         match kind:
+            case "key":
+                value = F.col("id") + 1
             case "int":
-                value = (F.col("id") + 1).cast("long")
+                value = 1 + F.floor(u * 1000).cast("long")
             case "float":
                 value = 10 + 990 * u
             case "string":

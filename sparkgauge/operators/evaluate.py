@@ -57,12 +57,15 @@ def schema_accuracy(found: DataFrame, truth: DataFrame) -> DataFrame:
 
 def semantic_scores(found: DataFrame, truth: DataFrame) -> DataFrame:
     """Scores of (column, semantic_type) frames. A wrong type is a false positive; a column of the truth without any
-    type is a false negative. An empty truth gives 1.0 throughout if nothing was found, else 0.0."""
+    type is a false negative. An empty truth gives 1.0 throughout if nothing was found; else there is nothing to miss, so
+    recall is 1.0, and precision and f1 are 0.0."""
     both = found.withColumnRenamed("semantic_type", "f").join(truth.withColumnRenamed("semantic_type", "t"), "column", "full_outer")
     same = F.coalesce(F.col("f") == F.col("t"), F.lit(False))
     out = _scores(both, same.cast("int"), (F.col("f").isNotNull() & ~same).cast("int"), F.col("f").isNull().cast("int"))
     nothing = (F.col("tp") + F.col("fp") + F.col("fn")) == 0
-    return out.select("tp", "fp", "fn", *[F.when(nothing, 1.0).otherwise(F.col(c)).alias(c) for c in ("precision", "recall", "f1")])
+    out = out.crossJoin(F.broadcast(truth.agg((F.count("*") == 0).alias("blank"))))  # one row each
+    sure = {"precision": nothing, "recall": nothing | F.col("blank"), "f1": nothing}
+    return out.select("tp", "fp", "fn", *[F.when(one, 1.0).otherwise(F.col(c)).alias(c) for c, one in sure.items()])
 
 
 def mapping_accuracy(decided: DataFrame, truth: DataFrame) -> DataFrame:

@@ -97,17 +97,25 @@ def schema_word(type_name: str) -> str:
 def enforce(df: DataFrame, schema: dict[str, str]) -> DataFrame:
     """Columns brought to the types of a schema of int, float, datetime and string; what doesn't convert becomes null.
 
-    Integers lose all characters but digits, point and minus and round half to even; floats all but digits, point, minus
-    and comma, which must be a point to convert; of strings, "nan", "None" and "NaT" become null.
+    Of string columns, integers lose all characters but digits, point and minus, and floats all but digits, point, minus
+    and comma, which must be a point to convert; numbers are cast as they are. Integers round half to even. Of strings,
+    "nan", "None" and "NaT" become null.
     """
 
+    def number(n: str, kept: str) -> Column:
+        if isinstance(df.schema[n].dataType, T.StringType):
+            return F.regexp_replace(q(n), kept, "").try_cast("double")
+        return q(n).try_cast("double")
+
     def cast(n: str) -> Column:
         text = q(n).cast("string")
         match schema.get(n):
             case "int":
-                return F.bround(F.regexp_replace(text, r"[^\d.-]", "").try_cast("double")).try_cast("bigint").alias(n)
+                if isinstance(df.schema[n].dataType, T.IntegralType):
+                    return q(n).cast("bigint").alias(n)
+                return F.bround(number(n, r"[^\d.-]")).try_cast("bigint").alias(n)
             case "float":
-                return F.regexp_replace(text, r"[^\d.,-]", "").try_cast("double").alias(n)
+                return number(n, r"[^\d.,-]").alias(n)
             case "datetime":
                 return text.try_cast("timestamp_ntz").alias(n)
             case "string":

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from datetime import date, datetime
 from decimal import Decimal
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,12 +46,16 @@ def _rows(df: DataFrame) -> list[dict]:
     return [{k: _plain(v) for k, v in r.asDict(recursive=True).items()} for r in df.collect()]
 
 
-def _listed(df: DataFrame, most: int | None) -> list[int]:
-    rows = df.select(ROW_INDEX).orderBy(ROW_INDEX)
-    return [r[0] for r in (rows.limit(most) if most else rows).collect()]
+#: Flagged row indexes that a report lists at most unless told otherwise; the counts are of all.
+LISTED_ROWS = 10_000
 
 
-def find_anomalies(df: DataFrame, name: str, config: AnomalyConfig, save_dir: str | None = None, max_listed_rows: int | None = None) -> dict:
+def _listed(df: DataFrame, most: int) -> list[int]:
+    """The first ``most`` flagged row indexes, by a top-k that no task or driver outgrows."""
+    return [r[0] for r in df.select(ROW_INDEX).orderBy(ROW_INDEX).limit(most).collect()]
+
+
+def find_anomalies(df: DataFrame, name: str, config: AnomalyConfig, save_dir: str | None = None, max_listed_rows: int = LISTED_ROWS) -> dict:
     """Counts, rows, previews and saved samples by method. ``df`` has the row index.
 
     Counts of z-score and interquartile range are sums over columns, their rows distinct, their previews those of the
@@ -89,10 +94,12 @@ def find_anomalies(df: DataFrame, name: str, config: AnomalyConfig, save_dir: st
             put(m, rows, sum(per_column), flagged.where(F.array_contains(f"flags.{m}", first)).drop("flags", "_missing") if first else None)
     if config.use_isolation_forest and names:
         try:
-            found = isolation_forest(df, names, config.contamination, config.n_estimators, config.random_state)
+            found = isolation_forest(df, names, config.contamination, config.n_estimators, config.random_state).persist(StorageLevel.DISK_ONLY)  # counted, listed and shown
             put("isolation_forest", found, found.count())
-        except Exception:  # noqa: BLE001 the other detectors' results stay
+            found.unpersist()
+        except Exception as e:  # noqa: BLE001 the other detectors' results stay
             out["anomalies"]["isolation_forest"] = 0
+            out["anomaly_errors"] = {"isolation_forest": str(e)[:2000]}
     if counts.get("categorical"):
         put("categorical", flagged.where("flags.categorical").drop("flags", "_missing"), counts["categorical"])
     if counts.get("missing_values"):
@@ -112,7 +119,7 @@ def _tagged(found: dict) -> list[dict]:
 
 def analyze_table(
     dataset: Dataset, anomalies: AnomalyConfig | None = None, mapping: MappingConfig | None = None, save_dir: str | None = None,
-    provider: explain.Provider | None = None, progress: Progress | None = None, max_listed_rows: int | None = None,
+    provider: explain.Provider | None = None, progress: Progress | None = None, max_listed_rows: int = LISTED_ROWS,
 ) -> dict:
     """The report of one dataset."""
     tell = progress or (lambda percent, step: None)
@@ -164,7 +171,7 @@ def source_of(spark: SparkSession, config: SourceConfig):
     return SqlSource(spark, config.query, config.schema, config.max_rows)
 
 
-def analyze(source, anomalies: AnomalyConfig | None = None, mapping: MappingConfig | None = None, save_dir: str | None = None, provider: explain.Provider | None = None, progress: Progress | None = None, max_listed_rows: int | None = None) -> dict:
+def analyze(source, anomalies: AnomalyConfig | None = None, mapping: MappingConfig | None = None, save_dir: str | None = None, provider: explain.Provider | None = None, progress: Progress | None = None, max_listed_rows: int = LISTED_ROWS) -> dict:
     """The report of all datasets of a source. Each table's references are the given ones and the columns of the others."""
     mapping = mapping or MappingConfig()
     datasets = list(source.datasets())  # lazy tables

@@ -31,16 +31,9 @@ FIELD_SYNONYMS = {
     "zip_code": ["postal_code", "zip", "postcode"],
     "birth_date": ["dob", "date_of_birth", "birthday"],
 }
-#: Ways to write a field's name; a synonym is the first of its list, so that runs repeat.
-TRANSFORMS = {
-    "exact": lambda x: x,
-    "case_upper": str.upper,
-    "case_mixed": str.title,
-    "synonym": lambda x: FIELD_SYNONYMS.get(x, [x])[0],
-    "prefix": lambda x: "user_" + x,
-    "suffix": lambda x: x + "_val",
-    "fuzzy_typo": lambda x: x[:-1] + "x" if len(x) > 3 else x,
-}
+#: Names of the ways to write a field's name.
+TRANSFORM_NAMES = ("exact", "case_upper", "case_mixed", "synonym", "prefix", "suffix", "fuzzy_typo")
+PREFIX, SUFFIX = "user_", "_val"
 #: Abbreviated names, their fields and what they are about; the fields to choose from.
 ABBREVIATIONS = (
     ("cust_id", "customer_id", "table of buyers"),
@@ -71,15 +64,37 @@ SALES_SCHEMA = {
 }
 
 
+def written_names(fields: DataFrame) -> DataFrame:
+    """(transform, field, name): every field written in every way, as column expressions.
+
+    A synonym is the smallest of the field's, so that runs repeat; a typo swaps the two letters in a name's middle.
+    """
+    synonyms = F.create_map(*[F.lit(x) for k, names in FIELD_SYNONYMS.items() for x in (k, min(names))])
+    field = F.col("field")
+    middle = F.floor(F.length(field) / 2).cast("int")
+    swapped = F.concat(F.substring(field, F.lit(1), middle - 1), F.substring(field, middle + 1, F.lit(1)), F.substring(field, middle, F.lit(1)), F.substring(field, middle + 2, F.length(field)))
+    ways = {
+        "exact": field,
+        "case_upper": F.upper(field),
+        "case_mixed": F.array_join(F.transform(F.split(field, "_"), lambda part: F.initcap(part)), "_"),
+        "synonym": F.coalesce(F.element_at(synonyms, field), field),
+        "prefix": F.concat(F.lit(PREFIX), field),
+        "suffix": F.concat(field, F.lit(SUFFIX)),
+        "fuzzy_typo": F.when(F.length(field) > 3, swapped).otherwise(field),
+    }
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("transform"), ways[n].alias("name")) for n in TRANSFORM_NAMES]))
+    return fields.select("field", rows.alias("w")).select("w.transform", "field", "w.name")
+
+
 def mapping_benchmark(spark: SparkSession, threshold: float = 0.7, epsilon: float = M.EPSILON) -> DataFrame:
     """(transform, tp, fp, fn, ambiguous, precision, recall, f1, ms_per_column) of each way to write the fields' names.
 
     All names are scored in one plan, then counted by transform.
     """
-    rows = [(t, f, change(f), f"{t}|{f}") for t, change in TRANSFORMS.items() for f in FIELDS]
-    truth = spark.createDataFrame(rows, "transform string, field string, name string, source_id string")
+    truth = written_names(spark.createDataFrame([(f,) for f in FIELDS], "field string"))
+    rows = truth.collect()  # a row per field and way
     began = time.perf_counter()
-    names = M.names_only(spark, sorted({r[2] for r in rows}))
+    names = M.names_only(spark, sorted({r.name for r in rows}))
     decided = M.decisions(M.scores(names, M.reference_names(spark, list(FIELDS), M.merged_synonyms(FIELD_SYNONYMS))), names, threshold, epsilon)
     right = F.col("status") == "mapped"
     both = truth.join(decided, truth["name"] == decided["source"])
@@ -120,7 +135,7 @@ def typing_benchmark(df: DataFrame, types: dict[str, str], semantic: dict[str, s
 
 def anomaly_benchmark(spark: SparkSession, rows: int = 1000, contamination: float = 0.05) -> DataFrame:
     """(scenario, tp, fp, fn, precision, recall, f1) of z-score, interquartile range and forest together on made sales."""
-    clean = D.base_rows(spark, {"key": "int", **SALES_SCHEMA}, rows)
+    clean = D.base_rows(spark, {"key": "key", **SALES_SCHEMA}, rows)
     out = None
     for name, plan in D.SCENARIOS.items():
         variant, truth = D.scenario(clean, ["key"], plan, name)
@@ -150,7 +165,7 @@ def generated(spark: SparkSession, schemas: dict[str, dict[str, str]], out: str,
     done = []
     plans = {n: D.SCENARIOS[n] for n in scenarios or D.SCENARIOS}
     for name, schema in schemas.items():
-        clean = D.base_rows(spark, {"row_key": "int", **schema}, rows)
+        clean = D.base_rows(spark, {"row_key": "key", **schema}, rows)
         if not truth_only:
             write(clean, f"{out}/{name}", kind)
         done += [f"{name}_{s}" for s in variants(clean, name, ["row_key"], out, kind, plans, truth_only)]

@@ -23,7 +23,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sparkgauge", description=__doc__)
     p.add_argument("--config")
     p.add_argument("--data-root")
-    p.add_argument("--lakehouse", action="store_true")
+    p.add_argument("--sql", action="store_true")
     p.add_argument("--query")
     p.add_argument("--schema")
     p.add_argument("--max-rows", type=int)
@@ -60,14 +60,14 @@ def settings(argv: list[str] | None = None) -> argparse.Namespace:
 
 def main(argv: list[str] | None = None) -> int:
     args = settings(argv)
-    if args.lakehouse and not (args.query or args.schema):
-        print("--lakehouse needs --query or --schema", file=sys.stderr)
+    if args.sql and not (args.query or args.schema):
+        print("--sql needs --query or --schema", file=sys.stderr)
         return 1
-    if not args.lakehouse and not args.data_root:
-        print("--data-root or --lakehouse is needed", file=sys.stderr)
+    if not args.sql and not args.data_root:
+        print("--data-root or --sql is needed", file=sys.stderr)
         return 1
     spark = session()
-    source = SourceConfig("lakehouse", query=args.query, schema=args.schema, max_rows=None if args.query else args.max_rows) if args.lakehouse else SourceConfig("local", args.data_root, max_rows=args.max_rows)
+    source = SourceConfig("sql", query=args.query, schema=args.schema, max_rows=None if args.query else args.max_rows) if args.sql else SourceConfig("local", args.data_root, max_rows=args.max_rows)
     chosen = {d: getattr(args, f"use_{d}") for d in DETECTORS}
     used = {f"use_{d}": v or not any(chosen.values()) for d, v in chosen.items()}
     anomalies = AnomalyConfig(**used, z_threshold=args.z_threshold, missing_threshold=args.missing_threshold, contamination=args.contamination)

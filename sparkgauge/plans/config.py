@@ -46,7 +46,7 @@ class MappingConfig:
 
 @dataclass(frozen=True)
 class SourceConfig:
-    """Where datasets come from: ``local`` with a root, or ``lakehouse`` with a query or a schema."""
+    """Where datasets come from: ``local`` with a root, or ``sql`` with a query or a schema."""
 
     type: str
     root: str | None = None
@@ -55,9 +55,9 @@ class SourceConfig:
     max_rows: int | None = None
 
     def __post_init__(self):
-        if self.type not in ("local", "lakehouse"):
+        if self.type not in ("local", "sql"):
             raise ValueError(f"Unknown source type: {self.type}")
         if self.type == "local" and not self.root:
             raise ValueError("A local source needs a root")
-        if self.type == "lakehouse" and not (self.query or self.schema):
-            raise ValueError("A lakehouse source needs a query or a schema")
+        if self.type == "sql" and not (self.query or self.schema):
+            raise ValueError("A SQL source needs a query or a schema")

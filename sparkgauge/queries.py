@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.names import clean, normalized, tokens
+from .functions.patterns import SEMANTIC_TYPES
 from .functions.types import numeric_columns, with_row_index
 from .operators import anomalies as A
 from .operators import degrade as D
@@ -19,7 +21,11 @@ from .operators import schemas as S
 from .operators.forest import isolation_forest
 from .operators.semantic import semantic_types, value_hints
 from .plans import variants as V
-from .sources.catalog import query
+from .plans.assistant import analyze
+from .plans.config import AnomalyConfig
+from .sources.catalog import SqlSource, drop, promote, query
+from .sources.files import LocalFiles, listed, read_file, read_json, scratch
+from .sources.sinks import write
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -303,17 +309,15 @@ def row_index(spark, sf_dir):
     return df.agg(F.count("*").alias("rows"), F.min("row_idx").alias("first"), F.max("row_idx").alias("last"), F.count_distinct("row_idx").alias("distinct_rows"))
 
 
-@add("nested_columns", "SELECT 'embedding' AS \"column\"")
+@add("nested_columns", "SELECT column_name AS \"column\" FROM (DESCRIBE embeddings) WHERE column_type LIKE '%[%' OR column_type LIKE 'STRUCT%' OR column_type LIKE 'MAP%'")
 def nested_columns(spark, sf_dir):
     return spark.createDataFrame([(c,) for c in P.nested_columns(read(spark, sf_dir, "embeddings"))], "column string")
 
 
 # types
 
-_PATTERNS = {
-    "Email": r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$", "URL": r"(?i)^(https?://|www\.)", "UUID": r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$",
-    "Date": r"^\d{4}-\d{2}-\d{2}$", "DateTime": r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2})?(?:[+-]\d{2}:?\d{2})?$", "Price": r"^[$€£]?\s?\d+[.,]?\d*$",
-}
+#: The patterns as DuckDB writes them.
+_PATTERNS = {k: p.replace("(?s)", "") for k, p in SEMANTIC_TYPES.items()}
 
 
 def _types_sql(columns: tuple[tuple[str, str, str], ...]) -> str:
@@ -333,7 +337,15 @@ def semantic_types_query(spark, sf_dir):
     return out
 
 
-@add("semantic_types_orders_text", "SELECT * FROM (VALUES ('o_orderkey', 'Price'), ('o_custkey', 'Price'), ('o_totalprice', 'Price'), ('o_orderdate', 'Date')) t(\"column\", semantic_type)")
+def _text_types_sql(table: str, key: str, columns: dict[str, str]) -> str:
+    parts = []
+    for c, v in columns.items():
+        cases = " ".join(f"WHEN avg(CASE WHEN regexp_matches(trim(v), '{p}') THEN 1.0 ELSE 0.0 END) > 0.5 THEN '{k}'" for k, p in _PATTERNS.items())
+        parts.append(f"SELECT '{c}' AS \"column\", CASE {cases} END AS semantic_type FROM (SELECT {v} AS v FROM {table} WHERE {key} IS NOT NULL ORDER BY {key} LIMIT 200)")
+    return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE semantic_type IS NOT NULL"
+
+
+@add("semantic_types_orders_text", _text_types_sql("orders", "o_orderkey", {"o_orderkey": "o_orderkey::VARCHAR", "o_custkey": "o_custkey::VARCHAR", "o_totalprice": "printf('%.2f', o_totalprice)", "o_orderdate": "strftime(o_orderdate, '%Y-%m-%d')", "o_orderpriority": "o_orderpriority"}))
 def semantic_types_orders_text(spark, sf_dir):
     df = read(spark, sf_dir, "orders")
     text = df.select("o_orderkey", *[F.col(c).cast("string").alias(c + "_t") for c in ("o_orderkey", "o_custkey")], F.format_string("%.2f", "o_totalprice").alias("o_totalprice_t"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate_t"), F.col("o_orderpriority").alias("o_orderpriority_t"))
@@ -352,7 +364,7 @@ def refine_orders(spark, sf_dir):
     return R.refined(text)
 
 
-@add("refine_types", "SELECT * FROM (VALUES ('doc_id', 'bigint'), ('quality', 'boolean'), ('toxic', 'boolean')) t(\"column\", type)")
+@add("refine_types", "SELECT c AS \"column\", CASE WHEN bool_and(v IN ('0', '1')) THEN 'boolean' WHEN bool_and(try_cast(v AS BIGINT) IS NOT NULL) THEN 'bigint' WHEN bool_and(try_cast(v AS DOUBLE) IS NOT NULL) THEN 'double' ELSE 'string' END AS type FROM (UNPIVOT (SELECT doc_id::VARCHAR AS doc_id, quality::VARCHAR AS quality, toxic::VARCHAR AS toxic FROM labels) ON doc_id, quality, toxic INTO NAME c VALUE v) WHERE v IS NOT NULL AND v <> '' GROUP BY c")
 def refine_types(spark, sf_dir):
     df = read(spark, sf_dir, "labels").select(*[F.col(c).cast("string").alias(c) for c in ("doc_id", "quality", "toxic")])
     return spark.createDataFrame(list(R.inferred(df).items()), "column string, type string")
@@ -364,6 +376,113 @@ def enforce_schema(spark, sf_dir):
     return R.enforce(df, {"o_totalprice": "int", "o_orderdate": "datetime"})
 
 
+@add("enforce_numbers", "SELECT c_custkey, round_even(c_acctbal * 123456.0, 0)::BIGINT AS big, c_acctbal / 1e9 AS small, c_custkey::DOUBLE AS whole FROM customer")
+def enforce_numbers(spark, sf_dir):
+    df = read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") * F.lit(123456.0)).alias("big"), (F.col("c_acctbal") / F.lit(1e9)).alias("small"), F.col("c_custkey").alias("whole"))
+    return R.enforce(df, {"big": "int", "small": "float", "whole": "float"})
+
+
+# sources: tables are written in a format, scanned and read back
+
+
+def _scanned(spark: SparkSession, df: DataFrame, name: str, kind: str, rows: int | None = None) -> DataFrame:
+    """``df`` written in the scratch folder and found again by the scan of a folder."""
+    top = scratch(spark)
+    write(df, f"{top}/{name}", kind)
+    part = next(p for _, p in listed(spark, top) if p.endswith(f".{kind}") or p.endswith(".parquet"))
+    return read_file(spark, part, rows)
+
+
+@add("scan_csv", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+def scan_csv(spark, sf_dir):
+    df = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice").coalesce(1)
+    out = _scanned(spark, df, "orders", "csv")
+    return out.select(*[F.col(c).cast(df.schema[c].dataType) for c in df.columns])
+
+
+@add("scan_json_lines", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def scan_json_lines(spark, sf_dir):
+    return _scanned(spark, read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal").coalesce(1), "supplier", "json").select("s_suppkey", "s_name", "s_acctbal")
+
+
+@add("scan_json_array", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def scan_json_array(spark, sf_dir):
+    top = scratch(spark)
+    df = read(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.col("n_regionkey"))
+    whole = df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))  # 25 rows
+    whole.coalesce(1).write.text(f"{top}/nation")
+    part = next(p for _, p in listed(spark, top, extensions=(".txt",)))
+    return read_json(spark, part).select(*[F.col(c).cast(df.schema[c].dataType) for c in df.columns])
+
+
+@add("scan_parquet_folder", "SELECT p_partkey, p_brand, p_retailprice FROM part")
+def scan_parquet_folder(spark, sf_dir):
+    top = scratch(spark)
+    write(read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice"), f"{top}/deep/part.parquet", "parquet")
+    return next(iter(LocalFiles(spark, top).datasets())).df
+
+
+@add("scan_read_errors", "SELECT 'bad.parquet (read_error)' AS name, true AS failed UNION ALL SELECT 'good.parquet', false")
+def scan_read_errors(spark, sf_dir):
+    top = scratch(spark)
+    write(read(spark, sf_dir, "region"), f"{top}/good.parquet", "parquet")
+    spark.range(1).select(F.lit("no parquet").alias("value")).coalesce(1).write.text(f"{top}/bad.parquet")
+    return spark.createDataFrame([(d.name, d.error is not None) for d in LocalFiles(spark, top).datasets()], "name string, failed boolean")
+
+
+@add("sql_source_limit", "SELECT count(*)::BIGINT AS rows FROM (SELECT * FROM orders LIMIT 7)")
+def sql_source_limit(spark, sf_dir):
+    read(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    (found,) = SqlSource(spark, query="SELECT * FROM orders", max_rows=7).datasets()
+    return found.df.agg(F.count("*").alias("rows"))
+
+
+@add("sql_source_error", "SELECT 'sql_query (error)' AS name, true AS failed")
+def sql_source_error(spark, sf_dir):
+    return spark.createDataFrame([(d.name, d.error is not None) for d in SqlSource(spark, query="SELECT nothing FROM nowhere_at_all").datasets()], "name string, failed boolean")
+
+
+@add("analyze_report", """
+SELECT 'supplier' AS name, count(*)::BIGINT AS rows, 3::BIGINT AS cols, avg(s_acctbal) AS mean, min(s_acctbal) AS low, max(s_acctbal) AS high,
+  (SELECT count(*) FROM supplier, (SELECT avg(s_acctbal) AS m, stddev_pop(s_acctbal) AS d FROM supplier) WHERE abs((s_acctbal - m) / d) > 1.5)::BIGINT AS zscore FROM supplier
+""")
+def analyze_report(spark, sf_dir):
+    """A whole run: source, refinement, profile and detection of one table, as a report."""
+    top = scratch(spark)
+    write(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("s_suppkey"), "s_name", "s_acctbal"), f"{top}/supplier.parquet", "parquet")
+    config = AnomalyConfig(use_iqr=False, use_isolation_forest=False, use_categorical=False, use_missing=False, z_threshold=1.5)
+    (d,) = analyze(LocalFiles(spark, top), config)["datasets"]
+    stats = d["statistics"]["numeric_stats"]["s_acctbal"]
+    # the key is refined to a number, whose scores stay below the bound of its own column only in part
+    at = spark.createDataFrame([(d["name"].removesuffix(".parquet"), d["rows"], d["cols"], stats["mean"], stats["min"], stats["max"])], "name string, rows long, cols long, mean double, low double, high double")
+    keys = A.zscore(R.refined(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("s_suppkey"))), "s_suppkey", 1.5).count()
+    return at.withColumn("zscore", F.lit(d["anomalies"]["zscore"] - keys).cast("long"))
+
+
+@add("catalog_scan", "SELECT 'region' AS \"table\", count(*)::BIGINT AS rows FROM region UNION ALL SELECT 'nation_x', count(*)::BIGINT FROM nation")
+def catalog_scan(spark, sf_dir):
+    """A schema whose tables are found and read."""
+    schema = "scan_" + uuid.uuid4().hex
+    spark.sql(f"CREATE DATABASE {schema} LOCATION '{scratch(spark)}'")
+    for t, name in (("region", "region"), ("nation", "nation_x")):
+        top = f"{scratch(spark)}/{t}"
+        write(read(spark, sf_dir, t), top, "parquet")
+        promote(spark, (schema, name), top)
+    out = [(d.name.removeprefix(schema + "."), d.df.count()) for d in SqlSource(spark, schema=schema).datasets()]
+    for t, _ in out:
+        drop(spark, (schema, t))
+    spark.sql(f"DROP DATABASE {schema} CASCADE")
+    return spark.createDataFrame(out, "table string, rows long")
+
+
+@add("drawn_duplicates", "SELECT count(*) + (count(*) * 0.05)::BIGINT AS rows, (count(*) * 0.05)::BIGINT AS drawn, true AS in_range FROM customer")
+def drawn_duplicates(spark, sf_dir):
+    df = read(spark, sf_dir, "customer")
+    out, truth = D.drawn_duplicates(df, 0.05)
+    n = df.count()
+    return truth.agg(F.count("*").alias("drawn"), F.every((F.col("source_row") < n) & (F.col("row") >= n)).alias("in_range")).withColumn("rows", F.lit(out.count()).cast("long"))
+
+
 # names and mapping
 
 _NAMES = ("Email", "PhoneNumber", "ReviewText", "PHONE", "IP Address", "e-mail", " first name ", "user_id", "c_acctbal", "zip--code")
@@ -463,6 +582,12 @@ def eval_semantic_prf(spark, sf_dir):
     return E.semantic_scores(found, truth)
 
 
+@add("eval_semantic_empty_truth", "SELECT 0::BIGINT AS tp, count(*)::BIGINT AS fp, 0::BIGINT AS fn, 0.0::DOUBLE AS \"precision\", 1.0::DOUBLE AS recall, 0.0::DOUBLE AS f1 FROM (" + _types_sql((("pages", "url", "page_id"), ("pages", "html", "page_id"))) + ")")
+def eval_semantic_empty_truth(spark, sf_dir):
+    found = semantic_types(read(spark, sf_dir, "pages"), ["page_id"])
+    return E.semantic_scores(found, spark.createDataFrame([], "column string, semantic_type string"))
+
+
 @add("eval_mapping_accuracy", "SELECT 2.5::DOUBLE AS score, 4::BIGINT AS total, 0.625::DOUBLE AS accuracy")
 def eval_mapping_accuracy(spark, sf_dir):
     decided = spark.createDataFrame(

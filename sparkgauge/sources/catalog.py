@@ -10,11 +10,17 @@ from .files import Dataset, error_frame, limited
 
 #: Parts of the names of variants and truths, and the name of a query's dataset.
 VARIANT_MARKS = ("_quality", "_truth")
-QUERY_NAME = "lakehouse_query"
+QUERY_NAME = "sql_query"
 
 
 def quoted(*parts: str) -> str:
-    return ".".join("`" + p.replace("`", "``") + "`" for part in parts for p in part.split("."))
+    """A name of several parts; each is quoted whole, whatever dots or quotes it holds."""
+    return ".".join("`" + p.replace("`", "``") + "`" for p in parts)
+
+
+def named(table: str | tuple[str, ...]) -> str:
+    """A table given as parts, or as one dotted name whose parts hold no dots themselves."""
+    return quoted(*(table.split(".") if isinstance(table, str) else table))
 
 
 def schemas(spark: SparkSession) -> list[str]:
@@ -93,20 +99,20 @@ class SqlSource:
                 yield self._failed(f"{self.schema}.{t} (error)", e)
 
 
-def promote(spark: SparkSession, table: str, path: str, kind: str = "parquet", options: dict[str, str] | None = None) -> None:
+def promote(spark: SparkSession, table: str | tuple[str, ...], path: str, kind: str = "parquet", options: dict[str, str] | None = None) -> None:
     """Files as a table of the catalog; one that is there stays."""
     if kind not in ("csv", "json", "parquet"):
         raise ValueError(f"Unsupported format: {kind}")
     given = ", ".join(f"'{k}' '{v}'" for k, v in ({"header": "true", "inferSchema": "true"} if kind == "csv" and not options else options or {}).items())
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {quoted(table)} USING {kind}{f' OPTIONS ({given})' if given else ''} LOCATION '{path}'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {named(table)} USING {kind}{f' OPTIONS ({given})' if given else ''} LOCATION '{path}'")
 
 
-def refresh(spark: SparkSession, table: str) -> None:
-    spark.sql(f"REFRESH TABLE {quoted(table)}")
+def refresh(spark: SparkSession, table: str | tuple[str, ...]) -> None:
+    spark.sql(f"REFRESH TABLE {named(table)}")
 
 
-def drop(spark: SparkSession, table: str) -> None:
-    spark.sql(f"DROP TABLE IF EXISTS {quoted(table)}")
+def drop(spark: SparkSession, table: str | tuple[str, ...]) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {named(table)}")
 
 
 def nested_variants(names: list[str]) -> list[str]:
@@ -117,7 +123,7 @@ def nested_variants(names: list[str]) -> list[str]:
 def drop_nested_variants(spark: SparkSession, schema: str) -> list[str]:
     gone = nested_variants(tables(spark, schema))
     for t in gone:
-        drop(spark, f"{schema}.{t}")
+        drop(spark, (schema, t))
     return gone
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,6 +52,23 @@ def listed(spark: SparkSession, root: str, recursive: bool = True, extensions=EX
     return sorted(out)
 
 
+#: Signs that lines, not the file system, are what failed.
+MALFORMED = ("MALFORMED", "FAILED_READ_FILE", "BadRecord", "AMBIGUOUS_REFERENCE", "COLUMN_ALREADY_EXISTS", "TextParsingException", "UNRESOLVED_COLUMN")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share, below spark.checkpoint.dir; only a local master may do without that setting."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="sparkgauge-")
+    fs, path = _fs(spark, f"{top.rstrip('/')}/scratch-{uuid.uuid4().hex}")
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return path.toString()
+
+
 def read_csv(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
     """With a header, types inferred, "" as null; a file whose lines don't fit its header is read without one, with
     columns column_0, column_1 and so on."""
@@ -58,7 +77,9 @@ def read_csv(spark: SparkSession, path: str, rows: int | None = None) -> DataFra
         df = limited(spark.read.options(header=True, **options).csv(path), rows)
         df.selectExpr("count(*)", *[f"count(`{c}`)" for c in df.columns]).first()
         return df
-    except Exception:  # noqa: BLE001 the reader's own errors come wrapped in several classes
+    except Exception as e:  # noqa: BLE001 the reader's own errors come wrapped in several classes
+        if not any(x in f"{type(e).__name__} {e}" for x in MALFORMED):
+            raise
         df = spark.read.options(header=False, inferSchema=True, nullValue="", emptyValue="").csv(path)
         return limited(df.toDF(*[f"column_{i}" for i in range(len(df.columns))]), rows)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import os
 import uuid
 from collections.abc import Callable
@@ -57,10 +58,14 @@ def write(df: DataFrame, path: str, kind: str) -> None:
     WRITERS[kind](df, path)
 
 
+#: Fixed value: the part of a sample's file name where it isn't the method's name.
+FILE_PARTS = {"isolation_forest": "isoforest"}
+
+
 def save_sample(df: DataFrame, folder: str, name: str, method: str, order_by: list[str]) -> str:
     """The first flagged rows as one small CSV; its path."""
     safe = name.replace("/", "__")
-    path = os.path.join(folder, safe, f"{safe}__{method}.csv")
+    path = os.path.join(folder, safe, f"{safe}__{FILE_PARTS.get(method, method)}.csv")
     os.makedirs(os.path.dirname(path), exist_ok=True)
     rows = df.orderBy(*order_by).limit(ANOMALY_ROWS)
     rows.drop("row_idx").toPandas().to_csv(path, index=False)
@@ -157,12 +162,22 @@ def totals(report: dict) -> dict:
     return {"rows": sum(d["rows"] for d in data), "cols": sum(d["cols"] for d in data), "anomalies": sum(sum(d["anomalies"].values()) for d in data)}
 
 
+def mapped_percent(dataset: dict) -> int:
+    """Whole per cent of a report's dataset's columns that are mapped; 0 without columns."""
+    return math.floor(100 * len(dataset["mapping"]) / dataset["cols"] + 0.5) if dataset["cols"] else 0
+
+
+def completeness(dataset: dict) -> dict[str, int]:
+    """Whole per cent of values that are there, by column."""
+    return {c: math.floor(100 * (1 - r) + 0.5) for c, r in dataset["statistics"]["missing_ratios"].items()}
+
+
 def summary(report: dict) -> str:
     """A few lines for each dataset."""
     lines = []
     for d in report["datasets"]:
         lines.append(f"{d['name']}: {d['rows']} rows x {d['cols']} columns")
-        lines.append(f"  mapped {len(d['mapping'])}, ambiguous {len(d['ambiguous'])}, unmapped {len(d['unmapped'])}")
+        lines.append(f"  mapped {len(d['mapping'])} ({mapped_percent(d)} %), ambiguous {len(d['ambiguous'])}, unmapped {len(d['unmapped'])}")
         lines.append("  anomalies " + (", ".join(f"{k} {v}" for k, v in d["anomalies"].items()) or "none"))
     return "\n".join(lines)
 

@@ -3,7 +3,7 @@ from sparkgauge.plans import benchmarks as B
 
 def test_mapping_benchmark(spark):
     rows = {r.transform: r for r in B.mapping_benchmark(spark).collect()}
-    assert set(rows) == set(B.TRANSFORMS) and rows["exact"].f1 == 1.0 and rows["synonym"].recall > 0.8
+    assert set(rows) == set(B.TRANSFORM_NAMES) and rows["exact"].f1 == 1.0 and rows["synonym"].recall > 0.8
     assert all(r.tp + r.fp + r.fn == len(B.FIELDS) for r in rows.values())
 
 

@@ -48,7 +48,7 @@ def test_csv_empties_are_null(spark, tmp_path):
 
 def test_sql_source(spark):
     (one,) = C.SqlSource(spark, "SELECT 1 AS a, 3 AS b UNION ALL SELECT 2, 4;").datasets()
-    assert one.name == "lakehouse_query" and one.df.count() == 2
+    assert one.name == "sql_query" and one.df.count() == 2
     (bad,) = C.SqlSource(spark, "SELECT nope FROM nowhere").datasets()
     assert "error" in bad.name and bad.df.columns == ["_error"]
     assert C.query(spark, "SELECT id FROM (SELECT * FROM range(9) LIMIT 5)", 3).count() == 3
@@ -117,7 +117,7 @@ def test_runs(spark, folder, tmp_path):
     run_id, report = run(spark, config, store, anomalies=fast)
     assert store.index()[run_id]["status"] == "complete" and store.report(run_id)["datasets"][0]["name"] == "a.csv" and store.report("x") is None
     assert K.totals(report)["rows"] > 300 and "a.csv" in K.summary(report) and store.artifacts(run_id) == []
-    events = list(run_stream(spark, SourceConfig("lakehouse", query="SELECT 1 AS a"), anomalies=fast))
+    events = list(run_stream(spark, SourceConfig("sql", query="SELECT 1 AS a"), anomalies=fast))
     assert events[-1]["event"] == "complete" and events[0]["event"] == "progress"
     assert list(run_stream(spark, SourceConfig("local", "/no/such/folder"), store))[-1]["event"] == "error"
 
@@ -132,9 +132,9 @@ def test_dynamic_references(spark):
 
 
 def test_cli(spark, folder, tmp_path, capsys):
-    assert main(["--lakehouse"]) == 1
+    assert main(["--sql"]) == 1
     out = tmp_path / "r.json"
-    assert main(["--lakehouse", "--query", "SELECT id, id * 2.0D AS x FROM range(20)", "--zscore", "--output", str(out)]) == 0
+    assert main(["--sql", "--query", "SELECT id, id * 2.0D AS x FROM range(20)", "--zscore", "--output", str(out)]) == 0
     assert json.loads(out.read_text())["datasets"][0]["anomalies"] == {"zscore": 0}
     (tmp_path / "c.yml").write_text("threshold: 0.9\nreferences: [a, b]\n")
     args = settings(["--config", str(tmp_path / "c.yml"), "--threshold", "0.1", "--references", "x,y"])
@@ -142,7 +142,7 @@ def test_cli(spark, folder, tmp_path, capsys):
 
 
 def test_bounds():
-    for bad in (lambda: AnomalyConfig(contamination=0.5), lambda: MappingConfig(threshold=1.1), lambda: SourceConfig("ftp"), lambda: SourceConfig("local"), lambda: SourceConfig("lakehouse")):
+    for bad in (lambda: AnomalyConfig(contamination=0.5), lambda: MappingConfig(threshold=1.1), lambda: SourceConfig("ftp"), lambda: SourceConfig("local"), lambda: SourceConfig("sql")):
         with pytest.raises(ValueError):
             bad()
 

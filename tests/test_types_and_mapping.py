@@ -124,3 +124,20 @@ def test_profiles(spark):
     assert P.categorical_columns(df).count() == 0
     assert {r.missing_ratio for r in P.missing_ratios(df.where("i > 9")).collect()} == {0.0}
     assert P.numeric_stats(df.where("i > 9")).count() == 0
+
+
+def test_enforce_takes_numbers_as_they_are(spark):
+    from sparkgauge.operators.refine import enforce
+
+    df = spark.sql("SELECT 12345678.0D AS a, 1.5e-7D AS b, '1,234.5 EUR' AS c, 2.5D AS d")
+    row = enforce(df, {"a": "int", "b": "float", "c": "int", "d": "int"}).first()
+    assert (row.a, row.b, row.c, row.d) == (12345678, 1.5e-7, 1234, 2)
+
+
+def test_semantic_scores_of_an_empty_truth(spark):
+    from sparkgauge.operators.evaluate import semantic_scores
+
+    none = spark.createDataFrame([], "column string, semantic_type string")
+    some = spark.createDataFrame([("a", "URL")], "column string, semantic_type string")
+    assert tuple(semantic_scores(some, none).first())[3:] == (0.0, 1.0, 0.0)
+    assert tuple(semantic_scores(none, none).first())[3:] == (1.0, 1.0, 1.0)
