@@ -27,18 +27,24 @@ def whole(df: DataFrame) -> Column:
     return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
 
 
+def _fs(spark: SparkSession, out: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share; it goes when the application ends.
 
-    Only where that setting is unset, as in tests, a local folder is made and set.
+    Only with a local master may that setting be missing, as in tests: a local folder is made and set.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         top = tempfile.mkdtemp(prefix="sparkgauge-")
         spark.conf.set("spark.checkpoint.dir", top)
     out = f"{top.rstrip('/')}/llm-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, path = _fs(spark, out)
     fs.mkdirs(path)
     fs.deleteOnExit(path)
     return out
@@ -49,7 +55,16 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     out = f"{shared_dir(spark)}/t"
     df.write.parquet(out)
-    return spark.read.schema(df.schema).parquet(out)
+    table = spark.read.schema(df.schema).parquet(out)
+    table.written_to = out
+    return table
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        fs, path = _fs(t.sparkSession, t.written_to)
+        fs.delete(path, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -57,6 +72,28 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+#: Rows of one key that a task of ``spread`` joins at least.
+HOT_ROWS = 128
+
+
+def spread(left: DataFrame, right: DataFrame, key: str, by: Column, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """``left`` joined to ``right`` on ``key``, whose hot keys in ``left`` are dealt over several tasks by the hash ``by``.
+
+    ``right`` has few rows a key, which are repeated for each part. Keys are hot beyond ``HOT_ROWS`` rows, and beyond so
+    many that ``BROADCAST_ROWS`` keys of that many rows would make up all of ``left``: so what is broadcast is bounded.
+    ``counts`` (key, _rows) are the rows of each key where they are known.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("_rows")) if counts is None else counts
+    per = max(HOT_ROWS, left.count() // BROADCAST_ROWS + 1)
+    hot = written(counts.where(F.col("_rows") > per).select(F.col(key).alias("_key"), F.ceil(F.col("_rows") / per).cast("int").alias("_parts")))
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    hot = F.broadcast(hot)
+    dealt = left.join(hot, F.col(key) == F.col("_key"), "left").withColumn("_salt", F.coalesce(F.pmod(by, F.col("_parts")), F.lit(0)).cast("int")).drop("_key", "_parts")
+    repeated = right.join(hot, F.col(key) == F.col("_key"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_key", "_parts")
+    return dealt.join(repeated, [key, "_salt"], how).drop("_salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,7 +1,9 @@
-"""Connected components by alternating large-star and small-star steps.
+"""Connected components by contraction.
 
-Edges are pairs of ids that can be ordered. Every step is a grouped minimum and a join on the node, so no neighbourhood
-is gathered in one task; each step is a table in the shared folder. Edges end as (node, smallest node of its component).
+Edges are pairs of ids that can be ordered. In a round every node takes its smallest neighbour, if that is smaller, as its
+parent: a grouped minimum with a partial aggregate. The trees that result are flattened by doubling, edges between trees
+stay, and rounds go on until there are none; two rounds at least halve the nodes. No neighbourhood is gathered in one
+task, joins on a hub are dealt over tasks, and each step is a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -9,54 +11,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, spread, written
 
 MAX_ROUNDS = 60
 
 
-def _large(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    near = down.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return near.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-
-
-def _print(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _flat(parents: DataFrame) -> DataFrame:
+    """(node, root) of a forest (node, up)."""
+    for _ in range(MAX_ROUNDS):
+        above = parents.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        out = spread(parents, above, "up", F.xxhash64("node"), "left")
+        out = written(out.select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")))
+        released(parents)
+        if out.where("moved").isEmpty():
+            return out.select("node", F.col("up").alias("root"))
+        parents = written(out.drop("moved"))
+        released(out)
+    raise RuntimeError("trees didn't end")
 
 
-def _settled(now: DataFrame) -> DataFrame:
-    seen = _print(now)
-    for _ in range(MAX_ROUNDS):
-        now = written(_small(written(_large(now))))
-        new = _print(now)
-        if new == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = new
-    raise RuntimeError("components didn't settle")
+def _named(edges: DataFrame, roots: DataFrame, end: str, other: str) -> DataFrame:
+    out = spread(edges, roots.select(F.col("node").alias(end), "root"), end, F.xxhash64(other), "left")
+    return written(out.select(F.coalesce("root", end).alias(end), other))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node with an edge to another; the root itself is left out. ``edges`` has u and v.
-
-    First only each node's edge to its smallest neighbour counts, which leaves a forest; then all edges between different
-    trees, of which there are few, join the trees.
-    """
+    """(node, root) of every node with an edge to another; the root itself is left out. ``edges`` has u and v."""
     edges = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    trees = _settled(written(edges.groupBy("u").agg(F.min("v").alias("v"))))
-    a, b = trees.select(F.col("node").alias("a"), F.col("root").alias("ra")), trees.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    moved = edges.join(a, F.col("u") == F.col("a"), "left").join(b, F.col("v") == F.col("b"), "left")
-    moved = moved.select(F.coalesce("ra", "u").alias("x"), F.coalesce("rb", "v").alias("y")).where("x != y")
-    rest = written(moved.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
-    if rest.isEmpty():
-        return trees
-    joined = _settled(rest)
-    top = joined.select(F.col("node").alias("tree"), F.col("root").alias("top"))
-    out = trees.join(top, F.col("root") == F.col("tree"), "left").select("node", F.coalesce("top", "root").alias("root"))
-    return written(out.unionByName(joined))
+    found = None
+    for _ in range(MAX_ROUNDS):
+        roots = _flat(written(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("up"))))
+        if found is None:
+            found = roots
+        else:
+            top = roots.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            joined = spread(found, top, "root", F.xxhash64("node"), "left").select("node", F.coalesce("top", "root").alias("root"))
+            found = written(joined.unionByName(roots))
+        half = _named(edges, roots, "u", "v")
+        moved = _named(half, roots, "v", "u")
+        rest = written(moved.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        released(edges, half, moved)
+        if rest.isEmpty():
+            return found
+        edges = rest
+    raise RuntimeError("components didn't settle")
