@@ -83,8 +83,11 @@ def spread(left: DataFrame, right: DataFrame, key: str, by: Column, how: str = "
     many that ``BROADCAST_ROWS`` keys of that many rows would make up all of ``left``: so what is broadcast is bounded.
     ``counts`` (key, _rows) are the rows of each key where they are known.
     """
+    rows = left.count()
+    if rows <= 32 * HOT_ROWS:  # any one task can take them all
+        return left.join(right, key, how)
     counts = left.groupBy(key).agg(F.count("*").alias("_rows")) if counts is None else counts
-    per = max(HOT_ROWS, left.count() // BROADCAST_ROWS + 1)
+    per = max(HOT_ROWS, rows // BROADCAST_ROWS + 1)
     hot = written(counts.where(F.col("_rows") > per).select(F.col(key).alias("_key"), F.ceil(F.col("_rows") / per).cast("int").alias("_parts")))
     if hot.isEmpty():
         return left.join(right, key, how)

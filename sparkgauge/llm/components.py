@@ -17,16 +17,16 @@ MAX_ROUNDS = 60
 
 
 def _flat(parents: DataFrame) -> DataFrame:
-    """(node, root) of a forest (node, up)."""
+    """(node, root) of a written forest (node, up)."""
+    held = parents
     for _ in range(MAX_ROUNDS):
         above = parents.select(F.col("node").alias("up"), F.col("up").alias("top"))
         out = spread(parents, above, "up", F.xxhash64("node"), "left")
         out = written(out.select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")))
-        released(parents)
+        released(held)
         if out.where("moved").isEmpty():
             return out.select("node", F.col("up").alias("root"))
-        parents = written(out.drop("moved"))
-        released(out)
+        held, parents = out, out.drop("moved")
     raise RuntimeError("trees didn't end")
 
 
