@@ -1,25 +1,29 @@
 """HTML extraction by minimum cut.
 
 A page is split into blocks: runs of text between block-level tags, with the path of the elements around them. A linear
-classifier over an element's names, classes and ids, the density of links, and the length and punctuation of the text
-gives each block a cost of being called content and one of being called boilerplate; these are the capacities to the two
-terminals. Neighbours in page order, and successive blocks of the same parent element, are joined by smoothness edges.
-The minimum cut, found by maximum flow, is the labelling.
+classifier gives each block a cost of being called content or boilerplate, bounded by ``LIMIT``; these are the capacities to
+the two terminals. Its features are the elements of the path, names of classes and ids, the density of links, and the
+length and punctuation of the text. Neighbours in page order, and successive blocks of the same parent element, are joined
+by smoothness edges. The minimum cut, found by maximum flow, is the labelling: all edges of a block together outweigh a weak
+sign, as a short line or a doubtful name, and don't outweigh what an element or a plain name says.
 
-Scripts, styles and comments are no text. Character references are decoded, white space inside a block becomes one
-space, blocks that are content are joined in page order by one space.
+Names count whole: every part between hyphens must be a sign or neutral, so "article-comments" is a sign and
+"no-sidebar", "side-by-side" or "post-meta-content" are none. Scripts, styles and comments are no text. Character references
+are decoded, white space inside a block becomes one space, blocks that are content are joined in page order by one space.
 
 Pages stream through ``mapInArrow``; nothing is shuffled, and memory follows the longest page. Defined cases: null and
 empty html, and pages without content, give an empty text; tags that never close, or that the page's end cuts off, are
-taken as browsers do; null URLs and ids pass unchanged; other columns aren't read.
+taken as browsers do; null URLs and ids pass unchanged; repeated rows give repeated results; an empty table gives an empty
+table; pages of any length and depth are taken whole; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +31,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-NEAR, SAME_PARENT = 0.6, 0.9
+NEAR, SAME_PARENT = 0.35, 0.35
+#: Bound of the classifier's costs.
+LIMIT = 5.0
 #: Fixed list of HTML's block-level elements.
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
@@ -44,81 +50,109 @@ CLOSES = {
     "option": ("option",), "thead": ("tbody",), "tbody": ("thead", "tbody"), "tfoot": ("tbody",),
 }
 _CLOSE_P = BLOCKS - {"body", "html", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "option", "label", "button", "select", "li", "dd", "dt"} | {"ul", "li", "dd", "dt", "table"}
-#: Weights of the classifier: above 0 speaks for content.
-TAG_WEIGHTS = {
-    "article": 3.0, "main": 2.5, "nav": -6.0, "footer": -6.0, "header": -3.5, "aside": -6.0, "form": -6.0, "menu": -5.0, "dialog": -5.0,
-    "h1": 0.6, "h2": 0.5, "h3": 0.4, "p": 0.6, "blockquote": 0.5, "pre": 0.4, "figcaption": 0.2, "address": -2.0, "label": -2.0, "legend": -2.0,
-}
-NAME_WEIGHTS = (
-    (re.compile(r"\b(?:article|post|entry|story|content|main|text|prose|body)\b|article-?body|post-?body|entry-?content|main-?content"), 1.5),
-    (re.compile(r"\b(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|banner|sidebar|side-?bar|side|widget|related|recommend(?:ed|ations)?|share|sharing|social|nav|navbar|navigation|menu|breadcrumbs?|footer|foot|header|masthead|topbar|toolbar|pagination|pager|cookies?|consent|gdpr|notice|newsletter|subscribe|signup|login|popup|modal|overlay|comments?|replies|reply|respond|disqus|copyright|legal|disclaimer|tags?|meta|byline|skip|search|form)\b|comment-?(?:list|form|section)|cookie-?(?:bar|banner|notice)|ad-?(?:slot|box|banner|unit|container|wrapper)"), -6.0),
-)
-_ROLES = {"navigation": -6.0, "banner": -5.0, "contentinfo": -6.0, "complementary": -6.0, "search": -6.0, "form": -6.0, "dialog": -6.0, "alert": -4.0, "main": 2.5, "article": 3.0}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+#: Weights of the classifier: what an element around a block says, against content or for it.
+AGAINST = {"nav": -4.5, "footer": -4.5, "aside": -4.5, "form": -4.5, "menu": -4.5, "dialog": -4.5, "header": -3.5}
+FOR = {"article": 1.5, "main": 1.2}
+ROLES = {"navigation": "nav", "banner": "header", "contentinfo": "footer", "complementary": "aside", "search": "form", "form": "form", "dialog": "dialog", "alertdialog": "dialog", "main": "main", "article": "article"}
+#: A header inside an article or main element mostly holds its title.
+OWN_HEADER = -1.0
+#: What the block's own element says.
+TAG_WEIGHTS = {"h1": 0.6, "h2": 0.5, "h3": 0.4, "p": 0.6, "blockquote": 0.5, "pre": 0.4, "figcaption": 0.2, "address": -1.5, "label": -1.5, "legend": -1.5}
+#: Parts of names that are a sign against content; those that say nothing beside one; doubtful ones; those for content.
+SIGNS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion banner banners sidebar sidebars widget widgets "
+    "related recommended recommendations recommendation share sharing social nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead topbar toolbar pagination pager "
+    "cookie cookies consent gdpr newsletter subscribe subscription signup login popup popups modal overlay comment comments commentlist replies respond disqus copyright disclaimer "
+    "notice notices header".split()
+)
+NEUTRAL = frozenset(
+    "list lists form section sections bar bars box boxes slot unit container wrapper wrap inner outer item items link links button buttons block blocks body text title heading thread "
+    "user users reader readers site page main top bottom left right side global primary secondary post posts article articles area panel group row content icon icons policy media entry story author count".split()
+)
+DOUBTFUL = frozenset("meta tags tag legal byline search form side foot reply skip alert info".split())
+GOOD = frozenset("article post entry story content main text prose body article-body post-body entry-content main-content post-content article-content articlebody".split())
+SIGN, DOUBT, GOOD_NAME = -4.5, -1.5, 0.8
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]+|[^\s/>][^\s/>=]*(?:\s*=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>"'][^\s>]*)?)?)*+)(>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S
+)
 #: A name and, after an equals sign, its value, as browsers part them.
-_ATTRIBUTE = re.compile(r"""([^\s/=>][^\s/=>]*)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>]+))?""")
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>"'][^\s>]*)?)?""")
 _SPACES = re.compile(r"\s+")
 
 
 class Block:
-    __slots__ = ("linked", "parent", "text", "weight")
-
-    def __init__(self, text: str, weight: float, parent: int, linked: int):
-        self.text, self.weight, self.parent, self.linked = text, weight, parent, linked
-
-
-def _own_weight(tag: str, attributes: str) -> float:
-    """The classifier's weight for an element; -100 if it isn't shown."""
-    if tag in HIDDEN:
-        return -100.0
-    weight = TAG_WEIGHTS.get(tag, 0.0)
-    if attributes:
-        names = []
-        seen = set()
-        for name, value in _ATTRIBUTE.findall(attributes):
-            value, name = value.strip("\"'").lower(), name.lower()
-            if name in seen:  # the first counts
-                continue
-            seen.add(name)
-            if name == "role":
-                weight += _ROLES.get(value, 0.0)
-            elif name == "hidden" or name == "aria-hidden" and value == "true":
-                return -100.0
-            elif name in ("class", "id"):
-                names.append(value.replace("_", "-"))
-        if names and tag not in ("body", "html", "article", "main"):
-            joined = " ".join(names)
-            weight += min((w for rx, w in NAME_WEIGHTS if rx.search(joined)), default=0.0)
-    return weight
+    __slots__ = ("linked", "parent", "path", "tag", "text")
+
+    def __init__(self, text: str, tag: str, path: Path, parent: int, linked: int):
+        self.text, self.tag, self.path, self.parent, self.linked = text, tag, path, parent, linked
+
+
+class Path(NamedTuple):
+    """What the elements around a block say: against content, for it, and doubtful names."""
+
+    against: float = 0.0
+    good: float = 0.0
+    doubt: float = 0.0
+    hidden: bool = False
+
+
+def _name_weight(name: str) -> float:
+    parts = name.split("-")
+    if any(p in SIGNS for p in parts) and all(p in SIGNS or p in NEUTRAL for p in parts):
+        return SIGN
+    return DOUBT if name in DOUBTFUL else GOOD_NAME if name in GOOD else 0.0
+
+
+def _inside(path: Path, tag: str, attributes: str) -> Path:
+    """The path of what is in an element."""
+    if path.hidden or tag in HIDDEN:
+        return path._replace(hidden=True)
+    names: list[str] = []
+    seen = set()
+    role = tag
+    for name, value in _ATTRIBUTE.findall(attributes) if attributes else ():
+        value, name = value.strip("\"'").strip().lower(), name.lower()
+        if name in seen:  # the first counts
+            continue
+        seen.add(name)
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return path._replace(hidden=True)
+        if name == "role":
+            role = ROLES.get(value, role)
+        elif name in ("class", "id"):
+            names += value.replace("_", "-").split()
+    weights = [_name_weight(n) for n in names] if tag not in ("html", "body") else []
+    within = path.good >= 1.2  # an article or main element
+    against = OWN_HEADER if role == "header" and within else AGAINST.get(role, 0.0)
+    if (SIGN in weights and role not in FOR) and not (within and set(names) <= {"header", "article-header", "post-header", "entry-header"}):
+        against = min(against, SIGN)
+    good = max(path.good, FOR.get(role, 0.0), GOOD_NAME if GOOD_NAME in weights else 0.0)
+    return Path(min(path.against, against), good, min(path.doubt, DOUBT if DOUBT in weights else 0.0))
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in order."""
     out: list[Block] = []
-    stack: list[tuple[str, float, int]] = [("", 0.0, 0)]
+    stack: list[tuple[str, Path, int]] = [("", Path(), 0)]
+    opened: Counter[str] = Counter()
     text: list[str] = []
     linked = made = links = 0
 
     def flush() -> None:
         nonlocal linked
         joined = _SPACES.sub(" ", html.unescape("".join(text))).strip()
-        if joined:
-            _, weight, parent = stack[-1]
-            for tag, w, element in reversed(stack):
-                if tag in BLOCKS or not tag:
-                    weight, parent = w, element
-                    break
-            if weight > -50:
-                out.append(Block(joined, weight, stack_parent(), linked))
+        if joined and not stack[-1][1].hidden:
+            at = _innermost()
+            out.append(Block(joined, stack[at][0], stack[-1][1], stack[max(0, at - 1)][2], linked))
         text.clear()
         linked = 0
 
-    def stack_parent() -> int:
-        """The element around the innermost block-level one."""
+    def _innermost() -> int:
+        """The place of the innermost block-level element."""
         at = len(stack) - 1
         while at > 0 and stack[at][0] not in BLOCKS:
             at -= 1
-        return stack[max(0, at - 1)][2]
+        return at
 
     def put(part: str) -> None:
         nonlocal linked
@@ -130,6 +164,7 @@ def blocks(page: str) -> list[Block]:
     def pop(to: int) -> None:
         nonlocal links
         for tag, _, _ in stack[to:]:
+            opened[tag] -= 1
             if tag == "a":
                 links -= 1
         del stack[to:]
@@ -142,6 +177,8 @@ def blocks(page: str) -> list[Block]:
         if not tag:
             continue
         if m[1]:
+            if not opened[tag]:
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     if tag in BLOCKS or any(s[0] in BLOCKS for s in stack[k:]):
@@ -175,8 +212,8 @@ def blocks(page: str) -> list[Block]:
             at = end.end() if end else len(page)
             continue
         made += 1
-        own = _own_weight(tag, m[3])
-        stack.append((tag, stack[-1][1] + own, made))
+        stack.append((tag, _inside(stack[-1][1], tag, m[3]), made))
+        opened[tag] += 1
         links += tag == "a"
     put(page[at:] if m is None else "")
     flush()
@@ -187,7 +224,8 @@ def score(b: Block) -> float:
     """The classifier: above 0 for content."""
     n = len(b.text)
     ends = sum(b.text.count(c) for c in ".!?")
-    return b.weight - 4.0 * min(1.0, b.linked / n) + min(1.5, n / 120) + min(1.0, 0.5 * ends) - 0.8
+    path = b.path.against + (b.path.good if b.path.against > -2 else 0.0) + b.path.doubt + TAG_WEIGHTS.get(b.tag, 0.0)
+    return max(-LIMIT, min(LIMIT, path - 4.0 * min(1.0, b.linked / n) + min(1.5, n / 120) + min(1.0, 0.5 * ends) - 0.8))
 
 
 def labels(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -261,7 +299,8 @@ def _cut(nodes: list[int], cost: list[float], near: list[dict[int, float]]) -> s
                 path.pop()
 
 
-def extract(page: str | None) -> str:
+def labelled(page: str | None) -> tuple[list[Block], list[bool]]:
+    """The blocks of a page and, by the minimum cut, whether each is content."""
     found = blocks(page or "")
     edges: list[tuple[int, int, float]] = []
     last: dict[int, int] = {}
@@ -271,7 +310,11 @@ def extract(page: str | None) -> str:
         if b.parent in last:
             edges.append((last[b.parent], i, SAME_PARENT))
         last[b.parent] = i
-    keep = labels([score(b) for b in found], edges)
+    return found, labels([score(b) for b in found], edges)
+
+
+def extract(page: str | None) -> str:
+    found, keep = labelled(page)
     return " ".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
