@@ -68,9 +68,10 @@ def test_groups_against_all_pairs(spark, k, edits):
 
 
 def test_blocks_and_crowded_buckets_lose_no_link(spark, monkeypatch):
-    """With small blocks, and a family's bar near the link's, so that buckets hold much unlike their smallest class."""
+    """With small blocks, and with all buckets of three or more taken around their centres."""
     monkeypatch.setattr(neardup, "BLOCK_ITEMS", 300)
-    monkeypatch.setattr(neardup, "FAMILY", 0.75)
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    monkeypatch.setattr(neardup, "BLOCK_SETS", 16)
     rows = corpus(11, 0.12)
     want, _ = plain_groups(rows, 2)
     got = {r.k: r.root for r in neardup.grouped(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
@@ -146,3 +147,69 @@ def test_pipeline_of_odd_tables(spark):
         for _, stage in corpus_pipeline.STAGES:
             rows = written(stage(spark, rows, SF))
         assert rows.count() == 0
+
+
+def _plain_components(sets: list[set], percent: int) -> list[int]:
+    root = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a and 100 * both >= percent * (len(a) + len(sets[j]) - both):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("changes,base", [(9, True), (12, True), (7, False), (30, True)])
+def test_a_family_around_a_centre(spark, changes, base):
+    """Near copies that are mostly unlike each other, with their model and without, against all pairs."""
+    rng = random.Random(changes)
+    model = [f"w{rng.randrange(900)}" for _ in range(100)]
+    texts = [model] if base else []
+    while len(texts) < 400:
+        words = list(model)
+        for at in rng.sample(range(100), rng.randint(1, changes)):
+            words[at] = f"w{rng.randrange(900)}"
+        texts.append(words[: rng.choice((100, 100, 95, 80))])
+    want = _plain_components([set(zip(w, w[1:])) for w in texts], 80)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    got = {r.k: r.root for r in neardup.grouped(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_blocks_count_exactly():
+    """Links around a centre, whichever it is, against all pairs; every component is joined."""
+    rng = np.random.default_rng(5)
+    for trial in range(60):
+        percent = int(rng.choice([50, 70, 80, 90]))
+        centre = np.unique(rng.integers(0, 60, 40))
+        sets = list({tuple(np.unique(np.where(rng.random(40) < rng.choice([0.05, 0.15, 0.5]), rng.integers(0, 90, 40), rng.choice(centre, 40)))) for _ in range(40)} - {tuple(centre)})
+        block, members = neardup.Block(len(centre), percent), []
+        for i, s in enumerate(sets):
+            x = np.array(s)
+            lacks, more = np.setdiff1d(centre, x).size, np.setdiff1d(x, centre).size
+            member = (b"%d" % i, b"%d" % i, np.setxor1d(x, centre), 100 * lacks + percent * more)
+            members.append(member)
+            if member[3] > (100 - percent) * len(centre):
+                block.add(*member)
+        linked = lambda a, b: 100 * len(a & b) >= percent * len(a | b)
+        whole = [set(s) for s in sets]
+        found = [(int(u), int(v)) for m in members if block.ids for u, v in block.links(*m)]
+        assert all(linked(whole[u], whole[v]) for u, v in found)
+        near = [i for i, s in enumerate(whole) if linked(s, set(centre.tolist()))]
+        root = {i: i for i in range(len(sets))}
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for u, v in [*found, *zip(near, near[1:])]:
+            root[find(u)] = find(v)
+        assert all(find(i) == find(j) for i in range(len(sets)) for j in range(i) if linked(whole[i], whole[j])), trial
