@@ -1,12 +1,16 @@
 """Toxicity: a noisy channel restores obfuscated words, a linear model scores the restored text.
 
-1. A character language model: trigrams over ``a``-``z``, a gap and a class for other letters, counted over all texts
-   (each task sends its counts, which are summed).
+1. A character language model: trigrams over ``a``-``z``, a gap and a class for other letters, counted over all characters of
+   all texts (each task sends its counts, which are summed). A table of fixed size suffices, as a path through a lattice is
+   only held against other readings of the same few characters.
 2. Restoring: a word's characters open a lattice. Letters stand for themselves, look-alikes for letters, repeated letters
-   for one or two, separators for nothing; runs of single characters are joined first. A Viterbi beam finds the cheapest
-   paths under channel costs and the language model; among the best, known words of the training sample are preferred.
-   A word of single letters has a lattice of one path, which is the word. A run of single characters is cut into all
-   known words that it spells. No length ends the decoding.
+   for one or two, separators for nothing, other characters at an edge for punctuation; between two words of a text a gap
+   may stand for nothing as well. Costs of the channel and of the language model add up along a path. Two exact Viterbi
+   searches find the cheapest reading: one keeps the best path for every place and last two classes; the other, for words
+   that are known from the training sample, for every place and node of their trie. A known word wins within
+   ``KNOWN_BONUS``. Words of letters alone, none doubled, have a lattice of one path; a pair of letters is
+   read as one only towards a known word. Words that a text has split by gaps are sought for the model's features, over any
+   number of gaps; such a reading wins if it costs less than its pieces. No length ends the decoding.
 3. Scoring: a logistic model over the presence of words, fitted on at most ``TRAIN_ROWS`` labelled rows whose
    crc32(doc_id as text) mod 5 is not 0, in order of a seeded hash. Its features are the ``FEATURES`` words whose share
    among toxic rows differs most from that among others.
@@ -14,14 +18,17 @@
 Scoring streams through ``mapInArrow``; nothing but trigram counts and labelled words is shuffled. Model and language
 model have bounded size. Defined cases: null and empty texts get the score of a text without features; without labels of
 both kinds all scores are the share of toxic rows, or 0.5 without rows; a doc_id labelled twice counts as toxic if one
-label says so; null doc_ids are held out with no remainder, so as not held out; equal rows get equal scores.
+label says so; null doc_ids are held out with no remainder, so as not held out; equal rows get equal scores; an empty table
+gives an empty table; texts and words of any length are read whole, in memory that follows their length; other columns,
+whatever their names, aren't read.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -38,28 +45,25 @@ MIN_ROWS = 5
 LEAST_Z = 4.0
 PENALTY = 0.05
 KNOWN_WORDS = 20_000
-BEAM = 24
-BEST = 6
 KNOWN_BONUS = 6.0
 CACHE = 300_000
-#: Characters of a run of single ones that may spell one known word.
-PIECE = 40
 #: Gap, a-z, other letters.
 CLASSES = 28
-_CLASS = np.zeros(256, dtype=np.int32)
-_CLASS[97:123] = np.arange(1, 27)
-_CLASS[65:91] = np.arange(1, 27)
-_CLASS[128:] = 27
+#: Classes of the characters of the first plane; others are gaps.
+_CLASS = np.array([c - 96 if 97 <= c <= 122 else c - 64 if 65 <= c <= 90 else 27 if chr(c).isalpha() else 0 for c in range(1 << 16)], dtype=np.int32)
 #: Fixed table of look-alikes.
 LOOKALIKES = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
     "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "§": "s", "*": "aeiou", "#": "aeiou", "%": "aeiou",
 }
-_EDGE = ".,;:?\"'()[]{}<>#%&|~^_-–—…«»!*=/\\`"
+#: Punctuation around a word that looks like no letter.
+_AROUND = ".,;:?\"'“”„‘’»«…[]{}<>)&^~=_-–—/\\`"
 _SEPARATORS = set(".,-_'~^:;/\\=`\"")
-_LIKE, _WILD, _SKIP, _ODD = 0.7, 1.6, 0.7, 3.0
+_LIKE, _WILD, _SKIP, _ODD, _AT_EDGE, _GAP = 0.7, 1.6, 0.7, 3.0, 0.4, 0.8
+#: Characters that aren't letters or digits, at an edge.
+_MARKS = "".join(chr(c) for c in range(33, 0x2100) if not chr(c).isalnum())
 _RUN = re.compile(r"(.)\1")
-_LONG_RUN = re.compile(r"([^\W\d_])\1{3,}")
+_LONG_RUN = re.compile(r"(.)\1\1")
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -68,16 +72,17 @@ def counted(docs: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES**3, dtype=np.int64)
         for batch in batches:
-            held: list[bytes] = []
+            held: list[str] = []
             size = 0
             for i in range(batch.num_rows + 1):
                 if i < batch.num_rows:
-                    held.append((batch.column(0)[i].as_py() or "").encode("utf-8", "surrogatepass"))
+                    held.append(batch.column(0)[i].as_py() or "")
                     size += len(held[-1])
                 if size > 1 << 20 or i == batch.num_rows:
-                    data = b"  " + b"  ".join(held) + b"  "
+                    data = "  " + "  ".join(held) + "  "
                     for at in range(0, len(data), 1 << 20):
-                        c = _CLASS[np.frombuffer(data[at : at + (1 << 20) + 2], dtype=np.uint8)]
+                        code = np.frombuffer(data[at : at + (1 << 20) + 2].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+                        c = _CLASS[np.where(code < 1 << 16, code, 0)]
                         total += np.bincount((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:], minlength=len(total))
                     held, size = [], 0
         used = np.flatnonzero(total)
@@ -100,162 +105,241 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return -np.log(p3)
 
 
+def _class(c: str) -> int:
+    return int(_CLASS[ord(c)]) if ord(c) < 1 << 16 else 0
+
+
+def _arcs(word: str, i: int) -> list[tuple[int, str, float]]:
+    """Arcs of the lattice of a word from place ``i`` on: (next place, characters written, channel cost)."""
+    c, j = word[i], i + 1
+    while j < len(word) and word[j] == c:
+        j += 1
+    run = j - i
+    if c.isalpha():
+        if run == 1:
+            return [(j, c, 0.0)]
+        return [(j, c, 0.5 if run > 2 else 2.5), (j, c * 2, 0.7 if run > 2 else 0.0)]
+    out = []
+    like = LOOKALIKES.get(c, "")
+    for x in like:
+        cost = _WILD if len(like) > 2 else _LIKE
+        out.append((i + 1, x, cost))
+        if run > 1:
+            out.append((j, x, cost + 0.5))
+    at_edge = (i == 0 or j == len(word)) and not c.isdigit()
+    out.append((j, "", _AT_EDGE if at_edge else _SKIP if c in _SEPARATORS else _ODD))
+    return out
+
+
+class Trie:
+    """Words as a trie whose edges carry the language model's costs."""
+
+    def __init__(self, words: Iterable[str], costs: list):
+        self.edges: dict[tuple[int, str], tuple[int, float]] = {}
+        self.ends: dict[int, tuple[str, float]] = {}
+        made = 0
+        for w in sorted(words):
+            node, x, y = 0, 0, 0
+            for c in w:
+                k = _class(c)
+                if (node, c) not in self.edges:
+                    made += 1
+                    self.edges[node, c] = (made, costs[x][y][k])
+                node, x, y = self.edges[node, c][0], y, k
+            self.ends[node] = (w, costs[x][y][0])
+
+    def read(self, word: str, states: dict[int, float]) -> dict[int, float]:
+        """The cheapest cost of every node that the whole lattice of ``word`` leads to."""
+        at, n = {0: states}, len(word)
+        for i in range(n):
+            here = at.pop(i, None)
+            if not here:
+                if not at:
+                    break
+                continue
+            for j, put, own in _arcs(word, i):
+                there = at.setdefault(j, {})
+                for node, cost in here.items():
+                    cost += own
+                    for c in put:
+                        edge = self.edges.get((node, c))
+                        if edge is None:
+                            break
+                        node, more = edge
+                        cost += more
+                    else:
+                        if cost < there.get(node, math.inf):
+                            there[node] = cost
+        return at.get(n, {})
+
+    def ended(self, states: dict[int, float]) -> tuple[float, str] | None:
+        """(cost, word) of the cheapest state that is a whole word."""
+        found = [(cost + self.ends[node][1], self.ends[node][0]) for node, cost in states.items() if node in self.ends]
+        return min(found, default=None)
+
+
 class Restorer:
-    def __init__(self, costs: np.ndarray, known: frozenset[str] = frozenset()):
-        self.costs, self.known = costs.tolist(), known
-        self.cache: dict[str, str] = {}
+    def __init__(self, costs: np.ndarray, known: frozenset[str] = frozenset(), features: frozenset[str] = frozenset()):
+        self.costs, self.known, self.features = costs.tolist(), known, features
+        self.trie, self.split = Trie(known, self.costs), Trie(features, self.costs)
+        self.cache: dict[str, tuple[str, float | None]] = {}
+        self.starts: dict[str, dict[int, float]] = {}
 
     def __reduce__(self):
-        return Restorer, (np.array(self.costs), self.known)
-
-    @staticmethod
-    def _class(c: str) -> int:
-        return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
-
-    def _arcs(self, word: str, i: int) -> list[tuple[int, str, float]]:
-        """(next place, characters written, channel cost)."""
-        c, j = word[i], i + 1
-        while j < len(word) and word[j] == c:
-            j += 1
-        run = j - i
-        if c.isalpha():
-            if run == 1:
-                return [(j, c, 0.0)]
-            return [(j, c, 0.5 if run > 2 else 2.5), (j, c * 2, 0.7 if run > 2 else 0.0)]
-        out = []
-        like = LOOKALIKES.get(c, "")
-        for x in like:
-            cost = _WILD if len(like) > 2 else _LIKE
-            out.append((i + 1, x, cost))
-            if run > 1:
-                out.append((j, x, cost + 0.5))
-        out.append((j, "", _SKIP if c in _SEPARATORS else _ODD))
-        return out
-
-    def decode(self, word: str) -> str:
-        """The best path through the lattice of ``word``."""
-        # a text is a node (text before, character, the last two classes), made once, so that long words take linear time
-        root = (None, "", 0, 0)
-        made: dict[tuple[int, str], tuple] = {}
-        beams: list[list[tuple[float, int, tuple]] | None] = [[] for _ in range(len(word) + 1)]
-        beams[0].append((0.0, 0, root))
-        count = 0
+        return Restorer, (np.array(self.costs), self.known, self.features)
+
+    def spelled(self, text: str) -> float:
+        """The language model's cost of a word."""
+        x, y, total = 0, 0, 0.0
+        for c in text:
+            k = _class(c)
+            total += self.costs[x][y][k]
+            x, y = y, k
+        return total + self.costs[x][y][0]
+
+    def decode(self, word: str) -> tuple[float, str]:
+        """(cost, text) of the cheapest path through the lattice of ``word`` that writes anything; exact."""
+        # the best path to each state (last two classes) of a place; paths share their nodes, so dead ones are freed
+        best: dict[int, dict[tuple[int, int, bool], tuple[float, tuple | None]]] = {0: {(0, 0, False): (0.0, None)}}
+        costs = self.costs
         for i in range(len(word)):
-            arrived, beams[i] = beams[i], None
-            if not arrived:
+            here = best.pop(i, None)
+            if not here:
                 continue
-            arcs = self._arcs(word, i)
-            for cost, _, node in self._ranked(arrived):
-                for j, put, own in arcs:
-                    total, to = cost + own, node
+            for j, put, own in _arcs(word, i):
+                there = best.setdefault(j, {})
+                for (x, y, any_), (cost, path) in here.items():
+                    cost += own
                     for c in put:
-                        parent = to
-                        to = made.get((id(parent), c))
-                        if to is None or to[0] is not parent:
-                            to = made[id(parent), c] = (parent, c, parent[3], self._class(c))
-                        total += self.costs[parent[2]][parent[3]][to[3]]
-                    count += 1
-                    beams[j].append((total, count, to))
-            if len(made) > 1 << 16:  # equal texts are merged anew
-                made.clear()
-        ends = {}
-        for cost, _, node in beams[-1]:
-            total = cost + self.costs[node[2]][node[3]][0]
-            if node is not root and total < ends.get(id(node), (math.inf,))[0]:
-                ends[id(node)] = (total, node)
-        ranked = sorted((c, self._spelled(node)) for c, node in ends.values())[:BEAM]
-        if not ranked:
-            return word
-        return min((c - KNOWN_BONUS * (t in self.known), t) for c, t in ranked)[1]
-
-    @staticmethod
-    def _ranked(arrived: list[tuple[float, int, tuple]]) -> list[tuple[float, int, tuple]]:
-        """The cheapest ``BEAM`` texts."""
-        if len(arrived) == 1:
-            return arrived
-        seen, out = set(), []
-        for entry in sorted(arrived):
-            if id(entry[2]) not in seen:
-                seen.add(id(entry[2]))
-                out.append(entry)
-                if len(out) == BEAM:
-                    break
-        return out
-
-    @staticmethod
-    def _spelled(node: tuple) -> str:
+                        k = _class(c)
+                        cost += costs[x][y][k]
+                        x, y = y, k
+                    key = (x, y, any_ or bool(put))
+                    if key not in there or cost < there[key][0]:
+                        there[key] = (cost, (path, put) if put else path)
+        ends = [(cost + costs[x][y][0], n, path) for n, ((x, y, any_), (cost, path)) in enumerate(best.get(len(word), {}).items()) if any_]
+        if not ends:
+            return math.inf, word
+        cost, _, path = min(ends, key=lambda e: e[:2])
         out = []
-        while node is not None:
-            out.append(node[1])
-            node = node[0]
-        return "".join(reversed(out))
+        while path is not None:
+            path, put = path
+            out.append(put)
+        return cost, "".join(reversed(out))
 
-    def word(self, token: str) -> str:
-        """``token`` (lower-case) restored; the empty string if nothing of it is a word."""
+    def read(self, token: str) -> tuple[str, float]:
+        """(restored word, its cost) of a lower-case token; the empty string if nothing of it is a word."""
         out = self.cache.get(token)
         if out is None:
-            out = self._word(token)
+            out = self._read(token)
             if len(self.cache) >= CACHE:
                 self.cache.clear()
             self.cache[token] = out
-        return out
+        text, cost = out
+        if cost is None:  # of plain words only on demand
+            cost = self.spelled(text) - KNOWN_BONUS * (text in self.known)
+        return text, cost
+
+    def word(self, token: str) -> str:
+        found = self.cache.get(token)
+        return found[0] if found is not None else self.read(token)[0]
 
-    def _word(self, token: str) -> str:
-        if token.isalpha() and not _RUN.search(token):
-            return token
-        core = token.strip(_EDGE)
-        if core.endswith("$$"):
-            core = core.rstrip("$").strip(_EDGE)
+    def _read(self, token: str) -> tuple[str, float | None]:
+        core = token.strip(_AROUND)
         if not core:
-            return ""
+            return "", 0.0
         if core.isalpha() and not _RUN.search(core):
-            return core
-        if not any(c.isalpha() for c in core):  # a number, unless it spells a known word
-            return found if self.known and (found := self.decode(core)) in self.known else core
-        best = self.decode(core)
-        for wider in {token.lstrip(_EDGE), token.rstrip(_EDGE)} - {core}:  # a look-alike at an edge
-            if len(wider) == len(core) + 1 and (found := self.decode(wider)) in self.known and best not in self.known:
-                best = found
-        return best
-
-    def _in_run(self, run: str) -> set[str]:
-        """All words of a run of single characters: the known words by the cheapest cut, and what stands between, restored."""
-        run = _LONG_RUN.sub(r"\1\1\1", run)  # longer repeats of a letter have the same arcs
-        best: list[tuple[int, int, str | None]] = [(0, 0, None)]  # cost, start and word of the last piece
-        for end in range(1, len(run) + 1):
-            choice = (best[-1][0] + 2, end - 1, None)
-            for at in range(max(0, end - PIECE), end - 2):
-                if best[at][0] + 1 < choice[0] and (found := self.word(run[at:end])) in self.known and len(found) > 2:
-                    choice = (best[at][0] + 1, at, found)
-            best.append(choice)
-        out, end = set(), len(run)
-        until = end
-        while end > 0:
-            _, at, found = best[end]
-            if found is not None:
-                out |= {found, self.word(run[end:until])}
-                until = at
-            end = at
-        return out | {self.word(run[:until])}
+            return core, None
+        bare = core.strip(_MARKS)
+        if bare.isalpha() and not _LONG_RUN.search(bare):
+            text, cost = bare, None
+        elif any(c.isalpha() for c in core):
+            cost, text = self.decode(core)
+            cost -= KNOWN_BONUS * (text in self.known)
+        else:  # a number or signs
+            text, cost = bare, _ODD * len(core)
+        found = self.trie.ended(self.trie.read(core, {0: 0.0})) if self.known else None
+        if found is not None and found[1] != text:
+            if cost is None:
+                cost = self.spelled(text) + _AT_EDGE * (bare != core) - KNOWN_BONUS * (text in self.known)
+            if found[0] - KNOWN_BONUS < cost:
+                return found[1], found[0] - KNOWN_BONUS
+        return text, cost
+
+    def _start(self, token: str) -> dict[int, float]:
+        """Nodes of the features' trie that a token leads to from its root."""
+        out = self.starts.get(token)
+        if out is None:
+            core = token.strip(_AROUND)
+            out = self.split.read(core, {0: 0.0}) if core else {}
+            out.pop(0, None)
+            if len(self.starts) >= CACHE:
+                self.starts.clear()
+            self.starts[token] = out
+        return out
+
+    def joined(self, tokens: list[str]) -> list[tuple[int, int, str]]:
+        """(first, behind the last, word) of features that gaps split: those apart from each other that save most cost."""
+        found: list[tuple[int, int, str, float]] = []
+        for i, token in enumerate(tokens):
+            states = self._start(token)
+            if not states:
+                continue
+            pieces, j, before = self.read(token)[1], i + 1, token.strip(_AROUND)
+            while j < len(tokens):
+                core = tokens[j].strip(_AROUND)
+                if not core:
+                    break
+                gone = {n: c + _GAP for n, c in states.items()}
+                states = self.split.read(core, gone)
+                if core == before and len(core) == 1:  # a letter repeated over gaps
+                    states |= {n: c for n, c in gone.items() if c < states.get(n, math.inf)}
+                if not states:
+                    break
+                before = core
+                pieces += self.read(tokens[j])[1]
+                j += 1
+                end = self.split.ended(states)
+                if end is not None and end[0] - KNOWN_BONUS < pieces:
+                    found.append((i, j, end[1], pieces - end[0] + KNOWN_BONUS))
+        if len(found) < 2:
+            return [f[:3] for f in found]
+        found.sort(key=lambda f: (f[1], f[0]))
+        ends = [f[1] for f in found]
+        best: list[tuple[float, int]] = [(0.0, 0)]  # saved with the first k; how many of them stand before the last taken
+        for k, (i, _, _, saved) in enumerate(found):
+            before = bisect.bisect_right(ends, i, hi=k)
+            with_it = best[before][0] + saved
+            best.append((with_it, before) if with_it > best[k][0] else (best[k][0], -1))
+        out, k = [], len(found)
+        while k:
+            if best[k][1] < 0:
+                k -= 1
+            else:
+                out.append(found[k - 1][:3])
+                k = best[k][1]
+        return out[::-1]
 
     def words(self, text: str | None) -> set[str]:
         """The distinct restored words of a whole text."""
         tokens = (text or "").lower().split()
-        word = self.word
-        out = {word(t) for t in set(tokens)}
-        single = [i for i, t in enumerate(tokens) if len(t) == 1]
-        for k, i in enumerate(single):
-            if (k == 0 or single[k - 1] != i - 1) and k + 2 < len(single) and single[k + 2] == i + 2:
-                end = k
-                while end + 1 < len(single) and single[end + 1] == single[end] + 1:
-                    end += 1
-                out |= self._in_run("".join(tokens[i : single[end] + 1]))
+        joined = self.joined(tokens) if self.features else []
+        if joined:
+            gone = {k for i, j, _ in joined for k in range(i, j)}
+            out = {self.word(t) for k, t in enumerate(tokens) if k not in gone} | {w for _, _, w in joined}
+        else:
+            out = {self.word(t) for t in set(tokens)}
         out.discard("")
         return out
 
     def text(self, text: str | None) -> str:
         """A whole text with its words restored, joined by spaces."""
-        return " ".join(w for w in map(self.word, (text or "").lower().split()) if w)
+        tokens = (text or "").lower().split()
+        out, at = [], 0
+        for i, j, w in [*self.joined(tokens), (len(tokens), len(tokens), "")]:
+            out += [*map(self.word, tokens[at:i]), w]
+            at = j
+        return " ".join(w for w in out if w)
 
 
 def remainder(doc_id: Column) -> Column:
@@ -325,7 +409,7 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model
     wanted = F.array(*[F.lit(w) for w in words])
     data = [(r.toxic, r.at) for r in worded.select("toxic", F.transform(F.array_intersect("words", wanted), lambda w: F.element_at(place, w)).alias("at")).collect()]  # at most ``rows``
     w = _fitted(data, len(words))
-    return Model(dict(zip(words, w[:-1].tolist(), strict=True)), float(w[-1]), Restorer(costs, known | set(words)))
+    return Model(dict(zip(words, w[:-1].tolist(), strict=True)), float(w[-1]), Restorer(costs, known | set(words), frozenset(words)))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
