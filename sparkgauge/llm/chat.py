@@ -129,7 +129,9 @@ def formatted(messages: DataFrame, schemas: DataFrame | None = None) -> DataFram
 
 def _depths(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, depth) of all calls that can be ordered."""
-    refs = F.array_distinct(F.regexp_extract_all("args", F.lit(r'"\$ref":"((?:[^"\\]|\\.)*)"'), 1))
+    # ``args`` is JSON as Spark writes it, without white space: what stands behind a brace or comma is a key, as quotes in strings are escaped
+    raw = F.regexp_extract_all("args", F.lit(r'[{,]"\$ref":("(?:[^"\\]|\\.)*")'), 1)
+    refs = F.array_distinct(F.from_json(F.concat(F.lit("["), F.array_join(raw, ","), F.lit("]")), "array<string>"))
     nodes = written(calls.where("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min_by(F.coalesce(refs, F.array().cast("array<string>")), F.struct("turn", "n")).alias("refs")))
     done = nodes.where(F.size("refs") == 0).select("conv_id", "call_id", F.lit(0).alias("depth"))
     waiting = nodes.where(F.size("refs") > 0)
@@ -162,14 +164,77 @@ def _depths(calls: DataFrame) -> DataFrame:
     return written(done.unionByName(chained.select("conv_id", "call_id", (F.col("depth") + F.col("way")).cast("int").alias("depth"))))
 
 
+#: Schemas of the queries' tools: tool, field, type, required.
+TOOLS = (("find", "q", "integer", True), ("find", "limit", "integer", False), ("sum", "x", "object", True), ("sum", "note", "string", False))
+
+
 def op8(spark, sf_dir: str) -> DataFrame:
-    out = formatted(table(spark, sf_dir, "conversations"))
+    out = formatted(table(spark, sf_dir, "conversations"), schema_table(spark, TOOLS))
     return out.select("conv_id", "turn", "role", "call_id", "status", "depth", "order_turn", "order_kind", F.size("errors").cast("long").alias("n_errors"), "json")
 
 
-#: The table has plain messages alone; linking is tested on fixtures.
+#: The table has plain messages alone; ``chat_calls`` holds linking, order and validation against SQL.
 OP8_SQL = """
 SELECT conv_id, turn, role, NULL::VARCHAR AS call_id, 'plain' AS status, 0 AS depth, turn AS order_turn, 0 AS order_kind, 0::BIGINT AS n_errors,
   '{' || CASE WHEN text IS NULL THEN '' ELSE '"content":' || to_json(text)::VARCHAR || ',' END || CASE WHEN role IS NULL THEN '' ELSE '"role":' || to_json(role)::VARCHAR || ',' END || '"turn":' || turn || '}' AS json
 FROM conversations
 """
+
+
+#: Messages of every conversation of ``chat_calls``: turn, role, text.
+CALL_TEXTS = (
+    (0, "user", "hello"),
+    (1, "assistant", '{"content":"Let me look.","tool_calls":[{"id":"a","name":"find","arguments":{"q":7}},{"id":"b \\"1\\"","name":"sum","arguments":{"x":{"$ref":"a"}}}]}'),
+    (2, "tool", '{"tool_call_id":"a","content":[1,2]}'),
+    (3, "tool", '{"tool_call_id":"b \\"1\\"","content":"done"}'),
+    (4, "tool", '{"tool_call_id":"z","content":0}'),
+    (5, "tool", '{"tool_call_id":"a","content":1}'),
+    (6, "assistant", '{"tool_calls":[{"id":"p","name":"sum","arguments":{"x":{"$ref":"q"},"y":1}},{"id":"q","name":"sum","arguments":{"x":{"$ref":"p"}}}]}'),
+    (7, "assistant", '{"tool_calls":[{"id":"d","name":"sum","arguments":{"x":{"$ref":"b \\"1\\""}}},{"id":"e","name":"find","arguments":{"q":"seven"}},{"id":"f","name":"gone","arguments":{}}]}'),
+    (8, "tool", '{"tool_call_id":"e","content":null}'),
+)
+#: Calls of the chain in the first conversation, each of which refers to the one before.
+CHAIN = 200
+
+
+def call_messages(conversations: DataFrame) -> DataFrame:
+    """Conversations with tool calls, one for each of ``conversations``."""
+    spark = conversations.sparkSession
+    ids = conversations.select("conv_id").distinct()
+    texts = F.array(*[F.struct(F.lit(t).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(x).alias("text")) for t, r, x in CALL_TEXTS])
+    first = ids.agg(F.min("conv_id").alias("conv_id")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(CHAIN - 1))))
+    argument = F.when(F.col("i") == 0, F.lit('{"q":0}')).otherwise(F.format_string('{"x":{"$ref":"c%d"}}', F.col("i") - 1))
+    name = F.when(F.col("i") == 0, "find").otherwise("sum")
+    chain = first.select("conv_id", (F.col("i") + 100).cast("long").alias("turn"), F.lit("assistant").alias("role"), F.format_string('{"tool_calls":[{"id":"c%d","name":"%s","arguments":%s}]}', "i", name, argument).alias("text"))
+    return ids.select("conv_id", F.inline(texts)).unionByName(chain)
+
+
+def chat_calls(spark, sf_dir: str) -> DataFrame:
+    out = formatted(written(call_messages(table(spark, sf_dir, "conversations"))), schema_table(spark, TOOLS))
+    return out.select("conv_id", "turn", "role", "call_id", "status", "depth", F.size("errors").cast("long").alias("n_errors"))
+
+
+CHAT_CALLS_SQL = (
+    "WITH RECURSIVE texts(turn, role, text) AS (VALUES " + ", ".join(f"({t}, '{r}', '{x}')" for t, r, x in CALL_TEXTS) + "),"
+    + f"""
+m AS (
+  SELECT conv_id, turn, role, text FROM (SELECT DISTINCT conv_id FROM conversations), texts
+  UNION ALL SELECT (SELECT min(conv_id) FROM conversations), 100 + i, 'assistant', '{{"tool_calls":[{{"id":"c' || i || '","name":"' || CASE WHEN i = 0 THEN 'find","arguments":{{"q":0}}' ELSE 'sum","arguments":{{"x":{{"$ref":"c' || (i - 1) || '"}}}}' END || '}}]}}' FROM range({CHAIN}) r(i)),
+j AS (SELECT *, CASE WHEN starts_with(text, '{{') THEN text::JSON END AS o FROM m),
+c AS (
+  SELECT conv_id, turn, role, x->>'id' AS call_id, x->>'name' AS name, x->'arguments' AS args, x->'arguments'->'x'->>'$."$ref"' AS ref
+  FROM (SELECT *, unnest(CAST(o->'tool_calls' AS JSON[])) AS x FROM j WHERE (o->'tool_calls') IS NOT NULL)),
+r AS (SELECT conv_id, turn, role, o->>'tool_call_id' AS call_id, row_number() OVER (PARTITION BY conv_id, o->>'tool_call_id' ORDER BY turn) AS n FROM j WHERE (o->'tool_call_id') IS NOT NULL),
+d AS (SELECT conv_id, call_id, 0 AS depth FROM c WHERE ref IS NULL UNION ALL SELECT c.conv_id, c.call_id, depth + 1 FROM c JOIN d ON c.conv_id = d.conv_id AND c.ref = d.call_id),
+e AS (
+  SELECT conv_id, call_id, CASE name
+    WHEN 'find' THEN (CASE WHEN (args->'q') IS NULL OR json_type(args->'q') NOT IN ('UBIGINT', 'BIGINT') THEN 1 ELSE 0 END)
+    WHEN 'sum' THEN (CASE WHEN (args->'x') IS NULL THEN 1 ELSE 0 END) + (CASE WHEN (args->'y') IS NULL THEN 0 ELSE 1 END) ELSE 1 END AS n_errors FROM c)
+SELECT conv_id, turn, role, NULL::VARCHAR AS call_id, 'plain' AS status, 0 AS depth, 0::BIGINT AS n_errors FROM j WHERE o IS NULL
+UNION ALL SELECT conv_id, turn, role, NULL, 'message', 0, 0 FROM j WHERE (o->'tool_calls') IS NOT NULL AND (o->'content') IS NOT NULL
+UNION ALL SELECT c.conv_id, c.turn, c.role, c.call_id, CASE WHEN depth IS NULL THEN 'unordered' WHEN a.n IS NULL THEN 'open' WHEN a.turn < c.turn THEN 'early' ELSE 'linked' END, COALESCE(depth, -1), n_errors
+  FROM c LEFT JOIN d ON c.conv_id = d.conv_id AND c.call_id = d.call_id LEFT JOIN r a ON a.conv_id = c.conv_id AND a.call_id = c.call_id AND a.n = 1 JOIN e ON e.conv_id = c.conv_id AND e.call_id = c.call_id
+UNION ALL SELECT r.conv_id, r.turn, r.role, r.call_id, CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN n > 1 THEN 'duplicate' WHEN r.turn < c.turn THEN 'early' ELSE 'linked' END, COALESCE(depth, -1), 0
+  FROM r LEFT JOIN c ON r.conv_id = c.conv_id AND r.call_id = c.call_id LEFT JOIN d ON r.conv_id = d.conv_id AND r.call_id = d.call_id
+"""
+)

@@ -13,6 +13,7 @@ QUERIES = {
     "op6_decontam": decontam.op6,
     "op7_neardup": neardup.op7,
     "op8_chat": chat.op8,
+    "chat_calls": chat.chat_calls,
     "op9_linededup": linededup.op9,
     "op10_warc": warc.op10,
 }
@@ -21,5 +22,6 @@ ORACLE_SQL = {
     "op2_quality": quality.OP2_SQL,
     "op5_urlfilter": urlfilter.OP5_SQL,
     "op8_chat": chat.OP8_SQL,
+    "chat_calls": chat.CHAT_CALLS_SQL,
     "op10_warc": warc.OP10_SQL,
 }
