@@ -7,13 +7,14 @@ weight are clamped as a prefix of that order.
 
 A source is then repeated: the whole part of target over size for each of its documents, and for the fraction those
 documents come first whose seeded hash is smallest, until the target is reached. The document at the border is taken in
-part, so that each source meets its target to the word (to a word a row where several rows share one hash).
+part, so that each source meets its target to the word. Where several rows share the border's hash, as null or repeated
+doc_ids do, each takes its share of what is left, rounded up or down by a draw, so that the sum comes near the target.
 
 The border is found by three levels of a radix search over sums of sizes, so no source is ever sorted or gathered in one
 task, however large it is. All is native; rows are (source, hash, size) of 52-bit hashes.
 
 Defined cases: null texts have size 0; a null source is a source of its own, last in order; sources of size 0 get target
-0; rows that share a doc_id share a hash, and at a border each takes its part in proportion; an empty table gives an
+0; rows that share a doc_id share a hash; texts of any length are counted whole; an empty table gives an
 empty table. Columns of the input that aren't used pass through ``emit`` unchanged.
 """
 
@@ -110,7 +111,9 @@ def _apply(docs: DataFrame, full: DataFrame, seed: int) -> DataFrame:
     inner = docs.select(whole(docs).alias("d"))
     inner = inner.withColumn("mix_size", size_of(F.col("d.text"))).withColumn("mix_h", hash_of(F.col("d.doc_id"), seed))
     out = inner.join(full.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")), "left")
-    at_cut = F.floor(F.col("p.cut_left") * F.col("mix_size") / F.col("p.cut_size")).cast("long")
+    share = F.col("p.cut_left") * F.col("mix_size") / F.col("p.cut_size")  # whole unless several rows share the hash
+    draw = F.pmod(F.xxhash64(F.lit(seed), "d.text", F.monotonically_increasing_id()), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    at_cut = (F.floor(share) + (draw < share - F.floor(share)).cast("int")).cast("long")
     extra = F.when(F.col("mix_h") < F.col("p.cut"), F.col("mix_size")).when(F.col("mix_h") == F.col("p.cut"), at_cut).otherwise(0)
     extra = F.coalesce(extra, F.lit(0)).cast("long")
     out = out.select("d", "mix_size", F.col("p.source_size").alias("mix_source_size"), F.col("p.target").alias("mix_target"), F.col("p.whole").alias("mix_whole"), extra.alias("mix_extra"))
