@@ -15,12 +15,13 @@ aren't touched.
 
 from __future__ import annotations
 
+import json
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, table, whole, written
+from .common import small, spread, table, whole, written
 
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 PREFIX_HEX = 8
@@ -53,13 +54,16 @@ def judged_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
     shapes = [r[0] for r in rules.select(shape.alias("s")).distinct().orderBy("s").collect()]  # bounded by the rules' shapes
     parts = urls.select("u", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path")).where(F.col("host") != "")
     parts = parts.withColumn("labels", F.split("host", r"\."))
-    made = [
-        F.when((F.size("labels") >= s.labels) & (F.length("path") >= s.chars), F.concat(F.array_join(F.slice("labels", -s.labels, s.labels), "."), F.substring("path", 1, s.chars)))
-        for s in shapes
-    ]
-    rows = parts.select("u", F.explode(F.array_compact(F.array(*made)) if made else F.array().cast("array<string>")).alias("e"))
+    if not shapes:
+        return parts.limit(0).select("u", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
+    data = F.from_json(F.lit(json.dumps([s.asDict() for s in shapes])), "array<struct<labels:int,chars:int>>")  # folded to one literal
+    fitting = F.filter(data, lambda s: (F.size("labels") >= s["labels"]) & (F.length("path") >= s["chars"]))
+    made = F.transform(fitting, lambda s: F.concat(F.array_join(F.slice("labels", -s["labels"], s["labels"]), "."), F.substring("path", F.lit(1), s["chars"])))
+    rows = parts.select("u", F.explode(made).alias("e"))
     rows = rows.select("u", *hashed(F.col("e")))
-    hits = rows.join(small(rules).alias("r"), (rows["short"] == F.col("r.short")) & (rows["digest"] == F.col("r.digest")))
+    # the join is on the short hash alone; the full digest is confirmed on what it lets through, as no part of the key
+    confirmed = F.array_contains(F.array(F.col("r.digest")), rows["digest"])
+    hits = rows.join(small(rules).alias("r"), (rows["short"] == F.col("r.short")) & confirmed)
     best = F.max(F.struct(F.length("r.rule").alias("n"), (F.col("r.verdict") == "block").alias("block"), F.col("r.rule").alias("rule"), F.col("r.verdict").alias("verdict")))
     return hits.groupBy("u").agg(best.alias("best")).select("u", "best.rule", "best.verdict")
 
@@ -67,9 +71,9 @@ def judged_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def filtered(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` in a struct ``d`` with host, path, rule and verdict."""
     rows = pages.select(whole(pages).alias("d")).withColumn("u", F.coalesce(F.col("d")[url], F.lit("")))
-    found = judged_urls(rows.select("u").distinct(), rules).alias("f")
-    out = rows.alias("r").join(found, F.col("r.u") == F.col("f.u"), "left")
-    return out.select("r.d", host_of(F.col("r.u")).alias("host"), path_of(F.col("r.u")).alias("path"), F.col("f.rule").alias("rule"), F.coalesce(F.col("f.verdict"), F.lit(default)).alias("verdict"))
+    found = judged_urls(rows.select("u").distinct(), rules)
+    out = spread(rows, found, "u", F.xxhash64("d"), "left")  # hot URLs, null ones among them, are dealt over tasks
+    return out.select("d", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"), "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
