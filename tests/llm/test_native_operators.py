@@ -246,3 +246,10 @@ def test_bitmap_never_misses(spark):
     out = maybe(rows, "h", bitmap(written(keys), "h"))
     assert out.where("id % 3 = 0 AND NOT maybe").count() == 0 and out.where("id % 3 <> 0 AND maybe").count() < 400
     assert maybe(rows, "h", bitmap(written(keys.limit(0)), "h")).where("maybe").count() == 0
+
+
+def test_rows_that_share_a_hash_come_near_the_target(spark):
+    """Null doc_ids, one word each: half of the rows are taken twice."""
+    docs = spark.createDataFrame([(None, "a", f"w{i % 7}") for i in range(1000)], "doc_id long, source string, text string")
+    rows = mixing.mix(docs).collect()
+    assert rows[0].mix_target == 1500 and abs(sum(r.mix_taken for r in rows) - 1500) < 60 and max(r.mix_taken for r in rows) == 2
