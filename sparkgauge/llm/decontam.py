@@ -6,16 +6,23 @@ a share of ``SHARE`` or more. Passages are windows of twice the longest item, on
 lies whole in some passage; texts are worked through whole. A retrieved item counts as leaked if at least ``OVERLAP`` of
 the five-word shingles of its question part (its first two thirds) and of its answer part (the rest) are in the text.
 
+Items have one text without marks of where an answer begins; that an item's last third must be found as well keeps passages
+that share no more than its opening from counting.
+
 The index holds the test items alone. Those are counted before: beyond ``SHARD_BYTES`` they are dealt over several
-indexes by hash, and the corpus is read once for each. Documents stream through ``mapInArrow`` without a shuffle.
+indexes by hash, and the corpus is read once for each; frequencies and the mean length are counted once over all items, so
+shards don't change a score. Documents stream through ``mapInArrow`` without a shuffle.
 
-Defined cases: null and empty texts retrieve nothing and stay; null or short items (under five words) are no evidence and
-are left out; items of equal text are found together; repeated rows give repeated results; other columns pass unchanged.
+Defined cases: null and empty texts retrieve nothing and stay; null items and those without words are left out; items of
+two to four words leak where they stand verbatim, and one of a single word where it is a whole text; items of equal
+text are found together; repeated rows give repeated results; empty tables give empty results; texts of any length are
+taken whole; other columns, whatever their names, pass unchanged.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import partial
 
@@ -25,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, whole
+from .common import table, whole, written
 from .hashing import ALNUM, hashed_texts, shingles
 
 SHARE = 0.5
@@ -34,22 +41,32 @@ K1, B = 1.2, 0.75
 BLOCK = 16
 MIN_WORDS = 5
 MIN_SPAN = 64
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 16 << 20
 RESULT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
 class Index:
     """Postings of the items' word pairs with normalised impacts, and what confirms an item."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], counted: tuple[int, float, np.ndarray, np.ndarray] | None = None):
+        """``counted``: number and mean length of all items, sorted terms (those of these items at least) and in how many of
+        all items each is; by default of these items alone."""
         texts = [words for words in hashed_texts(pa.array([t for _, t in items], pa.string()), ALNUM, lower=True)]
         use = [i for i, w in enumerate(texts) if len(w) >= MIN_WORDS]
-        self.ids = [items[i][0] for i in use]
+        few = [i for i, w in enumerate(texts) if 0 < len(w) < MIN_WORDS]
+        self.ids = [items[i][0] for i in [*use, *few]]
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for n, i in enumerate(few, len(use)):
+            k = len(texts[i])
+            self.short.setdefault(k, {}).setdefault(int(shingles(texts[i], k)[0]), []).append(n)
         words = [texts[i] for i in use]
         self.span = max([MIN_SPAN, *map(len, words)])
         pairs = [np.unique(shingles(w, 2), return_counts=True) for w in words]
         self.terms, df = np.unique(np.concatenate([t for t, _ in pairs]) if pairs else np.empty(0, dtype=np.uint64), return_counts=True)
         n, mean = len(words), sum(map(len, words)) / max(1, len(words))
+        if counted is not None:
+            n, mean, terms, all_df = counted
+            df = all_df[np.searchsorted(terms, self.terms)]
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for i, (terms, tf) in enumerate(pairs):
@@ -101,14 +118,25 @@ class Index:
                 to, moved = item, [x for x in lists[:pivot] if x[0] < item]
             for x in moved:
                 own = self.items[x[2]]
-                while x[1] < len(own) and own[x[1]] < to:
-                    x[1] += 1
+                x[1] = bisect_left(own, to, x[1])
                 x[0] = own[x[1]] if x[1] < len(own) else math.inf
             lists = [x for x in lists if x[0] != math.inf]
         return found
 
     def leaks(self, words: np.ndarray) -> list[tuple[int, float, float, float]]:
         """(item, best share, overlap of question, of answer) of the items that a text of these words leaks."""
+        return self._verbatim(words) + self._searched(words)
+
+    def _verbatim(self, words: np.ndarray) -> list[tuple[int, float, float, float]]:
+        found = []
+        for k, known in self.short.items():
+            if len(words) >= k and (k > 1 or len(words) == 1):
+                own = np.unique(shingles(words, k))
+                for h in own[np.isin(own, np.fromiter(known, dtype=np.uint64, count=len(known)))].tolist():
+                    found += [(i, 1.0, 1.0, 1.0) for i in known[h]]
+        return found
+
+    def _searched(self, words: np.ndarray) -> list[tuple[int, float, float, float]]:
         if len(words) < MIN_WORDS or not len(self.terms):
             return []
         pairs = shingles(words, 2)
@@ -137,9 +165,32 @@ def indexes(items: DataFrame) -> Iterator[Index]:
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = 1 + size // SHARD_BYTES
+    if shards == 1:
+        yield Index(_collected(items))
+        return
+    terms = written(items.select("text").mapInArrow(_terms, "term long, words long"))
+    n, mean = terms.where("words > 0").agg(F.count("*"), F.coalesce(F.avg("words"), F.lit(0.0))).first()
+    often = written(terms.where("words = 0").groupBy("term").agg(F.count("*").alias("df")))
     for k in range(shards):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
-        yield Index([(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()])
+        own = part.select("text").mapInArrow(_terms, "term long, words long").where("words = 0").select("term").distinct()
+        rows = often.join(own, "term", "left_semi").collect()  # terms of one shard
+        found = np.array([r.term for r in rows], dtype=np.int64).view(np.uint64)
+        order = np.argsort(found)
+        yield Index(_collected(part), (n, mean, found[order], np.array([r.df for r in rows], dtype=np.int64)[order]))
+
+
+def _collected(part: DataFrame) -> list[tuple[int, str]]:
+    return [(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()]  # at most about ``SHARD_BYTES``
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each item of ``MIN_WORDS`` words or more: a row with their number, and one for each distinct term."""
+    for batch in batches:
+        for words in hashed_texts(batch.column("text"), ALNUM, lower=True):
+            if len(words) >= MIN_WORDS:
+                terms = np.unique(shingles(words, 2)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(terms, 0)), pa.array(np.append(np.zeros(len(terms), dtype=np.int64), len(words)))], ["term", "words"])
 
 
 def _found(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
