@@ -253,3 +253,56 @@ def test_rows_that_share_a_hash_come_near_the_target(spark):
     docs = spark.createDataFrame([(None, "a", f"w{i % 7}") for i in range(1000)], "doc_id long, source string, text string")
     rows = mixing.mix(docs).collect()
     assert rows[0].mix_target == 1500 and abs(sum(r.mix_taken for r in rows) - 1500) < 60 and max(r.mix_taken for r in rows) == 2
+
+
+def _plain_linededup(docs: list[tuple[int, str]]) -> dict[int, tuple[str, int]]:
+    """Every shortest counting run from and to every line, held against all others."""
+    runs = {}
+    for d, text in docs:
+        lines = text.split("\n")
+        n = [len(x.split()) for x in lines]
+        for i in (i for i in range(len(lines)) if n[i]):
+            for step in (1, -1):
+                j, total = i, n[i]
+                while not (total >= linededup.LONG_WORDS and j == i or total >= linededup.MIN_WORDS and j != i):
+                    j += step
+                    if not 0 <= j < len(lines):
+                        break
+                    total += n[j]
+                else:
+                    a, b = min(i, j), max(i, j)
+                    runs.setdefault("\n".join(lines[a : b + 1]), set()).add((d, a, b + 1 - a))
+    lost = {d: set() for d, _ in docs}
+    for places in runs.values():
+        if len({d for d, _, _ in places}) > 1:
+            first = min(places)
+            for d, at, size in places - {first}:
+                lost[d] |= set(range(max(at, first[1] + first[2]) if d == first[0] else at, at + size))
+    out = {}
+    for d, text in docs:
+        lines, gone = text.split("\n"), lost[d]
+        if gone:  # what stands between lost lines and has no words goes too
+            inner = [i for i in range(min(gone), max(gone)) if i not in gone]
+            for part in [list(g) for _, g in itertools.groupby(inner, key=lambda i: sum(x < i for x in gone))]:
+                if not any(lines[i].split() for i in part):
+                    gone |= set(part)
+        kept = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        out[d] = (kept, len(gone)) if kept.split() or not gone else ("", len(lines))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_line_dedup_against_all_runs(spark, seed):
+    """Passages of lines of 3 to 22 words that share lines, overlap, repeat inside a document and stand among blank ones."""
+    rng = random.Random(seed)
+    pool = [" ".join(f"v{rng.randrange(40)}" for _ in range(rng.choice((3, 5, 6, 9, 14, 15, 18, 22)))) for _ in range(14)]
+    passages = [[rng.choice([*pool, *pool, ""]) for _ in range(rng.randint(2, 9))] for _ in range(8)]
+    docs = []
+    for d in range(40):
+        lines = []
+        for _ in range(rng.randint(1, 4)):
+            lines += rng.choice(passages)[rng.randint(0, 1) :] if rng.random() < 0.6 else [" ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randint(0, 20))) for _ in range(rng.randint(1, 4))]
+        docs.append((d, "\n".join(lines)))
+    got = {r.doc_id: (r.text, r.n_removed) for r in linededup.deduped(spark.createDataFrame(docs, "doc_id long, text string")).select("d.doc_id", "text", "n_removed").collect()}
+    want = _plain_linededup(docs)
+    assert {d: (got[d], want[d]) for d in want if got[d] != want[d]} == {} and sum(n for _, n in want.values()) > 40
