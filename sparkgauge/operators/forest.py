@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions.order import quantiles
 from ..functions.types import ensure_columns, number
+from ..sources.files import stored
 
 SAMPLE = 256
 
@@ -101,7 +102,7 @@ def isolation_forest(df: DataFrame, columns: Sequence[str], contamination: float
     """The flagged rows, with ``is_anomaly``; their share of the whole rows is about ``contamination``."""
     if not 0 < contamination <= 0.5:
         raise ValueError("contamination must be in (0, 0.5]")
-    scored = forest_scores(df, columns, n_estimators, random_state, "_score")
+    scored = stored(forest_scores(df, columns, n_estimators, random_state, "_score"))  # quantile and rows come from one scoring
     cut = quantiles(scored, {"s": F.col("_score")}, (1 - contamination,))["s"][0]
     flagged = F.col("_score") > F.lit(cut) if cut is not None else F.lit(False)
     return scored.where(flagged).drop("_score").withColumn("is_anomaly", F.lit(True))

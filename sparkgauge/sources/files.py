@@ -69,6 +69,13 @@ def scratch(spark: SparkSession) -> str:
     return path.toString()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the scratch folder, for what is read several times and dear to make."""
+    out = f"{scratch(df.sparkSession)}/t"
+    df.write.parquet(out)
+    return df.sparkSession.read.schema(df.schema).parquet(out)
+
+
 def read_csv(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
     """With a header, types inferred, "" as null; a file whose lines don't fit its header is read without one, with
     columns column_0, column_1 and so on."""
