@@ -4,8 +4,11 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 folder and gives it to the next. All but the last return the columns of documents; the last returns a row per copy that
 the mix takes, with those columns and ``copy``.
 
-The near-dedup, decontamination and chunk hashes have no SQL form, so ORACLE_SQL is None; tests hold the stages against
-plain versions.
+The near-dedup and decontamination have no SQL form, so ORACLE_SQL is None; a test holds ``run`` against a plain version.
+
+Defined cases of all stages: an empty table gives an empty table with the same columns; nulls in any column pass, a null
+text counts as empty; equal rows are treated alike; other columns, whatever their names, pass unchanged, but for
+``n_chars``, which follows the text; texts are worked on whole, whatever their length.
 """
 
 from __future__ import annotations
@@ -23,22 +26,30 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep. Null and empty texts, and those of under ten words, go; there are no ties."""
     return quality.keep(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the runs of lines that an earlier one has, by doc_id (null last), then by hash of the text; those of
+    which no word is left go, others with null or empty texts stay."""
     return _counted(linededup.keep(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every component of texts alike by their sets of two-word shingles, the document of the smallest doc_id (null last,
+    ties by hash of the text, one of equal rows); null and empty texts are alike to none and stay."""
     return neardup.keep(docs, k=2)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no item of ``benchmark``; null and empty texts, and all where there are no items, stay."""
     return decontam.keep(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per copy that the mix takes, with ``copy``. A null source is one of its own; null and empty texts have no words,
+    and no copy; rows that tie at a source's border share what is left."""
     return _counted(mixing.emit(mixing.mix(docs)))
 
 
