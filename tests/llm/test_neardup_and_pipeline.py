@@ -1,15 +1,23 @@
 import os
 import random
+import re
+import sys
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkgauge.llm import neardup
+from sparkgauge.llm import mixing, neardup, quality
 from sparkgauge.llm.common import written
 from sparkgauge.llm.components import components
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+from test_native_operators import _plain_linededup as plain_linededup  # noqa: E402
+from test_scanning_operators import plain_leaks  # noqa: E402
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -213,3 +221,25 @@ def test_blocks_count_exactly():
         for u, v in [*found, *zip(near, near[1:])]:
             root[find(u)] = find(v)
         assert all(find(i) == find(j) for i in range(len(sets)) for j in range(i) if linked(whole[i], whole[j])), trial
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_run_against_plain_stages(spark):
+    """The whole pipeline on whole tables: SQL for the rules and the mix, all runs of lines, all pairs of texts, all windows."""
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    rows = con.sql("WITH docs AS (SELECT doc_id, source, text FROM documents), " + quality.SQL + " SELECT doc_id, source, text FROM q_judged WHERE kept ORDER BY doc_id").fetchall()
+    left = plain_linededup([(d, t) for d, _, t in rows])
+    rows = [(d, s, left[d][0]) for d, s, _ in rows if left[d][0].split() or not left[d][1]]
+    lowest, sizes = plain_groups([(d, t) for d, _, t in rows], 2)
+    rows = [r for r, low, n in zip(rows, lowest, sizes, strict=True) if low == r[0] or not n]
+    leaks = {d for d, _ in plain_leaks([(d, t) for d, _, t in rows], con.sql(f"SELECT item_id, text FROM '{SF}/benchmark.parquet'").fetchall())}
+    rows = [r for r in rows if r[0] not in leaks]
+    kept = pd.DataFrame(rows, columns=["doc_id", "source", "text"])  # noqa: F841 the SQL reads it
+    want = []
+    for d, text, size, times, extra in con.sql("WITH docs AS (SELECT doc_id, source, text FROM kept)" + mixing.SQL + " SELECT doc_id, text, size, whole, extra FROM mix_rows").fetchall():
+        want += [(d, k + 1, text) for k in range(times if size else 0)]
+        if extra:
+            want.append((d, times + 1, text if extra == size else " ".join(re.findall(r"[^\x20\x09-\x0D]+", text)[:extra])))
+    got = sorted((r.doc_id, r.copy, r.text) for r in corpus_pipeline.run(spark, SF).collect())
+    assert got == sorted(want) and leaks and len(rows) > 50

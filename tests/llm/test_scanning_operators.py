@@ -1,6 +1,7 @@
 import gzip
 import itertools
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -413,21 +414,10 @@ def test_long_and_deep_pages_are_taken_whole():
     assert extraction.extract("<p a=" + "'\"" * 50_000) == "" and extraction.extract("<" * 1000) is not None
 
 
-def test_decontamination_against_all_pairs(spark, monkeypatch):
-    """The whole query, in one index and in shards, against every item's score in every window of every text."""
-    rng = random.Random(12)
-    words = [f"w{i}" for i in range(60)]
-    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice((1, 2, 3, 5, 9, 20, 40))))) for i in range(40)]
-    docs = []
-    for i in range(60):
-        parts = [rng.choice(words) for _ in range(rng.randint(0, 150))]
-        for _ in range(rng.randint(0, 2)):
-            put = [w if rng.random() > 0.08 else rng.choice(words) for w in rng.choice(items)[1].split()]
-            at = rng.randint(0, len(parts))
-            parts[at:at] = put
-        docs.append((i, " ".join(parts)))
-    docs += [(100, None), (101, ""), (102, items[0][1])]
-    long = [(i, t.split()) for i, t in items if len(t.split()) >= decontam.MIN_WORDS]
+def plain_leaks(docs: list[tuple[int, str | None]], items: list[tuple[int, str]]) -> dict[tuple[int, int], float]:
+    """The score of every item that a document leaks, from every item's score in every window of every text."""
+    split = lambda t: re.findall("[0-9A-Za-z\x80-\U0010ffff]+", (t or "").lower())
+    long = [(i, split(t)) for i, t in items if len(split(t)) >= decontam.MIN_WORDS]
     pairs = {i: Counter(zip(w, w[1:])) for i, w in long}
     df = Counter(p for c in pairs.values() for p in c)
     mean = sum(len(w) for _, w in long) / len(long)
@@ -436,7 +426,7 @@ def test_decontamination_against_all_pairs(spark, monkeypatch):
     runs = lambda w, k: {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}
     want = {}
     for d, text in docs:
-        w = (text or "").split()
+        w = split(text)
         own = list(zip(w, w[1:]))
         for i, item in long:
             best = max((sum(impact[i].get(p, 0.0) for p in set(own[k : k + 2 * span])) / sum(impact[i].values()) for k in range(0, max(len(own), 1), span)), default=0.0)
@@ -445,9 +435,27 @@ def test_decontamination_against_all_pairs(spark, monkeypatch):
             if best >= decontam.SHARE and len(q & runs(w, 5)) >= decontam.OVERLAP * len(q) and len(a & runs(w, 5)) >= decontam.OVERLAP * len(a):
                 want[d, i] = round(best, 6)
         for i, t in items:
-            short = tuple(t.split())
-            if len(short) < decontam.MIN_WORDS and short in runs(w, len(short)) and (len(short) > 1 or len(w) == 1):
+            short = tuple(split(t))
+            if 0 < len(short) < decontam.MIN_WORDS and short in runs(w, len(short)) and (len(short) > 1 or len(w) == 1):
                 want[d, i] = 1.0
+    return want
+
+
+def test_decontamination_against_all_pairs(spark, monkeypatch):
+    """The whole query, in one index and in shards, against every item's score in every window of every text."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice((1, 2, 3, 5, 9, 20, 40))))) for i in range(40)]
+    docs = []
+    for i in range(60):
+        parts = [rng.choice(words) for _ in range(rng.randint(0, 150))]
+        for _ in range(rng.randint(0, 2)):
+            put = [w if rng.random() > 0.08 else rng.choice(words) for w in rng.choice(items)[1].split()]
+            at = rng.randint(0, len(parts))
+            parts[at:at] = put
+        docs.append((i, " ".join(parts)))
+    docs += [(100, None), (101, ""), (102, items[0][1])]
+    want = plain_leaks(docs, items)
     frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     for size in (1 << 20, 400):
         monkeypatch.setattr(decontam, "SHARD_BYTES", size)
