@@ -46,7 +46,7 @@ LEAST_Z = 4.0
 PENALTY = 0.05
 KNOWN_WORDS = 20_000
 KNOWN_BONUS = 6.0
-CACHE = 300_000
+CACHE = 400_000
 #: Gap, a-z, other letters.
 CLASSES = 28
 #: Classes of the characters of the first plane; others are gaps.
@@ -138,6 +138,9 @@ def _arcs(word: str, i: int) -> list[tuple[int, str, float]]:
     return out
 
 
+_NONE: dict[int, float] = {}
+
+
 class Trie:
     """Words as a trie whose edges carry the language model's costs."""
 
@@ -157,21 +160,21 @@ class Trie:
 
     def read(self, word: str, states: dict[int, float]) -> dict[int, float]:
         """The cheapest cost of every node that the whole lattice of ``word`` leads to."""
-        if word.isalpha() and not _RUN.search(word):  # one path
-            out, get = {}, self.edges.get
-            for node, cost in states.items():
-                for c in word:
-                    edge = get((node, c))
-                    if edge is None:
-                        break
-                    node, more = edge
-                    cost += more
-                else:
-                    if cost < out.get(node, math.inf):
-                        out[node] = cost
-            return out
-        at, n = {0: states}, len(word)
-        for i in range(n):
+        get, n, first = self.edges.get, len(word), 0
+        if len(states) == 1:  # places with one arc, up to the first of several
+            ((node, cost),) = states.items()
+            for c, after in zip(word, word[1:] + "\0"):
+                if c == after or not c.isalpha():
+                    break
+                edge = get((node, c))
+                if edge is None:
+                    return {}
+                node, more = edge
+                cost += more
+                first += 1
+            states = {node: cost}
+        at = {first: states}
+        for i in range(first, n):
             here = at.pop(i, None)
             if not here:
                 if not at:
@@ -182,7 +185,7 @@ class Trie:
                 for node, cost in here.items():
                     cost += own
                     for c in put:
-                        edge = self.edges.get((node, c))
+                        edge = get((node, c))
                         if edge is None:
                             break
                         node, more = edge
@@ -202,8 +205,8 @@ class Restorer:
     def __init__(self, costs: np.ndarray, known: frozenset[str] = frozenset(), features: frozenset[str] = frozenset()):
         self.costs, self.known, self.features = costs.tolist(), known, features
         self.trie, self.split = Trie(known, self.costs), Trie(features, self.costs)
-        self.cache: dict[str, tuple[str, float | None]] = {}
-        self.starts: dict[str, dict[int, float]] = {}
+        #: restored word, its cost (on demand), nodes of the features' trie that the token leads to from its root
+        self.cache: dict[str, tuple[str, float | None, dict[int, float]]] = {}
 
     def __reduce__(self):
         return Restorer, (np.array(self.costs), self.known, self.features)
@@ -247,22 +250,24 @@ class Restorer:
             out.append(put)
         return cost, "".join(reversed(out))
 
-    def read(self, token: str) -> tuple[str, float]:
-        """(restored word, its cost) of a lower-case token; the empty string if nothing of it is a word."""
+    def _entry(self, token: str) -> tuple[str, float | None, dict[int, float]]:
         out = self.cache.get(token)
         if out is None:
-            out = self._read(token)
+            out = (*self._read(token), self._start(token))
             if len(self.cache) >= CACHE:
                 self.cache.clear()
             self.cache[token] = out
-        text, cost = out
+        return out
+
+    def read(self, token: str) -> tuple[str, float]:
+        """(restored word, its cost) of a lower-case token; the empty string if nothing of it is a word."""
+        text, cost, _ = self._entry(token)
         if cost is None:  # of plain words only on demand
             cost = self.spelled(text) - KNOWN_BONUS * (text in self.known)
         return text, cost
 
     def word(self, token: str) -> str:
-        found = self.cache.get(token)
-        return found[0] if found is not None else self.read(token)[0]
+        return self._entry(token)[0]
 
     def _read(self, token: str) -> tuple[str, float | None]:
         core = token.strip(_AROUND)
@@ -287,25 +292,21 @@ class Restorer:
         return text, cost
 
     def _start(self, token: str) -> dict[int, float]:
-        """Nodes of the features' trie that a token leads to from its root."""
-        out = self.starts.get(token)
-        if out is None:
-            core = token.strip(_AROUND)
-            out = self.split.read(core, {0: 0.0}) if core else {}
-            out.pop(0, None)
-            if len(self.starts) >= CACHE:
-                self.starts.clear()
-            self.starts[token] = out
-        return out
-
-    def joined(self, tokens: list[str]) -> list[tuple[int, int, str]]:
-        """(first, behind the last, word) of features that gaps split: those apart from each other that save most cost."""
+        core = token.strip(_AROUND)
+        if not core or not self.features or core[0].isalpha() and (0, core[0]) not in self.split.edges:
+            return _NONE
+        out = self.split.read(core, {0: 0.0})
+        out.pop(0, None)
+        return out or _NONE
+
+    def joined(self, tokens: list[str], live: set[str]) -> list[tuple[int, int, str]]:
+        """(first, behind the last, word) of features that gaps split: those apart from each other that save most cost.
+        ``live`` are the tokens that a feature may begin with."""
         found: list[tuple[int, int, str, float]] = []
-        live = {t for t in set(tokens) if self._start(t)}
         for i, token in enumerate(tokens) if live else ():
             if token not in live:
                 continue
-            states, j, before = self._start(token), i + 1, token.strip(_AROUND)
+            states, j, before = self._entry(token)[2], i + 1, token.strip(_AROUND)
             while j < len(tokens):
                 core = tokens[j].strip(_AROUND)
                 if not core:
@@ -344,12 +345,15 @@ class Restorer:
     def words(self, text: str | None) -> set[str]:
         """The distinct restored words of a whole text."""
         tokens = (text or "").lower().split()
-        joined = self.joined(tokens) if self.features else []
-        if joined:
+        get, out, live = self.cache.get, set(), set()
+        for t in set(tokens):
+            entry = get(t) or self._entry(t)
+            out.add(entry[0])
+            if entry[2]:
+                live.add(t)
+        if live and (joined := self.joined(tokens, live)):
             gone = {k for i, j, _ in joined for k in range(i, j)}
             out = {self.word(t) for k, t in enumerate(tokens) if k not in gone} | {w for _, _, w in joined}
-        else:
-            out = {self.word(t) for t in set(tokens)}
         out.discard("")
         return out
 
@@ -357,7 +361,7 @@ class Restorer:
         """A whole text with its words restored, joined by spaces."""
         tokens = (text or "").lower().split()
         out, at = [], 0
-        for i, j, w in [*self.joined(tokens), (len(tokens), len(tokens), "")]:
+        for i, j, w in [*self.joined(tokens, {t for t in tokens if self._entry(t)[2]}), (len(tokens), len(tokens), "")]:
             out += [*map(self.word, tokens[at:i]), w]
             at = j
         return " ".join(w for w in out if w)
