@@ -110,3 +110,32 @@ def test_flags_count_a_row_for_each_column(spark):
     rows = [(float(i % 5), float(i % 7), "k") for i in range(100)] + [(1e6, 1e6, "k")]
     out = A.flags(spark.createDataFrame(rows, "a double, b double, s string")).where("size(flags.zscore) > 0").collect()
     assert len(out) == 1 and out[0].flags.zscore == ["a", "b"]
+
+
+def test_forest_scores_against_a_plain_walk(spark):
+    """Every row's path through every tree, one by one, with the published normalisation, and the rows above the quantile."""
+    import math
+    import random
+
+    import numpy as np
+
+    from sparkgauge.operators.forest import fitted, forest_scores, isolation_forest
+
+    rng = random.Random(4)
+    rows = [(i, rng.gauss(0, 1), rng.gauss(5, 2) if i % 50 else 40.0) for i in range(400)] + [(400, None, 1.0)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    trees, size = fitted(df, ["a", "b"], 20)
+    expected = lambda n: 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+
+    def path(tree, x):
+        at, steps = 0, 0
+        while tree[at][0] >= 0:
+            at, steps = int(tree[at][2] if x[int(tree[at][0])] < tree[at][1] else tree[at][3]), steps + 1
+        return steps + tree[at][4]
+
+    want = {i: 2 ** (-sum(path(t, (a, b)) for t in trees) / len(trees) / expected(size)) for i, a, b in rows if a is not None}
+    got = {r.id: r.anomaly_score for r in forest_scores(df, ["a", "b"], 20).collect()}
+    assert got.pop(400) is None and got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-9
+    cut = np.quantile(list(want.values()), 0.95)
+    flagged = {r.id for r in isolation_forest(df, ["a", "b"], 0.05, 20).collect()}
+    assert flagged == {i for i, v in want.items() if v > cut} and len(flagged) >= 8
