@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fcntl
 import json
 import math
 import os
@@ -118,9 +119,12 @@ class ReportStore:
         run = run or str(uuid.uuid4())
         if report is not None:
             write_json_report(report, os.path.join(self.folder, f"{run}.json"))
-        index = self.index()
-        index[run] = {"status": status, "error": error}
-        write_json_report(index, self._index)
+        with open(self._index + ".lock", "w") as lock:  # one writer at a time; readers see the old index or the new one
+            fcntl.flock(lock, fcntl.LOCK_EX)
+            index = self.index()
+            index[run] = {"status": status, "error": error}
+            write_json_report(index, self._index + ".new")
+            os.replace(self._index + ".new", self._index)
         return run
 
     def report(self, run: str) -> dict | None:

@@ -184,3 +184,13 @@ def test_streams(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
         assert [r.x for r in spark.table(name).collect()] == want
+
+
+def test_runs_put_at_once_are_all_in_the_index(tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from sparkgauge.sources.sinks import ReportStore
+
+    with ThreadPoolExecutor(8) as pool:
+        runs = set(pool.map(lambda i: ReportStore(str(tmp_path)).put(status="complete", report={"datasets": [], "n": i}), range(60)))
+    assert set(ReportStore(str(tmp_path)).index()) == runs and len(runs) == 60
