@@ -6,6 +6,8 @@ indexes of flagged rows, which ``max_listed_rows`` bounds if given.
 
 from __future__ import annotations
 
+import json
+import logging
 import queue
 import threading
 from collections.abc import Callable, Iterator
@@ -28,6 +30,7 @@ from ..sources.sinks import ReportStore, save_sample
 from . import explain
 from .config import AnomalyConfig, MappingConfig, SourceConfig
 
+log = logging.getLogger(__name__)
 PREVIEW_ROWS = 5
 #: Methods whose rows are saved as samples; steps of progress.
 SAVED = ("isolation_forest", "categorical", "missing_values")
@@ -182,20 +185,39 @@ def analyze(source, anomalies: AnomalyConfig | None = None, mapping: MappingConf
     return {"data_root": getattr(source, "root", None), "datasets": reports}
 
 
-def run(spark: SparkSession, source: SourceConfig, store: ReportStore | None = None, **settings) -> tuple[str | None, dict]:
-    """A run that the store keeps: (its id, the report)."""
-    run_id = store.put() if store else None
+def run(spark: SparkSession, source: SourceConfig, store: ReportStore | None = None, run_id: str | None = None, **settings) -> tuple[str | None, dict]:
+    """A run that the store keeps, under a new id unless given: (its id, the report). The log has its begin and end."""
+    if store and run_id is None:
+        run_id = store.put()
+    log.info(json.dumps({"run": run_id, "event": "start", "source": source.type}))
     try:
         report = analyze(source_of(spark, source), **settings)
     except Exception as e:
+        log.error(json.dumps({"run": run_id, "event": "error", "error": type(e).__name__, "message": str(e)}))
         if store:
             store.put(run_id, "error", error=str(e))
         raise
     if store:
         store.put(run_id, "complete", report)
+    log.info(json.dumps({"run": run_id, "event": "complete", "datasets": len(report["datasets"])}))
     return run_id, report
 
 
+def run_async(spark: SparkSession, source: SourceConfig, store: ReportStore, **settings) -> tuple[str, threading.Thread]:
+    """(id, thread) of a run that goes on by itself; the store has it as queued, then as complete or error."""
+    run_id = store.put()
+
+    def work() -> None:
+        try:
+            run(spark, source, store, run_id, **settings)
+        except Exception:  # noqa: BLE001 the store and the log have it
+            pass
+
+    thread = threading.Thread(target=work, daemon=True)
+    thread.start()
+    return run_id, thread
+
+
 def run_stream(spark: SparkSession, source: SourceConfig, store: ReportStore | None = None, **settings) -> Iterator[dict]:
     """Events of a run: progress, then complete with the report, or error."""
     events: queue.Queue = queue.Queue()

@@ -676,28 +676,6 @@ for _name, _sql in SQL.items():
 # benchmarks
 
 
-@add("benchmark_mapping")
-def benchmark_mapping(spark, sf_dir):
-    from .plans.benchmarks import mapping_benchmark
-
-    return mapping_benchmark(spark).drop("ms_per_column")
-
-
-@add("benchmark_abbreviations")
-def benchmark_abbreviations(spark, sf_dir):
-    from .plans.benchmarks import abbreviation_benchmark
-
-    return abbreviation_benchmark(spark)
-
-
-@add("benchmark_typing", "SELECT 1.0::DOUBLE AS type_accuracy, 1.0::DOUBLE AS \"precision\", 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1")
-def benchmark_typing(spark, sf_dir):
-    from .plans.benchmarks import typing_benchmark
-
-    pages = read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("page_id"), "url")
-    return typing_benchmark(pages, {"page_id": "bigint", "url": "string"}, {"page_id": "Price", "url": "URL"})
-
-
 @add("benchmark_anomalies")
 def benchmark_anomalies(spark, sf_dir):
     from .plans.benchmarks import anomaly_benchmark

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import fnmatch
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from .files import Dataset, error_frame, limited
+from .files import Dataset, error_frame, file_system, limited
 
 #: Parts of the names of variants and truths, and the name of a query's dataset.
 VARIANT_MARKS = ("_quality", "_truth")
@@ -47,12 +49,27 @@ def table_schema(spark: SparkSession, table: str) -> dict[str, str]:
     return {f.name: f.dataType.simpleString() for f in spark.table(table).schema.fields}
 
 
-def download(spark: SparkSession, table: str, rows: int | None = None) -> tuple[DataFrame | None, dict[str, str]]:
-    """A table's first rows and its schema; (None, {}) if it can't be read."""
+def download(spark: SparkSession, table: str, rows: int | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """A table's first rows and its schema; a table without columns or rows, and {}, if it can't be read."""
     try:
         return limited(spark.table(table), rows), table_schema(spark, table)
     except Exception:  # noqa: BLE001 the caller goes on without the table
-        return None, {}
+        return spark.createDataFrame([], T.StructType()), {}
+
+
+def find(spark: SparkSession, pattern: str, schema: str | None = None) -> list[tuple[str, str]]:
+    """(schema, table) of all tables whose name fits a pattern with * and ?, in one schema or in all."""
+    return [(s, t) for s in ([schema] if schema else schemas(spark)) for t in tables(spark, s) if fnmatch.fnmatchcase(t, pattern)]
+
+
+def at_path(spark: SparkSession, path: str, schema: str | None = None) -> tuple[str, str] | None:
+    """(schema, table) of the table that lies at a path; None if there is none."""
+    wanted = file_system(spark, path)[1].toUri().getPath().rstrip("/")
+    for s, t in find(spark, "*", schema):
+        rows = spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(s, t)}").where("col_name = 'Location'").collect()  # one row
+        if rows and file_system(spark, rows[0].data_type)[1].toUri().getPath().rstrip("/") == wanted:
+            return s, t
+    return None
 
 
 def query(spark: SparkSession, sql: str, rows: int | None = None) -> DataFrame:
@@ -127,10 +144,24 @@ def drop_nested_variants(spark: SparkSession, schema: str) -> list[str]:
     return gone
 
 
-def import_tables(spark: SparkSession, url: str, names: list[str], out: str, **options: str) -> list[str]:
-    """Tables of a database over JDBC, each as Parquet {out}/{table}.parquet."""
+#: How databases list their tables: a query for a column ``name``, by the part of the address after ``jdbc:``.
+DISCOVERY = {
+    "sqlite": "SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%'",
+    None: "SELECT table_name AS name FROM information_schema.tables WHERE table_type = 'BASE TABLE' AND table_schema NOT IN ('information_schema', 'pg_catalog')",
+}
+
+
+def discovered(spark: SparkSession, url: str, **options: str) -> list[str]:
+    """Names of the tables of a database over JDBC, sorted."""
+    kind = url.split(":")[1] if url.count(":") > 1 else None
+    rows = spark.read.format("jdbc").options(url=url, query=DISCOVERY.get(kind, DISCOVERY[None]), **options).load()
+    return sorted(r.name for r in rows.collect())  # a row per table
+
+
+def import_tables(spark: SparkSession, url: str, names: list[str] | None, out: str, **options: str) -> list[str]:
+    """Tables of a database over JDBC, all unless named, each as Parquet {out}/{table}.parquet."""
     paths = []
-    for n in names:
+    for n in discovered(spark, url, **options) if names is None else names:
         path = f"{out}/{n}.parquet"
         spark.read.format("jdbc").options(url=url, dbtable=n, **options).load().write.mode("overwrite").parquet(path)
         paths.append(path)

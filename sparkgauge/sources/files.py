@@ -31,14 +31,15 @@ def limited(df: DataFrame, rows: int | None) -> DataFrame:
     return df.limit(rows) if rows and rows > 0 else df
 
 
-def _fs(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it takes it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
 def listed(spark: SparkSession, root: str, recursive: bool = True, extensions=EXTENSIONS) -> list[tuple[str, str]]:
     """(name relative to the root, path) of files, and of Parquet folders as one, sorted by name."""
-    fs, top = _fs(spark, root)
+    fs, top = file_system(spark, root)
     base = fs.getFileStatus(top).getPath().toString().rstrip("/")
     out, todo = [], [top]
     while todo:
@@ -63,7 +64,7 @@ def scratch(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         top = tempfile.mkdtemp(prefix="sparkgauge-")
-    fs, path = _fs(spark, f"{top.rstrip('/')}/scratch-{uuid.uuid4().hex}")
+    fs, path = file_system(spark, f"{top.rstrip('/')}/scratch-{uuid.uuid4().hex}")
     fs.mkdirs(path)
     fs.deleteOnExit(path)
     return path.toString()

@@ -134,6 +134,13 @@ class ReportStore:
         with open(path, encoding="utf-8") as f:
             return json.load(f)
 
+    def found(self, run: str) -> dict:
+        """The report of a run; KeyError without one."""
+        report = self.report(run)
+        if report is None:
+            raise KeyError(f"No report of run {run}")
+        return report
+
     def artifacts(self, run: str) -> list[dict]:
         """Saved samples of a report, with their sizes."""
         report = self.report(run) or {"datasets": []}
@@ -146,6 +153,15 @@ class ReportStore:
         return next((a["path"] for a in found if a["path"] == name), next((a["path"] for a in found if a["name"] == os.path.basename(name)), None))
 
 
+    def found_artifact(self, run: str, name: str) -> str:
+        """The path of a saved sample that is there; KeyError without one."""
+        self.found(run)
+        path = self.artifact(run, name)
+        if path is None or not os.path.exists(path):
+            raise KeyError(f"No artifact {name} of run {run}")
+        return path
+
+
 def latex_tables(results: DataFrame) -> str:
     """A table of the metrics by table and scenario, and one of their means by scenario."""
     from ..operators.evaluate import METRICS, scenario_averages

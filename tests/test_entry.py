@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-FEW = ("anomaly_zscore_events", "anomaly_iqr_events", "anomaly_rare_category", "degrade_missing", "profile_numeric_stats", "normalize_names", "schema_diff", "sql_passthrough_join")
+FEW = ("anomaly_zscore_events", "anomaly_iqr_events", "anomaly_rare_category", "degrade_missing", "profile_numeric_stats", "normalize_names", "schema_diff", "sql_passthrough_join", "mapping_decisions", "semantic_types_made", "analyze_anomalies", "sink_formats")
 
 
 def test_entry_has_rows(spark):

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from sparkgauge.operators import degrade as D
 from sparkgauge.operators import evaluate as E
 from sparkgauge.plans import explain
-from sparkgauge.plans.assistant import analyze, analyze_table, run, run_stream
+from sparkgauge.plans.assistant import analyze, analyze_table, run, run_async, run_stream
 from sparkgauge.plans.cli import main, settings
 from sparkgauge.plans.config import AnomalyConfig, MappingConfig, SourceConfig
+from sparkgauge.plans.variants import variants
 from sparkgauge.sources import catalog as C
 from sparkgauge.sources import sinks as K
 from sparkgauge.sources.files import Dataset, LocalFiles, csv_files, read_file
@@ -64,7 +65,7 @@ def test_catalog(spark, tmp_path):
         spark.createDataFrame([(1, "a"), (2, "b")], "col1 long, col2 string").write.mode("overwrite").saveAsTable(f"shop.{n}")
     assert [(d.name, d.df.count()) for d in C.SqlSource(spark, schema="shop").datasets()][:2] == [("shop.table1", 2), ("shop.table1_quality_low", 2)]
     assert C.source_tables(spark, "shop") == ["table1", "table2"] and "shop" in C.schemas(spark) and C.tables(spark, "nothing") == []
-    assert C.table_schema(spark, "shop.table1") == {"col1": "bigint", "col2": "string"} and C.download(spark, "shop.nothing") == (None, {})
+    assert C.table_schema(spark, "shop.table1") == {"col1": "bigint", "col2": "string"}
     assert C.drop_nested_variants(spark, "shop") == ["table1_quality_quality"]
     K.write(spark.table("shop.table1"), str(tmp_path / "p"), "parquet")
     C.promote(spark, "shop.promoted", str(tmp_path / "p"))
@@ -194,3 +195,42 @@ def test_runs_put_at_once_are_all_in_the_index(tmp_path):
     with ThreadPoolExecutor(8) as pool:
         runs = set(pool.map(lambda i: ReportStore(str(tmp_path)).put(status="complete", report={"datasets": [], "n": i}), range(60)))
     assert set(ReportStore(str(tmp_path)).index()) == runs and len(runs) == 60
+
+
+def test_tables_are_found_by_name_and_by_path(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE lookup LOCATION '{tmp_path}/db'")
+    spark.range(3).write.parquet(f"{tmp_path}/files")
+    C.promote(spark, ("lookup", "sales_2024"), f"{tmp_path}/files")
+    assert C.find(spark, "sales_*") == [("lookup", "sales_2024")] and C.find(spark, "sales_*", "default") == []
+    assert C.at_path(spark, f"{tmp_path}/files", "lookup") == ("lookup", "sales_2024") and C.at_path(spark, f"{tmp_path}/other", "lookup") is None
+    gone, schema = C.download(spark, "lookup.nothing")
+    assert gone.columns == [] and gone.count() == 0 and schema == {}
+    spark.sql("DROP DATABASE lookup CASCADE")
+
+
+def test_runs_by_themselves_and_what_is_not_found(spark, tmp_path, caplog):
+    (tmp_path / "data").mkdir()
+    (tmp_path / "data" / "a.csv").write_text("x,y\n1,2\n3,4\n")
+    store = K.ReportStore(str(tmp_path / "runs"))
+    with caplog.at_level("INFO", "sparkgauge.plans.assistant"):
+        good, thread = run_async(spark, SourceConfig("local", str(tmp_path / "data")), store, anomalies=AnomalyConfig(use_isolation_forest=False))
+        thread.join(120)
+        bad, thread = run_async(spark, SourceConfig("local", str(tmp_path / "nowhere")), store)
+        thread.join(120)
+    index = store.index()
+    assert index[good]["status"] == "complete" and store.found(good)["datasets"][0]["rows"] == 2
+    assert index[bad]["status"] == "error" and index[bad]["error"] and set(index) == {good, bad}
+    events = [json.loads(r.getMessage()) for r in caplog.records if r.name == "sparkgauge.plans.assistant"]
+    assert [(e["run"], e["event"]) for e in events] == [(good, "start"), (good, "complete"), (bad, "start"), (bad, "error")]
+    with pytest.raises(KeyError):
+        store.found(bad)
+    with pytest.raises(KeyError):
+        store.found_artifact(good, "none.csv")
+
+
+def test_truth_records_lie_beside_variants(spark, tmp_path):
+    df = spark.range(100).selectExpr("id", "id % 7 AS v", "'a@example.org' AS mail")
+    variants(df, "t", ["id"], str(tmp_path), scenarios={"medium_quality": D.SCENARIOS["medium_quality"]})
+    record = json.loads(spark.read.text(f"{tmp_path}/t_medium_quality_truth.json").first().value)
+    assert record["row_count"] == 100 and record["expected_semantic_types"] == {"mail": "Email"}
+    assert record["degradation_metadata"]["missing"] == {"share": 0.1, "rows": 10} and record["degradation_metadata"]["duplicates"]["rows"] == 5
