@@ -232,4 +232,37 @@ def keep(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", F.round("score", 6).alias("score"), "question_overlap", "answer_overlap")
+
+
+def _windows_sql(w: str, k: int) -> str:
+    return f"list_transform(range(1, len({w}) - {k - 2}), lambda i: array_to_string({w}[i:i+{k - 1}], ' '))"
+
+
+#: What ``docs(doc_id, text)`` of unique ids leaks of ``benchmark``, by scores of all items for all passages.
+SQL = rf"""
+d_items AS MATERIALIZED (SELECT item_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+d_long AS (SELECT *, len(w) AS n, greatest({MIN_WORDS}, len(w) // 3) AS tail FROM d_items WHERE len(w) >= {MIN_WORDS}),
+d_all AS (SELECT count(*) AS items, avg(n) AS mean, greatest({MIN_SPAN}, COALESCE(max(n), 0)) AS span FROM d_long),
+d_pairs AS (SELECT item_id, n, term, count(*) AS tf FROM (SELECT item_id, n, unnest({_windows_sql('w', 2)}) AS term FROM d_long) GROUP BY item_id, n, term),
+d_often AS (SELECT term, count(*) AS df FROM d_pairs GROUP BY term),
+d_impacts AS (SELECT item_id, term, ln(1 + (items - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * {K1 + 1}::DOUBLE / (tf + {K1}::DOUBLE * ({1 - B}::DOUBLE + {B}::DOUBLE * n / mean)) AS x FROM d_pairs JOIN d_often USING (term), d_all),
+d_shares AS MATERIALIZED (SELECT item_id, term, x / sum(x) OVER (PARTITION BY item_id) AS x FROM d_impacts),
+d_docs AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(COALESCE(text, '')), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM docs),
+d_hits AS (SELECT doc_id, i // span AS step, g[i+1] AS term FROM (SELECT doc_id, g, unnest(range(0, len(g))) AS i FROM (SELECT doc_id, {_windows_sql('w', 2)} AS g FROM d_docs WHERE len(w) >= {MIN_WORDS})), d_all),
+d_passages AS (SELECT DISTINCT doc_id, unnest([step, step - 1]) AS k, term FROM d_hits WHERE term IN (SELECT term FROM d_often)),
+d_scores AS (SELECT doc_id, k, item_id, sum(x) AS score FROM d_passages JOIN d_shares USING (term) WHERE k >= 0 GROUP BY doc_id, k, item_id HAVING sum(x) >= {SHARE} - 1e-9),
+d_best AS (SELECT doc_id, item_id, max(score) AS score FROM d_scores GROUP BY doc_id, item_id),
+d_parts AS (SELECT *, w[1:greatest({MIN_WORDS}, n - tail)] AS q, w[n-tail+1:n] AS a FROM d_long),
+d_runs AS (SELECT item_id, list_distinct({_windows_sql('q', 5)}) AS q, list_distinct({_windows_sql('a', 5)}) AS a FROM d_parts),
+d_own AS (SELECT doc_id, {_windows_sql('w', 5)} AS g FROM d_docs WHERE doc_id IN (SELECT doc_id FROM d_best)),
+d_overlaps AS (SELECT doc_id, item_id, score, len(list_intersect(q, g))::DOUBLE / len(q) AS question_overlap, len(list_intersect(a, g))::DOUBLE / len(a) AS answer_overlap FROM d_best JOIN d_runs USING (item_id) JOIN d_own USING (doc_id)),
+d_short AS (SELECT doc_id, item_id FROM d_docs d JOIN d_items s ON len(s.w) BETWEEN 1 AND {MIN_WORDS - 1} AND (len(s.w) > 1 OR len(d.w) = 1) AND contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(s.w, ' ') || ' ')),
+d_leaks AS (
+  SELECT doc_id, item_id, round(score, 6) AS score, question_overlap, answer_overlap FROM d_overlaps WHERE question_overlap >= {OVERLAP} AND answer_overlap >= {OVERLAP}
+  UNION ALL SELECT doc_id, item_id, 1.0, 1.0, 1.0 FROM d_short)
+"""
+OP6_SQL = "WITH docs AS (SELECT doc_id, text FROM documents), " + SQL + """
+SELECT doc_id, item_id, score, question_overlap, answer_overlap FROM d_leaks
+"""

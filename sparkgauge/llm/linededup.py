@@ -139,3 +139,34 @@ def keep(docs: DataFrame) -> DataFrame:
 def op9(spark, sf_dir: str) -> DataFrame:
     out = deduped(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("d.doc_id", "text", "n_removed")
+
+
+#: What is left of ``docs(doc_id, text)`` of unique ids.
+SQL = rf"""
+l_texts AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM docs WHERE text <> ''),
+l_lines AS MATERIALIZED (SELECT doc_id, i - 1 AS i, ls[i] AS line, len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) AS n FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM l_texts)),
+l_worded AS MATERIALIZED (SELECT *, sum(n) OVER w AS c, row_number() OVER w AS r FROM l_lines WHERE n > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+l_near AS (
+  SELECT a.doc_id, a.i, a.n, b.i AS j, b.r > a.r AS below, abs(b.c - a.c) + CASE WHEN b.r > a.r THEN a.n ELSE b.n END AS words
+  FROM l_worded a JOIN l_worded b ON a.doc_id = b.doc_id AND b.r BETWEEN a.r - {MIN_WORDS} AND a.r + {MIN_WORDS} AND b.r <> a.r),
+l_reach AS (SELECT doc_id, i, min(j) FILTER (WHERE below AND words >= {MIN_WORDS}) AS down, max(j) FILTER (WHERE NOT below AND words >= {MIN_WORDS}) AS up FROM l_near GROUP BY doc_id, i),
+l_ends AS (
+  SELECT w.doc_id, w.i, CASE WHEN w.n >= {LONG_WORDS} THEN w.i WHEN w.n >= {MIN_WORDS} AND next.n = 0 THEN w.i + 1 ELSE down END AS down,
+    CASE WHEN w.n >= {LONG_WORDS} THEN w.i WHEN w.n >= {MIN_WORDS} AND prev.n = 0 THEN w.i - 1 ELSE up END AS up
+  FROM l_worded w LEFT JOIN l_reach r ON r.doc_id = w.doc_id AND r.i = w.i
+  LEFT JOIN l_lines next ON next.doc_id = w.doc_id AND next.i = w.i + 1 LEFT JOIN l_lines prev ON prev.doc_id = w.doc_id AND prev.i = w.i - 1),
+l_runs AS (SELECT doc_id, i AS place, down - i + 1 AS size FROM l_ends WHERE down IS NOT NULL UNION SELECT doc_id, up, i - up + 1 FROM l_ends WHERE up IS NOT NULL),
+l_bodies AS MATERIALIZED (SELECT r.*, array_to_string(ls[place+1:place+size], chr(10)) AS body FROM l_runs r JOIN l_texts USING (doc_id)),
+l_twice AS (SELECT body, min(doc_id) AS first_id, arg_min(place, (doc_id, place)) AS first_place FROM l_bodies GROUP BY body HAVING min(doc_id) <> max(doc_id)),
+l_spans AS (SELECT doc_id, greatest(place, CASE WHEN doc_id = first_id THEN first_place + size ELSE 0 END) AS lo, place + size AS hi FROM l_bodies JOIN l_twice USING (body)),
+l_lost AS (SELECT DISTINCT doc_id, unnest(range(lo, hi)) AS i FROM l_spans WHERE lo < hi),
+l_left AS (SELECT l.*, x.i IS NOT NULL AS lost, l.i - row_number() OVER (PARTITION BY l.doc_id, x.i IS NULL ORDER BY l.i) AS piece, max(l.i) OVER (PARTITION BY l.doc_id) AS last FROM l_lines l LEFT JOIN l_lost x ON x.doc_id = l.doc_id AND x.i = l.i),
+l_pieces AS (SELECT *, lost OR (min(i) OVER p > 0 AND max(i) OVER p < last AND max(n) OVER p = 0) AS out FROM l_left WINDOW p AS (PARTITION BY doc_id, lost, piece)),
+l_rest AS (SELECT doc_id, bool_or(lost) AS cut, COALESCE(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT out), '') AS rest, count(*) AS lines, count(*) FILTER (WHERE out) AS gone, COALESCE(bool_or(n > 0) FILTER (WHERE NOT out), false) AS worded FROM l_pieces GROUP BY doc_id),
+l_done AS (
+  SELECT docs.* REPLACE (CASE WHEN NOT COALESCE(cut, false) THEN text WHEN worded THEN rest ELSE '' END AS text),
+    CASE WHEN NOT COALESCE(cut, false) THEN 0 WHEN worded THEN gone ELSE lines END::BIGINT AS n_removed FROM docs LEFT JOIN l_rest USING (doc_id))
+"""
+OP9_SQL = "WITH docs AS (SELECT doc_id, text FROM documents), " + SQL + """
+SELECT doc_id, text, n_removed FROM l_done
+"""

@@ -391,3 +391,22 @@ def op7(spark, sf_dir: str) -> DataFrame:
     out = grouped(docs, k=2)
     doc_id, root = F.nullif(F.col("k"), F.lit(_LAST)), F.nullif(F.col("root"), F.lit(_LAST))
     return out.select(doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), root.alias("component_id"), (F.col("k") == F.col("root")).alias("kept"))
+
+
+#: Groups of ``docs(doc_id, text)`` of unique ids by all pairs of two-word sets; for tables that such pairs are cheap on.
+SQL = r"""
+n_words AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM docs),
+n_sets AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1]))) END AS s FROM n_words),
+n_classes AS MATERIALIZED (SELECT s, min(doc_id) AS c, len(s) AS n FROM n_sets WHERE len(s) > 0 GROUP BY s),
+n_terms AS MATERIALIZED (SELECT c, n, unnest(s) AS t FROM n_classes),
+n_links AS MATERIALIZED (
+  SELECT a.c AS a, b.c AS b FROM n_terms a JOIN n_terms b ON a.t = b.t AND a.c < b.c AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+n_edges AS (SELECT a, b FROM n_links UNION ALL SELECT b, a FROM n_links),
+n_reach(a, b) AS (SELECT c, c FROM n_classes UNION SELECT r.a, e.b FROM n_reach r JOIN n_edges e ON e.a = r.b),
+n_low AS (SELECT a AS c, min(b) AS low FROM n_reach GROUP BY a),
+n_grouped AS (SELECT doc_id, len(n_sets.s)::BIGINT AS n_shingles, COALESCE(low, doc_id) AS component_id FROM n_sets LEFT JOIN n_classes ON n_classes.s = n_sets.s LEFT JOIN n_low USING (c))
+"""
+OP7_SQL = "WITH RECURSIVE docs AS (SELECT doc_id, text FROM documents), " + SQL + """
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n_grouped
+"""

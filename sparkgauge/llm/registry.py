@@ -21,7 +21,10 @@ ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op2_quality": quality.OP2_SQL,
     "op5_urlfilter": urlfilter.OP5_SQL,
+    "op6_decontam": decontam.OP6_SQL,
+    "op7_neardup": neardup.OP7_SQL,
     "op8_chat": chat.OP8_SQL,
     "chat_calls": chat.CHAT_CALLS_SQL,
+    "op9_linededup": linededup.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
 }
