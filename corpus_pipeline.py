@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 folder and gives it to the next. All but the last return the columns of documents; the last returns a row per copy that
 the mix takes, with those columns and ``copy``.
 
-The near-dedup and decontamination have no SQL form, so ORACLE_SQL is None; a test holds ``run`` against a plain version.
+ORACLE_SQL chains the operators' SQL, which compares all pairs; a test also holds ``run`` against a plain version.
 
 Defined cases of all stages: an empty table gives an empty table with the same columns; nulls in any column pass, a null
 text counts as empty; equal rows are treated alike; other columns, whatever their names, pass unchanged, but for
@@ -60,7 +60,21 @@ STAGES = [
     ("decontaminate", decontaminate),
     ("mix_sources", mix_sources),
 ]
-ORACLE_SQL = None
+#: The rows of ``run`` in DuckDB's SQL, for documents of unique ids: a table per stage, each over the one before.
+ORACLE_SQL = f"""
+WITH
+after_rules AS MATERIALIZED (WITH docs AS (SELECT * FROM documents), {quality.SQL} SELECT doc_id, text, lang, source FROM q_judged WHERE kept),
+after_lines AS MATERIALIZED (WITH docs AS (SELECT * FROM after_rules), {linededup.SQL} SELECT * EXCLUDE (n_removed) FROM l_done WHERE n_removed = 0 OR regexp_matches(text, '[^\\x20\\x09-\\x0D]')),
+after_copies AS MATERIALIZED (
+  WITH RECURSIVE docs AS (SELECT * FROM after_lines), {neardup.SQL} SELECT docs.* FROM docs JOIN n_grouped USING (doc_id) WHERE doc_id = component_id),
+after_leaks AS MATERIALIZED (WITH docs AS (SELECT * FROM after_copies), {decontam.SQL} SELECT * FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM d_leaks)),
+mixed AS (
+  WITH docs AS (SELECT * FROM after_leaks) {mixing.SQL}
+  SELECT doc_id, source, text, size, whole, extra, unnest(range(1, whole + CASE WHEN extra > 0 THEN 2 ELSE 1 END)) AS copy FROM mix_rows WHERE size > 0),
+cut AS (
+  SELECT * REPLACE (CASE WHEN copy > whole AND extra < size THEN array_to_string(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')[1:extra], ' ') ELSE text END AS text) FROM mixed)
+SELECT cut.doc_id, cut.text, lang, cut.source, length(cut.text)::BIGINT AS n_chars, copy::INT AS copy FROM cut JOIN after_leaks USING (doc_id)
+"""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
