@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, extraction, linededup, mixing, neardup, quality, toxicity, urlfilter, warc
+from . import audit, centroids, chat, decontam, extraction, linededup, mixing, neardup, pieces, quality, toxicity, urlfilter, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1,
@@ -16,6 +16,9 @@ QUERIES = {
     "chat_calls": chat.chat_calls,
     "op9_linededup": linededup.op9,
     "op10_warc": warc.op10,
+    "op11_centroids": centroids.op11,
+    "op12_audit": audit.op12,
+    "op13_pieces": pieces.op13,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
@@ -27,4 +30,6 @@ ORACLE_SQL = {
     "chat_calls": chat.CHAT_CALLS_SQL,
     "op9_linededup": linededup.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op11_centroids": centroids.OP11_SQL,
+    "op12_audit": audit.OP12_SQL,
 }
