@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 
 from .common import table
 
-#: Bytes of distinct texts that a task joins before it sends them on.
-HELD = 1 << 25
+#: Bytes of distinct texts that a task joins before it sends them on, and bytes of all texts for each partition of the routing.
+HELD, PARTITION_BYTES = 1 << 25, 1 << 27
 
 
 class Facts(NamedTuple):
@@ -142,7 +142,8 @@ def _home(key: int) -> int:
 def masks(docs: DataFrame, id: str = "doc_id", part: str = "lang", text: str = "text") -> DataFrame:
     """(id, part, mask, n) of the rows, with n equal ones in a row at times."""
     rows = docs.select(F.col(id), F.col(part).cast("string"), F.col(text)).rdd.mapPartitions(_sent)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // PARTITION_BYTES)
     routed: RDD = rows.repartitionAndSortWithinPartitions(parts, _home)
     fields = [T.StructField("id", docs.schema[id].dataType), T.StructField("part", T.StringType()), T.StructField("mask", T.IntegerType()), T.StructField("n", T.LongType())]
     return docs.sparkSession.createDataFrame(routed.mapPartitions(_audited), T.StructType(fields), verifySchema=False)
