@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import partial
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ from .common import released, table, whole, written
 MARK = "▁"
 TABLE_ROWS = 1 << 18
 CHUNK_CHARS = 48
-#: Characters of texts that are worked on at once.
-SLICE = 1 << 24
+#: Bytes of texts, and ids, that are worked on at once.
+SLICE = 1 << 22
 _chunks = re.compile(" +[^ ]*").findall
 
 
@@ -79,17 +80,15 @@ def separable(model: bytes) -> bool:
 
 
 class Encoder:
-    """A model on one worker, with the ids of the chunks it was given."""
+    """A model on one worker, with the ids of the chunks it was given. ``cuts`` says whether texts may be cut."""
 
-    def __init__(self, model: bytes, known: bytes | None = None):
+    def __init__(self, model: bytes, cuts: bool, known: bytes | None = None):
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.cuts = separable(model)
+        self.cuts = cuts
         self.mark = [self.library.piece_to_id(MARK)]
-        rows = pa.ipc.open_stream(known).read_all() if known else pa.table({"chunk": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
-        self.chunks = pa.concat_arrays(rows["chunk"].chunks or [pa.array([], pa.string())])
-        lists = pa.concat_arrays(rows["ids"].chunks or [pa.array([], pa.list_(pa.int32()))])
-        self.sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.ids = lists.flatten().to_numpy(zero_copy_only=False)
+        rows = pa.ipc.open_stream(known).read_all() if known else pa.table({"chunk": pa.array([], pa.string()), "ids": pa.array([], IDS)})
+        self.ids = pa.concat_arrays([*rows["ids"].chunks, pa.array([], IDS)])
+        self.known = dict(zip(chain.from_iterable(map(_strings, rows["chunk"].chunks)), range(rows.num_rows), strict=True))
 
     def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """Rows in the order in which their chunks come, numbers of chunks, and the chunks, without the first marker of each."""
@@ -99,48 +98,56 @@ class Encoder:
         texts = pc.replace_substring(texts, MARK, " ")
         odd = pc.or_(pc.match_substring_regex(texts, "^ |  | $"), pc.equal(texts, "")).to_numpy(zero_copy_only=False)
         even = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
-        lists = [[c[1:] for c in _chunks(" " + t)] if t else [] for t in texts.filter(pa.array(odd)).to_pylist()]
+        lists = [[c[1:] for c in _chunks(" " + t)] if t else [] for t in _strings(texts.filter(pa.array(odd)))]
         sizes = np.concatenate([pc.list_value_length(even).to_numpy(zero_copy_only=False), np.array([len(x) for x in lists], dtype=np.int64)]).astype(np.int64)
         flat = pa.concat_arrays([even.flatten(), pa.array([c for x in lists for c in x], texts.type)])
         return np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)]), sizes, flat
 
-    def segment(self, chunks: list[str]) -> list[list[int]]:
+    def segment(self, chunks: list[str]) -> pa.Array:
         """Ids of chunks that stand behind their first marker. An empty chunk is a marker alone, where texts are cut."""
-        found = self.library.encode(chunks, num_threads=1)
-        return [ids if c or not self.cuts else self.mark for c, ids in zip(chunks, found, strict=True)]
+        found = self.library.encode(chunks, num_threads=1) if chunks else []
+        if self.cuts:
+            found = [ids if c else self.mark for c, ids in zip(chunks, found, strict=True)]
+        return _lists(chain.from_iterable(found), [len(ids) for ids in found])
 
     def encode(self, texts: pa.Array, end: bool = True) -> pa.Array:
         order, per_text, flat = self.cut(texts)
         places = flat.dictionary_encode()
-        distinct = places.dictionary
-        at = pc.index_in(distinct, value_set=self.chunks)
-        new = self.segment(distinct.filter(pc.is_null(at)).to_pylist())
-        # Ids of this batch's distinct chunks: those of the table, then the new ones.
-        sizes = np.concatenate([self.sizes, np.array([len(x) for x in new], dtype=np.int64)])
-        ids = np.concatenate([self.ids, np.array([i for x in new for i in x], dtype=np.int32)])
-        starts = np.cumsum(sizes) - sizes
-        row = at.to_numpy(zero_copy_only=False).astype(np.float64)
-        lost = np.isnan(row)
-        row[lost] = len(self.sizes) + np.arange(int(lost.sum()))
-        rows = row.astype(np.int64)[places.indices.to_numpy(zero_copy_only=False)]
-        # Lengths of the texts in ids, in the order of the chunks, then the place of each id.
-        sums = np.concatenate([[0], np.cumsum(sizes[rows])])
-        ends = np.cumsum(per_text)
-        lengths = sums[ends] - sums[ends - per_text] + end
-        took = sizes[rows]
-        out = np.full(int(lengths.sum()), self.library.eos_id(), dtype=np.int32)
-        shift = np.repeat(np.arange(len(per_text)) * int(end), per_text)  # end ids before a chunk's text
-        to = np.arange(int(took.sum())) + np.repeat(shift, took)
-        out[to] = ids[np.arange(int(took.sum())) + np.repeat(starts[rows] - sums[:-1], took)]
-        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int64()), pa.array(out, pa.int32()))
+        distinct = _strings(places.dictionary)
+        # The batch's distinct chunks joined to the table; those that it lacks are segmented here and stand behind it, then the end id.
+        row = np.fromiter(map(self.known.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
+        lost = np.flatnonzero(row < 0)
+        row[lost] = len(self.ids) + np.arange(len(lost))
+        ids = pa.concat_arrays([self.ids, self.segment([distinct[i] for i in lost]), pa.array([[self.library.eos_id()]], IDS)])
+        sizes = pc.list_value_length(ids).to_numpy(zero_copy_only=False).astype(np.int64)
+        # Ids by position, and the ends of the texts among them.
+        rows, ends = row[places.indices.to_numpy(zero_copy_only=False)], np.cumsum(per_text)
+        if end:
+            rows, ends = np.insert(rows, ends, len(ids) - 1), ends + np.arange(1, len(ends) + 1)
+        upto = np.concatenate([[0], np.cumsum(sizes[rows])])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto[ends]]), pa.int32()), ids.take(pa.array(rows)).flatten())
         back = np.empty(len(order), dtype=np.int64)
         back[order] = np.arange(len(order))
-        return lists.take(pa.array(back)).cast(pa.list_(pa.int32()))
+        return lists.take(pa.array(back))
+
+
+IDS = pa.list_(pa.int32())
+
+
+def _strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def _lists(values: Iterable[int], sizes: list[int]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.fromiter(values, dtype=np.int32, count=int(ends[-1]))))
 
 
 def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch in runs of about ``SLICE`` bytes; a longer text is one of its own."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    """Rows of a batch in runs of about ``SLICE`` bytes of texts, or ids; a longer one is a run of its own."""
+    values = batch.column(column)
+    length = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+    sizes = pc.fill_null(length(values), 0).to_numpy(zero_copy_only=False)
     at, held = 0, 0
     for i, size in enumerate(sizes):
         if held and held + size > SLICE:
@@ -152,7 +159,7 @@ def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(batches: Iterable[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(model)
+    encoder = Encoder(model, True)
     for batch in batches:
         for part in _slices(batch, "text"):
             found = pc.value_counts(encoder.cut(part.column("text"))[2])
@@ -162,13 +169,14 @@ def _counted(batches: Iterable[pa.RecordBatch], model: bytes) -> Iterator[pa.Rec
 
 
 def _segmented(batches: Iterable[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(model)
+    encoder = Encoder(model, True)
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(encoder.segment(batch.column("chunk").to_pylist()), pa.list_(pa.int32()))], names=["chunk", "ids"])
+        yield pa.RecordBatch.from_arrays([batch.column("chunk"), encoder.segment(_strings(batch.column("chunk")))], names=["chunk", "ids"])
 
 
 def distinct_chunks(texts: DataFrame, model: bytes, most: int = TABLE_ROWS) -> DataFrame:
-    """(chunk, ids) of at most ``most`` distinct chunks of ``text``, the most frequent ones by powers of two of their counts."""
+    """(chunk, ids) of at most ``most`` distinct chunks of ``text``, the most frequent ones by powers of two of their counts;
+    for models that may be cut."""
     counts = written(texts.select("text").mapInArrow(partial(_counted, model=model), "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n")))
     power = F.floor(F.log2("n")).cast("int")
     classes = {r.p: r.rows for r in counts.groupBy(power.alias("p")).agg(F.count("*").alias("rows")).collect()}
@@ -182,7 +190,7 @@ def distinct_chunks(texts: DataFrame, model: bytes, most: int = TABLE_ROWS) -> D
 
 
 def _encoded(batches: Iterable[pa.RecordBatch], model: bytes, known, end: bool) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(model, known.value if known else None)
+    encoder = Encoder(model, known is not None, known.value if known else None)
     for batch in batches:
         for part in _slices(batch, "text"):
             yield pa.RecordBatch.from_arrays([part.column("d"), encoder.encode(part.column("text"), end)], names=["d", "ids"])
@@ -205,15 +213,19 @@ def encoded(docs: DataFrame, model: bytes, text: str = "text", end: bool = True,
 def _decoded(batches: Iterable[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
     library = sentencepiece.SentencePieceProcessor(model_proto=model)
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            texts = library.decode([ids or [] for ids in part.column("ids").to_pylist()], num_threads=1)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "text"])
+        for part in _slices(batch, "ids"):
+            lists = part.column("ids")
+            flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            texts = library.decode([flat[e - n : e].tolist() for e, n in zip(ends, sizes, strict=True)], num_threads=1)
+            names = [n for n in part.schema.names if n != "ids"]
+            yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(texts, pa.string())], names=[*names, "text"])
 
 
 def decoded(rows: DataFrame, model: bytes) -> DataFrame:
-    """``rows`` with the text of ``ids``; null ids give an empty text."""
-    return rows.mapInArrow(partial(_decoded, model=model), T.StructType([*rows.schema.fields, T.StructField("text", T.StringType())]))
+    """``rows`` with ``text`` in place of its ``ids``; null ids give an empty text."""
+    rest = [f for f in rows.schema.fields if f.name != "ids"]
+    return rows.mapInArrow(partial(_decoded, model=model), T.StructType([*rest, T.StructField("text", T.StringType())]))
 
 
 def op13(spark, sf_dir: str) -> DataFrame:
@@ -221,7 +233,6 @@ def op13(spark, sf_dir: str) -> DataFrame:
 
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         model = f.read()
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decoded(encoded(docs, model), model).select(
-        "d.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
-    )
+    rows = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    facts = rows.select("d.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), "ids")
+    return decoded(facts, model).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
