@@ -1,67 +1,122 @@
-"""Exact order statistics without a global sort, and seeded choices of exactly k rows."""
+"""Exact order statistics without a sort, and seeded choices of exactly k rows.
+
+Both are radix selections: a level counts rows by the next bits of a key, for all columns and ranks at once, and follows the
+bucket that holds each rank. No task ever ranks more rows than a level has buckets, however many rows there are.
+"""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import struct
+from collections.abc import Iterable, Iterator, Sequence
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rank error of the sketch that brackets a quantile: n / ACCURACY.
-ACCURACY = 10_000
+from ..sources.files import stored
+
+#: Low bits that each level of a selection leaves open; values that are few enough to be told apart at once.
+_SHIFTS, FEW = (52, 39, 26, 13, 0), 1 << 16
 _BITS, _LEVELS = 52, (40, 28, 16, 4, 0)
+_SIGN = np.uint64(1 << 63)
+
+
+def order_keys(x: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned numbers in the same order; both zeros are one value."""
+    bits = (x + 0.0).view(np.uint64)
+    return np.where(bits & _SIGN, ~bits, bits | _SIGN)
+
+
+def _value(key: int) -> float:
+    bits = key ^ (1 << 63) if key >> 63 else key ^ ((1 << 64) - 1)
+    return struct.unpack("<d", struct.pack("<Q", bits))[0]
+
+
+def _histogram(batches: Iterable[pa.RecordBatch], wanted: dict[int, list[int]] | None, above: int, shift: int) -> Iterator[pa.RecordBatch]:
+    """(i, bucket, n) of a task's values: their keys without the low ``shift`` bits, of those whose keys without the low
+    ``above`` bits are ``wanted`` in their column. Buckets are unsigned numbers in signed ones."""
+    held: dict[int, dict[int, int]] = {}
+    for batch in batches:
+        for i, column in enumerate(batch.columns):
+            if wanted is not None and i not in wanted:
+                continue
+            x = column.drop_null().to_numpy(zero_copy_only=False)
+            keys = order_keys(x[~np.isnan(x)])
+            if wanted is not None:
+                keys = keys[np.isin(keys >> np.uint64(above), np.array(wanted[i], dtype=np.uint64))]
+            buckets, counts = np.unique(keys >> np.uint64(shift), return_counts=True)
+            own = held.setdefault(i, {})
+            for b, n in zip(buckets.tolist(), counts.tolist(), strict=True):
+                own[b] = own.get(b, 0) + n
+    for i, own in held.items():
+        buckets = np.fromiter(own, dtype=np.uint64, count=len(own)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), i), pa.int32()), pa.array(buckets), pa.array(list(own.values()), pa.int64())], names=["i", "bucket", "n"])
+
+
+def order_statistics(df: DataFrame, values: Sequence[Column], ranks: dict[int, Sequence[int]] | None = None, shares: Sequence[float] = ()) -> tuple[list[int], dict[int, dict[int, float]]]:
+    """Counts of each expression's values, and its values of given ranks (from 0) in ascending order: ``ranks`` by expression,
+    or the ranks on both sides of ``shares``. Nulls and NaN are left out; infinite values take part."""
+    narrow = df.select(*[v.cast("double").alias(f"v{i}") for i, v in enumerate(values)])
+
+    def level(wanted: dict[int, list[int]] | None, above: int, shift: int) -> DataFrame:
+        counted = narrow.mapInArrow(partial(_histogram, wanted=wanted, above=above, shift=shift), "i int, bucket long, n long")
+        return stored(counted.groupBy("i", "bucket").agg(F.sum("n").alias("n")))
+
+    first = level(None, 64, _SHIFTS[0])
+    counts = [0] * len(values)
+    for r in first.groupBy("i").agg(F.sum("n").alias("n")).collect():
+        counts[r.i] = r.n
+    if ranks is None:
+        ranks = {i: sorted({k for q in shares for k in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))}) for i, n in enumerate(counts) if n}
+    # (expression, rank) -> (bucket so far, rank within it)
+    left = {(i, k): (0, k) for i, ks in ranks.items() for k in ks if k < counts[i]}
+    out: dict[int, dict[int, float]] = {i: {} for i in range(len(values))}
+    table, above, shift = first, 64, _SHIFTS[0]
+    while left:
+        todo = narrow.sparkSession.createDataFrame([(i, k, _signed(b), at) for (i, k), (b, at) in left.items()], "i int, k long, outer long, at long")
+        # Rows of one outer bucket are as many as a level has buckets, or FEW.
+        outer = F.shiftrightunsigned("bucket", above - shift) if above < 64 else F.lit(0).cast("long")
+        running = table.withColumn("outer", outer).withColumn("upto", F.sum("n").over(Window.partitionBy("i", "outer").orderBy(F.col("bucket").bitwiseXOR(F.lit(-(2**63))))))
+        hits = running.join(F.broadcast(todo), ["i", "outer"]).where("upto > at AND at >= upto - n").select("i", "k", "bucket", (F.col("at") - F.col("upto") + F.col("n")).alias("at"), "n")
+        found = hits.collect()  # a row for each rank
+        if shift == 0:
+            for r in found:
+                out[r.i][r.k] = _value(r.bucket % 2**64)
+            break
+        left = {(r.i, r.k): (r.bucket % 2**64, r.at) for r in found}
+        rows = sum({(r.i, r.bucket): r.n for r in found}.values())
+        wanted: dict[int, list[int]] = {}
+        for (i, _), (b, _) in left.items():
+            wanted.setdefault(i, []).append(b)
+        above, shift = shift, 0 if rows <= FEW else _SHIFTS[_SHIFTS.index(shift) + 1]
+        table = level(wanted, above, shift)
+    return counts, out
+
+
+def _signed(bucket: int) -> int:
+    return bucket - 2**64 if bucket >= 2**63 else bucket
 
 
 def quantiles(df: DataFrame, values: dict[str, Column], at: Sequence[float]) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles of each expression; nulls are left out, and columns of nulls give None.
+    """Linearly interpolated quantiles of each expression; nulls and NaN are left out, and columns without values give None.
 
-    The first pass brackets each rank by a sketch with a guaranteed rank error; the second groups only the values inside
-    the brackets and ranks them, so the work that needs order covers about 4 / ACCURACY of the rows.
+    A quantile that lies on a value is that value, also beside infinite ones.
     """
-    names = list(values)
-    if not names:
+    if not values:
         return {}
-    narrow = df.select(*[v.cast("double").alias(f"v{i}") for i, v in enumerate(values.values())])
-    aggregates = []
-    for i in range(len(names)):
-        shares = [x for q in at for x in (max(0.0, q - 2 / ACCURACY), min(1.0, q + 2 / ACCURACY))]
-        aggregates += [F.count(f"v{i}").alias(f"n{i}"), F.percentile_approx(f"v{i}", shares, ACCURACY).alias(f"b{i}"), F.min(f"v{i}").alias(f"lo{i}"), F.max(f"v{i}").alias(f"hi{i}")]
-    first = narrow.agg(*aggregates).first()
-    parts, bounds = [], {}
-    for i in range(len(names)):
-        n = first[f"n{i}"]
-        for j, share in enumerate(at if n else ()):
-            low = first[f"lo{i}"] if share * n < 3 or n < 3 * ACCURACY else first[f"b{i}"][2 * j]
-            high = first[f"hi{i}"] if (1 - share) * n < 3 or n < 3 * ACCURACY else first[f"b{i}"][2 * j + 1]
-            bounds[i, j] = (low, high)
-            parts.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"v{i}").alias("v"), F.lit(low).alias("low"), F.lit(high).alias("high")))
-    out: dict[str, list[float | None]] = {name: [None] * len(at) for name in names}
-    if not parts:
-        return out
-    rows = narrow.select(F.explode(F.array(*parts)).alias("x")).select("x.*").where("v <= high")
-    below = F.when(F.col("v") < F.col("low"), F.col("low")).otherwise(F.col("v"))
-    counts = rows.groupBy("i", "j", below.alias("v"), (F.col("v") < F.col("low")).alias("below")).agg(F.count("*").alias("n"))
-    order = Window.partitionBy("i", "j").orderBy(F.desc("below"), "v")
-    counts = counts.withColumn("upto", F.sum("n").over(order))
-    ranks = {}
-    for (i, j) in bounds:
-        h = (first[f"n{i}"] - 1) * at[j]
-        ranks[i, j] = (math.floor(h), math.ceil(h), h - math.floor(h))
-    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for (i, j), (lo, hi, _) in ranks.items()])
-    w = F.get(F.filter(wanted, lambda x: (x["i"] == F.col("i")) & (x["j"] == F.col("j"))), F.lit(0))
-    hit = lambda k: (F.col("upto") > w[k]) & (F.col("upto") - F.col("n") <= w[k]) & ~F.col("below")
-    found = counts.select("i", "j", "v", hit("lo").alias("is_lo"), hit("hi").alias("is_hi")).where("is_lo OR is_hi")
-    ends: dict[tuple[int, int], list[float]] = {}
-    for r in found.collect():  # two rows a quantile at most
-        pair = ends.setdefault((r.i, r.j), [0.0, 0.0])
-        if r.is_lo:
-            pair[0] = r.v
-        if r.is_hi:
-            pair[1] = r.v
-    for (i, j), (lo, hi) in ends.items():
-        out[names[i]][j] = lo + (hi - lo) * ranks[i, j][2]
-    return out
+    counts, found = order_statistics(df, list(values.values()), shares=at)
+
+    def between(i: int, share: float) -> float | None:
+        if not counts[i]:
+            return None
+        h = (counts[i] - 1) * share
+        lo, hi = found[i][math.floor(h)], found[i][math.ceil(h)]
+        return lo if lo == hi else lo + (hi - lo) * (h - math.floor(h))
+
+    return {name: [between(i, share) for share in at] for i, name in enumerate(values)}
 
 
 def seeded_hash(seed: str, *keys: Column) -> Column:
@@ -70,22 +125,58 @@ def seeded_hash(seed: str, *keys: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
-def smallest(df: DataFrame, hashed: Column, k: int) -> Column:
-    """A predicate that holds for the ``k`` rows of smallest hash: a comparison with a threshold found by radix counts.
-
-    Rows that share the threshold's hash are taken together.
-    """
-    if k <= 0:
-        return F.lit(False)
-    rows, left, path = df.select(hashed.alias("h")), k, 0
+def _threshold(hashes: DataFrame, k: int) -> tuple[int, int, int] | None:
+    """Of the numbers ``h`` (52 bits), the ``k``-th smallest, how many of it are among the ``k`` smallest, and how many there
+    are; None if there are fewer than ``k`` numbers."""
+    left, path, n = k, 0, 0
     for depth, shift in enumerate(_LEVELS):
-        here = rows if depth == 0 else rows.where(F.shiftright("h", _LEVELS[depth - 1]) == path)
+        here = hashes if depth == 0 else hashes.where(F.shiftright("h", _LEVELS[depth - 1]) == path)
         counts = sorted((r.b, r.n) for r in here.groupBy(F.shiftright("h", shift).alias("b")).agg(F.count("*").alias("n")).collect())  # 4096 rows at most
-        for bucket, n in counts:
+        for path, n in counts:
             if left <= n:
-                path = bucket
                 break
             left -= n
         else:
-            return F.lit(True)
-    return hashed <= F.lit(path)
+            return None
+    return path, left, n
+
+
+def smallest(df: DataFrame, hashed: Column, k: int) -> Column:
+    """A predicate that holds for the ``k`` rows of smallest hash: a comparison with a threshold found by radix counts.
+
+    Rows that share the threshold's hash are taken together; ``pick`` takes exactly ``k``.
+    """
+    if k <= 0:
+        return F.lit(False)
+    found = _threshold(df.select(hashed.alias("h")), k)
+    return F.lit(True) if found is None else hashed <= F.lit(found[0])
+
+
+def pick(df: DataFrame, into: str, k: int, hashed: Column, *ties: Column) -> DataFrame:
+    """``df`` with a boolean ``into`` that holds for exactly ``k`` rows (or all, if there are fewer): those of smallest hash.
+
+    Rows that share the threshold's hash are told apart by the hashes ``ties``, in turn. Those alike in all of them, such as equal
+    rows, are taken by their place in the input, which must give the same partitions when read again, as files and tables do.
+    """
+    if k <= 0:
+        return df.withColumn(into, F.lit(False))
+    hit, among, left = F.lit(False), F.lit(True), k
+    for h in (hashed, *ties):
+        found = _threshold(df.where(among).select(h.alias("h")), left)
+        if found is None:
+            return df.withColumn(into, hit | among)
+        path, left, n = found
+        hit, among = hit | (among & (h < F.lit(path))), among & (h == F.lit(path))
+        if left == n:
+            return df.withColumn(into, hit | among)
+    place = f"{into}_place"
+    df = df.withColumn(place, F.monotonically_increasing_id())
+    partition = F.shiftright(place, 33)
+    counts = {r.p: r.n for r in df.where(among).groupBy(partition.alias("p")).agg(F.count("*").alias("n")).collect()}  # a row for each partition
+    for last in sorted(counts):
+        if left <= counts[last]:
+            break
+        left -= counts[last]
+    inner = F.col(place).bitwiseAND(F.lit(2**33 - 1))
+    path, _, _ = _threshold(df.where(among & (partition == last)).select(inner.alias("h")), left)
+    return df.withColumn(into, hit | (among & ((partition < last) | ((partition == last) & (inner <= path))))).drop(place)

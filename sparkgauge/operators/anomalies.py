@@ -6,6 +6,7 @@ itself is a filter that reaches the scan. Nothing else than such bounds comes to
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -22,9 +23,9 @@ RARE_SHARE = 0.01
 MAX_DISTINCT, MIN_DISTINCT, DISTINCT_SHARE = 100, 2, 0.1
 
 
-
 def zscore_bounds(df: DataFrame, names: Sequence[str], threshold: float = Z_THRESHOLD) -> dict[str, tuple[float, float] | None]:
-    """Mean less and plus ``threshold`` population deviations; None where there is no spread."""
+    """Mean less and plus ``threshold`` population deviations; None where there is no spread, or an infinite value leaves
+    no finite one."""
     ensure_columns(df, names)
     if not names:
         return {}
@@ -32,15 +33,16 @@ def zscore_bounds(df: DataFrame, names: Sequence[str], threshold: float = Z_THRE
     out = {}
     for i, n in enumerate(names):
         mean, std = row[f"m{i}"], row[f"s{i}"]
-        out[n] = (mean - threshold * std, mean + threshold * std) if std else None
+        out[n] = (mean - threshold * std, mean + threshold * std) if std and math.isfinite(mean) and math.isfinite(std) else None
     return out
 
 
 def iqr_bounds(df: DataFrame, names: Sequence[str], reach: float = IQR_REACH) -> dict[str, tuple[float, float] | None]:
-    """Quartiles less and plus ``reach`` times their distance, which may be 0; None where there are no values."""
+    """Quartiles less and plus ``reach`` times their distance, which may be 0; None where there are no values, or a quartile
+    is infinite."""
     ensure_columns(df, names)
     found = quantiles(df, {n: number(df, n) for n in names}, (0.25, 0.75))
-    return {n: None if a is None else (a - reach * (b - a), b + reach * (b - a)) for n, (a, b) in found.items()}
+    return {n: (a - reach * (b - a), b + reach * (b - a)) if a is not None and math.isfinite(a) and math.isfinite(b) else None for n, (a, b) in found.items()}
 
 
 def outside(df: DataFrame, name: str, bounds: tuple[float, float] | None) -> Column:

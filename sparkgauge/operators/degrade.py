@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.order import seeded_hash, smallest
+from ..functions.order import pick, seeded_hash
 from ..functions.types import NUMERIC, ROW_INDEX, q, with_row_index
 
 TRUTH = "issue string, row string, column string"
@@ -39,20 +39,24 @@ SCENARIOS = {
 }
 
 
-def chosen(df: DataFrame, keys: Sequence[str], share: float, seed: str, rows: int | None = None) -> Column:
-    """A predicate for exactly int(rows * share) rows of unique keys."""
+#: The column that marks the chosen rows while a degradation is put together.
+HIT = "_hit"
+
+
+def chosen(df: DataFrame, keys: Sequence[str], share: float, seed: str, rows: int | None = None) -> DataFrame:
+    """``df`` with a boolean ``HIT`` for exactly int(rows * share) rows; rows of one key are told apart by a hash of all their
+    columns, and equal rows are interchangeable."""
     n = df.count() if rows is None else rows
-    hashed = seeded_hash(seed, *[q(k) for k in keys])
-    return smallest(df, hashed, int(n * share))
+    return pick(df, HIT, int(n * share), seeded_hash(seed, *[q(k) for k in keys]), seeded_hash(f"{seed}|row", *[q(c) for c in df.columns]))
 
 
 def key_text(keys: Sequence[str]) -> Column:
     return F.concat_ws("|", *[q(k).cast("string") for k in keys])
 
 
-def _truth(df: DataFrame, hit: Column, keys: Sequence[str], issue: str, columns: Sequence[str]) -> DataFrame:
+def _truth(marked: DataFrame, keys: Sequence[str], issue: str, columns: Sequence[str]) -> DataFrame:
     names = F.array(*[F.lit(c) for c in columns]) if columns else F.array().cast("array<string>")
-    return df.where(hit).select(F.lit(issue).alias("issue"), key_text(keys).alias("row"), F.explode(names).alias("column"))
+    return marked.where(HIT).select(F.lit(issue).alias("issue"), key_text(keys).alias("row"), F.explode(names).alias("column"))
 
 
 def _targets(df: DataFrame, keys: Sequence[str], kinds: tuple | None = None) -> list[str]:
@@ -61,51 +65,60 @@ def _targets(df: DataFrame, keys: Sequence[str], kinds: tuple | None = None) ->
 
 def missing(df: DataFrame, keys: Sequence[str], share: float, seed: str = "missing") -> tuple[DataFrame, DataFrame]:
     """All columns but the key of the chosen rows become null."""
-    hit, names = chosen(df, keys, share, seed), _targets(df, keys)
-    out = df.select(*[F.when(~hit, q(n)).alias(n) if n in names else q(n) for n in df.columns])
-    return out, _truth(df, hit, keys, "missing", names)
+    marked, names = chosen(df, keys, share, seed), _targets(df, keys)
+    out = marked.select(*[F.when(~q(HIT), q(n)).alias(n) if n in names else q(n) for n in df.columns])
+    return out, _truth(marked, keys, "missing", names)
 
 
 def outliers(df: DataFrame, keys: Sequence[str], share: float, seed: str = "outliers") -> tuple[DataFrame, DataFrame]:
-    """Numbers of the chosen rows are five times as large."""
+    """Numbers of the chosen rows are five times as large; integers end at the limits of their type."""
     names = _targets(df, keys, (T.LongType, T.DoubleType, T.IntegerType, T.FloatType))
+
+    def larger(n: str) -> Column:
+        kind = df.schema[n].dataType
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            return (q(n) * OUTLIER_FACTOR).cast(kind)
+        most = 2 ** (63 if isinstance(kind, T.LongType) else 31)
+        wide = q(n).cast("decimal(20,0)") * OUTLIER_FACTOR
+        return F.least(F.greatest(wide, F.lit(-most).cast("decimal(20,0)")), F.lit(most - 1).cast("decimal(20,0)")).cast(kind)
+
     if not names:
         return df, df.sparkSession.createDataFrame([], TRUTH)
-    hit = chosen(df, keys, share, seed)
-    out = df.select(*[F.when(hit, (q(n) * OUTLIER_FACTOR).cast(df.schema[n].dataType)).otherwise(q(n)).alias(n) if n in names else q(n) for n in df.columns])
-    return out, _truth(df, hit, keys, "outliers", names)
+    marked = chosen(df, keys, share, seed)
+    out = marked.select(*[F.when(q(HIT), larger(n)).otherwise(q(n)).alias(n) if n in names else q(n) for n in df.columns])
+    return out, _truth(marked, keys, "outliers", names)
 
 
 def invalid(df: DataFrame, keys: Sequence[str], share: float, seed: str = "invalid") -> tuple[DataFrame, DataFrame]:
     """Values of the chosen rows make no sense: numbers, whose columns become strings, read INVALID, others 999999."""
-    hit, names = chosen(df, keys, share, seed), _targets(df, keys)
+    marked, names = chosen(df, keys, share, seed), _targets(df, keys)
 
     def spoiled(n: str) -> Column:
         word = INVALID_NUMBER if isinstance(df.schema[n].dataType, NUMERIC) else INVALID_OTHER
-        return F.when(hit, F.lit(word)).otherwise(q(n).cast("string")).alias(n)
+        return F.when(q(HIT), F.lit(word)).otherwise(q(n).cast("string")).alias(n)
 
-    out = df.select(*[spoiled(n) if n in names else q(n) for n in df.columns])
-    return out, _truth(df, hit, keys, "invalid", names)
+    out = marked.select(*[spoiled(n) if n in names else q(n) for n in df.columns])
+    return out, _truth(marked, keys, "invalid", names)
 
 
 def formats(df: DataFrame, keys: Sequence[str], share: float, seed: str = "format") -> tuple[DataFrame, DataFrame]:
     """Values of the chosen rows are written otherwise: a blank before or behind, comma for point, stars, capitals."""
-    hit, names = chosen(df, keys, share, seed), _targets(df, keys)
+    marked, names = chosen(df, keys, share, seed), _targets(df, keys)
 
     def rewritten(n: str) -> Column:
         v = q(n).cast("string")
         kind = seeded_hash(f"{seed}|{n}", *[q(k) for k in keys]) % 5
         new = F.when(kind == 0, F.concat(F.lit(" "), v)).when(kind == 1, F.concat(v, F.lit(" "))).when(kind == 2, F.replace(v, F.lit("."), F.lit(","))).when(kind == 3, F.concat(F.lit("*"), v, F.lit("*"))).otherwise(F.upper(v))
-        return F.when(hit, new).otherwise(v).alias(n)
+        return F.when(q(HIT), new).otherwise(v).alias(n)
 
-    out = df.select(*[rewritten(n) if n in names else q(n) for n in df.columns])
-    return out, _truth(df, hit, keys, "format", names)
+    out = marked.select(*[rewritten(n) if n in names else q(n) for n in df.columns])
+    return out, _truth(marked, keys, "format", names)
 
 
 def duplicates(df: DataFrame, keys: Sequence[str], share: float, seed: str = "duplicates") -> tuple[DataFrame, DataFrame]:
     """The chosen rows once more, behind the others."""
-    hit = chosen(df, keys, share, seed)
-    return df.unionByName(df.where(hit)), _truth(df, hit, keys, "duplicates", [""])
+    marked = chosen(df, keys, share, seed)
+    return df.unionByName(marked.where(HIT).select(*[q(c) for c in df.columns])), _truth(marked, keys, "duplicates", [""])
 
 
 def drawn_duplicates(df: DataFrame, share: float, seed: str = "duplicates") -> tuple[DataFrame, DataFrame]:

@@ -1,7 +1,7 @@
 """Isolation forest (Liu, Ting and Zhou, 2008).
 
-Trees are grown on the driver from a bounded sample of trees * 256 rows, taken in order of a seeded hash of the row, so
-that a rerun grows the same forest. All rows are scored by Arrow batches against the broadcast trees, whose size depends
+Each tree is grown by a task of its own from 256 rows, which seeded hashes of the tree and the row choose, so that a rerun on
+any partitioning grows the same forest. All rows are scored by Arrow batches against the broadcast trees, whose size depends
 on the settings alone; the threshold is the exact quantile of all scores.
 
 Rows with a null or NaN feature are neither fitted nor flagged.
@@ -11,14 +11,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.order import quantiles
+from ..functions.order import pick, quantiles
 from ..functions.types import ensure_columns, number
 from ..sources.files import stored
 
@@ -61,19 +63,53 @@ def _lengths(tree: np.ndarray, x: np.ndarray) -> np.ndarray:
     return depth
 
 
-def fitted(df: DataFrame, columns: Sequence[str], n_estimators: int = 100, random_state: int = 42) -> tuple[list[np.ndarray], int]:
-    """Trees and the size of their samples."""
+def _samples(df: DataFrame, columns: Sequence[str], n_estimators: int, seed: int) -> DataFrame:
+    """(tree, h, x) with ``SAMPLE`` rows a tree: those of smallest hash of the tree and the row.
+
+    Only the rows of smallest hash, ``SAMPLE`` for each tree, are dealt out. Equal rows are numbered, so that a tree may get some of
+    them; which ones makes no difference. So samples follow from the rows alone, whatever their partitions.
+    """
+    x = [f"x{i}" for i in range(len(columns))]
+    rows = df.select(*[(number(df, c) + F.lit(0.0)).alias(n) for n, c in zip(x, columns, strict=True)]).dropna()
+    hashed = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *x), 12)
+    pool = pick(rows, "_in", n_estimators * SAMPLE, hashed).where("_in").select(*x)
+    copy = F.row_number().over(Window.partitionBy(*x).orderBy(F.lit(0)))  # n_estimators * SAMPLE rows at most
+    pool = stored(pool.withColumn("copy", copy))
+    dealt = pool.select(F.explode(F.sequence(F.lit(0), F.lit(n_estimators - 1))).alias("tree"), F.array(*x).alias("x"), "copy").withColumn("h", F.xxhash64(F.lit(seed), "tree", "copy", "x"))
+    order = Window.partitionBy("tree").orderBy("h", "x", "copy")
+    return dealt.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE).select("tree", "rank", "x")
+
+
+def _grown(sample: pd.DataFrame, seed: int) -> pd.DataFrame:
+    """The nodes of one tree, from its sample."""
+    tree = int(sample["tree"].iloc[0])
+    x = np.array(sample.sort_values("rank")["x"].tolist(), dtype=float)
+    nodes: list[list[float]] = []
+    _grow(x, math.ceil(math.log2(max(len(x), 2))), np.random.Generator(np.random.PCG64([seed, tree])), nodes)
+    out = pd.DataFrame(nodes, columns=["feature", "cut", "low", "high", "path"])
+    out.insert(0, "tree", tree)
+    out.insert(1, "node", range(len(nodes)))
+    out["size"] = len(x)
+    return out
+
+
+FOREST = "tree int, node int, feature double, cut double, low double, high double, path double, size int"
+
+
+def grown(df: DataFrame, columns: Sequence[str], n_estimators: int = 100, random_state: int = 42) -> DataFrame:
+    """The forest as a table with a row for each node; no rows if no row of ``df`` is whole."""
     ensure_columns(df, columns)
-    whole = df.select(*[number(df, c).alias(f"x{i}") for i, c in enumerate(columns)]).dropna()
-    rows = whole.orderBy(F.xxhash64(F.lit(random_state), *whole.columns), *whole.columns).limit(n_estimators * SAMPLE).collect()
-    x = np.array([tuple(r) for r in rows], dtype=float).reshape(len(rows), len(columns))
-    rng, size = np.random.Generator(np.random.PCG64(random_state)), min(SAMPLE, len(x))
-    trees = []
-    for _ in range(n_estimators if size else 0):
-        nodes: list[list[float]] = []
-        _grow(x[rng.choice(len(x), size, replace=False)], math.ceil(math.log2(max(size, 2))), rng, nodes)
-        trees.append(np.array(nodes))
-    return trees, size
+    if random_state < 0:
+        raise ValueError("random_state must not be negative")
+    samples = _samples(df, columns, n_estimators, random_state)
+    return stored(samples.groupBy("tree").applyInPandas(partial(_grown, seed=random_state), FOREST))
+
+
+def fitted(df: DataFrame, columns: Sequence[str], n_estimators: int = 100, random_state: int = 42) -> tuple[list[np.ndarray], int]:
+    """Trees, as arrays of nodes, and the size of their samples: 2 * SAMPLE nodes a tree at most, whatever the table."""
+    nodes = grown(df, columns, n_estimators, random_state).toPandas().sort_values(["tree", "node"])
+    trees = [t[["feature", "cut", "low", "high", "path"]].to_numpy() for _, t in nodes.groupby("tree")]
+    return trees, int(nodes["size"].iloc[0]) if trees else 0
 
 
 def forest_scores(df: DataFrame, columns: Sequence[str], n_estimators: int = 100, random_state: int = 42, score: str = "anomaly_score") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.types import CATEGORICAL, NESTED, columns_of, is_missing, numeric_columns, q
+from ..functions.types import CATEGORICAL, NESTED, columns_of, is_missing, number, numeric_columns, q
 from .anomalies import _low_cardinality, frequencies
 
 #: Rows that text statistics cover, values they name, bounds of a category.
@@ -27,12 +27,16 @@ def missing_ratios(df: DataFrame) -> DataFrame:
 
 
 def numeric_stats(df: DataFrame) -> DataFrame:
-    """(column, mean, min, max, std, zeros) with sample deviation, 0.0 for one value; columns of nulls are left out."""
+    """(column, mean, min, max, std, zeros) with sample deviation, 0.0 for one value; columns of nulls are left out.
+
+    NaN makes the mean and the deviation NaN; smallest and largest skip it, unless nothing else is there.
+    """
     names = numeric_columns(df)
     parts = []
     for i, n in enumerate(names):
         x = q(n).cast("double")
-        parts += [F.avg(x).alias(f"mean{i}"), F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias(f"std{i}"), F.count_if(x == 0).alias(f"zeros{i}")]
+        real = number(df, n)
+        parts += [F.avg(x).alias(f"mean{i}"), F.coalesce(F.min(real), F.min(x)).alias(f"min{i}"), F.coalesce(F.max(real), F.max(x)).alias(f"max{i}"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias(f"std{i}"), F.count_if(x == 0).alias(f"zeros{i}")]
     fields = {k: T.DoubleType() for k in ("mean", "min", "max", "std")} | {"zeros": T.LongType()}
     return _long(df, df.agg(*parts) if parts else df, names, fields).where("min IS NOT NULL")
 

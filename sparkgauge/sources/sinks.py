@@ -9,6 +9,7 @@ import os
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +45,8 @@ def write_delta(df: DataFrame, path: str, schema: dict[str, str] | None = None)
     df = cast_columns(null_words(df), schema or {})
     try:
         df.write.format("delta").mode("overwrite").save(path)
-    except Exception as e:  # noqa: BLE001 the format's absence has no class of its own here
-        if "delta" not in str(e).lower():
+    except PySparkException as e:
+        if e.getCondition() != "DATA_SOURCE_NOT_FOUND":
             raise
         write_parquet(df, path)
 
