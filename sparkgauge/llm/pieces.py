@@ -36,8 +36,8 @@ from .common import released, table, whole, written
 MARK = "▁"
 TABLE_ROWS = 1 << 18
 CHUNK_CHARS = 48
-#: Bytes of texts, and ids, that are worked on at once.
-SLICE = 1 << 22
+#: Bytes of texts that are encoded at once, and ids that are decoded at once.
+SLICE, ID_SLICE = 1 << 22, 1 << 18
 _chunks = re.compile(" +[^ ]*").findall
 
 
@@ -144,13 +144,13 @@ def _lists(values: Iterable[int], sizes: list[int]) -> pa.Array:
 
 
 def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Rows of a batch in runs of about ``SLICE`` bytes of texts, or ids; a longer one is a run of its own."""
+    """Rows of a batch in runs of about ``SLICE`` bytes of texts, or ``ID_SLICE`` ids; a longer one is a run of its own."""
     values = batch.column(column)
-    length = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
-    sizes = pc.fill_null(length(values), 0).to_numpy(zero_copy_only=False)
+    is_list = pa.types.is_list(values.type)
+    sizes = pc.fill_null((pc.list_value_length if is_list else pc.binary_length)(values), 0).to_numpy(zero_copy_only=False)
     at, held = 0, 0
     for i, size in enumerate(sizes):
-        if held and held + size > SLICE:
+        if held and held + size > (ID_SLICE if is_list else SLICE):
             yield batch.slice(at, i - at)
             at, held = i, 0
         held += int(size)
@@ -189,15 +189,25 @@ def distinct_chunks(texts: DataFrame, model: bytes, most: int = TABLE_ROWS) -> D
     return out
 
 
-def _encoded(batches: Iterable[pa.RecordBatch], model: bytes, known, end: bool) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterable[pa.RecordBatch], model: bytes, known, end: bool, back: bool) -> Iterator[pa.RecordBatch]:
     encoder = Encoder(model, known is not None, known.value if known else None)
     for batch in batches:
         for part in _slices(batch, "text"):
-            yield pa.RecordBatch.from_arrays([part.column("d"), encoder.encode(part.column("text"), end)], names=["d", "ids"])
+            out = pa.RecordBatch.from_arrays([part.column("d"), encoder.encode(part.column("text"), end)], names=["d", "ids"])
+            for rows in _slices(out, "ids") if back else ():
+                yield rows.append_column("text", _texts_of(encoder.library, rows.column("ids")))
+            if not back:
+                yield out
 
 
-def encoded(docs: DataFrame, model: bytes, text: str = "text", end: bool = True, most: int = TABLE_ROWS) -> DataFrame:
-    """A struct ``d`` of the input's columns but ``text``, and ``ids``."""
+def _texts_of(library, lists: pa.Array) -> pa.Array:
+    flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    return pa.array(library.decode([flat[e - n : e].tolist() for e, n in zip(ends, sizes, strict=True)], num_threads=1), pa.string())
+
+
+def encoded(docs: DataFrame, model: bytes, text: str = "text", end: bool = True, most: int = TABLE_ROWS, back: bool = False) -> DataFrame:
+    """A struct ``d`` of the input's columns but ``text``, and ``ids``; with ``back`` also ``text``, which is decoded from the ids."""
     rest = docs.drop(text)
     texts = docs.select(whole(rest).alias("d") if rest.columns else F.struct(F.lit(None).cast("int").alias("none")).alias("d"), F.col(f"`{text}`").alias("text"))
     known = None
@@ -207,19 +217,16 @@ def encoded(docs: DataFrame, model: bytes, text: str = "text", end: bool = True,
         with pa.ipc.new_stream(sink, rows.schema) as stream:
             stream.write_table(rows)
         known = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
-    return texts.mapInArrow(partial(_encoded, model=model, known=known, end=end), T.StructType([texts.schema["d"], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    fields = [texts.schema["d"], T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("text", T.StringType())] * back]
+    return texts.mapInArrow(partial(_encoded, model=model, known=known, end=end, back=back), T.StructType(fields))
 
 
 def _decoded(batches: Iterable[pa.RecordBatch], model: bytes) -> Iterator[pa.RecordBatch]:
     library = sentencepiece.SentencePieceProcessor(model_proto=model)
     for batch in batches:
         for part in _slices(batch, "ids"):
-            lists = part.column("ids")
-            flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            ends = np.cumsum(sizes)
-            texts = library.decode([flat[e - n : e].tolist() for e, n in zip(ends, sizes, strict=True)], num_threads=1)
             names = [n for n in part.schema.names if n != "ids"]
-            yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(texts, pa.string())], names=[*names, "text"])
+            yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], _texts_of(library, part.column("ids"))], names=[*names, "text"])
 
 
 def decoded(rows: DataFrame, model: bytes) -> DataFrame:
@@ -233,6 +240,6 @@ def op13(spark, sf_dir: str) -> DataFrame:
 
     with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
         model = f.read()
-    rows = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    facts = rows.select("d.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), "ids")
-    return decoded(facts, model).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    rows = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), model, back=True)
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return rows.select("d.doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
