@@ -30,7 +30,8 @@ def as_boolean(value: Column) -> Column:
     return F.when(low.isin(*TRUE_WORDS), True).when(low.isin(*FALSE_WORDS), False)
 
 
-def _guarded(value: Column, guard: str, kind: str) -> Column:
+def guarded(value: Column, guard: str, kind: str) -> Column:
+    """A text as ``kind`` where it is written as the guard has it, else null."""
     return F.when(value.rlike(guard), value).try_cast(kind)
 
 
@@ -46,7 +47,7 @@ def inferred(df: DataFrame, names: Sequence[str] | None = None) -> dict[str, str
     for i, n in enumerate(names):
         v = _work(q(n))
         parts += [F.count(v).alias(f"n{i}"), F.count_if(F.lower(v).isin(*BOOLEAN_WORDS)).alias(f"b{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-        parts += [F.count(_guarded(v, guard, kind)).alias(f"r{i}_{k}") for k, (_, guard, kind) in enumerate(RUNGS)]
+        parts += [F.count(guarded(v, guard, kind)).alias(f"r{i}_{k}") for k, (_, guard, kind) in enumerate(RUNGS)]
     if not parts:
         return {}
     row = df.agg(*parts).first()
@@ -73,7 +74,7 @@ def refined(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
         kind = types.get(n, "string")
         if kind == "string":
             return q(n)
-        return (as_boolean(q(n)) if kind == "boolean" else _guarded(q(n), guards[kind], kind)).alias(n)
+        return (as_boolean(q(n)) if kind == "boolean" else guarded(q(n), guards[kind], kind)).alias(n)
 
     return df.select(*[cast(n) for n in df.columns])
 

@@ -21,7 +21,7 @@ from .plans.assistant import analyze, run_stream
 from .plans.config import AnomalyConfig, MappingConfig, SourceConfig
 from .queries import _MISSING_SQL, _NULLS, _ORDERS, _PATTERNS, ZSCORE_EVENTS, _degraded, _iqr_sql, _rare_sql, add, read
 from .sources import catalog as C
-from .sources.files import LocalFiles, csv_files, file_system, read_csv, read_file, scratch
+from .sources.files import LocalFiles, csv_files, file_system, read_csv, read_file, rejects, scratch
 from .sources.sinks import ReportStore, completeness, export_samples, mapped_percent, save_sample, write, write_delta
 
 # columns made from a key, one of each semantic type, as text
@@ -204,14 +204,39 @@ def report_store(spark, sf_dir):
 # sources
 
 
-@add("scan_headerless_csv", "SELECT n_nationkey::BIGINT AS column_0, n_name AS column_1 FROM nation UNION ALL SELECT 99, 'MORE'")
+def _ragged(spark, sf_dir) -> str:
+    """The orders as CSV of one file a partition, some lines with a field more and some with one less."""
+    top = f"{scratch(spark)}/orders.csv"
+    fields = ["o_orderkey", "o_custkey", "o_orderstatus"]
+    line = F.concat_ws(",", *[F.col(c).cast("string") for c in fields])
+    at = F.col("o_orderkey") % 10
+    line = F.when(at == 0, F.concat(line, F.lit(',"more, quoted",'), F.col("o_orderpriority"))).when(at == 1, F.concat_ws(",", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"))).otherwise(line)
+    read(spark, sf_dir, "orders").select(line.alias("value")).write.text(top)
+    return top
+
+
+@add("scan_headerless_csv", """
+SELECT o_orderkey::BIGINT AS column_0, o_custkey::BIGINT AS column_1, CASE WHEN o_orderkey % 10 <> 1 THEN o_orderstatus END AS column_2, CASE WHEN o_orderkey % 10 = 0 THEN 'more, quoted' END AS column_3,
+  CASE WHEN o_orderkey % 10 = 0 THEN o_orderpriority END AS column_4 FROM orders
+""")
 def scan_headerless_csv(spark, sf_dir):
-    """A line with more fields than the first shows that the first is no header."""
-    top = scratch(spark)
-    lines = read(spark, sf_dir, "nation").select(F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name").alias("value"))
-    lines.unionByName(spark.createDataFrame([("99,MORE,fields",)], "value string")).coalesce(1).write.text(f"{top}/nation.csv")
-    out = read_csv(spark, f"{top}/nation.csv")
-    return out.select(F.col("column_0").cast("long").alias("column_0"), "column_1")
+    """Lines that don't fit the first show that it is no header; every field of every line is kept."""
+    return read_csv(spark, _ragged(spark, sf_dir))
+
+
+@add("csv_rejects", """
+WITH x AS (SELECT *, CASE o_orderkey % 10 WHEN 0 THEN concat_ws(',', o_orderkey, o_custkey, o_orderstatus, '"more, quoted"', o_orderpriority) ELSE concat_ws(',', o_orderkey, o_custkey) END AS line FROM orders WHERE o_orderkey % 10 < 2)
+SELECT line FROM x
+""")
+def csv_rejects(spark, sf_dir):
+    """The lines with more or fewer fields than the header."""
+    top = _ragged(spark, sf_dir)
+    headed = f"{scratch(spark)}/headed.csv"
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)) == 0  # a header for each file
+    head = F.lit("key,customer,status")
+    spark.read.text(top).select(F.explode(F.when(first, F.array(head, F.col("value"))).otherwise(F.array("value"))).alias("value")).write.text(headed)
+    lines = rejects(spark, headed)
+    return lines.select("line")
 
 
 @add("csv_listing", "SELECT 'a.csv' AS name UNION ALL SELECT 'b.CSV'")

@@ -7,8 +7,12 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.types import q
+from ..operators.refine import RUNGS, guarded
 
 #: What is read.
 EXTENSIONS = (".csv", ".parquet", ".json", ".jsonl", ".ndjson")
@@ -53,10 +57,6 @@ def listed(spark: SparkSession, root: str, recursive: bool = True, extensions=EX
     return sorted(out)
 
 
-#: Signs that lines, not the file system, are what failed.
-MALFORMED = ("MALFORMED", "FAILED_READ_FILE", "BadRecord", "AMBIGUOUS_REFERENCE", "COLUMN_ALREADY_EXISTS", "TextParsingException", "UNRESOLVED_COLUMN")
-
-
 def scratch(spark: SparkSession) -> str:
     """A new folder that all executors share, below spark.checkpoint.dir; only a local master may do without that setting."""
     top = spark.conf.get("spark.checkpoint.dir", None)
@@ -77,19 +77,70 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
+#: The column that holds a line whose fields aren't as many as the header's.
+_LINE = "_line"
+_BOOLEAN = ("true", "false")
+_RUNGS = (("int", RUNGS[0][1], "int"), *RUNGS)
+
+
+def _texts(spark: SparkSession, path: str, names: list[str], header: bool, lines: bool = False) -> DataFrame:
+    """A CSV file's fields as text, "" as null, and on demand the lines whose fields don't fit the names."""
+    fields = [T.StructField(n, T.StringType()) for n in (*names, *([_LINE] if lines else []))]
+    options = {"header": header, "nullValue": "", "emptyValue": "", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _LINE}
+    return spark.read.schema(T.StructType(fields)).options(**options).csv(path)
+
+
+def _survey(texts: DataFrame, names: list[str], *more: Column) -> tuple[dict[str, str], dict[str, int], tuple]:
+    """Types that take all values of each column, numbers of its values, and further aggregates, in one pass."""
+    parts = []
+    for i, n in enumerate(names):
+        v = q(n)
+        parts += [F.count(v).alias(f"n{i}"), F.count_if(F.lower(v).isin(*_BOOLEAN)).alias(f"b{i}"), *[F.count(guarded(v, guard, kind)).alias(f"r{i}_{k}") for k, (_, guard, kind) in enumerate(_RUNGS)]]
+    row = texts.agg(*parts, *[m.alias(f"m{i}") for i, m in enumerate(more)]).first()
+    types = {}
+    for i, n in enumerate(names):
+        fits = [name for k, (name, _, _) in enumerate(_RUNGS) if row[f"r{i}_{k}"] == row[f"n{i}"]] + ["boolean"] * (row[f"b{i}"] == row[f"n{i}"])
+        types[n] = fits[0] if fits and row[f"n{i}"] else "string"
+    return types, {n: row[f"n{i}"] for i, n in enumerate(names)}, tuple(row[f"m{i}"] for i in range(len(more)))
+
+
+def _typed(texts: DataFrame, types: dict[str, str]) -> DataFrame:
+    guards = {name: guard for name, guard, _ in _RUNGS}
+
+    def cast(n: str) -> Column:
+        kind = types[n]
+        return q(n) if kind == "string" else (F.lower(q(n)) == "true" if kind == "boolean" else guarded(q(n), guards[kind], kind)).alias(n)
+
+    return texts.select(*[cast(n) for n in texts.columns])
+
+
 def read_csv(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
-    """With a header, types inferred, "" as null; a file whose lines don't fit its header is read without one, with
-    columns column_0, column_1 and so on."""
-    options = {"inferSchema": True, "nullValue": "", "emptyValue": "", "mode": "FAILFAST", "samplingRatio": 1.0}
-    try:
-        df = limited(spark.read.options(header=True, **options).csv(path), rows)
-        df.selectExpr("count(*)", *[f"count(`{c}`)" for c in df.columns]).first()
-        return df
-    except Exception as e:  # noqa: BLE001 the reader's own errors come wrapped in several classes
-        if not any(x in f"{type(e).__name__} {e}" for x in MALFORMED):
-            raise
-        df = spark.read.options(header=False, inferSchema=True, nullValue="", emptyValue="").csv(path)
-        return limited(df.toDF(*[f"column_{i}" for i in range(len(df.columns))]), rows)
+    """With a header, types inferred from all values, "" as null.
+
+    A file in which a line has more or fewer fields than the header is read without one: all its lines are rows, of columns column_0,
+    column_1 and so on, as many as the longest line has fields; shorter lines end in nulls. ``rejects`` lists the lines that
+    don't fit. One pass surveys lines and types, a second one, by such files alone, the types without a header.
+    """
+    names = spark.read.options(header=True, nullValue="", emptyValue="").csv(path).columns
+    if not names:
+        return spark.createDataFrame([], T.StructType([]))
+    texts = limited(_texts(spark, path, names, True, True), rows)
+    commas = F.length(_LINE) - F.length(F.replace(_LINE, F.lit(","), F.lit("")))
+    types, _, (bad, most) = _survey(texts, names, F.count(_LINE), F.max(commas))
+    if not bad:
+        return _typed(limited(_texts(spark, path, names, True), rows), types)
+    wide = [f"column_{i}" for i in range(max(len(names), most + 1))]  # commas in quotes part no fields
+    types, held, _ = _survey(limited(_texts(spark, path, wide, False), rows), wide)
+    width = max([len(names), *[i + 1 for i, n in enumerate(wide) if held[n]]])
+    return _typed(limited(_texts(spark, path, wide[:width], False), rows), types)
+
+
+def rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(line, fields): the lines of a CSV file whose fields aren't as many as the header's, with the fields that it has names for."""
+    names = spark.read.options(header=True, nullValue="", emptyValue="").csv(path).columns
+    texts = _texts(spark, path, names, True, True).select(q(_LINE).alias("line"), F.array(*[q(n) for n in names]).alias("fields"))
+    # Tests that the reader doesn't take over, as it would before it knows the line, one with all fields, as it gives no line without them.
+    return texts.where((F.coalesce("line", F.lit("")) != "") & F.coalesce("line", F.array_max("fields")).isNotNull())
 
 
 def read_parquet(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:

@@ -9,7 +9,6 @@ import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +44,8 @@ def write_delta(df: DataFrame, path: str, schema: dict[str, str] | None = None)
     df = cast_columns(null_words(df), schema or {})
     try:
         df.write.format("delta").mode("overwrite").save(path)
-    except PySparkException as e:
-        if e.getCondition() != "DATA_SOURCE_NOT_FOUND":
+    except Exception as e:  # noqa: BLE001 it comes as an error of Java, with its condition in the text
+        if "[DATA_SOURCE_NOT_FOUND]" not in str(e):
             raise
         write_parquet(df, path)
 

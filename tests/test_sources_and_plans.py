@@ -13,7 +13,7 @@ from sparkgauge.plans.config import AnomalyConfig, MappingConfig, SourceConfig
 from sparkgauge.plans.variants import variants
 from sparkgauge.sources import catalog as C
 from sparkgauge.sources import sinks as K
-from sparkgauge.sources.files import Dataset, LocalFiles, csv_files, read_file
+from sparkgauge.sources.files import Dataset, LocalFiles, csv_files, read_file, read_csv, rejects
 
 
 @pytest.fixture()
@@ -234,3 +234,33 @@ def test_truth_records_lie_beside_variants(spark, tmp_path):
     record = json.loads(spark.read.text(f"{tmp_path}/t_medium_quality_truth.json").first().value)
     assert record["row_count"] == 100 and record["expected_semantic_types"] == {"mail": "Email"}
     assert record["degradation_metadata"]["missing"] == {"share": 0.1, "rows": 10} and record["degradation_metadata"]["duplicates"]["rows"] == 5
+
+
+def _csv(tmp_path, text):
+    path = tmp_path / "x.csv"
+    path.write_text(text, encoding="utf-8")
+    return str(path)
+
+
+@pytest.mark.parametrize("text, columns, rows", [
+    ("a,b\n1,x\n2,\n", ["a", "b"], [(1, "x"), (2, None)]),
+    ("a,b\n1,2\n3,4,5\n", ["column_0", "column_1", "column_2"], [("a", "b", None), ("1", "2", None), ("3", "4", 5)]),
+    ("1,2,3\n4,5\n", ["column_0", "column_1", "column_2"], [(1, 2, 3), (4, 5, None)]),
+    ('k,t\n1,"a, b, c"\n2,x,y\n', ["column_0", "column_1", "column_2"], [("k", "t", None), ("1", "a, b, c", None), ("2", "x", "y")]),
+    ("n,d,t,f\n1,2024-01-02,true,1.5\n-7,2024-02-03,FALSE,2\n", ["n", "d", "t", "f"], None),
+    ("a,b\n", ["a", "b"], []),
+])
+def test_csv_keeps_every_field(spark, tmp_path, text, columns, rows):
+    df = read_csv(spark, _csv(tmp_path, text))
+    assert df.columns == columns
+    if rows is None:
+        assert [f.dataType.simpleString() for f in df.schema.fields] == ["int", "date", "boolean", "double"]
+    else:
+        assert sorted(map(tuple, df.collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_csv_rejects_and_limits(spark, tmp_path):
+    path = _csv(tmp_path, "a,b\n1,2\n3\n4,5,6\n7,8\n")
+    assert sorted(r.line for r in rejects(spark, path).collect()) == ["3", "4,5,6"]
+    assert read_csv(spark, path, 1).columns == ["a", "b"]  # the lines that don't fit come later
+    assert read_csv(spark, path, 3).count() == 3
