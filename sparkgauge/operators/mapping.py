@@ -1,20 +1,21 @@
 """Mapping of column names onto reference fields, with a score for each pair and its reasons.
 
-Pairs of names are metadata: their number is that of columns times references, whatever the rows of the tables.
+Up to ``ALL_PAIRS`` pairs of names are scored one and all. Larger catalogs go through ``candidates``: equi-joins that find
+every pair whose score can matter to a decision, by an upper bound for each part of the score.
 """
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import normalized, tokens
+from ..functions.ratio import sequence_ratio
 from ..functions.types import NUMERIC
+from ..sources.files import stored
 from .semantic import semantic_types
 
 #: Other names of fields.
@@ -39,12 +40,8 @@ SYNONYMS = {
 NORM_EXACT, SYNONYM, SHORT_PENALTY, DTYPE_BOOST, CONTENT_BOOST = 0.98, 0.97, -0.02, 0.02, 0.5
 THRESHOLD, EPSILON = 0.72, 0.03
 MAX_CANDIDATES = 5
-
-
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity, which no built-in function has."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+#: Pairs of names up to which all are scored, with the references sent to all tasks.
+ALL_PAIRS = 1_000_000
 
 
 def merged_synonyms(user: dict[str, Iterable[str]] | None = None) -> dict[str, list[str]]:
@@ -85,11 +82,16 @@ def _jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
-def components(sources: DataFrame, references: DataFrame) -> DataFrame:
-    """Every pair of a source and a reference name with the parts of its score, those of ``sequence_ratio`` apart."""
+def _parsed(sources: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
     s = sources.withColumn("src_n", normalized(F.col("source"))).withColumn("src_t", tokens(F.col("source")))
-    r = references.withColumn("ref_t", tokens(F.col("ref"))).withColumn("alias_n", F.transform("aliases", normalized))
-    pairs = s.crossJoin(F.broadcast(r))  # names of columns and of fields
+    return s, references.withColumn("ref_t", tokens(F.col("ref"))).withColumn("alias_n", F.transform("aliases", normalized))
+
+
+def components(sources: DataFrame, references: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Every pair, or those of ``pairs`` (place, ref_place), of a source and a reference name with the parts of its score,
+    those of ``sequence_ratio`` apart."""
+    s, r = _parsed(sources, references)
+    pairs = s.crossJoin(r) if pairs is None else s.join(pairs, "place").join(r, "ref_place")
     synonym = F.array_contains("aliases", F.col("source")) | F.array_contains("alias_n", F.col("src_n")) | F.arrays_overlap("src_t", "alias_n")
     short = (F.size("src_t") == 1) & (F.length(F.get("src_t", F.lit(0))) <= 2) & (F.col("src_n") != F.col("ref_n"))
     detected_n = normalized(F.col("detected"))
@@ -107,14 +109,67 @@ def components(sources: DataFrame, references: DataFrame) -> DataFrame:
     )
 
 
-def scores(sources: DataFrame, references: DataFrame) -> DataFrame:
-    """Every pair with all parts, base and final score."""
-    rows = components(sources, references).withColumn("seq", sequence_ratio("src_n", "ref_n"))
+def scores(sources: DataFrame, references: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """Every pair, or those of ``pairs``, with all parts, base and final score."""
+    rows = components(sources, references, pairs).withColumn("seq", sequence_ratio("src_n", "ref_n"))
     rows = rows.withColumn("base", F.greatest("exact", "norm_exact", "synonym", "jaccard", "seq"))
     final = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("base") + F.col("dtype_boost") + F.col("pattern_boost") + F.col("length_penalty")))
     return rows.withColumn("final", final)
 
 
+def _elements(text: Column) -> Column:
+    """The characters of a text, each with its number among the equal ones before it."""
+    chars = F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
+    return F.transform(chars, lambda c, i: F.concat(c, F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c)).cast("string")))
+
+
+def _prefixes(s: DataFrame, r: DataFrame) -> DataFrame:
+    """(place, ref_place) of the sets ``set`` of ``s`` and ``r`` that share an element among their first ones.
+
+    ``least`` is a share: fewer common elements than that share of either set rule a pair out. Sets are ordered by how rare
+    their elements are, so two sets that have as many in common share one among those that may be missing and one more.
+    """
+    rows = s.select("place", F.lit(None).cast("int").alias("ref_place"), "set", "least").unionByName(r.select(F.lit(None).cast("int").alias("place"), "ref_place", "set", "least"))
+    each = rows.select("*", F.size("set").alias("size"), F.explode("set").alias("e"))
+    counts = each.groupBy("e").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("place", "ref_place").orderBy("n", "e")  # the elements of one name
+    kept = each.join(counts, "e").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * F.col("least") - 1e-9) + 1)
+    mine, theirs = kept.where("place IS NOT NULL").select("place", "e"), kept.where("ref_place IS NOT NULL").select("ref_place", "e")
+    return mine.join(theirs, "e").select("place", "ref_place").distinct()
+
+
+def candidates(sources: DataFrame, references: DataFrame, least: float) -> DataFrame:
+    """(place, ref_place) of all pairs whose final score can be ``least`` (above the boost by type) or more, and few others.
+
+    Without a boost by content, which an equi-join finds, one part of the base must make up for ``least``: names equal as normalised
+    and synonyms are equi-joins; a Jaccard score, or a sequence ratio, of ``t`` asks for a share of common tokens, or
+    characters, that prefixes filter. The ratio is bounded by the characters both names have, 2 * common / all.
+    """
+    if least - DTYPE_BOOST <= 0:
+        raise ValueError("the least score must be above the boost by type")
+    s, r = _parsed(sources, references)
+    s = s.withColumn("t", F.lit(least) - F.when(F.coalesce("numeric", F.lit(False)), DTYPE_BOOST).otherwise(0.0))
+    low = least - DTYPE_BOOST
+    det_n = normalized(F.col("detected"))
+
+    def joined(mine: Column, theirs: Column) -> DataFrame:
+        a = s.select("place", F.explode(F.array_distinct(mine)).alias("key")).where("key IS NOT NULL")
+        b = r.select("ref_place", F.explode(F.array_distinct(theirs)).alias("key")).where("key IS NOT NULL")
+        return a.join(b, "key").select("place", "ref_place")
+
+    out = joined(F.array("src_n"), F.array("ref_n")).unionByName(joined(F.array("source"), F.col("aliases"))).unionByName(joined(F.concat(F.array("src_n"), F.col("src_t")), F.col("alias_n")))
+    out = out.unionByName(joined(F.array(det_n), F.concat(F.array("ref_n"), F.col("alias_n"))))
+    # Jaccard >= t: at least t of each set's tokens are common
+    tokened = _prefixes(s.select("place", F.array_distinct("src_t").alias("set"), F.col("t").alias("least")), r.select("ref_place", F.array_distinct("ref_t").alias("set"), F.lit(low).alias("least")))
+    # ratio >= t: common >= t * (a + b) / 2 with b >= a * t / (2 - t), so at least t / (2 - t) of each name's characters are common
+    share = lambda t: t / (2 - t)
+    spelt = _prefixes(s.select("place", _elements(F.col("src_n")).alias("set"), share(F.col("t")).alias("least")), r.select("ref_place", _elements(F.col("ref_n")).alias("set"), F.lit(share(low)).alias("least")))
+    common = F.size(F.array_intersect(_elements(F.col("src_n")), _elements(F.col("ref_n"))))
+    spelt = spelt.join(s.select("place", "src_n", "t"), "place").join(r.select("ref_place", "ref_n"), "ref_place")
+    spelt = spelt.where(2.0 * common >= (F.col("t") - 1e-9) * (F.length("src_n") + F.length("ref_n"))).select("place", "ref_place")
+    return out.unionByName(tokened).unionByName(spelt).distinct()
+
+
 def decisions(scored: DataFrame, sources: DataFrame, threshold: float = THRESHOLD, epsilon: float = EPSILON, force: bool = False) -> DataFrame:
     """(source, status, target, score, reason, candidates) of every source.
 
@@ -138,6 +193,25 @@ def decisions(scored: DataFrame, sources: DataFrame, threshold: float = THRESHOL
     )
 
 
+def decided(sources: DataFrame, references: DataFrame, threshold: float = THRESHOLD, epsilon: float = EPSILON, force: bool = False, all_pairs: int = ALL_PAIRS) -> DataFrame:
+    """The decisions on all sources, as over all pairs. Beyond ``all_pairs`` pairs only candidates are scored; an ambiguous source that
+    has fewer of them than a decision lists is then scored against all references."""
+    n = references.count()
+    least = threshold - (0.0 if force else max(epsilon, 0.0))
+    if sources.count() * n <= all_pairs or least - DTYPE_BOOST <= 0:
+        return decisions(scores(sources, references), sources, threshold, epsilon, force)
+    rows = stored(scores(sources, references, candidates(sources, references, least)))
+    found = decisions(rows, sources, threshold, epsilon, force)
+    if force:
+        return found
+    found = stored(found)
+    listed = rows.where(F.col("final") >= least).groupBy("place").agg(F.count("*").alias("listed"))
+    short = found.where("status = 'ambiguous'").join(listed, "place", "left").where(F.coalesce("listed", F.lit(0)) < min(MAX_CANDIDATES, n)).select("place")
+    few = stored(sources.join(short, "place", "left_semi"))
+    again = decisions(scores(few, references), few, threshold, epsilon, force)
+    return found.join(short, "place", "left_anti").unionByName(again)
+
+
 def map_columns(
     df: DataFrame | None = None, columns: Sequence[str] | None = None, references: Sequence[str] = (), synonyms: dict[str, Iterable[str]] | None = None,
     threshold: float = THRESHOLD, epsilon: float = EPSILON, force: bool = False, spark: SparkSession | None = None, order_by: Sequence[str] | None = None,
@@ -149,8 +223,12 @@ def map_columns(
     sources = source_names(df, order_by) if df is not None else names_only(spark, columns)
     if columns is not None and df is not None:
         sources = sources.where(F.col("source").isin(list(columns)))
-    pairs = scores(sources, reference_names(spark, list(references), merged_synonyms(synonyms)))
-    return decisions(pairs, sources, threshold, epsilon, force)
+    references = list(references)
+    table = reference_names(spark, references, merged_synonyms(synonyms))
+    names = len(df.columns if df is not None else columns)
+    if names * len(references) <= ALL_PAIRS:  # known without a count
+        return decisions(scores(sources, F.broadcast(table)), sources, threshold, epsilon, force)
+    return decided(sources, table, threshold, epsilon, force, ALL_PAIRS)
 
 
 def dynamic_references(tables: dict[str, Sequence[str]], name: str, user: Sequence[str] = ()) -> list[str]:
