@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,12 +53,35 @@ def number(df: DataFrame, name: str) -> Column:
     return F.when(~F.isnan(value), value) if isinstance(df.schema[name].dataType, FLOATS) else value
 
 
+def _by_files(df: DataFrame, name: str) -> DataFrame | None:
+    """The index by the files' names and the rows' places in them, if ``df`` is all rows of files that number their rows."""
+    try:
+        marked = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:  # no files, or none that number rows
+        return None
+    files = marked.groupBy(F.xxhash64("_file").alias("_f")).agg(F.min("_file").alias("path"), F.max("_file").alias("other"), F.count("*").alias("n"), (F.max("_row") + 1).alias("rows"))
+    found = sorted(files.collect(), key=lambda r: r.path)  # a row for each file
+    if any(r.n != r.rows or r.path != r.other for r in found):  # rows are missing, as behind a filter
+        return None
+    starts, at = [], 0
+    for r in found:
+        starts.append((r["_f"], at))
+        at += r.n
+    base = df.sparkSession.createDataFrame(starts, "_f long, _base long")  # 16 bytes a file
+    out = marked.withColumn("_f", F.xxhash64("_file")).join(F.broadcast(base), "_f")
+    return out.select(*[q(c) for c in df.columns], (F.col("_base") + F.col("_row")).alias(name))
+
+
 def with_row_index(df: DataFrame, name: str = ROW_INDEX) -> DataFrame:
-    """A dense 0-based index in the order of partitions and of rows in them.
+    """A dense 0-based index.
 
-    Only the counts of partitions come to the driver. The input must give the same partitions when read again, as files
-    and tables do.
+    Rows of Parquet files are numbered by file name and by place in the file, which is the same however they are read, split or
+    moved on; counts come from the files' own numbers, without a scan of columns. Other rows are numbered in the order of
+    partitions and of rows in them; only the counts of partitions come to the driver then, and the input must give the same
+    partitions when read again, as files and tables do.
     """
+    if {"_file", "_row", "_f", "_base"}.isdisjoint(df.columns) and (found := _by_files(df, name)) is not None:
+        return found
     marked = df.withColumn("_mid", F.monotonically_increasing_id())
     counts = {r.p: r.n for r in marked.groupBy(F.shiftright("_mid", 33).alias("p")).agg(F.count("*").alias("n")).collect()}
     starts, at = [], 0

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.firsts import head
 from ..functions.types import CATEGORICAL, NESTED, columns_of, is_missing, number, numeric_columns, q
 from .anomalies import _low_cardinality, frequencies
 
@@ -50,8 +51,7 @@ def text_stats(df: DataFrame, order_by: list[str] | None = None, rows: int = TEX
     names = columns_of(df, (T.StringType,))
     if not names:
         return df.sparkSession.createDataFrame([], "column string, unique_count long, rank int, value string, count long")
-    head = (df.orderBy(*order_by) if order_by else df).limit(rows)
-    counts = frequencies(head.select(*[q(n) for n in names]), names)
+    counts = frequencies(head(df, rows, order_by).select(*[q(n) for n in names]), names)
     unique = Window.partitionBy("column")
     order = Window.partitionBy("column").orderBy(F.desc("n"), F.asc_nulls_first("value"))
     counts = counts.select("column", F.count("*").over(unique).alias("unique_count"), F.row_number().over(order).alias("rank"), F.coalesce("value", F.lit("None")).alias("value"), F.col("n").alias("count"))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.firsts import first_values
 from ..functions.patterns import HINTS, SEMANTIC_TYPES, matches
-from ..functions.types import columns_of, numeric_columns, q
+from ..functions.types import columns_of, numeric_columns
 
 #: Size of a sample, share that must match, boosts by share.
 SAMPLE = 200
@@ -17,20 +18,9 @@ SHARE = 0.5
 BOOSTS = ((0.6, 0.03), (0.3, 0.015))
 
 
-def sampled(df: DataFrame, name: str, order_by: Sequence[str] | None = None, rows: int = SAMPLE) -> DataFrame:
-    """(column, value): the first non-null values, by ``order_by`` or else in the order of the scan."""
-    whole = df.where(q(name).isNotNull())
-    return (whole.orderBy(*order_by) if order_by else whole).select(F.lit(name).alias("column"), q(name).cast("string").alias("value")).limit(rows)
-
-
 def _shares(df: DataFrame, names: Sequence[str], kinds: Sequence[str], order_by: Sequence[str] | None, blanks: bool) -> DataFrame:
-    """(column, one share per kind) over the samples of all columns."""
-    out = None
-    for n in names:
-        part = sampled(df, n, order_by)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = df.sparkSession.createDataFrame([], "column string, value string")
+    """(column, one share per kind) over the first ``SAMPLE`` values of all columns, by ``order_by`` or in the order of the scan."""
+    out = first_values(df, names, SAMPLE, order_by)
     if not blanks:
         out = out.where(F.trim("value") != "")
     return out.groupBy("column").agg(*[(F.count_if(matches(F.col("value"), k)) / F.count("*")).alias(k) for k in kinds])

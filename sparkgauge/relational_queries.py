@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions.order import quantiles
+from .functions.types import with_row_index
 from .operators import anomalies as A
 from .operators import degrade as D
 from .operators import profile as P
@@ -79,6 +80,17 @@ def range_join_shipments(spark, sf_dir):
     return out.select("left.o_orderkey", "right.l_linenumber", "right.l_shipdate")
 
 
+@add("row_index_stable", """
+WITH x AS (SELECT row_number() OVER () - 1 AS row_idx, * FROM lineitem)
+SELECT row_idx::BIGINT AS row_idx, l_orderkey, l_linenumber, l_extendedprice FROM x
+""")
+def row_index_stable(spark, sf_dir):
+    """Numbers of a table's rows, taken before and after its rows were dealt out anew, that still meet each other."""
+    lines = read(spark, sf_dir, "lineitem")
+    before, after = with_row_index(lines.select("l_orderkey", "l_linenumber")), with_row_index(lines.select("l_extendedprice").repartition(7))
+    return before.join(after, "row_idx").select("row_idx", "l_orderkey", "l_linenumber", "l_extendedprice")
+
+
 # order statistics and values that are no plain numbers
 
 _SHARES = (0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0)
