@@ -21,6 +21,8 @@ Z_THRESHOLD = 3.0
 IQR_REACH = 1.5
 RARE_SHARE = 0.01
 MAX_DISTINCT, MIN_DISTINCT, DISTINCT_SHARE = 100, 2, 0.1
+#: Relative error of the sketch that rules columns out; twice as many values as sought pass.
+SKETCH = 0.05
 
 
 def zscore_bounds(df: DataFrame, names: Sequence[str], threshold: float = Z_THRESHOLD) -> dict[str, tuple[float, float] | None]:
@@ -30,9 +32,13 @@ def zscore_bounds(df: DataFrame, names: Sequence[str], threshold: float = Z_THRE
     if not names:
         return {}
     row = df.agg(*[f(number(df, n)).alias(f"{a}{i}") for i, n in enumerate(names) for f, a in ((F.avg, "m"), (F.stddev_pop, "s"))]).first()
+    return bounds_of({n: (row[f"m{i}"], row[f"s{i}"]) for i, n in enumerate(names)}, threshold)
+
+
+def bounds_of(moments: dict[str, tuple[float | None, float | None]], threshold: float = Z_THRESHOLD) -> dict[str, tuple[float, float] | None]:
+    """The same from means and population deviations."""
     out = {}
-    for i, n in enumerate(names):
-        mean, std = row[f"m{i}"], row[f"s{i}"]
+    for n, (mean, std) in moments.items():
         out[n] = (mean - threshold * std, mean + threshold * std) if std and math.isfinite(mean) and math.isfinite(std) else None
     return out
 
@@ -71,22 +77,29 @@ def _low_cardinality(df: DataFrame, names: Sequence[str], most: int) -> tuple[in
     """Row count and the columns that a sketch can't rule out to have ``most`` distinct values or fewer."""
     if not names:
         return df.count(), []
-    row = df.agg(F.count("*").alias("rows"), *[F.approx_count_distinct(q(n), 0.05).alias(f"d{i}") for i, n in enumerate(names)]).first()
-    return row.rows, [n for i, n in enumerate(names) if row[f"d{i}"] <= 2 * most]
+    row = df.agg(F.count("*").alias("rows"), *[F.approx_count_distinct(q(n), SKETCH).alias(f"d{i}") for i, n in enumerate(names)]).first()
+    return row.rows, few_valued({n: row[f"d{i}"] for i, n in enumerate(names)}, most)
+
+
+def few_valued(distinct: dict[str, int], most: int) -> list[str]:
+    """The columns that sketched numbers of distinct values can't rule out."""
+    return [n for n, d in distinct.items() if d <= 2 * most]
 
 
-def rare_values(df: DataFrame, share: float = RARE_SHARE) -> dict[str, list[str]]:
+def rare_values(df: DataFrame, share: float = RARE_SHARE, known: tuple[int, DataFrame] | None = None) -> dict[str, list[str]]:
     """Values (as text) of candidate columns that fewer than ``share`` of the rows have; null isn't among them.
 
     Candidates are strings and integers with at most 100 distinct values and at most a tenth of the rows (2 at least),
-    null counting as a value.
+    null counting as a value. ``known`` are the rows and the frequencies of values where they have been counted.
     """
-    rows, names = _low_cardinality(df, columns_of(df, CATEGORICAL), MAX_DISTINCT)
-    if not rows or not names:
+    if known is None:
+        rows, names = _low_cardinality(df, columns_of(df, CATEGORICAL), MAX_DISTINCT)
+        known = rows, frequencies(df, names) if names else None
+    rows, counts = known
+    if not rows or counts is None:
         return {}
-    counts = frequencies(df, names)
     distinct = {r.column: r.n for r in counts.groupBy("column").agg(F.count("*").alias("n")).collect()}
-    use = [n for n in names if distinct[n] <= min(MAX_DISTINCT, max(MIN_DISTINCT, DISTINCT_SHARE * rows))]
+    use = [n for n in df.columns if n in distinct and distinct[n] <= min(MAX_DISTINCT, max(MIN_DISTINCT, DISTINCT_SHARE * rows))]
     out: dict[str, list[str]] = {n: [] for n in use}
     if use:
         for r in counts.where(F.col("column").isin(use) & F.col("value").isNotNull() & (F.col("n") < share * rows)).orderBy("column", "value").collect():  # 100 a column at most
@@ -129,10 +142,13 @@ def detect(df: DataFrame, method: str, columns: Sequence[str] | None = None, thr
     raise ValueError(f"Unknown method: {method}")
 
 
-def flags(df: DataFrame, z_threshold: float | None = Z_THRESHOLD, with_iqr: bool = True, with_rare: bool = True, missing_threshold: int | None = 1, names: Sequence[str] | None = None) -> DataFrame:
+def flags(
+    df: DataFrame, z_threshold: float | None = Z_THRESHOLD, with_iqr: bool = True, with_rare: bool = True, missing_threshold: int | None = 1, names: Sequence[str] | None = None,
+    z_bounds: dict[str, tuple[float, float] | None] | None = None, rare: dict[str, list[str]] | None = None,
+) -> DataFrame:
     """``df`` with a struct ``flags``: per method, an array of the columns that flag the row, or a boolean.
 
-    All detectors together cost two aggregates for bounds and one scan.
+    All detectors together cost the aggregates for bounds that aren't given (``z_bounds``, ``rare``) and one scan.
     """
     names = numeric_columns(df) if names is None else list(names)
     parts = []
@@ -141,11 +157,11 @@ def flags(df: DataFrame, z_threshold: float | None = Z_THRESHOLD, with_iqr: bool
         return F.array_compact(F.array(*[F.when(outside(df, n, b), F.lit(n)) for n, b in bounds.items()])) if bounds else F.array().cast("array<string>")
 
     if z_threshold is not None:
-        parts.append(which(zscore_bounds(df, names, z_threshold)).alias("zscore"))
+        parts.append(which(zscore_bounds(df, names, z_threshold) if z_bounds is None else z_bounds).alias("zscore"))
     if with_iqr:
         parts.append(which(iqr_bounds(df, names)).alias("iqr"))
     if with_rare:
-        parts.append(has_rare(df, rare_values(df)).alias("categorical"))
+        parts.append(has_rare(df, rare_values(df) if rare is None else rare).alias("categorical"))
     if missing_threshold is not None:
         parts.append((missing_count(df) >= missing_threshold).alias("missing_values"))
     return df.withColumn("flags", F.struct(*parts))

@@ -52,11 +52,15 @@ def merged_synonyms(user: dict[str, Iterable[str]] | None = None) -> dict[str, l
     return out
 
 
-def source_names(df: DataFrame, order_by: Sequence[str] | None = None, content: bool = True) -> DataFrame:
-    """(source, numeric, detected) of a table's columns; ``detected`` is the semantic type of their values."""
+def source_names(df: DataFrame, order_by: Sequence[str] | None = None, content: bool = True, detected: dict[str, str] | None = None) -> DataFrame:
+    """(source, numeric, detected) of a table's columns; ``detected`` is the semantic type of their values, given by column where it
+    is known."""
     spark = df.sparkSession
     rows = [(i, f.name, isinstance(f.dataType, NUMERIC)) for i, f in enumerate(df.schema.fields)]
     names = spark.createDataFrame(rows, "place int, source string, numeric boolean")
+    if detected is not None:
+        known = F.map_from_arrays(F.array(*map(F.lit, detected)), F.array(*map(F.lit, detected.values()))) if detected else F.create_map().cast("map<string,string>")
+        return names.withColumn("detected", known[F.col("source")])
     if not content or not any(isinstance(f.dataType, T.StringType) for f in df.schema.fields):
         return names.withColumn("detected", F.lit(None).cast("string"))
     found = semantic_types(df, order_by).withColumnRenamed("semantic_type", "detected")
@@ -215,12 +219,14 @@ def decided(sources: DataFrame, references: DataFrame, threshold: float = THRESH
 def map_columns(
     df: DataFrame | None = None, columns: Sequence[str] | None = None, references: Sequence[str] = (), synonyms: dict[str, Iterable[str]] | None = None,
     threshold: float = THRESHOLD, epsilon: float = EPSILON, force: bool = False, spark: SparkSession | None = None, order_by: Sequence[str] | None = None,
+    detected: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Decisions for a table's columns, or for names alone, which have no boosts by type or content."""
+    """Decisions for a table's columns, or for names alone, which have no boosts by type or content. Semantic types that are known
+    already (``detected``) aren't sought again."""
     if df is None and columns is None:
         raise ValueError("Either a table or column names must be given")
     spark = df.sparkSession if df is not None else spark or SparkSession.active()
-    sources = source_names(df, order_by) if df is not None else names_only(spark, columns)
+    sources = source_names(df, order_by, detected=detected) if df is not None else names_only(spark, columns)
     if columns is not None and df is not None:
         sources = sources.where(F.col("source").isin(list(columns)))
     references = list(references)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.firsts import head
 from ..functions.types import CATEGORICAL, NESTED, columns_of, is_missing, number, numeric_columns, q
-from .anomalies import _low_cardinality, frequencies
+from .anomalies import SKETCH, _low_cardinality, frequencies
 
 #: Rows that text statistics cover, values they name, bounds of a category.
 TEXT_ROWS, TOP_VALUES = 10_000, 3
@@ -21,10 +23,22 @@ def _long(df: DataFrame, row: DataFrame, names: list[str], fields: dict) -> Data
     return row.select(F.explode(F.array(*parts)).alias("x")).select("x.*") if parts else df.sparkSession.createDataFrame([], T.StructType([T.StructField("column", T.StringType()), *[T.StructField(k, t) for k, t in fields.items()]]))
 
 
+def _missing_parts(df: DataFrame) -> list[Column]:
+    return [F.coalesce(F.avg(is_missing(df, n).cast("double")), F.lit(0.0)).alias(f"missing_ratio{i}") for i, n in enumerate(df.columns)]
+
+
+def _number_parts(df: DataFrame, names: list[str]) -> list[Column]:
+    parts = []
+    for i, n in enumerate(names):
+        x = q(n).cast("double")
+        real = number(df, n)
+        parts += [F.avg(x).alias(f"mean{i}"), F.coalesce(F.min(real), F.min(x)).alias(f"min{i}"), F.coalesce(F.max(real), F.max(x)).alias(f"max{i}"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias(f"std{i}"), F.count_if(x == 0).alias(f"zeros{i}")]
+    return parts
+
+
 def missing_ratios(df: DataFrame) -> DataFrame:
     """(column, missing_ratio); 0.0 on an empty table."""
-    row = df.agg(*[F.coalesce(F.avg(is_missing(df, n).cast("double")), F.lit(0.0)).alias(f"missing_ratio{i}") for i, n in enumerate(df.columns)])
-    return _long(df, row, df.columns, {"missing_ratio": T.DoubleType()})
+    return _long(df, df.agg(*_missing_parts(df)), df.columns, {"missing_ratio": T.DoubleType()})
 
 
 def numeric_stats(df: DataFrame) -> DataFrame:
@@ -33,15 +47,37 @@ def numeric_stats(df: DataFrame) -> DataFrame:
     NaN makes the mean and the deviation NaN; smallest and largest skip it, unless nothing else is there.
     """
     names = numeric_columns(df)
-    parts = []
-    for i, n in enumerate(names):
-        x = q(n).cast("double")
-        real = number(df, n)
-        parts += [F.avg(x).alias(f"mean{i}"), F.coalesce(F.min(real), F.min(x)).alias(f"min{i}"), F.coalesce(F.max(real), F.max(x)).alias(f"max{i}"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias(f"std{i}"), F.count_if(x == 0).alias(f"zeros{i}")]
+    parts = _number_parts(df, names)
     fields = {k: T.DoubleType() for k in ("mean", "min", "max", "std")} | {"zeros": T.LongType()}
     return _long(df, df.agg(*parts) if parts else df, names, fields).where("min IS NOT NULL")
 
 
+@dataclass(frozen=True)
+class Survey:
+    """What one pass over a table tells."""
+
+    rows: int
+    missing: dict[str, float]
+    numbers: dict[str, dict[str, float]]
+    moments: dict[str, tuple[float | None, float | None]]
+    distinct: dict[str, int]
+
+
+def survey(df: DataFrame) -> Survey:
+    """Rows, missing ratios, statistics of numbers, mean and population deviation without NaN, and sketched numbers of distinct
+    values, all from one aggregate."""
+    numeric, candidates = numeric_columns(df), columns_of(df, CATEGORICAL)
+    parts = [F.count("*").alias("rows"), *_missing_parts(df), *_number_parts(df, numeric)]
+    for i, n in enumerate(numeric):
+        parts += [F.avg(number(df, n)).alias(f"avg{i}"), F.stddev_pop(number(df, n)).alias(f"dev{i}")]
+    parts += [F.approx_count_distinct(q(n), SKETCH).alias(f"distinct{i}") for i, n in enumerate(candidates)]
+    row = df.agg(*parts).first()
+    numbers = {n: {k: row[f"{k}{i}"] for k in ("mean", "min", "max", "std", "zeros")} for i, n in enumerate(numeric) if row[f"min{i}"] is not None}
+    return Survey(
+        row.rows, {n: row[f"missing_ratio{i}"] for i, n in enumerate(df.columns)}, numbers, {n: (row[f"avg{i}"], row[f"dev{i}"]) for i, n in enumerate(numeric)}, {n: row[f"distinct{i}"] for i, n in enumerate(candidates)},
+    )
+
+
 def text_stats(df: DataFrame, order_by: list[str] | None = None, rows: int = TEXT_ROWS) -> DataFrame:
     """(column, unique_count, rank, value, count): the top values of string columns over the first rows.
 
@@ -58,12 +94,13 @@ def text_stats(df: DataFrame, order_by: list[str] | None = None, rows: int = TEX
     return counts.where(F.col("rank") <= TOP_VALUES)
 
 
-def categorical_columns(df: DataFrame) -> DataFrame:
-    """(column, n_unique) of strings and integers with few distinct values, null among them, for their rows."""
-    rows, names = _low_cardinality(df, columns_of(df, CATEGORICAL), CATEGORY_VALUES)
+def categorical_columns(df: DataFrame, known: tuple[int, DataFrame] | None = None) -> DataFrame:
+    """(column, n_unique) of strings and integers with few distinct values, null among them, for their rows. ``known`` are the
+    rows and the frequencies of values where they have been counted."""
+    rows, names = (known[0], True) if known else _low_cardinality(df, columns_of(df, CATEGORICAL), CATEGORY_VALUES)
     if not names or not rows:
         return df.sparkSession.createDataFrame([], "column string, n_unique long")
-    counts = frequencies(df, names).groupBy("column").agg(F.count("*").alias("n_unique"))
+    counts = (known[1] if known else frequencies(df, names)).groupBy("column").agg(F.count("*").alias("n_unique"))
     return counts.where((F.col("n_unique") / F.lit(rows) < CATEGORY_SHARE) & (F.col("n_unique") < CATEGORY_VALUES))
 
 

@@ -11,10 +11,11 @@ import logging
 import queue
 import threading
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from datetime import date, datetime
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.types import ROW_INDEX, numeric_columns, q, with_row_index
@@ -25,8 +26,8 @@ from ..operators.forest import isolation_forest
 from ..operators.refine import refined
 from ..operators.semantic import semantic_types
 from ..sources.catalog import SqlSource
-from ..sources.files import Dataset, LocalFiles
-from ..sources.sinks import ReportStore, save_sample
+from ..sources.files import Dataset, LocalFiles, stored
+from ..sources.sinks import ANOMALY_ROWS, ReportStore, save_sample, write
 from . import explain
 from .config import AnomalyConfig, MappingConfig, SourceConfig
 
@@ -48,7 +49,7 @@ def _rows(df: DataFrame) -> list[dict]:
     return [{k: _plain(v) for k, v in r.asDict(recursive=True).items()} for r in df.collect()]
 
 
-#: Flagged row indexes that a report lists at most unless told otherwise; the counts are of all.
+#: Flagged row indexes that a report lists at most unless told otherwise; counts are of all, and so are the tables of ``flagged_rows``.
 LISTED_ROWS = 10_000
 
 
@@ -57,54 +58,92 @@ def _listed(df: DataFrame, most: int) -> list[int]:
     return [r[0] for r in df.select(ROW_INDEX).orderBy(ROW_INDEX).limit(most).collect()]
 
 
-def find_anomalies(df: DataFrame, name: str, config: AnomalyConfig, save_dir: str | None = None, max_listed_rows: int = LISTED_ROWS) -> dict:
-    """Counts, rows, previews and saved samples by method. ``df`` has the row index.
+@dataclass(frozen=True)
+class Flagged:
+    """Flagged rows: a table (row index, column, method), where ``column`` is null for methods that judge whole rows, and counts."""
+
+    rows: DataFrame
+    errors: dict[str, str]
+
+
+def flagged_rows(df: DataFrame, config: AnomalyConfig, survey: P.Survey | None = None, known: tuple[int, DataFrame] | None = None) -> Flagged:
+    """All flagged rows of ``df``, which has the row index, as a stored table.
 
-    Counts of z-score and interquartile range are sums over columns, their rows distinct, their previews those of the
-    first column that has any.
+    Detectors but the forest share one scan; a survey of the table and counts of its values, where given, save the scans for their bounds.
     """
-    out = {"anomalies": {}, "anomaly_rows": {}, "anomaly_previews": {}, "anomaly_samples_saved": {}}
     names = numeric_columns(df)
-    if config.numeric_gate and not names:
-        return out
     data = df.drop(ROW_INDEX).columns
-    flagged = A.flags(df, config.z_threshold if config.use_zscore and names else None, config.use_iqr and bool(names), config.use_categorical, None, names)
-    if config.use_missing:
-        flagged = flagged.withColumn("_missing", A.missing_count(df, data) >= config.missing_threshold)
-    counted = []
-    for m in ("zscore", "iqr"):
-        if m in flagged.schema["flags"].dataType.names:
-            counted += [F.count_if(F.array_contains(f"flags.{m}", n)).alias(f"{m}_{i}") for i, n in enumerate(names)]
-    if config.use_categorical:
-        counted.append(F.count_if("flags.categorical").alias("categorical"))
-    if config.use_missing:
-        counted.append(F.count_if("_missing").alias("missing_values"))
-    counts = flagged.agg(*counted).first().asDict() if counted else {}
-
-    def put(method: str, rows: DataFrame, count: int, preview: DataFrame | None = None) -> None:
-        out["anomalies"][method] = count
-        out["anomaly_rows"][method] = _listed(rows, max_listed_rows) if count else []
-        shown = rows if preview is None else preview
-        out["anomaly_previews"][method] = _rows(shown.orderBy(ROW_INDEX).drop(ROW_INDEX).limit(PREVIEW_ROWS)) if count else []
-        out["anomaly_samples_saved"][method] = save_sample(rows, save_dir, name, method, [ROW_INDEX]) if save_dir and count and method in SAVED else None
-
-    for m, used in (("zscore", config.use_zscore), ("iqr", config.use_iqr)):
-        if used and names:
-            per_column = [counts[f"{m}_{i}"] for i in range(len(names))]
-            rows = flagged.where(F.size(f"flags.{m}") > 0).drop("flags", "_missing")
-            first = next((n for n, c in zip(names, per_column, strict=True) if c), None)
-            put(m, rows, sum(per_column), flagged.where(F.array_contains(f"flags.{m}", first)).drop("flags", "_missing") if first else None)
+    found = df.sparkSession.createDataFrame([], f"{ROW_INDEX} long, column string, method string")
+    errors: dict[str, str] = {}
+    if config.numeric_gate and not names:
+        return Flagged(found, errors)
+    z_bounds = A.bounds_of({n: survey.moments[n] for n in names}, config.z_threshold) if survey else None
+    rare = A.rare_values(df, known=known) if config.use_categorical and known else None
+    flagged = A.flags(df, config.z_threshold if config.use_zscore and names else None, config.use_iqr and bool(names), config.use_categorical, None, names, z_bounds, rare)
+    which = flagged.schema["flags"].dataType.names
+
+    def by_column(method: str) -> Column:
+        return F.transform(f"flags.{method}", lambda n: F.struct(n.alias("column"), F.lit(method).alias("method")))
+
+    hits = [by_column(m) for m in ("zscore", "iqr") if m in which]
+    whole = [("categorical", F.col("flags.categorical"))] * config.use_categorical + [("missing_values", A.missing_count(df, data) >= config.missing_threshold)] * config.use_missing
+    hits += [F.when(test, F.array(F.struct(F.lit(None).cast("string").alias("column"), F.lit(m).alias("method")))).otherwise(F.array().cast("array<struct<column:string,method:string>>")) for m, test in whole]
+    if hits:
+        found = flagged.select(ROW_INDEX, F.explode(F.concat(*hits)).alias("x")).select(ROW_INDEX, "x.column", "x.method")
+    found = stored(found)
     if config.use_isolation_forest and names:
         try:
-            found = isolation_forest(df, names, config.contamination, config.n_estimators, config.random_state)
-            put("isolation_forest", found, found.count())
-        except Exception as e:  # noqa: BLE001 the other detectors' results stay
-            out["anomalies"]["isolation_forest"] = 0
-            out["anomaly_errors"] = {"isolation_forest": str(e)[:2000]}
-    if counts.get("categorical"):
-        put("categorical", flagged.where("flags.categorical").drop("flags", "_missing"), counts["categorical"])
-    if counts.get("missing_values"):
-        put("missing_values", flagged.where("_missing").drop("flags", "_missing"), counts["missing_values"])
+            forest = isolation_forest(df.select(ROW_INDEX, *[q(n) for n in names]), names, config.contamination, config.n_estimators, config.random_state)
+            found = found.unionByName(stored(forest.select(ROW_INDEX, F.lit(None).cast("string").alias("column"), F.lit("isolation_forest").alias("method"))))
+        except Exception as e:  # noqa: BLE001 the other detectors' results stay, and the report tells the error
+            errors["isolation_forest"] = str(e)[:2000]
+    return Flagged(found, errors)
+
+
+def find_anomalies(
+    df: DataFrame, name: str, config: AnomalyConfig, save_dir: str | None = None, max_listed_rows: int = LISTED_ROWS, survey: P.Survey | None = None, known: tuple[int, DataFrame] | None = None,
+) -> dict:
+    """Counts, rows, previews and saved samples by method. ``df`` has the row index.
+
+    Counts of z-score and interquartile range are sums over columns, their rows distinct, their previews those of the first column
+    that has any. With ``save_dir`` the table of all flagged rows is written beside the samples. An error of the forest
+    stands in ``anomaly_errors``, with 0 as its count.
+    """
+    out: dict = {"anomalies": {}, "anomaly_rows": {}, "anomaly_previews": {}, "anomaly_samples_saved": {}}
+    names = numeric_columns(df)
+    if config.numeric_gate and not names:
+        return out
+    flagged = flagged_rows(df, config, survey, known)
+    counts = {(r.method, r.column): r.n for r in flagged.rows.groupBy("method", "column").agg(F.count("*").alias("n")).collect()}  # a row for each method and column
+    shown: dict[str, tuple[list[int], list[int]]] = {}
+    for m, used in (("zscore", config.use_zscore and names), ("iqr", config.use_iqr and names), ("isolation_forest", config.use_isolation_forest and names), ("categorical", config.use_categorical), ("missing_values", config.use_missing)):
+        count = sum(n for (method, _), n in counts.items() if method == m)
+        if not used or (m in ("categorical", "missing_values") and not count):
+            continue
+        out["anomalies"][m] = count
+        if m in flagged.errors:
+            out.setdefault("anomaly_errors", {})[m] = flagged.errors[m]
+            continue
+        out["anomaly_rows"][m], out["anomaly_previews"][m], out["anomaly_samples_saved"][m] = [], [], None
+        if count:
+            rows = flagged.rows.where(F.col("method") == m)
+            out["anomaly_rows"][m] = _listed(rows.select(ROW_INDEX).distinct(), max(max_listed_rows, ANOMALY_ROWS))
+            first = next((n for n in names if (m, n) in counts), None)
+            seen = out["anomaly_rows"][m] if first is None else _listed(rows.where(F.col("column") == first), PREVIEW_ROWS)
+            shown[m] = seen[:PREVIEW_ROWS], out["anomaly_rows"][m][:ANOMALY_ROWS] if save_dir and m in SAVED else []
+            out["anomaly_rows"][m] = out["anomaly_rows"][m][:max_listed_rows]
+    wanted = sorted({i for a, b in shown.values() for i in (*a, *b)})  # ANOMALY_ROWS a method at most
+    rows = {r[ROW_INDEX]: r for r in df.where(q(ROW_INDEX).isin(wanted)).collect()} if wanted else {}
+    for m, (seen, saved) in shown.items():
+        extra = {"is_anomaly": True} if m == "isolation_forest" else {}
+        out["anomaly_previews"][m] = [{k: _plain(v) for k, v in rows[i].asDict(recursive=True).items() if k != ROW_INDEX} | extra for i in seen]
+        if saved:
+            sample = df.sparkSession.createDataFrame([rows[i] for i in saved], df.schema).withColumns({k: F.lit(v) for k, v in extra.items()})
+            out["anomaly_samples_saved"][m] = save_sample(sample, save_dir, name, m, [ROW_INDEX])
+    if save_dir and counts:
+        safe = name.replace("/", "__")
+        out["anomaly_rows_saved"] = f"{save_dir.rstrip('/')}/{safe}/{safe}__flagged.parquet"
+        write(flagged.rows, out["anomaly_rows_saved"], "parquet")
     return out
 
 
@@ -127,15 +166,16 @@ def analyze_table(
     anomalies, mapping = anomalies or AnomalyConfig(), mapping or MappingConfig()
     tell(STEPS["start"], "start")
     df = refined(dataset.df)
-    rows = df.count()
     tell(STEPS["refined"], "refined")
     indexed = with_row_index(df)
-    ratios = {r.column: r.missing_ratio for r in P.missing_ratios(df).collect()}
-    numbers = {r.column: {k: r[k] for k in ("mean", "min", "max", "std", "zeros")} for r in P.numeric_stats(df).collect()}
+    seen = P.survey(df)
+    rows, ratios, numbers = seen.rows, seen.missing, seen.numbers
+    few = A.few_valued(seen.distinct, max(A.MAX_DISTINCT, P.CATEGORY_VALUES))
+    known = (rows, stored(A.frequencies(df, few)) if few else None)  # values of columns that have few
     texts: dict[str, dict] = {}
     for r in P.text_stats(indexed, [ROW_INDEX]).orderBy("column", "rank").collect():
         texts.setdefault(r.column, {"unique_count": r.unique_count, "top_values": []})["top_values"].append({"value": r.value, "count": r["count"]})
-    categories = sorted(r.column for r in P.categorical_columns(df).collect())
+    categories = sorted(r.column for r in P.categorical_columns(df, known).collect()) if few else []
     tell(STEPS["profiled"], "profiled")
     detected = {r.column: r.semantic_type for r in semantic_types(indexed, [ROW_INDEX]).collect()}
     tell(STEPS["typed"], "typed")
@@ -147,10 +187,10 @@ def analyze_table(
         insights["summary"] = explain.table(provider, dataset.name, df.columns, _rows(indexed.orderBy(ROW_INDEX).drop(ROW_INDEX).limit(explain.TABLE_ROWS)))
     decided = []
     if mapping.references:
-        decided = M.map_columns(df, None, mapping.references, mapping.synonyms, mapping.threshold, mapping.epsilon, mapping.force).orderBy("place").collect()  # a row per column
+        decided = M.map_columns(df, None, mapping.references, mapping.synonyms, mapping.threshold, mapping.epsilon, mapping.force, detected=detected).orderBy("place").collect()  # a row per column
     unmapped = [r.source for r in decided if r.status == "unmapped"] if mapping.references else list(df.columns)
     tell(STEPS["mapped"], "mapped")
-    found = find_anomalies(indexed, dataset.name, anomalies, save_dir, max_listed_rows)
+    found = find_anomalies(indexed, dataset.name, anomalies, save_dir, max_listed_rows, seen, known)
     tell(STEPS["anomalies"], "anomalies")
     if provider is not None:
         insights["anomaly_explanation"] = explain.anomalies(provider, dataset.name, _tagged(found))

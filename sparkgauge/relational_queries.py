@@ -10,6 +10,8 @@ from .operators import anomalies as A
 from .operators import degrade as D
 from .operators import profile as P
 from .operators.joins import asof_join, interval_join
+from .plans.assistant import flagged_rows
+from .plans.config import AnomalyConfig
 from .queries import _hash_sql, add, read
 
 # joins
@@ -91,6 +93,25 @@ def row_index_stable(spark, sf_dir):
     return before.join(after, "row_idx").select("row_idx", "l_orderkey", "l_linenumber", "l_extendedprice")
 
 
+_ROWS_SQL = " UNION ALL ".join([
+    *[f"SELECT i AS row_idx, '{c}' AS \"column\", 'zscore' AS method FROM x, (SELECT avg({c}) AS m, stddev_pop({c}) AS d FROM x) WHERE d > 0 AND abs(({c} - m) / d) > 2.0" for c in ("user_id", "value")],
+    *[f"SELECT i, '{c}', 'iqr' FROM x, (SELECT quantile_cont({c}::DOUBLE, 0.25) AS a, quantile_cont({c}::DOUBLE, 0.75) AS b FROM x) WHERE {c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a)" for c in ("user_id", "value")],
+    "SELECT i, NULL, 'categorical' FROM x WHERE event_type IN (SELECT event_type FROM x GROUP BY event_type HAVING count(*) < 0.01 * (SELECT count(*) FROM x))",
+    "SELECT i, NULL, 'missing_values' FROM x WHERE value IS NULL OR event_type IS NULL OR event_type = ''",
+])
+
+
+@add("flagged_rows_all", f"""
+WITH x AS (SELECT row_number() OVER () - 1 AS i, user_id, CASE WHEN event_id % 3 > 0 THEN value END AS value, CASE WHEN event_id % 7 = 0 THEN '' WHEN event_id % 211 = 0 THEN 'odd' ELSE event_type END AS event_type FROM events)
+SELECT row_idx::BIGINT AS row_idx, "column", method FROM ({_ROWS_SQL})
+""")
+def flagged_rows_all(spark, sf_dir):
+    """Every flagged row of every method and column, as the table that a run stores."""
+    kind = F.when(F.col("event_id") % 7 == 0, F.lit("")).when(F.col("event_id") % 211 == 0, F.lit("odd")).otherwise(F.col("event_type"))
+    df = with_row_index(read(spark, sf_dir, "events")).select("row_idx", "user_id", F.when(F.col("event_id") % 3 > 0, F.col("value")).alias("value"), kind.alias("event_type"))
+    return flagged_rows(df, AnomalyConfig(z_threshold=2.0, use_isolation_forest=False)).rows
+
+
 # order statistics and values that are no plain numbers
 
 _SHARES = (0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0)
