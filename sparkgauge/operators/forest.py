@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -101,8 +100,11 @@ def grown(df: DataFrame, columns: Sequence[str], n_estimators: int = 100, random
     ensure_columns(df, columns)
     if random_state < 0:
         raise ValueError("random_state must not be negative")
-    samples = _samples(df, columns, n_estimators, random_state)
-    return stored(samples.groupBy("tree").applyInPandas(partial(_grown, seed=random_state), FOREST))
+
+    def grow(sample: pd.DataFrame) -> pd.DataFrame:
+        return _grown(sample, random_state)
+
+    return stored(_samples(df, columns, n_estimators, random_state).groupBy("tree").applyInPandas(grow, FOREST))
 
 
 def fitted(df: DataFrame, columns: Sequence[str], n_estimators: int = 100, random_state: int = 42) -> tuple[list[np.ndarray], int]:

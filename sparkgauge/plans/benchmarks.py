@@ -18,7 +18,7 @@ from ..operators.forest import isolation_forest
 from ..operators.refine import inferred
 from ..operators.schemas import cleaned_schema, diff_of, diff_text
 from ..operators.semantic import semantic_types
-from ..sources.files import csv_files, read_csv
+from ..sources.files import csv_files, read_csv, stored
 from ..sources.sinks import write, write_schema_report, write_text
 from . import explain
 from .variants import variants
@@ -139,6 +139,7 @@ def anomaly_benchmark(spark: SparkSession, rows: int = 1000, contamination: floa
     out = None
     for name, plan in D.SCENARIOS.items():
         variant, truth = D.scenario(clean, ["key"], plan, name)
+        variant = stored(variant)  # it is read many times
         names = numeric_columns(variant, exclude=["key"])
         forest = isolation_forest(variant, names, contamination) if len(names) > 1 else None
         found = A.union_of_rows(variant, ["key"], forest=forest).select(F.col("key").cast("string").alias("row"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .functions.order import quantiles
@@ -13,6 +15,9 @@ from .operators.joins import asof_join, interval_join
 from .plans.assistant import flagged_rows
 from .plans.config import AnomalyConfig
 from .queries import _hash_sql, add, read
+from .sources.catalog import import_tables
+from .sources.files import scratch
+from .sources.sinks import MANIFEST, write
 
 # joins
 
@@ -112,6 +117,39 @@ def flagged_rows_all(spark, sf_dir):
     return flagged_rows(df, AnomalyConfig(z_threshold=2.0, use_isolation_forest=False)).rows
 
 
+# writers and imports
+
+
+@add("json_array_round_trip", "SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus END AS o_orderstatus, o_totalprice FROM orders")
+def json_array_round_trip(spark, sf_dir):
+    """A table as arrays of records, one a file, and back."""
+    df = read(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderstatus")).alias("o_orderstatus"), "o_totalprice").repartition(3)
+    path = f"{scratch(spark)}/orders"
+    write(df, path, "json_array")
+    return spark.read.option("multiLine", True).json(path).select(*[F.col(c).cast(df.schema[c].dataType) for c in df.columns])
+
+
+@add("manifest_files", "SELECT s_suppkey, s_name FROM supplier")
+def manifest_files(spark, sf_dir):
+    """The files that a manifest lists hold the table, also after it was written over."""
+    path = f"{scratch(spark)}/supplier"
+    for parts in (4, 2):
+        write(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name").repartition(parts), path, "delta")
+    files = [r.value for r in spark.read.text(f"{path}/{MANIFEST}").collect()]  # a row a file
+    return spark.read.parquet(*files)
+
+
+@add("jdbc_import", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def jdbc_import(spark, sf_dir):
+    """A table put into a database over JDBC, and read back by several tasks."""
+    url = f"jdbc:derby:memory:db{uuid.uuid4().hex};create=true"
+    df = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    df.write.format("jdbc").options(url=url, dbtable="customer").save()
+    (path,) = import_tables(spark, url, ["customer"], scratch(spark), rows=max(1, df.count() // 5))
+    out = spark.read.parquet(path)
+    return out.select(*[F.col(c).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+
+
 # order statistics and values that are no plain numbers
 
 _SHARES = (0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0)

@@ -57,9 +57,32 @@ def download(spark: SparkSession, table: str, rows: int | None = None) -> tuple[
         return spark.createDataFrame([], T.StructType()), {}
 
 
-def find(spark: SparkSession, pattern: str, schema: str | None = None) -> list[tuple[str, str]]:
-    """(schema, table) of all tables whose name fits a pattern with * and ?, in one schema or in all."""
-    return [(s, t) for s in ([schema] if schema else schemas(spark)) for t in tables(spark, s) if fnmatch.fnmatchcase(t, pattern)]
+#: Fixed value: levels of a catalog that a search goes down.
+DEPTH = 5
+
+
+def namespaces(spark: SparkSession, top: str | tuple[str, ...] | None = None, depth: int = DEPTH) -> list[tuple[str, ...]]:
+    """Namespaces below ``top``, or all, with their own namespaces down to ``depth`` levels, sorted; each as its parts."""
+    todo: list[tuple[str, ...]] = [tuple(top.split(".")) if isinstance(top, str) else top] if top else [(s,) for s in schemas(spark)]
+    out, seen = [], set(todo)
+    while todo:
+        space = todo.pop()
+        out.append(space)
+        if len(space) >= depth:
+            continue
+        try:
+            rows = spark.sql(f"SHOW NAMESPACES IN {quoted(*space)}").collect()
+        except Exception:  # noqa: BLE001 catalogs of one level have none below
+            continue
+        below = [(*space, r[0].split(".")[-1].strip("`")) for r in rows]
+        todo += [s for s in below if s not in seen]
+        seen |= set(below)
+    return sorted(out)
+
+
+def find(spark: SparkSession, pattern: str, schema: str | None = None, depth: int = DEPTH) -> list[tuple[str, ...]]:
+    """(schema, table), with a part for each level, of all tables whose name fits a pattern with * and ?, below one schema or all."""
+    return [(*s, t) for s in namespaces(spark, schema, depth) for t in tables(spark, s[0] if len(s) == 1 else quoted(*s)) if fnmatch.fnmatchcase(t, pattern)]
 
 
 def at_path(spark: SparkSession, path: str, schema: str | None = None) -> tuple[str, str] | None:
@@ -158,11 +181,52 @@ def discovered(spark: SparkSession, url: str, **options: str) -> list[str]:
     return sorted(r.name for r in rows.collect())  # a row per table
 
 
-def import_tables(spark: SparkSession, url: str, names: list[str] | None, out: str, **options: str) -> list[str]:
-    """Tables of a database over JDBC, all unless named, each as Parquet {out}/{table}.parquet."""
+#: Rows that a task of an import takes, and cells of the grid from which balanced ranges are put together, for each task.
+IMPORT_ROWS, CELLS = 1_000_000, 16
+
+
+def _name(url: str, column: str) -> str:
+    """A column's exact name in the database's SQL."""
+    mark = "`" if url.startswith(("jdbc:mysql:", "jdbc:mariadb:")) else '"'
+    return mark + column.replace(mark, 2 * mark) + mark
+
+
+def key_ranges(spark: SparkSession, url: str, table: str, key: str, rows: int = IMPORT_ROWS, **options: str) -> list[str]:
+    """Predicates that part a table by a whole-numbered key into ranges of about ``rows`` rows; null keys go with the first.
+
+    The database counts the keys by the cells of a grid, and neighbouring cells are put together, so that dense stretches of keys
+    are parted as finely as sparse ones, down to a cell.
+    """
+    key = _name(url, key)
+    ask = lambda sql: spark.read.format("jdbc").options(url=url, query=sql, **options).load()
+    low, high, n = ask(f"SELECT MIN({key}) AS lo, MAX({key}) AS hi, COUNT(*) AS n FROM {table}").first()
+    parts = -(-n // rows)
+    if parts <= 1 or low is None or low == high:
+        return ["1 = 1"]
+    low, high = int(low), int(high)
+    width = -(-(high - low + 1) // (parts * CELLS))
+    counts = {int(r[0]): r[1] for r in ask(f"SELECT ({key} - {low}) / {width} AS cell, COUNT(*) AS n FROM {table} WHERE {key} IS NOT NULL GROUP BY ({key} - {low}) / {width}").collect()}  # CELLS rows a part
+    cuts, held = [], 0
+    for cell in sorted(counts):
+        if held and held + counts[cell] > rows:
+            cuts.append(low + cell * width)
+            held = 0
+        held += counts[cell]
+    bounds = [None, *cuts, None]
+    tests = [" AND ".join(t for t in (f"{key} >= {a}" if a is not None else "", f"{key} < {b}" if b is not None else "") if t) or "1 = 1" for a, b in zip(bounds, bounds[1:], strict=False)]
+    return [f"({tests[0]}) OR {key} IS NULL", *tests[1:]] if cuts else tests
+
+
+def import_tables(spark: SparkSession, url: str, names: list[str] | None, out: str, rows: int = IMPORT_ROWS, **options: str) -> list[str]:
+    """Tables of a database over JDBC, all unless named, each as Parquet {out}/{table}.parquet.
+
+    A table with a whole-numbered column is read by as many tasks as it has ranges of about ``rows`` rows of the first such column.
+    """
     paths = []
     for n in discovered(spark, url, **options) if names is None else names:
         path = f"{out}/{n}.parquet"
-        spark.read.format("jdbc").options(url=url, dbtable=n, **options).load().write.mode("overwrite").parquet(path)
+        whole = [f.name for f in spark.read.format("jdbc").options(url=url, dbtable=n, **options).load().schema.fields if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))]
+        ranges = key_ranges(spark, url, n, whole[0], rows, **options) if whole else ["1 = 1"]
+        spark.read.jdbc(url, n, predicates=ranges, properties=options).write.mode("overwrite").parquet(path)
         paths.append(path)
     return paths

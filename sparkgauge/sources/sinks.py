@@ -7,8 +7,10 @@ import json
 import math
 import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,11 +38,43 @@ def write_parquet(df: DataFrame, path: str) -> None:
 
 
 def write_json(df: DataFrame, path: str) -> None:
+    """An object a line."""
     _retried(lambda: df.write.mode("overwrite").json(path))
 
 
+def _array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A partition's objects as the lines of one array."""
+    mark = "["
+    for batch in batches:
+        if batch.num_rows:
+            marks = pa.array([mark] + [","] * (batch.num_rows - 1))
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(marks, batch.column(0), "")], ["value"])
+            mark = ","
+    yield pa.RecordBatch.from_arrays([pa.array(["[]" if mark == "[" else "]"])], ["value"])
+
+
+def write_json_array(df: DataFrame, path: str) -> None:
+    """Arrays of records: every file of the folder, one a partition, is a valid array. Nulls are written, as records have all fields.
+
+    Tasks write their files by themselves; who wants one file coalesces the table first.
+    """
+    records = df.select(F.to_json(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
+    lines = df.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1) if df.isEmpty() else records.mapInArrow(_array, "value string")
+    _retried(lambda: lines.write.mode("overwrite").text(path))
+
+
+#: Fixed value: where a manifest lies below a table.
+MANIFEST = "_symlink_format_manifest"
+
+
+def write_manifest(spark: SparkSession, path: str) -> None:
+    """The table's live files, a path a line, for engines that read a table by its links."""
+    files = spark.read.parquet(path).inputFiles()  # names alone
+    spark.createDataFrame([(f,) for f in sorted(files)], "value string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}/{MANIFEST}")
+
+
 def write_delta(df: DataFrame, path: str, schema: dict[str, str] | None = None) -> None:
-    """Null words cleaned and columns cast. As Delta where its format is installed, else as Parquet."""
+    """Null words cleaned, columns cast, and a manifest of the live files. As Delta where its format is installed, else as Parquet."""
     df = cast_columns(null_words(df), schema or {})
     try:
         df.write.format("delta").mode("overwrite").save(path)
@@ -48,9 +82,10 @@ def write_delta(df: DataFrame, path: str, schema: dict[str, str] | None = None)
         if "[DATA_SOURCE_NOT_FOUND]" not in str(e):
             raise
         write_parquet(df, path)
+    write_manifest(df.sparkSession, path)
 
 
-WRITERS = {"csv": write_csv, "parquet": write_parquet, "json": write_json, "delta": write_delta}
+WRITERS = {"csv": write_csv, "parquet": write_parquet, "json": write_json, "json_array": write_json_array, "delta": write_delta}
 
 
 def write(df: DataFrame, path: str, kind: str) -> None:

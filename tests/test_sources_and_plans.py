@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from sparkgauge.operators import degrade as D
 from sparkgauge.operators import evaluate as E
 from sparkgauge.plans import explain
-from sparkgauge.plans.assistant import analyze, analyze_table, run, run_async, run_stream
+from sparkgauge.functions.types import with_row_index
+from sparkgauge.plans.assistant import analyze, analyze_table, run, run_async, run_stream, find_anomalies
 from sparkgauge.plans.cli import main, settings
 from sparkgauge.plans.config import AnomalyConfig, MappingConfig, SourceConfig
 from sparkgauge.plans.variants import variants
@@ -264,3 +265,56 @@ def test_csv_rejects_and_limits(spark, tmp_path):
     assert sorted(r.line for r in rejects(spark, path).collect()) == ["3", "4,5,6"]
     assert read_csv(spark, path, 1).columns == ["a", "b"]  # the lines that don't fit come later
     assert read_csv(spark, path, 3).count() == 3
+
+
+def test_json_arrays_of_every_partition(spark, tmp_path):
+    df = spark.createDataFrame([(i, None if i % 2 else "x") for i in range(10)], "i long, t string").repartition(3)
+    path = str(tmp_path / "a")
+    K.write(df, path, "json_array")
+    files = [f.read_text() for f in (tmp_path / "a").glob("part-*")]
+    assert sorted(x["i"] for f in files for x in json.loads(f)) == list(range(10)) and all(set(x) == {"i", "t"} for f in files for x in json.loads(f))
+    K.write(df.limit(0), path, "json_array")
+    assert all(json.loads(f.read_text()) == [] for f in (tmp_path / "a").glob("part-*"))
+
+
+def test_import_by_balanced_ranges(spark, tmp_path):
+    url = "jdbc:derby:memory:ranges;create=true"
+    keys = [*range(0, 400), *range(100_000, 100_020), None, None]
+    spark.createDataFrame([(k, f"v{k}") for k in keys], "k long, v string").write.format("jdbc").options(url=url, dbtable="dense").mode("overwrite").save()
+    ranges = C.key_ranges(spark, url, "dense", "k", rows=50)
+    sizes = [spark.read.jdbc(url, "dense", predicates=[r]).count() for r in ranges]
+    assert sum(sizes) == len(keys) and len(ranges) > 1
+    (path,) = C.import_tables(spark, url, ["dense"], str(tmp_path), rows=50)
+    assert sorted(r.k or -1 for r in spark.read.parquet(path).collect()) == sorted(k or -1 for k in keys)
+    assert C.key_ranges(spark, url, "dense", "k") == ["1 = 1"]
+
+
+def test_all_flagged_rows_are_listed(spark, tmp_path):
+    df = with_row_index(spark.range(3000).selectExpr("CASE WHEN id % 2 = 0 THEN id END AS x", "id AS y"))
+    config = AnomalyConfig(use_isolation_forest=False)
+    report = find_anomalies(df, "a/b", config, str(tmp_path), max_listed_rows=10)
+    assert report["anomalies"]["missing_values"] == 1500 and len(report["anomaly_rows"]["missing_values"]) == 10
+    saved = spark.read.parquet(report["anomaly_rows_saved"])
+    assert saved.where("method = 'missing_values'").count() == 1500
+
+
+def test_find_goes_down_namespaces(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS deep")
+    spark.range(1).write.mode("overwrite").saveAsTable("deep.seek_me")
+    assert ("deep", "seek_me") in C.find(spark, "seek*") and C.find(spark, "seek*", "deep") == [("deep", "seek_me")]
+    assert ("deep",) in C.namespaces(spark) and C.namespaces(spark, "deep") == [("deep",)]
+    spark.sql("DROP DATABASE deep CASCADE")
+
+
+def test_first_values_of_all_columns(spark):
+    from sparkgauge.functions.firsts import first_values, head
+
+    df = with_row_index(spark.range(0, 5000, 1, 4).selectExpr("CAST(id AS STRING) AS a", "CASE WHEN id >= 4000 THEN CAST(id AS STRING) END AS late", "CAST(NULL AS STRING) AS none", "CASE WHEN id % 100 = 7 THEN 'x' || id END AS few"))
+    for order in (["row_idx"], ["a"]):
+        got = {}
+        for r in first_values(df, ["a", "late", "none", "few"], 20, order).collect():
+            got.setdefault(r.column, []).append(r.value)
+        rows = sorted(df.collect(), key=lambda r: r[order[0]])
+        for c in ("a", "late", "none", "few"):
+            assert sorted(got.get(c, [])) == sorted([r[c] for r in rows if r[c] is not None][:20])
+    assert head(df, 3, ["row_idx"]).count() == 3
