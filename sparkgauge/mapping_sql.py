@@ -71,8 +71,3 @@ decided AS (
     SELECT *, CASE WHEN final < {threshold}::DOUBLE THEN 'unmapped' WHEN COALESCE(final - next <= {epsilon}::DOUBLE, false) AND lower(ref) <> lower(next_ref) THEN 'ambiguous' ELSE 'mapped' END AS status
     FROM ranked JOIN (SELECT source AS s, list(ref ORDER BY rank) AS c FROM ranked WHERE rank <= {M.MAX_CANDIDATES} GROUP BY source) ON s = source WHERE rank = 1))
 """
-
-
-def named_sql(names: Sequence[str]) -> str:
-    """Sources that are names alone."""
-    return f"SELECT place, name, false AS is_number, NULL::VARCHAR AS detected FROM ({values_sql(names)})"

@@ -86,16 +86,16 @@ def written_names(fields: DataFrame) -> DataFrame:
     return fields.select("field", rows.alias("w")).select("w.transform", "field", "w.name")
 
 
-def mapping_benchmark(spark: SparkSession, threshold: float = 0.7, epsilon: float = M.EPSILON) -> DataFrame:
+def mapping_benchmark(spark: SparkSession, threshold: float = 0.7, epsilon: float = M.EPSILON, fields: Sequence[str] = FIELDS) -> DataFrame:
     """(transform, tp, fp, fn, ambiguous, precision, recall, f1, ms_per_column) of each way to write the fields' names.
 
     All names are scored in one plan, then counted by transform.
     """
-    truth = written_names(spark.createDataFrame([(f,) for f in FIELDS], "field string"))
+    truth = written_names(spark.createDataFrame([(f,) for f in fields], "field string"))
     rows = truth.collect()  # a row per field and way
     began = time.perf_counter()
     names = M.names_only(spark, sorted({r.name for r in rows}))
-    decided = M.decisions(M.scores(names, M.reference_names(spark, list(FIELDS), M.merged_synonyms(FIELD_SYNONYMS))), names, threshold, epsilon)
+    decided = M.decisions(M.scores(names, M.reference_names(spark, list(fields), M.merged_synonyms(FIELD_SYNONYMS))), names, threshold, epsilon)
     right = F.col("status") == "mapped"
     both = truth.join(decided, truth["name"] == decided["source"])
     counts = both.groupBy("transform").agg(
@@ -111,10 +111,10 @@ def mapping_benchmark(spark: SparkSession, threshold: float = 0.7, epsilon: floa
     return spark.createDataFrame(out, "transform string, tp long, fp long, fn long, ambiguous long, precision double, recall double, f1 double, ms_per_column double")
 
 
-def abbreviation_benchmark(spark: SparkSession, provider: explain.Provider | None = None, threshold: float = 0.6, epsilon: float = 0.08) -> DataFrame:
+def abbreviation_benchmark(spark: SparkSession, provider: explain.Provider | None = None, threshold: float = 0.6, epsilon: float = 0.08, truth: dict[str, str] | None = None, fields: Sequence[str] = ABBREVIATION_FIELDS) -> DataFrame:
     """(source, truth, status, target, assisted): decisions on abbreviated names, with ties broken by a provider if given."""
-    truth = {s: t for s, t, _ in ABBREVIATIONS}
-    decided = M.map_columns(None, list(truth), ABBREVIATION_FIELDS, threshold=threshold, epsilon=epsilon, spark=spark).orderBy("place").collect()
+    truth = {s: t for s, t, _ in ABBREVIATIONS} if truth is None else truth
+    decided = M.map_columns(None, list(truth), list(fields), threshold=threshold, epsilon=epsilon, spark=spark).orderBy("place").collect()
     rows = []
     for r in decided:
         assisted = r.target
@@ -133,16 +133,18 @@ def typing_benchmark(df: DataFrame, types: dict[str, str], semantic: dict[str, s
     return schema.select(F.col("accuracy").alias("type_accuracy")).crossJoin(F.broadcast(scores.select("precision", "recall", "f1")))  # one row each
 
 
-def anomaly_benchmark(spark: SparkSession, rows: int = 1000, contamination: float = 0.05) -> DataFrame:
-    """(scenario, tp, fp, fn, precision, recall, f1) of z-score, interquartile range and forest together on made sales."""
-    clean = D.base_rows(spark, {"key": "key", **SALES_SCHEMA}, rows)
+def anomaly_benchmark(spark: SparkSession, rows: int = 1000, contamination: float = 0.05, clean: DataFrame | None = None, keys: Sequence[str] = ("key",)) -> DataFrame:
+    """(scenario, tp, fp, fn, precision, recall, f1) of z-score, interquartile range and forest together on variants of a
+    table, or of made sales."""
+    keys = list(keys)
+    clean = D.base_rows(spark, {"key": "key", **SALES_SCHEMA}, rows) if clean is None else clean
     out = None
     for name, plan in D.SCENARIOS.items():
-        variant, truth = D.scenario(clean, ["key"], plan, name)
+        variant, truth = D.scenario(clean, keys, plan, name)
         variant = stored(variant)  # it is read many times
-        names = numeric_columns(variant, exclude=["key"])
+        names = numeric_columns(variant, exclude=keys)
         forest = isolation_forest(variant, names, contamination) if len(names) > 1 else None
-        found = A.union_of_rows(variant, ["key"], forest=forest).select(F.col("key").cast("string").alias("row"))
+        found = A.union_of_rows(variant, keys, forest=forest).select(D.key_text(keys).alias("row"))
         part = E.row_scores(found, truth).withColumn("scenario", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions.names import clean, normalized, tokens
 from .functions.patterns import SEMANTIC_TYPES
 from .functions.types import numeric_columns, with_row_index
-from .mapping_sql import clean_sql, decisions_sql, named_sql, normalized_sql, tokens_sql, values_sql
+from .mapping_sql import clean_sql, decisions_sql, normalized_sql, tokens_sql, values_sql
 from .operators import anomalies as A
 from .operators import degrade as D
 from .operators import evaluate as E
@@ -21,6 +21,7 @@ from .operators import refine as R
 from .operators import schemas as S
 from .operators.forest import isolation_forest
 from .operators.semantic import semantic_types, value_hints
+from .plans import benchmarks as B
 from .plans import variants as V
 from .plans.assistant import analyze
 from .plans.config import AnomalyConfig
@@ -438,9 +439,12 @@ def sql_source_limit(spark, sf_dir):
     return found.df.agg(F.count("*").alias("rows"))
 
 
-@add("sql_source_error", "SELECT 'sql_query (error)' AS name, true AS failed")
+@add("sql_source_error", "SELECT 'bad (error)' AS name, true AS failed, 1::BIGINT AS rows UNION ALL SELECT 'good', false, count(*)::BIGINT FROM orders")
 def sql_source_error(spark, sf_dir):
-    return spark.createDataFrame([(d.name, d.error is not None) for d in SqlSource(spark, query="SELECT nothing FROM nowhere_at_all").datasets()], "name string, failed boolean")
+    """A query of a column that a table lacks, and one that it has."""
+    read(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    found = [d for name, column in (("bad", "no_such_column"), ("good", "o_orderkey")) for d in SqlSource(spark, query=f"SELECT {column} FROM orders", name=name).datasets()]
+    return spark.createDataFrame([(d.name, d.error is not None, d.df.count()) for d in found], "name string, failed boolean, rows long")
 
 
 @add("analyze_report", """
@@ -486,23 +490,53 @@ def drawn_duplicates(spark, sf_dir):
 
 # names and mapping
 
-_NAMES = ("Email", "PhoneNumber", "ReviewText", "PHONE", "IP Address", "e-mail", " first name ", "user_id", "c_acctbal", "zip--code")
-_NAME_VALUES = ", ".join(f"('{n}')" for n in _NAMES)
+_COLUMNS_SQL = "SELECT table_name AS t, column_name AS c FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{t}'" for t in TABLES) + ")"
+#: Every column's name, written in the ways of the mapping benchmark: (transform, field, name).
+WRITTEN_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS transform, f AS field, {text} AS name FROM fields"
+    for name, text in {
+        "exact": "f", "case_upper": "upper(f)", "case_mixed": "array_to_string(list_transform(string_split(f, '_'), lambda w: upper(w[1]) || w[2:]), '_')",
+        "synonym": "CASE f " + " ".join(f"WHEN '{k}' THEN '{min(v)}'" for k, v in B.FIELD_SYNONYMS.items()) + " ELSE f END",
+        "prefix": f"'{B.PREFIX}' || f", "suffix": f"f || '{B.SUFFIX}'",
+        "fuzzy_typo": "CASE WHEN length(f) > 3 THEN substr(f, 1, length(f) // 2 - 1) || substr(f, length(f) // 2 + 1, 1) || substr(f, length(f) // 2, 1) || substr(f, length(f) // 2 + 2) ELSE f END",
+    }.items()
+)
+
+
+def written_sql(tables=TABLES) -> str:
+    """``WRITTEN_SQL`` of the columns of tables."""
+    return f"WITH fields(f) AS (SELECT DISTINCT c FROM ({_COLUMNS_SQL}) WHERE t IN ({', '.join(f"'{t}'" for t in tables)})) {WRITTEN_SQL}"
+
+
+def columns_of_tables(spark: SparkSession, sf_dir: str, tables=TABLES) -> list[str]:
+    return sorted({c for t in tables for c in read(spark, sf_dir, t).columns})
+
+
+def written_columns(spark: SparkSession, sf_dir: str, tables=TABLES) -> DataFrame:
+    """(transform, field, name) of the columns of tables."""
+    return B.written_names(spark.createDataFrame([(c,) for c in columns_of_tables(spark, sf_dir, tables)], "field string"))
+
+
+def sources_sql(written: str) -> str:
+    return f"SELECT (row_number() OVER (ORDER BY name) - 1)::INT AS place, name, false AS is_number, NULL::VARCHAR AS detected FROM (SELECT DISTINCT name FROM ({written}))"
+
+
 _CLEAN_SQL, _NORM_SQL, _TOKENS_SQL = clean_sql("n"), normalized_sql("n"), tokens_sql("n")
+_WRITTEN_NAMES = f"(SELECT DISTINCT name AS n FROM ({written_sql()}))"
 
 
-@add("normalize_names", f"SELECT n AS name, {_CLEAN_SQL} AS cleaned, {_NORM_SQL} AS normalized, array_to_string({_TOKENS_SQL}, ' ') AS tokens FROM (VALUES {_NAME_VALUES}) t(n)")
+@add("normalize_names", f"SELECT n AS name, {_CLEAN_SQL} AS cleaned, {_NORM_SQL} AS normalized, array_to_string({_TOKENS_SQL}, ' ') AS tokens FROM {_WRITTEN_NAMES}")
 def normalize_names(spark, sf_dir):
-    df = spark.createDataFrame([(n,) for n in _NAMES], "name string")
+    df = written_columns(spark, sf_dir).select("name").distinct()
     return df.select("name", clean(F.col("name")).alias("cleaned"), normalized(F.col("name")).alias("normalized"), F.array_join(tokens(F.col("name")), " ").alias("tokens"))
 
 
-_FIELDS = ("email", "phone", "name", "address", "price", "date", "comment")
+_FIELDS = ("email", "phone", "name", "address", "price", "date", "comment", "id", "l_tax")
 _SYN_VALUES = ", ".join(f"('{k}', {v!r})" for k, v in M.SYNONYMS.items())
 
 
 @add("mapping_components", f"""
-WITH s AS (SELECT n AS source, {_NORM_SQL} AS src_n, {_TOKENS_SQL} AS src_t FROM (VALUES {_NAME_VALUES}) t(n)),
+WITH s AS (SELECT n AS source, {_NORM_SQL} AS src_n, {_TOKENS_SQL} AS src_t FROM {_WRITTEN_NAMES}),
 r AS (SELECT n AS ref, {_NORM_SQL} AS ref_n, {_TOKENS_SQL} AS ref_t, COALESCE(y.a, []) AS aliases FROM (VALUES {', '.join(f"('{f}')" for f in _FIELDS)}) t(n) LEFT JOIN (VALUES {_SYN_VALUES}) y(k, a) ON y.k = n),
 x AS (SELECT *, list_transform(aliases, lambda n: {_NORM_SQL}) AS alias_n FROM r)
 SELECT source, ref, (CASE WHEN source = ref THEN 1.0 ELSE 0.0 END)::DOUBLE AS exact, (CASE WHEN src_n = ref_n THEN 0.98 ELSE 0.0 END)::DOUBLE AS norm_exact,
@@ -512,19 +546,34 @@ SELECT source, ref, (CASE WHEN source = ref THEN 1.0 ELSE 0.0 END)::DOUBLE AS ex
 FROM s, x
 """)
 def mapping_components(spark, sf_dir):
-    rows = M.components(M.names_only(spark, _NAMES), M.reference_names(spark, _FIELDS))
+    names = [r.name for r in written_columns(spark, sf_dir).select("name").distinct().collect()]  # names of columns
+    rows = M.components(M.names_only(spark, names), M.reference_names(spark, _FIELDS))
     return rows.select("source", "ref", *[F.col(c).cast("double").alias(c) for c in ("exact", "norm_exact", "synonym", "jaccard", "length_penalty")])
 
 
 _DECIDED = "SELECT source, status, target, score FROM decided"
 
 
-@add("mapping_decisions", decisions_sql(named_sql(_NAMES), _FIELDS, M.SYNONYMS, 0.7, 0.05) + _DECIDED)
+#: The columns of orders, as the references of its own columns, and the tables whose columns are mapped onto fields.
+_ORDER_FIELDS, _MAPPED_TABLES = _ORDERS, ("customer", "supplier", "documents")
+
+
+@add("mapping_decisions", decisions_sql(sources_sql(written_sql(_MAPPED_TABLES)), _FIELDS, M.SYNONYMS, 0.7, 0.05) + _DECIDED)
 def mapping_decisions(spark, sf_dir):
-    out = M.map_columns(None, _NAMES, _FIELDS, threshold=0.7, epsilon=0.05, spark=spark)
+    """Columns of three tables, however they are written, onto fields."""
+    names = sorted({r.name for r in written_columns(spark, sf_dir, _MAPPED_TABLES).collect()})  # names of columns
+    out = M.map_columns(None, names, _FIELDS, threshold=0.7, epsilon=0.05, spark=spark)
     return out.select("source", "status", "target", F.round("score", 6).alias("score"))
 
 
+@add("mapping_candidates", decisions_sql(sources_sql(written_sql(("orders",))), _ORDER_FIELDS, M.SYNONYMS, 0.7, 0.1) + _DECIDED)
+def mapping_candidates(spark, sf_dir):
+    """Decisions by the candidate join of large catalogs, held against all pairs."""
+    names = sorted({r.name for r in written_columns(spark, sf_dir, ("orders",)).collect()})  # names of columns
+    sources, refs = M.names_only(spark, names), M.reference_names(spark, read(spark, sf_dir, "orders").columns)
+    return M.decided(sources, refs, 0.7, 0.1, all_pairs=0).select("source", "status", "target", F.round("score", 6).alias("score"))
+
+
 _PAGE_FIELDS = ("url", "page", "html_text")
 _PAGE_SOURCES = f"""
 SELECT v.place, v.name, v.name = 'page_id' AS is_number, d.semantic_type AS detected FROM ({values_sql(("page_id", "url", "html"))}) v
@@ -538,9 +587,6 @@ def mapping_table_decisions(spark, sf_dir):
     return out.select("source", "status", "target", F.round("score", 6).alias("score"))
 
 
-_COLUMNS_SQL = "SELECT table_name AS t, column_name AS c FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{t}'" for t in TABLES) + ")"
-
-
 @add("dynamic_refs", f"SELECT DISTINCT c AS \"column\" FROM ({_COLUMNS_SQL}) WHERE t <> 'labels' AND c NOT IN (SELECT c FROM ({_COLUMNS_SQL}) WHERE t = 'labels')")
 def dynamic_refs(spark, sf_dir):
     names = spark.createDataFrame([(t, c) for t in TABLES for c in read(spark, sf_dir, t).columns], "table string, column string")
@@ -610,18 +656,17 @@ def eval_semantic_empty_truth(spark, sf_dir):
     return E.semantic_scores(found, spark.createDataFrame([], "column string, semantic_type string"))
 
 
-#: What some of the names mean; one is written otherwise on purpose.
-_MEANT = {"Email": "email", "PhoneNumber": "phone", "PHONE": "phone", "IP Address": "address", "ReviewText": "comment", "c_acctbal": "price"}
-
-
-@add("eval_mapping_accuracy", decisions_sql(named_sql(_NAMES), _FIELDS, M.SYNONYMS, 0.6, 0.4) + f"""
+@add("eval_mapping_accuracy", decisions_sql(sources_sql(written_sql(("orders",))), _ORDER_FIELDS, M.SYNONYMS, 0.6, 0.4) + f"""
 SELECT sum(p)::DOUBLE AS score, count(*)::BIGINT AS total, (sum(p) / count(*))::DOUBLE AS accuracy FROM (
   SELECT CASE WHEN status = 'mapped' AND target = want THEN 1.0 WHEN status = 'ambiguous' AND list_contains(candidates, want) THEN 0.5 ELSE 0.0 END AS p
-  FROM (VALUES {', '.join(map(str, _MEANT.items()))}) t(name, want) LEFT JOIN decided ON source = name)
+  FROM (SELECT DISTINCT name, field AS want FROM ({written_sql(("orders",))})) t LEFT JOIN decided ON source = name)
 """)
 def eval_mapping_accuracy(spark, sf_dir):
-    decided = M.map_columns(None, _NAMES, _FIELDS, threshold=0.6, epsilon=0.4, spark=spark)
-    return E.mapping_accuracy(decided, spark.createDataFrame(list(_MEANT.items()), "source string, target string"))
+    """The columns of orders, however they are written, onto themselves."""
+    truth = written_columns(spark, sf_dir, ("orders",)).select(F.col("name").alias("source"), F.col("field").alias("target")).distinct()
+    names = sorted(r.source for r in truth.select("source").collect())  # names of columns
+    decided = M.map_columns(None, names, read(spark, sf_dir, "orders").columns, threshold=0.6, epsilon=0.4, spark=spark)
+    return E.mapping_accuracy(decided, truth)
 
 
 @add("eval_end_to_end")
@@ -656,6 +701,12 @@ SQL = {
     "distinct": "SELECT count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_returnflag) AS returns FROM lineitem",
     "grouping_sets": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())",
     "range_join": "SELECT count(*) AS n FROM part p JOIN (SELECT min(p_retailprice) AS lo, avg(p_retailprice) AS hi FROM part) b ON p.p_retailprice BETWEEN b.lo AND b.hi",
+    "right_join": "SELECT r_name, n_name FROM (SELECT * FROM nation WHERE n_nationkey % 2 = 0) n RIGHT JOIN region ON r_regionkey = n_regionkey AND n_nationkey < 9",
+    "full_join": "SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_custkey % 3 > 0) c FULL JOIN supplier ON c_custkey = s_suppkey",
+    "cube": "SELECT o_orderstatus, o_orderpriority, grouping(o_orderstatus) AS g, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)",
+    "frames": "SELECT event_id, sum(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS near, lag(event_id, 2) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, max(value) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND CURRENT ROW) AS day_high, ntile(4) OVER (PARTITION BY user_id ORDER BY event_id) AS quarter FROM events",
+    "setops_all": "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey AS k FROM supplier UNION ALL (SELECT s_nationkey AS k FROM supplier EXCEPT ALL SELECT n_nationkey AS k FROM nation)",
+    "scalars": "SELECT o_orderkey, year(o_orderdate) AS y, upper(substr(o_orderpriority, 3)) AS p, round(o_totalprice / 7, 3) AS r, coalesce(nullif(o_orderstatus, 'F'), 'done') AS s, length(concat(o_orderstatus, '-', o_orderpriority)) AS n, greatest(o_custkey, 500) AS g, date_trunc('month', o_orderdate) AS m FROM orders",
     "subquery": "SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > (SELECT avg(s_acctbal) FROM supplier)",
 }
 
@@ -678,6 +729,5 @@ for _name, _sql in SQL.items():
 
 @add("benchmark_anomalies")
 def benchmark_anomalies(spark, sf_dir):
-    from .plans.benchmarks import anomaly_benchmark
-
-    return anomaly_benchmark(spark)
+    """All detectors on degraded variants of the parts."""
+    return B.anomaly_benchmark(spark, clean=read(spark, sf_dir, "part"), keys=["p_partkey"])

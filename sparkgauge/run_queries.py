@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.patterns import matches
 from .functions.types import ensure_columns, with_row_index
-from .mapping_sql import decisions_sql, named_sql
+from .mapping_sql import decisions_sql
 from .operators import anomalies as A
 from .operators import mapping as M
 from .operators import refine as R
@@ -19,7 +20,7 @@ from .operators.semantic import semantic_types
 from .plans import benchmarks as B
 from .plans.assistant import analyze, run_stream
 from .plans.config import AnomalyConfig, MappingConfig, SourceConfig
-from .queries import _MISSING_SQL, _NULLS, _ORDERS, _PATTERNS, ZSCORE_EVENTS, _degraded, _iqr_sql, _rare_sql, add, read
+from .queries import _MISSING_SQL, _NULLS, _ORDERS, _PATTERNS, ZSCORE_EVENTS, _degraded, _iqr_sql, _rare_sql, add, columns_of_tables, read, sources_sql, written_sql
 from .sources import catalog as C
 from .sources.files import LocalFiles, csv_files, file_system, read_csv, read_file, rejects, scratch
 from .sources.sinks import ReportStore, completeness, export_samples, mapped_percent, save_sample, write, write_delta
@@ -113,37 +114,35 @@ def schema_only_types(spark, sf_dir):
 
 # benchmarks of names
 
-_WRITTEN_SQL = " UNION ALL ".join(
-    f"SELECT '{name}' AS transform, f AS field, {text} AS name FROM fields"
-    for name, text in {
-        "exact": "f", "case_upper": "upper(f)", "case_mixed": "array_to_string(list_transform(string_split(f, '_'), lambda w: upper(w[1]) || w[2:]), '_')",
-        "synonym": "CASE f " + " ".join(f"WHEN '{k}' THEN '{min(v)}'" for k, v in B.FIELD_SYNONYMS.items()) + " ELSE f END",
-        "prefix": f"'{B.PREFIX}' || f", "suffix": f"f || '{B.SUFFIX}'",
-        "fuzzy_typo": "CASE WHEN length(f) > 3 THEN substr(f, 1, length(f) // 2 - 1) || substr(f, length(f) // 2 + 1, 1) || substr(f, length(f) // 2, 1) || substr(f, length(f) // 2 + 2) ELSE f END",
-    }.items()
-)
-_WRITTEN_SQL = f"WITH fields(f) AS (VALUES {', '.join(f"('{f}')" for f in B.FIELDS)}) {_WRITTEN_SQL}"
-_DISTINCT_NAMES = f"SELECT row_number() OVER () AS place, name, false AS is_number, NULL::VARCHAR AS detected FROM (SELECT DISTINCT name FROM ({_WRITTEN_SQL}))"
+_BENCH_TABLES, _BENCH_FIELDS = ("customer", "supplier"), ("c_acctbal", "c_custkey", "c_mktsegment", "c_name", "c_nationkey", "s_acctbal", "s_name", "s_nationkey", "s_suppkey")
+_WRITTEN_SQL = written_sql(_BENCH_TABLES)
 
 
-@add("benchmark_mapping", decisions_sql(_DISTINCT_NAMES, B.FIELDS, M.merged_synonyms(B.FIELD_SYNONYMS), 0.7, M.EPSILON) + f"""
+@add("benchmark_mapping", decisions_sql(sources_sql(_WRITTEN_SQL), _BENCH_FIELDS, M.merged_synonyms(B.FIELD_SYNONYMS), 0.7, M.EPSILON) + f"""
 SELECT *, CASE WHEN "precision" + recall > 0 THEN 2 * "precision" * recall / ("precision" + recall) ELSE 0.0 END AS f1 FROM (
   SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END::DOUBLE AS "precision", CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END::DOUBLE AS recall FROM (
     SELECT transform, count(*) FILTER (WHERE target = field)::BIGINT AS tp, count(*) FILTER (WHERE target <> field)::BIGINT AS fp, count(*) FILTER (WHERE status <> 'mapped')::BIGINT AS fn,
       count(*) FILTER (WHERE status = 'ambiguous')::BIGINT AS ambiguous FROM ({_WRITTEN_SQL}) w JOIN decided ON source = w.name GROUP BY transform))
 """)
 def benchmark_mapping(spark, sf_dir):
-    return B.mapping_benchmark(spark).drop("ms_per_column")
+    """The columns of two tables, written in seven ways, onto themselves."""
+    return B.mapping_benchmark(spark, fields=columns_of_tables(spark, sf_dir, _BENCH_TABLES)).drop("ms_per_column")
 
 
-@add("benchmark_abbreviations", decisions_sql(named_sql([s for s, _, _ in B.ABBREVIATIONS]), B.ABBREVIATION_FIELDS, M.SYNONYMS, 0.6, 0.08) + f"""
-SELECT source, t.truth, status, target, CASE WHEN status = 'ambiguous' THEN CASE WHEN list_contains(candidates, t.truth) THEN t.truth END ELSE target END AS assisted
-FROM decided JOIN (VALUES {', '.join(f"('{s}', '{t}')" for s, t, _ in B.ABBREVIATIONS)}) t(name, truth) ON t.name = source
+#: Columns without their vowels but for the first letter.
+_SHORT_SQL = f"SELECT f AS field, substr(f, 1, 3) || regexp_replace(substr(f, 4), '[aeiou]', '', 'g') AS name FROM (SELECT unnest({list(_BENCH_FIELDS)!r}) AS f)"
+_SHORT_SOURCES = f"SELECT (row_number() OVER (ORDER BY name) - 1)::INT AS place, name, false AS is_number, NULL::VARCHAR AS detected FROM ({_SHORT_SQL})"
+
+
+@add("benchmark_abbreviations", decisions_sql(_SHORT_SOURCES, _BENCH_FIELDS, M.SYNONYMS, 0.6, 0.3) + f"""
+SELECT source, t.field AS truth, status, target, CASE WHEN status = 'ambiguous' THEN CASE WHEN list_contains(candidates, t.field) THEN t.field END ELSE target END AS assisted
+FROM decided JOIN ({_SHORT_SQL}) t ON t.name = source
 """)
 def benchmark_abbreviations(spark, sf_dir):
-    """Ties are broken by a provider that knows the truth, so ``assisted`` is the best that any can do."""
-    truth = {s: t for s, t, _ in B.ABBREVIATIONS}
-    return B.abbreviation_benchmark(spark, lambda prompt: next((t for s, t in truth.items() if f"field {s!r}?" in prompt), None))
+    """Columns without vowels. Ties are broken by a provider that knows the truth, so ``assisted`` is the best that any can do."""
+    fields = columns_of_tables(spark, sf_dir, _BENCH_TABLES)
+    truth = {f[:3] + re.sub("[aeiou]", "", f[3:]): f for f in fields}
+    return B.abbreviation_benchmark(spark, lambda prompt: next((t for s, t in truth.items() if f"field {s!r}?" in prompt), None), 0.6, 0.3, truth, fields)
 
 
 # sinks
@@ -239,13 +238,18 @@ def csv_rejects(spark, sf_dir):
     return lines.select("line")
 
 
-@add("csv_listing", "SELECT 'a.csv' AS name UNION ALL SELECT 'b.CSV'")
+@add("csv_listing", "SELECT 'a.csv' AS name, count(*)::BIGINT AS rows FROM region UNION ALL SELECT 'b.CSV', count(*)::BIGINT FROM nation")
 def csv_listing(spark, sf_dir):
+    """CSV files of a folder, not of those below it, with their rows."""
     top = scratch(spark)
-    for name in ("b.CSV", "a.csv", "c.json", "deep/d.csv"):
+    for name, t in (("b.CSV", "nation"), ("a.csv", "region"), ("c.json", "region"), ("deep/d.csv", "nation")):
+        part = f"{scratch(spark)}/{t}"
+        read(spark, sf_dir, t).coalesce(1).write.option("header", True).csv(part)  # a few rows
+        (file,) = spark.read.text(part).inputFiles()
         fs, path = file_system(spark, f"{top}/{name}")
-        fs.create(path).close()
-    return spark.createDataFrame([(n,) for n in csv_files(spark, top)], "name string")
+        fs.mkdirs(path.getParent())
+        fs.rename(file_system(spark, file)[1], path)
+    return spark.createDataFrame([(n, read_csv(spark, f"{top}/{n}").count()) for n in csv_files(spark, top)], "name string, rows long")
 
 
 @add("catalog_listing", """
