@@ -26,7 +26,7 @@ from .plans import variants as V
 from .plans.assistant import analyze
 from .plans.config import AnomalyConfig
 from .sources.catalog import SqlSource, drop, promote, query
-from .sources.files import LocalFiles, listed, read_file, read_json, scratch
+from .sources.files import LocalFiles, read_file, scratch
 from .sources.sinks import write
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -178,10 +178,10 @@ def degrade_outliers(spark, sf_dir):
 
 @add("degrade_invalid", f"""
 SELECT c_custkey, CASE WHEN hit THEN '999999' ELSE c_name END AS c_name, CASE WHEN hit THEN 'INVALID' ELSE c_nationkey::VARCHAR END AS c_nationkey,
-  CASE WHEN hit THEN '999999' ELSE c_mktsegment END AS c_mktsegment FROM ({_hit_sql('customer', 'invalid', 0.1, 'c_custkey')})
+  CASE WHEN hit THEN 'INVALID' ELSE c_acctbal::VARCHAR END AS c_acctbal, CASE WHEN hit THEN '999999' ELSE c_mktsegment END AS c_mktsegment FROM ({_hit_sql('customer', 'invalid', 0.1, 'c_custkey')})
 """)
 def degrade_invalid(spark, sf_dir):
-    return D.invalid(read(spark, sf_dir, "customer").drop("c_acctbal"), ["c_custkey"], 0.1)[0]
+    return D.invalid(read(spark, sf_dir, "customer"), ["c_custkey"], 0.1)[0]
 
 
 def _format_sql(c: str) -> str:
@@ -189,9 +189,9 @@ def _format_sql(c: str) -> str:
     return f"CASE WHEN NOT hit THEN {c}::VARCHAR ELSE CASE {k} WHEN 0 THEN ' ' || {c} WHEN 1 THEN {c} || ' ' WHEN 2 THEN replace({c}::VARCHAR, '.', ',') WHEN 3 THEN '*' || {c} || '*' ELSE upper({c}::VARCHAR) END END AS {c}"
 
 
-@add("degrade_format", f"SELECT c_custkey, {_format_sql('c_name')}, {_format_sql('c_nationkey')}, {_format_sql('c_mktsegment')} FROM ({_hit_sql('customer', 'format', 0.2, 'c_custkey')})")
+@add("degrade_format", f"SELECT c_custkey, {_format_sql('c_name')}, {_format_sql('c_nationkey')}, {_format_sql('c_acctbal')}, {_format_sql('c_mktsegment')} FROM ({_hit_sql('customer', 'format', 0.2, 'c_custkey')})")
 def degrade_format(spark, sf_dir):
-    return D.formats(read(spark, sf_dir, "customer").drop("c_acctbal"), ["c_custkey"], 0.2)[0]
+    return D.formats(read(spark, sf_dir, "customer"), ["c_custkey"], 0.2)[0]
 
 
 @add("degrade_duplicates", f"WITH h AS ({_hit_sql('orders', 'duplicates', 0.05, 'o_orderkey')}) SELECT * EXCLUDE (hit) FROM h UNION ALL SELECT * EXCLUDE (hit) FROM h WHERE hit")
@@ -387,34 +387,26 @@ def enforce_numbers(spark, sf_dir):
 # sources: tables are written in a format, scanned and read back
 
 
-def _scanned(spark: SparkSession, df: DataFrame, name: str, kind: str, rows: int | None = None) -> DataFrame:
-    """``df`` written in the scratch folder and found again by the scan of a folder."""
-    top = scratch(spark)
-    write(df, f"{top}/{name}", kind)
-    part = next(p for _, p in listed(spark, top) if p.endswith(f".{kind}") or p.endswith(".parquet"))
-    return read_file(spark, part, rows)
+def _scanned(spark: SparkSession, df: DataFrame, name: str, kind: str, suffix: str | None = None) -> DataFrame:
+    """``df`` written in the scratch folder as files of a format, all of which are read."""
+    path = f"{scratch(spark)}/{name}.{suffix or kind}"
+    write(df, path, kind)
+    return read_file(spark, path).select(*[F.col(c).cast(df.schema[c].dataType).alias(c) for c in df.columns])
 
 
 @add("scan_csv", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
 def scan_csv(spark, sf_dir):
-    df = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice").coalesce(1)
-    out = _scanned(spark, df, "orders", "csv")
-    return out.select(*[F.col(c).cast(df.schema[c].dataType) for c in df.columns])
+    return _scanned(spark, read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), "orders", "csv")
 
 
 @add("scan_json_lines", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def scan_json_lines(spark, sf_dir):
-    return _scanned(spark, read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal").coalesce(1), "supplier", "json").select("s_suppkey", "s_name", "s_acctbal")
+    return _scanned(spark, read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"), "supplier", "json")
 
 
-@add("scan_json_array", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@add("scan_json_array", "SELECT c_custkey, c_name, c_nationkey FROM customer")
 def scan_json_array(spark, sf_dir):
-    top = scratch(spark)
-    df = read(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.col("n_regionkey"))
-    whole = df.agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))  # 25 rows
-    whole.coalesce(1).write.text(f"{top}/nation")
-    part = next(p for _, p in listed(spark, top, extensions=(".txt",)))
-    return read_json(spark, part).select(*[F.col(c).cast(df.schema[c].dataType) for c in df.columns])
+    return _scanned(spark, read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), "customer", "json_array", "json")
 
 
 @add("scan_parquet_folder", "SELECT p_partkey, p_brand, p_retailprice FROM part")
@@ -675,15 +667,14 @@ def eval_end_to_end(spark, sf_dir):
 
 
 @add("eval_scenario_averages", """
-SELECT lang AS scenario, count(*)::BIGINT AS tables, round(avg(n_chars % 101), 6) AS anomaly_f1, round(avg(n_chars % 7), 6) AS schema_accuracy, round(avg(doc_id % 11), 6) AS semantic_f1,
-  round(avg(CASE WHEN doc_id % 3 > 0 THEN doc_id % 5 END), 6) AS mapping_accuracy FROM documents GROUP BY lang
+SELECT lang AS scenario, count(*)::BIGINT AS tables, round(avg(a), 6) AS anomaly_f1, round(avg(s), 6) AS schema_accuracy, round(avg(m), 6) AS semantic_f1, round(avg(1 - s), 6) AS mapping_accuracy
+FROM (SELECT source, lang, avg(quality) AS a, avg(toxic) AS s, CASE WHEN source <> 'web' THEN avg(quality) END AS m FROM documents JOIN labels USING (doc_id) GROUP BY source, lang) GROUP BY lang
 """)
 def eval_scenario_averages(spark, sf_dir):
-    """Rows of documents as results, some of which lack a metric."""
-    rows = read(spark, sf_dir, "documents").select(
-        F.col("source").alias("table"), F.col("lang").alias("scenario"), (F.col("n_chars") % 101).cast("double").alias("anomaly_f1"), (F.col("n_chars") % 7).cast("double").alias("schema_accuracy"),
-        (F.col("doc_id") % 11).cast("double").alias("semantic_f1"), F.when(F.col("doc_id") % 3 > 0, (F.col("doc_id") % 5).cast("double")).alias("mapping_accuracy"),
-    )
+    """Shares of labels by source and language as the scores of tables and scenarios, some of which lack one."""
+    both = read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("table"), F.col("lang").alias("scenario")).join(read(spark, sf_dir, "labels"), "doc_id")
+    rows = both.groupBy("table", "scenario").agg(F.avg("quality").alias("anomaly_f1"), F.avg("toxic").alias("schema_accuracy"))
+    rows = rows.withColumns({"semantic_f1": F.when(F.col("table") != "web", F.col("anomaly_f1")), "mapping_accuracy": 1 - F.col("schema_accuracy")})
     return E.scenario_averages(rows).select("scenario", "tables", *[F.round(m, 6).alias(m) for m in E.METRICS])
 
 
