@@ -8,7 +8,8 @@ weight are clamped as a prefix of that order.
 A source is then repeated: the whole part of target over size for each of its documents, and for the fraction those
 documents come first whose seeded hash is smallest, until the target is reached. The document at the border is taken in
 part, so that each source meets its target to the word. Where several rows share the border's hash, as null or repeated
-doc_ids do, each takes its share of what is left, rounded up or down by a draw, so that the sum comes near the target.
+doc_ids do, each takes its share of what is left, rounded up or down by a draw from its content, so that the sum comes near the
+target. Equal rows are numbered and rounded in turn; as they are interchangeable, a rerun on any partitioning gives the same rows.
 
 The border is found by three levels of a radix search over sums of sizes, so no source is ever sorted or gathered in one
 task, however large it is. All is native; rows are (source, hash, size) of 52-bit hashes.
@@ -96,7 +97,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, epochs: int =
     plan = written(_plan(sizes, weights, budget, epochs))
     borders = _borders(sizes, plan)
     full = plan.alias("p").join(borders.alias("b"), F.col("p.source").eqNullSafe(F.col("b.source")), "left").select("p.*", "b.cut", "b.cut_left", "b.cut_size")
-    return _apply(docs, small(written(full)), seed)
+    full = written(full)
+    shared = sizes.alias("s").join(small(full).alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")) & (F.col("s.h") == F.col("p.cut"))).groupBy("p.source").agg(F.count("*").alias("n")).where("n > 1")
+    return _apply(docs, small(full), seed, not shared.isEmpty())
 
 
 def _plan(sizes: DataFrame, weights, budget: float, epochs: int) -> DataFrame:
@@ -107,17 +110,38 @@ def _plan(sizes: DataFrame, weights, budget: float, epochs: int) -> DataFrame:
     return per.withColumn("part", part)
 
 
-def _apply(docs: DataFrame, full: DataFrame, seed: int) -> DataFrame:
-    inner = docs.select(whole(docs).alias("d"))
+def _shares(tied: DataFrame, seed: int) -> DataFrame:
+    """``tied``, rows at their source's border, with ``extra``: their share of what is left, in whole words.
+
+    Equal rows have a draw in common and are numbered, within partitions and over them by a count for each, so that as many of
+    them are rounded up as their shares and the draw add up to, wherever they stand.
+    """
+    plain = [n for n, t in tied.select("d.*").dtypes if "map<" not in t and t != "variant"]
+    same = ["p_source", "content"]
+    tied = tied.withColumn("content", F.xxhash64(*[F.col(f"d.`{n}`") for n in plain])).withColumn("part", F.shiftright("mix_at", 33)).withColumn("p_source", F.coalesce(F.concat(F.lit("."), F.col("d.source").cast("string")), F.lit("")))
+    counts = tied.groupBy(*same, "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*same).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*same, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    place = F.col("start") + F.row_number().over(Window.partitionBy(*same, "part").orderBy("mix_at"))
+    tied = tied.join(starts, [*same, "part"]).withColumn("place", place)
+    share = F.col("cut_left") * F.col("mix_size") / F.col("cut_size")
+    draw = F.pmod(F.xxhash64(F.lit(seed), "content"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    upto = lambda n: F.floor(n * (F.col("share") - F.floor("share")) + draw)
+    return tied.withColumn("share", share).withColumn("extra", (F.floor("share") + upto(F.col("place")) - upto(F.col("place") - 1)).cast("long"))
+
+
+def _apply(docs: DataFrame, full: DataFrame, seed: int, shared: bool) -> DataFrame:
+    """``shared`` says whether several rows share the hash of a border."""
+    inner = docs.select(whole(docs).alias("d"), F.monotonically_increasing_id().alias("mix_at"))
     inner = inner.withColumn("mix_size", size_of(F.col("d.text"))).withColumn("mix_h", hash_of(F.col("d.doc_id"), seed))
-    out = inner.join(full.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")), "left")
-    share = F.col("p.cut_left") * F.col("mix_size") / F.col("p.cut_size")  # whole unless several rows share the hash
-    draw = F.pmod(F.xxhash64(F.lit(seed), "d.text", F.monotonically_increasing_id()), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    at_cut = (F.floor(share) + (draw < share - F.floor(share)).cast("int")).cast("long")
-    extra = F.when(F.col("mix_h") < F.col("p.cut"), F.col("mix_size")).when(F.col("mix_h") == F.col("p.cut"), at_cut).otherwise(0)
-    extra = F.coalesce(extra, F.lit(0)).cast("long")
-    out = out.select("d", "mix_size", F.col("p.source_size").alias("mix_source_size"), F.col("p.target").alias("mix_target"), F.col("p.whole").alias("mix_whole"), extra.alias("mix_extra"))
-    return out.withColumn("mix_taken", F.col("mix_whole") * F.col("mix_size") + F.col("mix_extra"))
+    out = inner.join(full.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")), "left").select("d", "mix_at", "mix_size", "mix_h", "source_size", "target", "whole", "cut", "cut_left", "cut_size")
+    at_border = F.coalesce(F.col("mix_h") == F.col("cut"), F.lit(False)) & (F.col("cut_size") > 0)
+    alone = F.when(F.col("mix_h") < F.col("cut"), F.col("mix_size")).when(at_border, F.col("cut_left")).otherwise(0)
+    fields = ["d", "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("whole").alias("mix_whole")]
+    rest = (out.where(~at_border) if shared else out).select(*fields, alone.cast("long").alias("mix_extra"))
+    if shared:
+        rest = rest.unionByName(_shares(out.where(at_border), seed).select(*fields, F.col("extra").alias("mix_extra")))
+    return rest.withColumn("mix_taken", F.col("mix_whole") * F.col("mix_size") + F.col("mix_extra"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:

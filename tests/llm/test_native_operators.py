@@ -248,6 +248,22 @@ def test_bitmap_never_misses(spark):
     assert maybe(rows, "h", bitmap(written(keys.limit(0)), "h")).where("maybe").count() == 0
 
 
+def test_mix_of_tied_rows_is_the_same_on_any_partitioning(spark):
+    """Null and repeated ids, equal rows and rows that differ in other columns alone."""
+    rng = random.Random(8)
+    texts = [" ".join("w" * rng.randint(1, 5) for _ in range(n)) for n in (1, 1, 2, 3, 7, 30)]
+    rows = [(rng.choice([None, None, 5, 6]), rng.choice(texts), rng.choice(["en", "de"]), rng.choice(["a", "b", None]), 0) for _ in range(400)]
+    rows += [(None, "one", "en", "a", 0)] * 150
+    got = []
+    for parts in (1, 7, 64):
+        mixed = mixing.mix(written(docs_of(spark, rows).repartition(parts)))
+        got.append(sorted((repr(tuple(r.d)), r.mix_taken) for r in mixed.collect()))
+        assert all(0 <= r.mix_extra <= r.mix_size for r in mixed.collect())
+    assert got[0] == got[1] == got[2]
+    for r in mixed.groupBy("d.source").agg(F.sum("mix_taken").alias("taken"), F.first("mix_target").alias("target")).collect():
+        assert abs(r.taken - r.target) < 0.05 * r.target
+
+
 def test_rows_that_share_a_hash_come_near_the_target(spark):
     """Null doc_ids, one word each: half of the rows are taken twice."""
     docs = spark.createDataFrame([(None, "a", f"w{i % 7}") for i in range(1000)], "doc_id long, source string, text string")
